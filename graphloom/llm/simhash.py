@@ -134,13 +134,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
 
-    Rows that repeat that doc_id with other texts stand in an order by text;
-    the first stays. Groups without any doc_id keep one row by the same order.
+    Of rows that repeat that doc_id one stays, that whose text has the smallest
+    hash. Rows without a doc_id cannot be named and go. Other columns pass
+    through, whatever their names.
     """
     found = near_duplicates(docs).groupBy("doc_id", "component_id").agg(F.min("fingerprint").alias("f"))
     keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+    named = rows.join(keep, F.col("d") == F.col("_id"), "left_semi")
     # One row of each doc_id: repeated rows are rare, so a hash of the text orders them.
-    once = named.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    first = once.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_h").alias("_first"))
-    return once.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_first")), "left_semi").select(*docs.columns)
+    once = named.dropDuplicates(["d", "h"])
+    first = once.groupBy(F.col("d").alias("_id")).agg(F.min("h").alias("_first"))
+    return once.join(first, (F.col("d") == F.col("_id")) & (F.col("h") == F.col("_first")), "left_semi").select("row.*")

@@ -67,14 +67,8 @@ def _clean(text: str | None, flagged: set[int]) -> tuple[str | None, list[dict]]
     return (out.strip() if spans else text), [{"start": a, "end": b} for a, b in spans]
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``clean_text`` and ``removed``, its removed character spans.
-
-    The first occurrence of a run is that of the smallest doc_id, and there the
-    earliest; it stays. Rows that share a doc_id count as one document against
-    others, and rows without a doc_id come last. Null or empty texts stay as
-    they are. All other columns pass through.
-    """
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """``row, clean_text, removed`` of every row of ``docs``; see :func:`dedup`."""
     last = (1 << 63) - 1
     names = docs.columns
 
@@ -103,11 +97,24 @@ def dedup(docs: DataFrame) -> DataFrame:
         return step
 
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, clean_text string, removed array<struct<start:int,end:int>>"
-    return map_chunks(joined, start_clean, schema).select("row.*", "clean_text", "removed")
+    return map_chunks(joined, start_clean, schema)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with ``clean_text`` and ``removed``, its removed character spans.
+
+    The first occurrence of a run is that of the smallest doc_id, and there the
+    earliest; it stays. Rows that share a doc_id count as one document against
+    others, and rows without a doc_id come last. Null or empty texts stay as
+    they are. All other columns pass through; one named like a result column
+    gives way to it.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("clean_text", "removed")]
+    return _cleaned(docs).select(*[F.col(f"row.`{c}`") for c in names], "clean_text", "removed")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` brought up to date; rows left without a word go."""
-    out = dedup(docs).where(F.coalesce(F.col("clean_text"), F.lit("")).rlike(r"\S"))
+    out = _cleaned(docs).where(F.coalesce(F.col("clean_text"), F.lit("")).rlike(r"\S"))
     changed = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
