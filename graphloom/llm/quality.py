@@ -102,5 +102,5 @@ def ablations(found: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """``docs`` without the rows that the policy rejects, evaluated in place without a join."""
-    packed = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
     return apply_policy(ledger(packed), version).where("kept").select("doc_id.*")
