@@ -292,6 +292,17 @@ def test_license(odd, empty):
     assert next(r for (i, _), r in got.items() if i == 0).labels == ""
 
 
+def test_license_base_against_plain(docs):
+    expected = []
+    for r in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        at = [(i, label) for phrase, label in license.BASE.items() for i in range(len(words)) if words[i : i + phrase.count(" ") + 1] == phrase.split()]
+        places = [i for i, _ in at]
+        expected.append((r.doc_id, len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
+    got = license.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_license_labels(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Permission is hereby granted, free of charge, to any third person obtaining a copy of this software", "the license of the public"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
