@@ -76,3 +76,34 @@ def data_dependence(actions: DataFrame, arcs: DataFrame) -> DataFrame:
     """``(src, dst, label)``: definition to use, labelled with the variable."""
     names = actions.select(F.col("node").alias("use_id"), F.col("var").alias("label"))
     return reaching(actions, arcs).join(names, "use_id").select(F.col("def_id").alias("src"), F.col("use_id").alias("dst"), "label")
+
+
+def total_definitions(actions: DataFrame, arcs: DataFrame) -> DataFrame:
+    """``(src, dst)``: definitions that fully define what a use reads; optional ones left out."""
+    plain = actions.where("op = 'DEF' and not optional").select(F.col("node").alias("def_id"))
+    return reaching(actions, arcs).join(plain, "def_id", "left_semi").select(F.col("def_id").alias("src"), F.col("use_id").alias("dst"))
+
+
+def next_definitions(actions: DataFrame, arcs: DataFrame, all_later: bool = False) -> DataFrame:
+    """``(def_id, next_id)``: definitions of the same variable met forwards until a plain one; with ``all_later`` every one."""
+
+    def visit(proc, left, successors):
+        kind = {r.node: r for r in left.itertuples(index=False)}
+        after = {s: [r.dst for r in rs if r.kind == "EXEC"] for s, rs in successors.items()}
+        for d in kind.values():
+            if d.op != "DEF":
+                continue
+            seen, todo = set(), list(after.get(d.node, ()))
+            while todo:
+                n = todo.pop()
+                if n in seen:
+                    continue
+                seen.add(n)
+                a = kind.get(n)
+                if a is not None and a.var == d.var and a.op == "DEF":
+                    yield d.node, n
+                    if not a.optional and not all_later:
+                        continue
+                todo += after.get(n, ())
+
+    return per_procedure(actions, arcs, "def_id long, next_id long", visit)

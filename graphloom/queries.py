@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import control, dataflow, graphs, hierarchy, slicing
+from .operators import constrained, control, dataflow, graphs, hierarchy, interproc, pruning, slicing
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
+from .sources import programs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,9 +72,11 @@ seg AS (SELECT list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-
 paths AS (SELECT DISTINCT s[1] AS tree, array_to_string(s[1:n], '/') AS path, CAST(n AS INTEGER) AS depth FROM seg, unnest(range(1, len(s) + 1)) AS u(n))"""
 
 
-def query(sql: str):
+def query(sql: str | None):
     def register(f: Query) -> Query:
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -295,3 +298,102 @@ def tree_merge(s, d):
 @query(f"WITH {NODES}, {ARCS} SELECT '\"' || node_id || '\" [label=\"' || kind || '\"];' AS line FROM nodes UNION ALL SELECT '\"' || src || '\" -> \"' || dst || '\" [color=' || CASE WHEN is_inter_in THEN 'darkgreen' WHEN is_inter_out THEN 'blue' WHEN kind = 'DATA' THEN 'red' ELSE 'black' END || '];' FROM arcs")
 def render_dot(s, d):
     return graphs.dot_lines(b.fk_nodes(s, d).withColumnRenamed("kind", "label"), b.fk_arcs(s, d))
+
+
+_FORWARD = "fwd AS (SELECT def_id, var, dst AS n FROM defs JOIN pred ON src = def_id UNION SELECT def_id, fwd.var, dst FROM fwd JOIN pred ON src = n LEFT JOIN act a ON a.node = n AND a.var = fwd.var AND a.op = 'DEF' AND NOT a.optional WHERE a.node IS NULL)"
+
+
+@query(f"WITH RECURSIVE {EVENTS}, pred AS (SELECT src, dst FROM cfg WHERE kind = 'EXEC'), defs AS (SELECT node AS def_id, var FROM act WHERE op = 'DEF'), {_FORWARD} SELECT def_id, n AS next_id FROM fwd JOIN act a ON a.node = n AND a.var = fwd.var AND a.op = 'DEF'")
+def next_definitions(s, d):
+    return dataflow.next_definitions(b.event_actions(s, d), b.event_arcs(s, d))
+
+
+@query(f"WITH RECURSIVE {EVENTS}, {BACK} SELECT n AS src, use_id AS dst FROM back JOIN act a ON a.node = n AND a.var = back.var AND a.op = 'DEF' AND NOT a.optional")
+def total_definitions(s, d):
+    return dataflow.total_definitions(b.event_actions(s, d), b.event_arcs(s, d))
+
+
+_DIRECT = """
+calls AS (SELECT 'r:' || n_regionkey AS caller, 'n:' || n_nationkey AS callee FROM nation UNION SELECT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer UNION SELECT 'c:' || o_custkey, 'o:' || o_orderkey FROM orders),
+own AS (SELECT 'c:' || c_custkey AS proc, '1-URGENT' AS var FROM customer WHERE c_acctbal < 3000)"""
+
+
+@query(f"WITH RECURSIVE {_DIRECT}, defs AS (SELECT 'o:' || o_orderkey AS proc, o_orderpriority AS var FROM orders UNION SELECT caller, defs.var FROM defs JOIN calls ON callee = defs.proc LEFT JOIN own ON own.proc = caller AND own.var = defs.var WHERE own.var IS NULL) SELECT proc, var FROM defs")
+def interproc_definitions(s, d):
+    calls = b.fk_arcs(s, d).where("kind = 'CALL' or kind = 'STRUCTURAL' and dst not like 's:%'").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    direct = b.table(s, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("proc"), F.col("o_orderpriority").alias("var"))
+    own = b.table(s, d, "customer").where("c_acctbal < 3000").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("proc"), F.lit("1-URGENT").alias("var"))
+    return interproc.propagate(direct, calls, own)
+
+
+@query("""WITH body AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0),
+t AS (SELECT o_orderkey AS call, o_custkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM body)),
+a AS (SELECT DISTINCT l_orderkey AS call, l_returnflag AS v, l_linestatus = 'O' AS i FROM lineitem WHERE l_returnflag IN ('A', 'N'))
+SELECT 'site:' || call AS src, 'enter:' || k AS dst, 'CALL' AS kind FROM t
+UNION SELECT CASE WHEN i THEN 'in:' || call || v ELSE 'formal-out:' || k || v END, CASE WHEN i THEN 'formal-in:' || k || v ELSE 'out:' || call || v END, CASE WHEN i THEN 'PARAM_IN' ELSE 'PARAM_OUT' END FROM t JOIN a USING (call)""")
+def call_connections(s, d):
+    text = lambda prefix, *c: F.concat(F.lit(prefix), *[F.col(x).cast("string") for x in c])
+    sites = b.table(s, d, "orders").select(F.col("o_orderkey").alias("call"), text("site:", "o_orderkey").alias("node"), F.col("o_custkey").alias("callee"))
+    body = b.table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("callee"))
+    way = F.explode(F.array(F.lit(True), F.lit(False)))
+    formals = body.withColumn("var", F.explode(F.array(F.lit("A"), F.lit("N")))).withColumn("is_input", way)
+    formals = formals.withColumn("node", F.when(F.col("is_input"), text("formal-in:", "callee", "var")).otherwise(text("formal-out:", "callee", "var")))
+    actuals = b.table(s, d, "lineitem").select(F.col("l_orderkey").alias("call"), F.col("l_returnflag").alias("var"), (F.col("l_linestatus") == "O").alias("is_input")).distinct()
+    actuals = actuals.withColumn("node", F.when(F.col("is_input"), text("in:", "call", "var")).otherwise(text("out:", "call", "var")))
+    return interproc.connect_calls(sites, body.withColumn("node", text("enter:", "callee")), actuals, formals)
+
+
+@query(f"WITH RECURSIVE {TYPES}, rets AS (SELECT DISTINCT p_size AS call, substring(p_brand, 1, 7) AS type FROM part WHERE p_size % 2 = 0 UNION SELECT p_size, 'Brand#' FROM part WHERE p_size % 5 = 0) SELECT p_partkey AS src, min_by(r.type || '@' || r.call, depth) AS dst FROM part JOIN up ON up.type = p_brand JOIN rets r ON r.call = p_size AND r.type = ancestor GROUP BY p_partkey")
+def exception_connections(s, d):
+    part = b.table(s, d, "part")
+    exits = part.select(F.col("p_size").alias("call"), F.col("p_partkey").alias("node"), F.col("p_brand").alias("type"))
+    types = part.where("p_size % 2 = 0").select(F.col("p_size").alias("call"), F.substring("p_brand", 1, 7).alias("type")).union(part.where("p_size % 5 = 0").select("p_size", F.lit("Brand#"))).distinct()
+    return interproc.connect_exceptions(exits, types.withColumn("node", F.concat_ws("@", "type", "call")), _closure(s, d))
+
+
+@query("SELECT 'o:' || o_orderkey || ':in' AS src, 'o:' || o_orderkey || ':out' AS dst FROM orders WHERE o_totalprice > 200000 UNION SELECT 'c:' || o_custkey || ':in', 'c:' || o_custkey || ':out' FROM orders WHERE o_totalprice > 200000")
+def summary_arcs(s, d):
+    """Nations call customers and these their orders; an order passes its input on if it is dear."""
+    arcs = b.fk_arcs(s, d).where("kind = 'CALL' or kind = 'STRUCTURAL' and dst like 'c:%'").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    arcs = checkpoint(arcs)
+    way = F.explode(F.array(F.lit(True), F.lit(False)))
+    end = F.when(F.col("is_input"), F.lit(":in")).otherwise(F.lit(":out"))
+    procs = arcs.select(F.col("callee").alias("proc")).union(arcs.select("caller")).distinct()
+    formals = procs.withColumn("is_input", way).select("proc", F.concat(F.lit("formal "), "proc", end).alias("node"), F.lit("v").alias("var"), "is_input")
+    actuals = arcs.withColumn("is_input", way).select(F.col("callee").alias("call"), F.col("callee").alias("proc"), F.concat("callee", end).alias("node"), F.lit("v").alias("var"), "is_input")
+    into = arcs.select(F.concat(F.lit("formal "), "caller", F.lit(":in")).alias("src"), F.concat("callee", F.lit(":in")).alias("dst"))
+    out_of = arcs.select(F.concat("callee", F.lit(":out")), F.concat(F.lit("formal "), "caller", F.lit(":out")))
+    dear = b.table(s, d, "orders").where("o_totalprice > 200000").select(F.concat(F.lit("formal o:"), F.col("o_orderkey").cast("string")).alias("o"))
+    return interproc.summary_arcs(into.union(out_of).union(dear.select(F.concat("o", F.lit(":in")), F.concat("o", F.lit(":out")))), formals, actuals)
+
+
+@query(f"WITH RECURSIVE {PATHS}, t AS (SELECT path AS node, CASE WHEN depth > 1 THEN regexp_replace(path, '/[^/]*$', '') END AS parent, depth <= 2 AS soft, length(path) % 3 <> 0 AS hit FROM paths), up AS (SELECT node AS leaf, node AS above FROM t WHERE hit UNION SELECT leaf, parent FROM up JOIN t ON t.node = above AND parent IS NOT NULL), lost AS (SELECT leaf FROM up JOIN t ON t.node = above WHERE NOT soft AND NOT hit) SELECT DISTINCT above AS node FROM up WHERE leaf NOT IN (SELECT leaf FROM lost)")
+def prune_tree(s, d):
+    p = _paths(s, d)
+    tree = p.select(F.col("path").alias("node"), F.when(F.col("depth") > 1, F.regexp_replace("path", "/[^/]*$", "")).alias("parent"), (F.col("depth") <= 2).alias("by_content"))
+    return pruning.kept_nodes(checkpoint(tree), p.where(F.length("path") % 3 != 0).select(F.col("path").alias("node")))
+
+
+_SPEC = r"^(.+\.java)#([1-9][0-9]*)(?::(.+))?$"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT 'src/F' || l_partkey || '.java#' || CASE l_returnflag WHEN 'R' THEN '0' ELSE '' END || l_linenumber || CASE l_returnflag WHEN 'A' THEN ':A,' || l_linestatus ELSE '' END AS spec FROM lineitem),
+m AS (SELECT spec, regexp_extract(spec, '{_SPEC}', 3) AS names FROM s WHERE regexp_matches(spec, '{_SPEC}'))
+SELECT spec, regexp_extract(spec, '{_SPEC}', 1) AS file, TRY_CAST(regexp_extract(spec, '{_SPEC}', 2) AS BIGINT) AS line, v AS variable
+FROM m, unnest(CASE WHEN names = '' THEN CAST([NULL] AS VARCHAR[]) ELSE string_split(names, ',') END) AS u(v)""")
+def criterion_parse(s, d):
+    zero = F.when(F.col("l_returnflag") == "R", "0").otherwise("")
+    names = F.when(F.col("l_returnflag") == "A", F.concat(F.lit(":A,"), "l_linestatus")).otherwise("")
+    spec = F.concat(F.lit("src/F"), F.col("l_partkey").cast("string"), F.lit(".java#"), zero, F.col("l_linenumber").cast("string"), names)
+    return programs.criteria(b.table(s, d, "lineitem").select(spec.alias("spec")).distinct())
+
+
+@query(None)
+def slice_exception_sensitive(s, d):
+    """Stateful rules, beyond SQL; tests hold the slicer against a plain work list."""
+    f = b.fk_arcs(s, d)
+    kind = F.when(F.col("src").startswith("s:") & (F.col("kind") == "DATA"), "CC1").when(F.col("src").startswith("p:"), "CC2").when(F.col("src").startswith("o:"), "OBJECT_FLOW").when(F.col("kind") == "STRUCTURAL", "CD").otherwise(F.col("kind"))
+    arcs = f.select("src", "dst", kind.alias("kind"), "is_inter_in", "is_inter_out", F.lit(False).alias("exclusive"))
+    c = b.table(s, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))
+    nodes = b.fk_nodes(s, d).where("kind in ('nation', 'lineitem')").select(F.col("node_id").alias("node"), (F.col("kind") == "nation").alias("pseudo"), F.col("node_id").endswith("-1").alias("object_stop"))
+    return constrained.exception_sensitive(c.select("key", F.col("key").alias("node")), arcs, nodes)

@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(SQL))
 def test_same_rows_as_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(SQL[name]).df())
 
