@@ -13,6 +13,7 @@ that occur in toxic documents and hardly in others.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -29,8 +30,14 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS = 6000
 #: Shortest and longest opening of a word that may become a stem.
 STEM = (3, 9)
-#: A stem stands in at least so many toxic documents, this share of them, so many different words, and this share of all that have it is toxic.
-LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 4, 0.02, 0.9
+#: A whole word or stem stands in at least so many toxic documents; a stem opens so many different words there.
+LEAST_DOCS, LEAST_KINDS = 5, 3
+#: Of the documents that have it, this share is toxic: whole words, stems.
+PRECISION_WORD, PRECISION_STEM = 0.9, 0.8
+#: Nats by which its toxic share must exceed chance. At 10, one word in 20,000 gets there by luck.
+LEAST_EVIDENCE = 10.0
+#: Signatures of a document; sampled documents that share any of them count once.
+SIGNATURES = 3
 
 # Seed lists.
 INSULTS = frozenset("idiot idiots moron morons loser losers scum trash clown clowns worthless pathetic disgusting stupid imbecile fool dumb".split())
@@ -130,10 +137,20 @@ def _openings(text: str) -> dict[str, set[int]]:
     return out
 
 
-def _signature(text: str) -> int:
-    """Smallest hash of the 3-word shingles: near copies mostly share it."""
+def _signatures(text: str) -> list[int]:
+    """Smallest hashes of the 3-word shingles under several seeds: near copies mostly share each of them."""
     words = text.lower().split()
-    return min((xxhash.xxh32_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    return [min(xxhash.xxh32_intdigest(x, seed=k) for x in shingles) for k in range(SIGNATURES)]
+
+
+def _evidence(toxic: int, clean: int, base: float) -> float:
+    """Nats of surprise that so many of the documents with a word are toxic, at a toxic share of ``base``; 0 where they are not more than that."""
+    n = toxic + clean
+    p = toxic / n
+    if p <= base:
+        return 0.0
+    return n * (p * math.log(p / base) + (0.0 if clean == 0 else (1 - p) * math.log((1 - p) / (1 - base))))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -147,13 +164,15 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def start():
         def step(texts, toxic, h):
-            yield {"text": texts, "toxic": toxic, "h": h, "sig": [_signature(t) for t in texts]}
+            yield {"text": texts, "toxic": toxic, "h": h, "sig": [_signatures(t) for t in texts]}
 
         return step
 
-    signed = checkpoint(map_chunks(rows, start, "text string, toxic int, h long, sig long"))
-    first = signed.groupBy("sig", "toxic").agg(F.min("h").alias("h"))
-    return checkpoint(signed.join(F.broadcast(first), ["sig", "toxic", "h"]).select("text", "toxic", "h"))
+    signed = checkpoint(map_chunks(rows, start, "text string, toxic int, h long, sig array<long>"))
+    first = signed.select("toxic", "h", "sig")
+    for k in range(SIGNATURES):
+        first = first.groupBy("toxic", F.col("sig")[k].alias("_s")).agg(F.min_by(F.struct("h", "sig"), "h").alias("one")).select("toxic", "one.h", "one.sig")
+    return checkpoint(signed.join(F.broadcast(first.select("toxic", "h")), ["toxic", "h"]).select("text", "toxic", "h").dropDuplicates(["h"]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
@@ -161,7 +180,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     sample = training_sample(docs, labels)
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
     stems: set[str] = set()
     if n_toxic and n_clean:
 
@@ -185,13 +203,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
         schema = "name string, n long, words array<long>"
         many = lambda df, only: map_chunks(df.select("text"), openings(only), schema)
         found = many(sample.where("toxic = 1"), None)
-        toxic = {r["name"]: r["n"] for r in found.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toLocalIterator()}
+        toxic = {r["name"]: r["n"] for r in found.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).toLocalIterator()}
         names = frozenset(toxic)
         clean = {r["name"]: r["n"] for r in many(sample.where("toxic = 0"), names).groupBy("name").agg(F.sum("n").alias("n")).toLocalIterator()}
         kinds = {r["name"]: r["n"] for r in many(sample.where("toxic = 1"), names).select("name", F.explode("words").alias("w")).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
         for name in sorted(toxic, key=lambda x: (len(x), x)):
-            good = toxic[name] / (toxic[name] + clean.get(name, 0) * n_toxic / n_clean * 4 + 0.2) >= LEAST_PRECISION
-            if good and (name[-1] == "$" and toxic[name] >= 2 * least or name[-1] != "$" and kinds.get(name, 0) >= 3) and not any(name.startswith(s) for s in stems):
+            n, other = toxic[name], clean.get(name, 0)
+            whole = name[-1] == "$"
+            sure = n / (n + other + 0.2) >= (PRECISION_WORD if whole else PRECISION_STEM) and _evidence(n, other, n_toxic / (n_toxic + n_clean)) >= LEAST_EVIDENCE
+            if sure and (whole or kinds.get(name, 0) >= LEAST_KINDS) and not any(name.startswith(s) for s in stems):
                 stems.add(name)
     grammar = Grammar(frozenset(s for s in stems if s[-1] != "$"), frozenset(s[:-1] for s in stems if s[-1] == "$"))
     if not (n_toxic and n_clean):

@@ -257,6 +257,26 @@ def test_toxicity(spark, odd, empty):
     assert none.events("I will kill you. They kill time never", tag)[0] == [0, 0, 0, 0, 1]
 
 
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in queries()["op3_toxicity"](spark, sf).where("held_out").collect() if r.doc_id in labels]
+    toxic = [r.predicted for r in held if labels[r.doc_id]]
+    clean = [r.predicted for r in held if labels[r.doc_id] == 0]
+    assert sum(toxic) >= 0.87 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_evidence():
+    evidence = toxicity._evidence
+    assert evidence(1, 9, 0.1) == evidence(0, 5, 0.1) == 0
+    assert evidence(5, 0, 0.1) == pytest.approx(5 * np.log(10))
+    assert 0 < evidence(5, 2, 0.1) < evidence(5, 1, 0.1) < evidence(6, 1, 0.1)
+    # Copies share all signatures, other texts none.
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    assert toxicity._signatures(a) == toxicity._signatures(a.upper()) and not set(toxicity._signatures(a)) & set(toxicity._signatures(b))
+    assert len(toxicity._signatures("")) == toxicity.SIGNATURES
+
+
 def test_knn(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)], 0) for i in range(3000)]
