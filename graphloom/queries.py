@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import constrained, control, dataflow, graphs, hierarchy, interproc, pruning, slicing
+from .operators import constrained, control, dataflow, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -397,3 +397,113 @@ def slice_exception_sensitive(s, d):
     c = b.table(s, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))
     nodes = b.fk_nodes(s, d).where("kind in ('nation', 'lineitem')").select(F.col("node_id").alias("node"), (F.col("kind") == "nation").alias("pseudo"), F.col("node_id").endswith("-1").alias("object_stop"))
     return constrained.exception_sensitive(c.select("key", F.col("key").alias("node")), arcs, nodes)
+
+
+_TREES = """
+mem AS (SELECT DISTINCT p_size AS action, path FROM (SELECT p_size, unnest([p_type, p_type || '/' || p_brand, p_type || '/' || p_brand || '/' || split_part(p_name, ' ', 2)]) AS path FROM part WHERE p_size % 7 <> 0)),
+links AS (SELECT DISTINCT x.p_size AS a, y.p_size AS b, CASE WHEN x.p_size % 5 = 0 THEN 'ECONOMY' ELSE '' END AS m FROM part x JOIN part y ON y.p_size = x.p_size + 1),
+inner_paths AS (SELECT DISTINCT action, regexp_replace(path, '/[^/]*$', '') AS path FROM mem WHERE path LIKE '%/%'),
+t AS (
+  SELECT DISTINCT p_size AS action, '' AS path, 'root:' || p_size AS node, TRUE AS has_inner FROM part WHERE p_size % 7 <> 0
+  UNION ALL SELECT mem.action, mem.path, mem.action || '/' || mem.path, i.path IS NOT NULL FROM mem LEFT JOIN inner_paths i ON i.action = mem.action AND i.path = mem.path),
+cut AS (SELECT m, path, CASE WHEN m = '' THEN path WHEN path = m THEN '' WHEN starts_with(path, m || '/') THEN substring(path, length(m) + 2) END AS rel FROM (SELECT DISTINCT m FROM links), (SELECT DISTINCT path FROM t)),
+s AS (SELECT a, b, rel, node FROM links JOIN t ON t.action = a JOIN cut USING (m, path) WHERE rel IS NOT NULL),
+d AS (SELECT a, b, rel, node, has_inner OR rel = '' AS has_inner FROM links JOIN t ON t.action = b JOIN cut USING (m, path) WHERE rel IS NOT NULL),
+met AS (SELECT s.node AS src, d.node AS dst, has_inner FROM s JOIN d USING (a, b, rel)),
+s_top AS (SELECT a, b, node FROM s WHERE rel = '' UNION ALL SELECT a, b, 'root:' || a FROM links WHERE a % 7 = 0),
+d_top AS (SELECT a, b, node FROM d WHERE rel = '' UNION ALL SELECT a, b, 'root:' || b FROM links WHERE b % 7 = 0)"""
+
+
+def _size_trees(s, d):
+    """Actions are sizes; a tree holds types, brands and kinds of parts. Every seventh size is a primitive."""
+    part = b.table(s, d, "part").select(F.col("p_size").alias("action"), F.array("p_type", "p_brand", F.split("p_name", " ")[1]).alias("segments"))
+    roots = part.select("action").distinct().select("action", F.concat(F.lit("root:"), F.col("action").cast("string")).alias("node"), (F.col("action") % 7 != 0).alias("has_tree"))
+    paths = part.where("action % 7 <> 0").select("action", F.explode(graphs.tree_paths(F.col("segments"))).alias("path")).distinct()
+    return roots, paths.withColumn("node", F.concat_ws("/", F.col("action").cast("string"), "path"))
+
+
+@query(f"WITH {_TREES} SELECT src, dst, 'FLOW' AS kind FROM met UNION SELECT src, dst, 'OBJECT_FLOW' FROM met WHERE has_inner UNION SELECT s_top.node, d_top.node, 'FLOW' FROM s_top JOIN d_top USING (a, b) WHERE a % 7 = 0 OR b % 7 = 0")
+def tree_connections(s, d):
+    roots, members = _size_trees(s, d)
+    member = F.when(F.col("action") % 5 == 0, "ECONOMY").otherwise("")
+    links = roots.select(F.col("action").alias("src_action"), member.alias("src_member"), (F.col("action") + 1).alias("dst_action"), member.alias("dst_member"))
+    return objects.connect_trees(links, roots, members)
+
+
+@query("SELECT DISTINCT p_size || '/' || p_type AS src, 'use:' || p_partkey AS dst FROM part WHERE p_size % 7 <> 0")
+def value_connections(s, d):
+    values = b.table(s, d, "part").select(F.col("p_size").alias("action"), F.col("p_type").alias("path"), F.concat(F.lit("use:"), F.col("p_partkey").cast("string")).alias("statement"))
+    return objects.connect_values(values, _size_trees(s, d)[1])
+
+
+@query(f"WITH RECURSIVE {EVENTS}, {BACK}, defs AS (SELECT node AS def_id, var FROM act WHERE op = 'DEF'), {_FORWARD}, met AS (SELECT n AS src, use_id AS dst, CAST(back.var AS BIGINT) % 2 = 0 AS plain, optional FROM back JOIN act a ON a.node = n AND a.var = back.var AND a.op = 'DEF') SELECT src, dst, 'FLOW' AS kind FROM met WHERE plain UNION SELECT src, dst, 'OBJECT_FLOW' FROM met WHERE NOT plain UNION SELECT src, dst, 'TOTAL_DEF' FROM met WHERE NOT plain AND NOT optional UNION SELECT def_id, n, 'OBJECT_FLOW' FROM fwd JOIN act a ON a.node = n AND a.var = fwd.var AND a.op = 'DEF' WHERE CAST(fwd.var AS BIGINT) % 2 <> 0")
+def object_dependence(s, d):
+    actions = b.event_actions(s, d).withColumn("primitive", F.col("var").cast("long") % 2 == 0)
+    return objects.object_dependence(actions, b.event_arcs(s, d))
+
+
+_MEMBER = "CASE WHEN CAST(var AS BIGINT) % 5 > 0 THEN 'm' || CAST(CAST(var AS BIGINT) % 5 AS VARCHAR) END"
+
+
+@query(f"WITH {EVENTS}, a AS (SELECT proc, node, pos, CAST(var AS BIGINT) % 2 AS var, op, optional, {_MEMBER} AS member FROM act), j AS (SELECT *, CASE WHEN lag(var) OVER w = var AND lag(op) OVER w = op AND lag(member) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY proc ORDER BY pos)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY proc ORDER BY pos) AS run FROM j) SELECT proc, min_by(node, pos) AS node, min(var) AS var, min(op) AS op, max_by(optional, pos) AS optional, coalesce(string_agg(DISTINCT member, ',' ORDER BY member), '') AS members, count(*) AS n FROM r GROUP BY proc, run")
+def merged_actions(s, d):
+    k = F.col("var").cast("long")
+    actions = b.event_actions(s, d).withColumn("member", F.when(k % 5 > 0, F.concat(F.lit("m"), (k % 5).cast("string")))).withColumn("var", k % 2)
+    return objects.merged_actions(actions)
+
+
+@query(f"WITH {ARCS}, moves AS (SELECT DISTINCT 'l:' || l_orderkey || '-' || l_linenumber AS node, 'o:' || l_orderkey AS real FROM lineitem WHERE l_linestatus = 'F') SELECT DISTINCT coalesce(x.real, src) AS src, coalesce(y.real, dst) AS dst, kind FROM arcs LEFT JOIN moves x ON x.node = src LEFT JOIN moves y ON y.node = dst")
+def moved_arcs(s, d):
+    key = F.concat(F.lit("l:"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    moves = b.table(s, d, "lineitem").where("l_linestatus = 'F'").select(key.alias("node"), F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("real")).distinct()
+    return objects.moved(b.fk_arcs(s, d), moves)
+
+
+_THROWN = """
+src AS (SELECT p_size AS scope, 'part:' || p_partkey AS node, p_brand AS type, p_partkey % 3 <> 0 AS active FROM part),
+c AS (SELECT DISTINCT p_size AS scope, k AS pos, 'catch:' || p_size || '-' || k AS node, CASE k WHEN 1 THEN 'Brand#' || (p_size % 3 + 1) WHEN 2 THEN 'Brand#' || (p_size % 7 + 3) ELSE 'Brand#' END AS type FROM part, (VALUES (1), (2), (3)) AS v(k) WHERE k < 3 OR p_size % 4 = 0),
+w AS (SELECT src.*, (SELECT min(pos) FROM c JOIN up ON up.ancestor = c.type WHERE c.scope = src.scope AND up.type = src.type) AS taken FROM src)"""
+
+
+def _thrown(s, d):
+    """Parts throw their brand; every size is a try with two clauses, or three."""
+    part = b.table(s, d, "part")
+    text = lambda c: F.col(c).cast("string")
+    sources = part.select(F.col("p_size").alias("scope"), F.concat(F.lit("part:"), text("p_partkey")).alias("node"), F.col("p_brand").alias("type"), (F.col("p_partkey") % 3 != 0).alias("active"))
+    c = part.select(F.col("p_size").alias("scope")).distinct().withColumn("pos", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("pos < 3 or scope % 4 = 0")
+    digit = F.when(F.col("pos") == 1, (F.col("scope") % 3 + 1).cast("string")).when(F.col("pos") == 2, (F.col("scope") % 7 + 3).cast("string")).otherwise("")
+    catches = c.select("scope", "pos", F.concat(F.lit("catch:"), text("scope"), F.lit("-"), text("pos")).alias("node"), F.concat(F.lit("Brand#"), digit).alias("type"))
+    return sources, catches, checkpoint(_closure(s, d))
+
+
+@query(f"WITH RECURSIVE {TYPES}, {_THROWN}, nx AS (SELECT x.scope, x.node AS src, y.node AS dst, y.pos FROM c x JOIN c y ON y.scope = x.scope AND y.pos = x.pos + 1) SELECT w.node AS src, c.node AS dst, CASE WHEN bool_or(active) THEN 'EXEC' ELSE 'NONEXEC' END AS kind FROM w JOIN c ON c.scope = w.scope AND c.pos = 1 GROUP BY 1, 2 UNION ALL SELECT src, dst, CASE WHEN bool_or(active AND (taken IS NULL OR taken >= pos)) THEN 'EXEC' ELSE 'NONEXEC' END FROM nx JOIN w USING (scope) GROUP BY 1, 2")
+def catch_arcs(s, d):
+    return exceptions.catch_arcs(*_thrown(s, d))
+
+
+@query(f"WITH RECURSIVE {TYPES}, {_THROWN} SELECT DISTINCT scope, type FROM w WHERE active AND taken IS NULL")
+def uncaught_exceptions(s, d):
+    return exceptions.uncaught(*_thrown(s, d))
+
+
+@query(f"WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg WHERE kind = 'EXEC'), {ESCAPES}, ret AS (SELECT proc AS call, node FROM ev WHERE kind = 'view' AND pos <= 12) SELECT call, min(y.node) AS target FROM (SELECT call, e.node, count(*) AS n FROM ret JOIN ev e ON e.proc = call LEFT JOIN esc ON esc.n = ret.node AND esc.b = e.node WHERE ret.node = e.node OR esc.n IS NULL GROUP BY ALL) y JOIN (SELECT call, count(*) AS n FROM ret GROUP BY call) USING (call, n) GROUP BY call")
+def return_targets(s, d):
+    nodes = checkpoint(b.event_nodes(s, d))
+    returns = nodes.where("kind = 'view' and pos <= 12").select(F.col("proc").alias("call"), "node")
+    return exceptions.return_targets(control.post_dominators(nodes, b.event_arcs(s, d).where("kind = 'EXEC'")), returns)
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg WHERE kind = 'EXEC'), {ESCAPES}, cd AS ({_CD}),
+pseudo AS (SELECT src AS node FROM cfg GROUP BY src HAVING count(*) FILTER (kind = 'NONEXEC') = 1),
+one AS (SELECT a, b FROM cd JOIN ev c ON c.node = a AND c.kind = 'signup' JOIN ev t ON t.node = b WHERE NOT t.pos BETWEEN c.pos + 1 AND c.pos + 3),
+stay AS (SELECT a, b FROM cd EXCEPT SELECT a, b FROM one),
+bk AS (SELECT node AS clause, pos AS place, node FROM ev WHERE kind = 'signup' UNION SELECT clause, place, a FROM bk JOIN stay ON b = bk.node JOIN ev e ON e.node = a AND e.pos BETWEEN place - 12 AND place + 3 WHERE bk.node = clause OR bk.node NOT IN (SELECT node FROM pseudo))
+SELECT a AS src, b AS dst, 'CD' AS kind FROM stay UNION ALL SELECT a, b, 'CC1' FROM one UNION ALL SELECT clause, bk.node, 'CC2' FROM bk JOIN ev e ON e.node = bk.node AND e.kind = 'error'""")
+def conditional_control_dependence(s, d):
+    """A signup catches what the twelve events before it throw; the next three are its block."""
+    nodes, arcs = checkpoint(b.event_nodes(s, d)), checkpoint(b.event_arcs(s, d))
+    cd = control.control_dependence(nodes, arcs, traverse_all=False).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    c = nodes.where("kind = 'signup'").select("proc", F.col("node").alias("catch"), F.col("pos").alias("at"))
+    held = lambda first: c.withColumn("pos", F.explode(F.sequence(F.col("at") + first, F.col("at") + 3))).join(nodes.select("proc", "pos", "node"), ["proc", "pos"]).select("catch", "node")
+    thrown = nodes.where("kind = 'error'").select("node")
+    return exceptions.conditional_dependence(cd, c.select(F.col("catch").alias("node")), held(1), held(-12), thrown, control.pseudo_predicates(arcs).select(F.col("node_id").alias("node")))
