@@ -171,8 +171,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     signed = checkpoint(map_chunks(rows, start, "text string, toxic int, h long, sig array<long>"))
     first = signed.select("toxic", "h", "sig")
     for k in range(SIGNATURES):
-        first = first.groupBy("toxic", F.col("sig")[k].alias("_s")).agg(F.min_by(F.struct("h", "sig"), "h").alias("one")).select("toxic", "one.h", "one.sig")
-    return checkpoint(signed.join(F.broadcast(first.select("toxic", "h")), ["toxic", "h"]).select("text", "toxic", "h").dropDuplicates(["h"]))
+        first = first.groupBy("toxic", F.col("sig")[k].alias("_s")).agg(F.min(F.struct("h", "sig")).alias("one")).select("toxic", "one.h", "one.sig")
+    return checkpoint(signed.join(F.broadcast(first.select("toxic", "h")), ["toxic", "h"]).groupBy("toxic", "h").agg(F.min("text").alias("text")).select("text", "toxic", "h"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
