@@ -103,7 +103,8 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """``(rows, blocks)``.
 
     rows: ``uid, doc_id, th, source, occ, size, source_size, target, passes,
-    taken``, one per row of ``docs``. blocks: the drawn blocks ``uid, pass,
+    taken``, one per row of ``docs``; ``taken`` counts the words of its dealt
+    blocks. blocks: the drawn blocks ``uid, pass,
     block, start, words, shard, place`` with their word range, output shard
     and place in it. Null texts have size 0 and are taken 0 times; null
     sources form one source, the last. A rerun gives the same draws.
@@ -120,11 +121,12 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     placed = ranked_words(cut, n_blocks)
     # The first `rest` words of the permuted order; the block at the edge is cut.
     part = placed.where(F.col("words_before") < F.col("rest")).withColumn("words", F.least(F.col("words"), F.col("rest") - F.col("words_before"))).withColumn("pass", F.col("passes"))
-    drawn = checkpoint(part.select("uid", "source", "pass", "block", "start", "words", "rank", "u"))
-    taken = drawn.groupBy("uid").agg(F.sum("words").alias("drawn"))
-    out = rows.join(taken, "uid", "left").withColumn("taken", F.col("passes") * F.col("size") + F.coalesce("drawn", F.lit(0))).drop("drawn", "rest")
+    drawn = part.select("uid", "source", "pass", "block", "start", "words", "rank", "u")
     full = placed.where("passes > 0").select("uid", "source", F.explode(F.expr("sequence(cast(0 as bigint), passes - 1)")).alias("pass"), "block", "start", "words", "rank", "u")
-    return out, _deal(full.unionByName(drawn), shards)
+    blocks = checkpoint(_deal(checkpoint(full.unionByName(drawn)), shards))
+    taken = blocks.groupBy("uid").agg(F.sum("words").alias("dealt"))
+    out = rows.join(taken, "uid", "left").withColumn("taken", F.coalesce("dealt", F.lit(0))).drop("dealt", "rest")
+    return out, blocks
 
 
 def ranked_words(cut: DataFrame, n_blocks: int) -> DataFrame:
@@ -148,40 +150,46 @@ def _deal(blocks: DataFrame, shards: int) -> DataFrame:
     spark = blocks.sparkSession
     # A few numbers per source and pass: for each shard the rank at which its range ends.
     table = spark.createDataFrame([(r["source"], r["pass"], [ends[k][i] for k in range(shards)]) for i, r in enumerate(counts)], "_s string, _p long, ends array<long>")
-    joined = blocks.join(table, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass") == F.col("_p")))
+    joined = blocks.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass") == F.col("_p")))
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
     return joined.select("uid", "source", "pass", "block", "start", "words", shard.alias("shard"), F.xxhash64(F.lit(SEED + 1), "u", "pass").alias("place"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each whole pass over a document, and one with the blocks drawn from the last pass.
+def dealt_documents(docs: DataFrame) -> DataFrame:
+    """The mix as text: a row of ``docs`` for each dealt block, with the block's words as its text, and ``_shard, _place, _start``.
 
-    ``n_chars`` is brought up to date. Rows of which the mix takes nothing go.
+    ``n_chars`` is brought up to date; other columns pass through. Rows of which the mix takes nothing go.
     """
     rows, blocks = mix(docs)
-    part = blocks.join(rows.select("uid", "passes"), "uid").where(F.col("pass") >= F.col("passes")).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"))
-    plan = rows.where("taken > 0").join(part, "uid", "left").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("source").alias("_s"), F.col("occ").alias("_o"), "passes", "spans")
+    spans = blocks.groupBy("uid").agg(F.collect_list(F.struct("shard", "place", "start", "words")).alias("spans"))
+    plan = rows.join(spans, "uid").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("source").alias("_s"), F.col("occ").alias("_o"), "spans")
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), F.col("source").cast("string").alias("s"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), F.col("source").cast("string").alias("s"))
     keyed = keyed.withColumn("occ", F.row_number().over(Window.partitionBy("d", "th", "s").orderBy(F.lit(1))))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("occ") == F.col("_o"))
-    joined = keyed.join(plan, same).select("row", F.col("row.text").cast("string").alias("text"), "passes", "spans")
+    joined = keyed.join(plan, same).select("row", "text", "spans")
 
     def start():
-        def step(rows, texts, passes, spans):
-            out_rows, out_texts = [], []
-            for r, t, p, s in zip(rows, texts, passes, spans, strict=True):
-                out_rows += [r] * p
-                out_texts += [t] * p
-                if s:
-                    at = [m.span() for m in _WORD.finditer(t)]
-                    out_rows.append(r)
-                    out_texts.append("\n".join(t[at[x["start"]][0] : at[x["start"] + x["words"] - 1][1]] for x in s))
-            yield {"row": out_rows, "mixed": out_texts}
+        def step(rows, texts, spans):
+            out: dict[str, list] = {k: [] for k in ("row", "mixed", "shard", "place", "start")}
+            for r, t, s in zip(rows, texts, spans, strict=True):
+                at = [m.span() for m in _WORD.finditer(t)]
+                for x in s:
+                    out["row"].append(r)
+                    out["mixed"].append(t[at[x["start"]][0] : at[x["start"] + x["words"] - 1][1]])
+                    for k in ("shard", "place", "start"):
+                        out[k].append(x[k])
+            yield out
 
         return step
 
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, mixed string"
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, mixed string, shard int, place long, start long"
     out = map_chunks(joined, start, schema)
     changed = {"text": F.col("mixed")} | ({"n_chars": F.length("mixed").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names], F.col("shard").alias("_shard"), F.col("place").alias("_place"), F.col("start").alias("_start"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The texts of :func:`dealt_documents` shard by shard, each shard in the order of its local shuffle; columns as in ``docs``."""
+    order = ["_shard", "_place", "doc_id", "_start"]
+    return dealt_documents(docs).orderBy(*order).select(*[f"`{c}`" for c in docs.columns])

@@ -149,6 +149,25 @@ def test_mixing(odd, empty, docs):
     assert mixing.mix(empty)[0].count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_deals(spark, docs, monkeypatch):
+    _, blocks = mixing.mix(docs)
+    dealt = mixing.dealt_documents(docs).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    size = lambda rows: Counter((r.shard, r.place, r.start, r.words) for r in rows)
+    assert Counter((r._shard, r._place, r._start, words(r.text)) for r in dealt) == size(blocks.collect())
+    whole = {(r.doc_id, w): None for r in docs.collect() for w in [" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))]}
+    by_id = {i: w for i, w in whole}
+    assert all(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text)) in by_id[r.doc_id] and r.n_chars == len(r.text) for r in dealt)
+    order = [(r.doc_id, r.text) for r in sorted(dealt, key=lambda r: (r._shard, r._place, r.doc_id, r._start))]
+    assert [(r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect()] == order and len({r._shard for r in dealt}) == mixing.SHARDS
+    # What the query counts is what the splitting tree dealt: with a shard's range lost, its words are gone.
+    before = queries()["op7_mixing"](spark, SF).agg({"taken": "sum"}).first()[0]
+    deal = mixing._deal
+    monkeypatch.setattr(mixing, "_deal", lambda b, n: deal(b, n).where("shard > 0"))
+    lost = sum(r.words for r in blocks.collect() if r.shard == 0)
+    assert lost > 0 and queries()["op7_mixing"](spark, SF).agg({"taken": "sum"}).first()[0] == before - lost
+
+
 def plain_targets(sizes):
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}
     target, left, free = dict.fromkeys(sizes, 0.0), 1.5 * sum(sizes.values()), set(sizes)
