@@ -107,12 +107,12 @@ def visit(tree: Tree, queries: np.ndarray, x: np.ndarray, best: list[Best]) -> i
                 scanned += 1
                 # Only rows that can still enter: those at least as good as the kth.
                 ids = tree.ids[lo:hi]
-                ok = np.arange(len(s)) if kth is None else np.flatnonzero(s >= kth[0])
+                other = ids != queries[i]
+                ok = np.flatnonzero(other if kth is None else other & (s >= kth[0]))
                 if len(ok) > b.k:
-                    ok = ok[np.lexsort((ids[ok], -s[ok]))[: b.k + 1]]
+                    ok = ok[np.lexsort((ids[ok], -s[ok]))[: b.k]]
                 for j in ok.tolist():
-                    if ids[j] != queries[i]:
-                        b.offer(int(s[j]), int(ids[j]))
+                    b.offer(int(s[j]), int(ids[j]))
             else:
                 for child in tree.children[node]:
                     heapq.heappush(todo, (-row[child], int(child)))

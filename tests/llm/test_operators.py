@@ -311,6 +311,13 @@ def test_knn(spark):
     assert knn.top_k(df.limit(0)).count() == 0
 
 
+def test_knn_copies_of_the_query(spark):
+    rows = [(50, [1.0, 1.0])] * 7 + [(i, [0.9, 0.9 + i / 1000]) for i in range(1, 6)] + [(i, [-1.0, -i / 100]) for i in range(100, 140) if i % 50]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 50").collect()
+    best = sorted((-sum(256 * int(np.floor(256 * c)) for c in v), i) for i, v in rows if i != 50)[:5]
+    assert sorted(map(tuple, got)) == [(50, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>
     <div class="ad">Buy this wonderful thing now, it is cheap and good for you and everyone</div>
