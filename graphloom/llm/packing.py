@@ -23,8 +23,11 @@ MAX_LEN = 2048
 END = 1
 #: Entries of a task's word cache; it is emptied when full.
 CACHE = 600_000
-#: Lower-case letters, then marks that neither join letters nor begin a special token.
-_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,!?;:%*&$#\"()\-]*)\Z")
+#: What the tokenizer's own \s drops: as str.split, but for U+001C to U+001F, which it keeps.
+_KEPT = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters of ASCII and Latin-1, whose lower case is the same for Python and the tokenizer, then marks that neither join letters nor begin a special token.
+_PLAIN = re.compile(r"([a-zA-Zà-öø-ÿÀ-ÖØ-Þ]+)([.,!?;:%*&$#\"()\-]*)\Z")
 
 
 class Tokens:
@@ -60,10 +63,12 @@ class Tokens:
                 odd.append(c)
                 continue
             word, mark = m.groups()
+            low = word.lower()
+            if mark or low != word:
+                plain.append((c, low, mark))
             if mark:
-                plain.append((c, word, mark))
                 marks.add(mark)
-            words.add(word)
+            words.add(low)
         names = [w for w in words if w not in self.cache]
         odd += [m for m in marks if m not in self.cache]
         for at in range(0, len(names), 500):
@@ -81,10 +86,11 @@ class Tokens:
         for c in odd:
             self.cache[c] = self._encode(c).tobytes()
         for c, w, mark in plain:
-            self.cache[c] = self.cache[w] + self.cache[mark]
+            self.cache[c] = self.cache[w] + (self.cache[mark] if mark else b"")
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [(t or "").lower().split() for t in texts]
+        # The tokenizer lowers the case: Python writes a final sigma, and special tokens are matched before.
+        chunked = [[c for c in _SPACE.split(t) if c] if t and _KEPT.search(t) else (t or "").split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache = {}
         new = {c for x in chunked for c in x if c not in self.cache}

@@ -214,6 +214,12 @@ def test_packing(odd, empty, docs):
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_tokens_of_raw_text():
+    tokens = packing.Tokens(tokenizer_path())
+    texts = ["a\x1cb c", "\u039f\u0394\u039f\u03a3 x", "J\u030c j\u030c", "<|EndOfText|> <|endoftext|>", "\u00c0\u00c9B Stra\u00dfe. WORD, Word word", "a\x85b\xa0c\u3000d\u200be"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.texts(texts)] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_histogram():
     rng = np.random.default_rng(0)
     counts = Counter(rng.integers(1, 2049, 5000).tolist())
