@@ -18,7 +18,11 @@ from .common import map_chunks
 
 # Element names by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title select textarea button datalist".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas title select textarea button datalist".split())
+#: Raw text: ends at its own closing tag alone, so at the page's end without one.
+RAW = frozenset("script style iframe textarea title".split())
+#: Opening tags that end an unclosed svg or math element.
+BREAKOUT = BLOCKS | frozenset("b big body br code em embed font i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 CHROME = frozenset("nav footer aside header form menu dialog".split())
 CONTENT = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,13 +79,55 @@ def decide(tree, row) -> int:
     return tree
 
 
+def silent_end(page: str, name: str, at: int, opened: set[str], unclosed: set[str]) -> int:
+    """Where a silent element whose tag ends at ``at`` ends.
+
+    That is its closing tag, or the closing tag of an element of ``opened``
+    around it, or for a button or select another one. Without a closing tag of
+    its own it also ends at an article, main or body, and svg and math at any
+    tag that HTML lets break out of them. An unclosed title, which holds no
+    tags, ends at the next one. ``unclosed`` keeps the names that have no
+    closing tag further on.
+    """
+    end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    if end is None:
+        unclosed.add(name)
+    if name in RAW:
+        if end is None and name == "title":
+            m = re.compile(r"</?[a-zA-Z]").search(page, at)
+            return m.start() if m else len(page)
+        return end.end() if end else len(page)
+    stops = () if end else (BREAKOUT | CONTENT if name in ("svg", "math") else CONTENT | {"body"})
+    inner: dict[str, int] = {}
+    while m := _PIECE.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if not tag:
+            continue
+        if m[1]:
+            if inner.get(tag):
+                inner[tag] -= 1
+            elif tag == name:
+                return at
+            elif tag in opened:
+                return m.start()
+        elif tag in stops or (tag == name and name in ("button", "select")):
+            return m.start()
+        elif not m[3].endswith("/"):
+            if tag in ("script", "style"):
+                at = silent_end(page, tag, at, opened, unclosed)
+            elif tag == name or tag in BLOCKS - VOID:
+                inner[tag] = inner.get(tag, 0) + 1
+    return len(page)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """``(text, words, words in links, in chrome, in content, heading)`` of each text block, in page order."""
     out: list[tuple[str, int, int, int, int, int]] = []
     stack: list[tuple[str, int, int]] = []  # name, chrome, content
     parts: list[str] = []
     linked: list[str] = []
-    silent, in_link, heading = "", 0, 0
+    in_link, heading = 0, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal heading
@@ -91,7 +137,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 n_links = len(html.unescape("".join(linked)).split())
                 top = stack[-1] if stack else ("", 0, 0)
                 n = text.count(" ") + 1
-                out.append((text, n, min(n_links, n), top[1], top[2], heading))
+                out.append((text, n, min(n_links, n), int(top[1] > 0), top[2], heading))
             parts.clear()
             linked.clear()
 
@@ -102,7 +148,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             text, nxt = page[at:], len(page)
         else:
             text, nxt = page[at : m.start()], m.end()
-        if text and not silent:
+        if text:
             parts.append(text)
             if in_link:
                 linked += [text, " "]
@@ -112,14 +158,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        if silent:
-            continue
         if not m[1]:
             if name in SILENT:
-                # Their content is no text: go to the closing tag.
+                # Their content is no text: go to where it ends.
                 if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                    at = silent_end(page, name, at, {s[0] for s in stack}, unclosed)
                 parts.append(" ")
                 continue
             if name == "br":
@@ -134,11 +177,20 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     stack.pop()
                 heading = int(name[0] == "h" and name[1:].isdigit())
                 chrome, content = (stack[-1][1:]) if stack else (0, 0)
+                # Names and forms around an article do not say what it is; a nav, aside or footer does.
+                if name in CONTENT and not content and chrome == 1:
+                    chrome = 0
                 content = int(content or name in CONTENT)
                 # A header inside an article holds its title; elsewhere the site's.
                 if not chrome and not (name == "header" and content):
                     names = {w for a in _ATTR.findall(m[3]) for w in _NAMES.findall("".join(a).lower())} if m[3] else set()
-                    chrome = int(name in CHROME or (bool(names & CHROME_WORDS) and name not in ("body", "html", "article", "main")))
+                    if content:
+                        names.discard("header")
+                    # 2 where the tag says so, 1 where only a name or a form does.
+                    if name in CHROME and name != "form":
+                        chrome = 2
+                    else:
+                        chrome = int(name == "form" or (bool(names & CHROME_WORDS) and name not in ("body", "html", "article", "main")))
                 if name not in VOID and not m[3].endswith("/"):
                     stack.append((name, chrome, content))
         elif name == "a":

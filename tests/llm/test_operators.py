@@ -336,6 +336,19 @@ def test_html(spark):
     assert len(got) == 5 and by[2, 0] == "" and any(r.page_id is None and r.n_chars == 499_999 for r in got)
 
 
+def test_html_keeps_main_text():
+    tree = html.trained_tree()
+    prose = " ".join(f"word{i}" for i in range(40))
+    article = f"<article><h1>Title here</h1><p>{prose}</p></article>"
+    whole = f"Title here\n{prose}"
+    pages = [f"<html><head><title>x</title><body>{article}"]
+    pages += [f"<html><body>{x}{article}</body></html>" for x in ("<title>x<p></p>", "<svg><path d=a>", "<div><svg><path></div>", "<button>Menu", "<div><button>Menu</div>", "<div><button>Menu<button>More</button></div>", "<noscript>", "<div><noscript>no</div>", "<template><article><p>silent</p></article></template>", "<svg><foreignObject><div>no</div></foreignObject></svg>")]
+    pages += [f'<div class="page with-sidebar">{article}</div>', f'<div id="content-form">{article}</div>', f"<form>{article.replace('article', 'main')}</form>"]
+    pages += [f'<article><div class="entry-header"><h1>Title here</h1></div><p>{prose}</p></article>']
+    assert [html.main_text(p, tree) for p in pages] == [whole] * len(pages)
+    assert html.main_text(f"<aside>{article}</aside><nav>{article}</nav>", tree) == ""
+
+
 def test_license(odd, empty):
     got = {(r.doc_id, r.n_words): r for r in license.scan(odd).collect()}
     assert license.scan(odd).count() == odd.count() and license.scan(empty).count() == 0
