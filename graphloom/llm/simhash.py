@@ -44,17 +44,17 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """``(doc_id, fp)`` and the long columns ``others``; ``fp`` is the fingerprint as a signed long."""
 
     def start():
-        def step(ids, texts):
+        def step(ids, texts, *rest):
             out = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield {"doc_id": ids, "fp": out.tolist()}
+            yield {"doc_id": ids, "fp": out.tolist(), **dict(zip(others, rest, strict=True))}
 
         return step
 
-    return map_chunks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")), start, "doc_id long, fp long")
+    return map_chunks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), *others), start, "doc_id long, fp long" + "".join(f", {c} long" for c in others))
 
 
 def _segment_keys(fp):
@@ -132,17 +132,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group: that of the smallest ``(doc_id, text hash)``, null ids last.
 
-    Of rows that repeat that doc_id one stays, that whose text has the smallest
-    hash. Rows without a doc_id cannot be named and go. Other columns pass
+    A doc_id stays once: of groups that chose different texts of one doc_id,
+    that with the smallest text hash keeps its row. Other columns pass
     through, whatever their names.
     """
-    found = near_duplicates(docs).groupBy("doc_id", "component_id").agg(F.min("fingerprint").alias("f"))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
-    named = rows.join(keep, F.col("d") == F.col("_id"), "left_semi")
-    # One row of each doc_id: repeated rows are rare, so a hash of the text orders them.
-    once = named.dropDuplicates(["d", "h"])
-    first = once.groupBy(F.col("d").alias("_id")).agg(F.min("h").alias("_first"))
-    return once.join(first, (F.col("d") == F.col("_id")) & (F.col("h") == F.col("_first")), "left_semi").select("row.*")
+    text_hash = F.xxhash64("text")
+    rows = checkpoint(fingerprints(docs.select("doc_id", "text", text_hash.alias("h")), "h"))
+    classes = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")))
+    component = connected_components(links(classes))
+    member = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("component", "fp").alias("component"))
+    chosen = checkpoint(member.groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+    keep = chosen.where("NOT no_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("h").alias("_h")).union(chosen.where("no_id").select("doc_id", "h"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), text_hash.alias("h"))
+    named = given.join(keep, F.col("d").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    return named.dropDuplicates(["d", "h"]).select("row.*")

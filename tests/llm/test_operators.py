@@ -83,6 +83,15 @@ def test_keep_one(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    hashed = spark.createDataFrame([(t,) for t in (a, b)], "text string").selectExpr("text", "xxhash64(text) h").orderBy("h").collect()
+    low, high = hashed[0].text, hashed[1].text
+    rows = [(5, low), (5, high), (3, low), (None, c), (None, c), (None, d), (7, d), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, low), (5, high), (None, c), (7, d), (None, None)])
+
+
 def test_substring(odd, empty):
     out = substring.dedup(odd).collect()
     by = {(r.doc_id, r.text): r for r in out}
