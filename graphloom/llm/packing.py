@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_chunks, ranked
+from .common import checkpoint, map_chunks, prefixed
 
 MAX_LEN = 2048
 END = 1
@@ -190,7 +190,7 @@ def pack(cut: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     rows = [(length, [x[0] for x in s], [x[1] for x in s], [x[2] for x in s]) for length, s in slots.items()]
     table = spark.createDataFrame(rows, "_l long, lo array<long>, seq array<long>, off array<int>")
     keyed = cut.withColumn("_u", F.xxhash64("doc_id", "start", "length"))
-    ranks = ranked(keyed, ["length"], ["_u", "doc_id", "start"], "_rank", sum(counts.values()))
+    ranks = prefixed(keyed, ["length"], ["_u", "doc_id", "start"], {"_rank": F.lit(1).cast("long")}, sum(counts.values()))
     slot = F.size(F.filter("lo", lambda x: x <= F.col("_rank")))
     placed = ranks.join(F.broadcast(table), F.col("length") == F.col("_l")).withColumn("_slot", slot)
     return placed.select(*names, F.expr("seq[_slot - 1] + _rank - lo[_slot - 1]").alias("sequence_id"), F.expr("cast(off[_slot - 1] as bigint)").alias("offset"))
@@ -200,5 +200,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, keep
     """Tokenise, cut and pack ``docs``: one row per piece, see :func:`pieces` and :func:`pack`.
 
     Repeated rows are packed once each; ties among equal pieces do not matter.
+    A null or empty text is one piece of the end id alone, texts of any length
+    are read whole, null ids pass, other columns are ignored and an empty table
+    gives none.
     """
     return pack(checkpoint(pieces(docs, tokenizer, max_len, keep_ids)), max_len)
