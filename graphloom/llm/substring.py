@@ -1,7 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed; hashes meet in one global
-join; sentences that a non-first occurrence of a run covers are removed.
+A run is the shortest sequence of consecutive sentences, two at least, of
+RUN_WORDS words or more. Every run that begins at a sentence, and every run
+that ends at one, is hashed; a sentence of SOLO_WORDS words is a run by itself,
+as long as several. Hashes meet in one global join, and sentences covered by a
+non-first occurrence of a run are removed. Any two equal stretches of whole
+sentences with that many words are covered by their common runs from end to end.
 """
 
 from __future__ import annotations
@@ -9,52 +13,77 @@ from __future__ import annotations
 import re
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_chunks
+from .common import checkpoint, map_chunks, skew_join
 
-#: (sentences in the run, least words): a run is hashed if it has so many words.
-RUNS = ((3, 12), (2, 30), (1, 50))
-_BREAK = re.compile(r"\n|(?<=[.!?])\s+")
+RUN_WORDS = 20
+SOLO_WORDS = 25
+#: Letters that count as a word at least, for scripts that write no spaces.
+WORD_LETTERS = 6
+_BREAK = re.compile(r"\n|(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\uff0e])\s*")
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, normal form)`` of each sentence with a word; one ends where white space follows a mark, or at a line's end."""
+def sentences(text: str) -> list[tuple[int, int, str, int]]:
+    """``(start, end, normal form, words)`` of each sentence with a word; one ends where white space follows a mark, at a full-width mark, or at a line's end."""
     out, at = [], 0
     for end in [*[m.end() for m in _BREAK.finditer(text)], len(text)]:
         words = text[at:end].lower().split()
         if words:
-            out.append((at, end, " ".join(words)))
+            form = " ".join(words)
+            out.append((at, end, form, max(len(words), (len(form) - len(words) + 1) // WORD_LETTERS)))
         at = end
     return out
 
 
-def run_hashes(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+def run_spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """``(first, end)`` sentences of every run, by size in words: forwards from each first one, backwards from each last one, and long sentences alone."""
+    n, out = len(sizes), set()
+    j = total = 0
+    for a in range(n):
+        while j < n and (total < RUN_WORDS or j - a < 2):
+            total += sizes[j]
+            j += 1
+        if total >= RUN_WORDS and j - a >= 2:
+            out.add((a, j))
+        if sizes[a] >= SOLO_WORDS:
+            out.add((a, a + 1))
+        total -= sizes[a]
+    i, total = n, 0
+    for b in range(n, 0, -1):
+        while i > 0 and (total < RUN_WORDS or b - i < 2):
+            i -= 1
+            total += sizes[i]
+        if total >= RUN_WORDS and b - i >= 2:
+            out.add((i, b))
+        total -= sizes[b - 1]
+    return sorted(out)
+
+
+def run_hashes(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
     """``(hash, first sentence, sentences)`` of every run, in text order."""
     digest, out = xxhash.xxh64_intdigest, []
-    counts = [p[2].count(" ") + 1 for p in parts]
-    for i in range(len(parts)):
-        for k, least in RUNS:
-            if i + k <= len(parts) and sum(counts[i : i + k]) >= least:
-                h = digest(" ".join([p[2] for p in parts[i : i + k]]), seed=k)
-                out.append((h - (1 << 64) if h >= 1 << 63 else h, i, k))
+    forms = [p[2] for p in parts]
+    for a, b in run_spans([p[3] for p in parts]):
+        h = digest("\n".join(forms[a:b]))
+        out.append((h - (1 << 64) if h >= 1 << 63 else h, a, b - a))
     return out
 
 
-def _clean(text: str | None, flagged: set[int]) -> tuple[str | None, list[dict]]:
-    """The text without covered sentences, and the spans removed."""
+def _clean(text: str | None, flagged: set[int], copy: bool) -> tuple[str | None, list[dict]]:
+    """The text without covered sentences, and the spans removed. Of a ``copy`` of an earlier row every run is a repeat."""
     if not text:
         return text, []
     parts = sentences(text)
     seen: dict[int, int] = {}
     gone = bytearray(len(parts))
     for h, i, k in run_hashes(parts):
-        # Non-first: another document has it earlier, or it stands earlier here (clear of its own copy).
-        if h in flagged or seen.setdefault(h, i) + k <= i:
+        # Non-first: another row has it earlier, or it stands earlier here (clear of its own copy).
+        if copy or h in flagged or seen.setdefault(h, i) + k <= i:
             gone[i : i + k] = b"\1" * k
     spans: list[list[int]] = []
-    for (start, end, _), x in zip(parts, gone, strict=True):
+    for (start, end, *_), x in zip(parts, gone, strict=True):
         if x and spans and not text[spans[-1][1] : start].strip():
             spans[-1][1] = end
         elif x:
@@ -69,29 +98,35 @@ def _clean(text: str | None, flagged: set[int]) -> tuple[str | None, list[dict]]
 
 def _cleaned(docs: DataFrame) -> DataFrame:
     """``row, clean_text, removed`` of every row of ``docs``; see :func:`dedup`."""
-    last = (1 << 63) - 1
-    names = docs.columns
+    text = F.col("text").cast("string")
+    # A row's place in the order of rows: id (none: last), then the hash of its text.
+    place = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("th")]
 
     def start_runs():
-        def step(ids, texts):
-            h, d = [], []
-            for i, t in zip(ids, texts, strict=True):
-                own = {x[0] for x in run_hashes(sentences(t))} if t else ()
-                h += own
-                d += [last if i is None else i] * len(own)
-            yield {"h": h, "doc": d}
+        def step(no_id, doc, th, texts):
+            out: dict[str, list] = {k: [] for k in ("h", "no_id", "doc", "th")}
+            for n, d, x, t in zip(no_id, doc, th, texts, strict=True):
+                own = {r[0] for r in run_hashes(sentences(t))} if t else ()
+                out["h"] += own
+                for k, v in (("no_id", n), ("doc", d), ("th", x)):
+                    out[k] += [v] * len(own)
+            yield out
 
         return step
 
-    runs = checkpoint(map_chunks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), start_runs, "h long, doc long"))
-    repeated = runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first < latest").select("h", "first")
-    flagged = runs.join(repeated, "h").where("doc > first").select("doc", "h").groupBy("doc").agg(F.collect_set("h").alias("flagged"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"))
-    joined = keyed.join(flagged, "doc", "left").select("row", F.col("row.text").cast("string").alias("text"), "flagged")
+    runs = checkpoint(map_chunks(docs.select(*place, text.alias("text")), start_runs, "h long, no_id boolean, doc long, th long"))
+    at = F.struct("no_id", "doc", "th")
+    met = runs.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    repeated = met.where("first < last").select("h", "first", "n")
+    later = skew_join(runs, repeated, "h", "n", runs.count(), saved=True).where(at > F.col("first"))
+    flagged = later.groupBy("no_id", "doc", "th").agg(F.collect_set("h").alias("flagged"))  # no more than the text's own runs
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *place)
+    copy = F.row_number().over(Window.partitionBy("no_id", "doc", "th").orderBy(F.lit(1))) > 1
+    joined = keyed.join(flagged, ["no_id", "doc", "th"], "left").select("row", F.col("row.text").cast("string").alias("text"), "flagged", copy.alias("copy"))
 
     def start_clean():
-        def step(rows, texts, flags):
-            out = [_clean(t, set(f or ())) for t, f in zip(texts, flags, strict=True)]
+        def step(rows, texts, flags, copies):
+            out = [_clean(t, set(f or ()), c) for t, f, c in zip(texts, flags, copies, strict=True)]
             yield {"row": rows, "clean_text": [x[0] for x in out], "removed": [x[1] for x in out]}
 
         return step
@@ -103,18 +138,25 @@ def _cleaned(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``clean_text`` and ``removed``, its removed character spans.
 
-    The first occurrence of a run is that of the smallest doc_id, and there the
-    earliest; it stays. Rows that share a doc_id count as one document against
-    others, and rows without a doc_id come last. Null or empty texts stay as
-    they are. All other columns pass through; one named like a result column
-    gives way to it.
+    The first occurrence of a run is that of the smallest ``(doc_id, hash of the
+    text)``, rows without a doc_id last, and within a row the earliest; it
+    stays. Rows count one by one, whatever ids they share: of rows equal in id
+    and text one is the first and loses nothing to the others. Null or empty
+    texts, and texts shorter than a run, stay as they are; texts of any length
+    are read whole. All other columns pass through; one named like a result
+    column gives way to it. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c.lower() not in ("clean_text", "removed")]
     return _cleaned(docs).select(*[F.col(f"row.`{c}`") for c in names], "clean_text", "removed")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` brought up to date; rows left without a word go."""
+    """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` brought up to date.
+
+    Rows left without a word go, and so do rows whose text is null or empty.
+    Rows without a doc_id, and rows that share one, are treated one by one as
+    in :func:`dedup`. Columns stay as they are, whatever their names.
+    """
     out = _cleaned(docs).where(F.coalesce(F.col("clean_text"), F.lit("")).rlike(r"\S"))
     changed = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
