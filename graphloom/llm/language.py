@@ -1,13 +1,14 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built from labelled text of each language. A text is
-parsed greedily against each automaton into longest matches; the language that
-needs the fewest phrases for a letter wins. Texts are parsed in rows of a fixed width, all
-rows and languages in step, so a very long text costs no more per letter.
+A suffix automaton is built from labelled text of each language. A whole text
+is parsed greedily against each automaton into longest matches, as of Ziv and
+Merhav; phrases are normalised by what one costs, the logarithm of the length
+of the language's training text, and the language with fewest wins.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -17,13 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import map_chunks
 
-#: Letters of training text for each language, and the documents they may come from.
-TRAIN_CHARS = 24_000
-TRAIN_DOCS = 64
-#: Phrases also end where a row of this many characters ends.
-WIDTH = 96
+#: Labelled documents of a language that are learned from, whole; longer ones than TRAIN_LONGEST characters only where a language has no others.
+TRAIN_DOCS = 16
+TRAIN_LONGEST = 20_000
+#: Characters of a row of the parse. Rows of all texts advance together; a text's parse is then carried over its rows.
+WIDTH = 1024
 FOLDS = 5
-_CHUNK_CELLS = 4_000_000
 
 
 def letters(text: str | None) -> np.ndarray:
@@ -55,23 +55,69 @@ def _squeeze(codes: np.ndarray) -> np.ndarray:
 
 
 class Automata:
-    """Suffix automata of all languages as one table of transitions; 0 means none, and each language has its own root."""
+    """Suffix automata of all languages as one sparse table of transitions; state 0 is none, and each language has its own root.
+
+    Rows of transitions are laid over one another (row displacement): a state's
+    move by symbol c stands at ``base[state] + c``, and ``owner`` there says
+    whose it is. The size grows with the training text alone, not with the
+    alphabet.
+    """
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
         coded = [letters(training[x]) for x in self.langs]
+        #: What a phrase costs in each language, in bits.
+        self.cost = np.array([math.log2(len(c) + 2) for c in coded])
         self.alphabet = np.unique(np.concatenate([*coded, np.array([32], np.uint32)]))
-        tables, roots, base = [np.zeros((1, len(self.alphabet) + 1), np.int32)], [], 1
+        moves: list[dict[int, int]] = [{}]
+        roots = []
         for codes in coded:
-            nexts = self._build(np.searchsorted(self.alphabet, codes).tolist())
-            table = np.zeros((len(nexts), len(self.alphabet) + 1), np.int32)
-            for s, moves in enumerate(nexts):
-                for c, to in moves.items():
-                    table[s, c] = to + base
-            roots.append(base)
-            tables.append(table)
-            base += len(nexts)
-        self.table, self.roots = np.concatenate(tables), np.array(roots, np.int32)
+            start = len(moves)
+            roots.append(start)
+            moves += [{c: to + start for c, to in m.items()} for m in self._build(np.searchsorted(self.alphabet, codes).tolist())]
+        self.roots = np.array(roots, np.int64)
+        self._lay(moves)
+
+    def _lay(self, moves: list[dict[int, int]]) -> None:
+        size = sum(map(len, moves))
+        taken = bytearray(size * 2 + 2 * len(self.alphabet) + 64)
+        base = np.zeros(len(moves), np.int64)
+        # Wide rows first, each from where the last one fitted; single moves fill the gaps in the end.
+        at = 0
+        for s in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+            cs = sorted(moves[s])
+            if not cs:
+                break
+            if len(cs) == 1:
+                at = 0
+                break
+            tries = 0
+            while at < cs[0] or any(taken[at - cs[0] + c] for c in cs):
+                tries += 1
+                at = taken.find(0, at + (1 if tries < 32 else 64))
+                if at < 0 or at + cs[-1] - cs[0] >= len(taken):
+                    at = len(taken)
+                    taken += bytes(len(taken))
+            base[s] = at - cs[0]
+            for c in cs:
+                taken[at - cs[0] + c] = 1
+        for s, m in enumerate(moves):
+            for c in m if len(m) == 1 else ():
+                at = taken.find(0, max(at, c))
+                if at < 0:
+                    at = len(taken)
+                    taken += bytes(len(taken))
+                base[s], taken[at] = at - c, 1
+        n = int(base.max(initial=0)) + len(self.alphabet) + 1
+        self.base, self.owner, self.to = base, np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for s, m in enumerate(moves):
+            for c, to in m.items():
+                self.owner[base[s] + c], self.to[base[s] + c] = s, to
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states that ``symbol`` leads to; 0 where there is none."""
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.to[at], 0)
 
     @staticmethod
     def _build(symbols: list[int]) -> list[dict[int, int]]:
@@ -102,7 +148,7 @@ class Automata:
         return nexts
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns)."""
+        """Phrases of each text (rows) in each language (columns): the parse of the whole text from left to right."""
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
         sizes = np.array([len(t) for t in texts])
         if not sizes.sum() or not self.langs:
@@ -110,54 +156,86 @@ class Automata:
         none = len(self.alphabet)
         flat = np.concatenate(texts)
         at = np.minimum(np.searchsorted(self.alphabet, flat), none - 1)
-        symbols = np.where(self.alphabet[at] == flat, at, none).astype(np.int32)
-        rows = -(-sizes // WIDTH)
-        owner = np.repeat(np.arange(len(texts)), rows)
-        first = np.repeat(np.cumsum(sizes) - sizes, rows) + (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)) * WIDTH
-        width = np.minimum(WIDTH, np.repeat(np.cumsum(sizes), rows) - first)
-        order = np.argsort(-width, kind="stable")
-        owner, first, width = owner[order], first[order], width[order]
-        alive = np.searchsorted(-width, -np.arange(WIDTH), side="left")  # rows longer than each column
-        step = max(1, _CHUNK_CELLS // (WIDTH * len(self.langs)))
-        wide = self.table.shape[1]
-        flat_table, found = self.table.ravel(), np.zeros((len(self.langs), len(first)), np.int32)
-        for lo in range(0, len(first), step):
-            hi = min(lo + step, len(first))
-            state = np.repeat(self.roots[:, None], hi - lo, axis=1)
-            for j in range(WIDTH):
-                n = min(int(alive[j]), hi) - lo
-                if n <= 0:
-                    break
-                c = symbols[first[lo : lo + n] + j]
-                to = flat_table[state[:, :n] * wide + c]
-                stop = to == 0
-                found[:, lo : lo + n] += stop
-                again = flat_table[self.roots[:, None] * wide + c]
-                state[:, :n] = np.where(stop, np.where(again == 0, self.roots[:, None], again), to)
-        found += 1  # the phrase that the row's end closes
-        for k in range(len(self.langs)):
-            counts[:, k] = np.bincount(owner, found[k], len(texts))
+        symbols = np.where(self.alphabet[at] == flat, at, none).astype(np.int64)
+        del flat, at
+        ends = np.cumsum(sizes)
+        n_rows = -(-sizes // WIDTH)
+        text_of = np.repeat(np.arange(len(texts)), n_rows)
+        first = np.repeat(ends - sizes, n_rows) + (np.arange(n_rows.sum()) - np.repeat(np.cumsum(n_rows) - n_rows, n_rows)) * WIDTH
+        last = np.minimum(first + WIDTH, ends[text_of])
+        goes_on = last < ends[text_of]
+        for k, root in enumerate(self.roots):
+            # Every row is parsed as if a phrase began with it.
+            breaks = np.zeros(len(symbols), bool)
+            order = np.argsort(first - last, kind="stable")
+            sorted_state, at = np.full(len(first), root), first[order]
+            alive = np.searchsorted((first - last)[order], -np.arange(WIDTH), side="left")
+            for j in range(int((last - first).max())):
+                n = alive[j]
+                sorted_state[:n] = self._advance(sorted_state[:n], at[:n] + j, symbols, root, breaks)
+            state = np.empty_like(sorted_state)
+            state[order] = sorted_state
+            # From a row's end its parse is carried on until it breaks where the row there breaks too: from then on they are one.
+            extra, meets = np.zeros(len(first), np.int64), ends[text_of].copy()
+            starts = np.zeros(len(symbols) + 1, bool)
+            starts[first] = True
+            rows, pos, now = np.flatnonzero(goes_on), last[goes_on], state[goes_on]
+            while len(rows):
+                mine = np.zeros(len(rows), bool)
+                now = self._advance(now, pos, symbols, root, None, mine)
+                extra[rows] += mine
+                met = mine & (breaks[pos] | starts[pos])
+                meets[rows[met]] = pos[met] + 1
+                stay = ~met & (pos + 1 < ends[text_of[rows]])
+                rows, pos, now = rows[stay], pos[stay] + 1, now[stay]
+            total = np.concatenate([[0], np.cumsum(breaks)])
+            text_rows = np.cumsum(n_rows) - n_rows
+            # The phrase that the text's end closes, and the breaks on the way from row to row.
+            found = (sizes > 0).astype(np.int64)
+            for t in np.flatnonzero(n_rows > 1).tolist():
+                at, end = int(ends[t] - sizes[t]), int(ends[t])
+                while at < end:
+                    r = int(text_rows[t] + (at - 1 - (end - sizes[t])) // WIDTH) if at > end - sizes[t] else int(text_rows[t])
+                    found[t] += total[last[r]] - total[at] + extra[r]
+                    at = int(meets[r])
+            one = n_rows == 1
+            found[one] += total[ends[one]] - total[(ends - sizes)[one]]
+            counts[:, k] = found
         return counts
 
+    def _advance(self, state, pos, symbols, root, breaks, mine=None):
+        """One symbol on. A state without a move breaks: the symbol begins the next phrase."""
+        c = symbols[pos]
+        to = self._step(state, c)
+        stop = np.flatnonzero(to == 0)
+        if len(stop):
+            again = self._step(np.full(len(stop), root), c[stop])
+            to[stop] = np.where(again == 0, root, again)
+            if breaks is not None:
+                breaks[pos[stop]] = True
+            if mine is not None:
+                mine[stop] = True
+        return to
+
 
 def training_text(docs: DataFrame) -> dict[str, str]:
-    """Bounded text of each language from the training folds: TRAIN_DOCS documents at most, TRAIN_CHARS characters in all.
+    """Whole texts of at most TRAIN_DOCS documents of each language from the training folds.
 
     The documents are those with the smallest hash in each of TRAIN_DOCS
-    slices of a language, found without moving texts.
+    slices of a language, found without moving texts. Equal texts count once.
     """
     seen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
-    h = F.xxhash64(F.lit(11), "doc_id")
-    keyed = seen.select("lang", h.alias("h"))
-    slots = keyed.groupBy("lang", F.pmod("h", F.lit(TRAIN_DOCS)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+    row = F.struct((F.length("text") > TRAIN_LONGEST).alias("long"), F.xxhash64(F.lit(11), "doc_id", "text").alias("h"))
+    slice_ = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(TRAIN_DOCS)).alias("slot")
+    slots = seen.groupBy("lang", slice_).agg(F.min(row).alias("m")).select("lang", "m.long", "m.h")
+    short = slots.groupBy("lang").agg(F.min("long").alias("_long")).withColumnRenamed("lang", "_lang")
+    slots = slots.join(short, (F.col("lang") == F.col("_lang")) & (F.col("long") == F.col("_long"))).select("lang", "h")
     # At most TRAIN_DOCS rows for each language.
-    picked = seen.select("lang", h.alias("h"), F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(slots), ["lang", "h"])
-    share = TRAIN_CHARS // 8
-    texts: dict[str, list[str]] = defaultdict(list)
-    for r in picked.select("lang", "h", F.substring("text", 1, share).alias("text")).dropDuplicates(["lang", "text"]).orderBy("lang", "h", "text").toLocalIterator():
-        if sum(map(len, texts[r["lang"]])) < TRAIN_CHARS:
-            texts[r["lang"]].append(r["text"])
-    return {k: " ".join(v)[:TRAIN_CHARS] for k, v in texts.items()}
+    picked = seen.select("lang", row["h"].alias("h"), "text").join(F.broadcast(slots), ["lang", "h"]).dropDuplicates(["lang", "text"])
+    texts: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for r in picked.toLocalIterator():
+        texts[r["lang"]].append((r["h"], r["text"]))
+    return {k: " ".join(t for _, t in sorted(v)) for k, v in texts.items()}
 
 
 def identify(docs: DataFrame, automata: Automata) -> DataFrame:
@@ -165,8 +243,10 @@ def identify(docs: DataFrame, automata: Automata) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as is
     everything when no language was learned. Ties go to the smaller name. The
-    score weighs the best against the second best rate. Other columns are
-    ignored; repeated rows give repeated results.
+    score weighs the bits of the best against those of the second best; with one
+    language it is 1. Texts of any length are parsed whole. Other columns are
+    ignored, null ids pass; repeated rows give repeated results and an empty
+    table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automata)
 
@@ -179,16 +259,18 @@ def identify(docs: DataFrame, automata: Automata) -> DataFrame:
             sizes = np.array([len(x) for x in coded])
             counts = model.phrases(coded)
             known = (sizes > 0) & bool(model.langs)
-            best = counts.argmin(1) if model.langs else np.zeros(len(ids), int)
+            bits = counts * model.cost
+            best = bits.argmin(1) if model.langs else np.zeros(len(ids), int)
             pred = names[np.where(known, best, len(model.langs))]
             score = np.zeros(len(ids))
             if len(model.langs) > 1:
-                two = np.partition(counts, 1, axis=1)[:, :2]
-                # Phrases saved by the best, as a log-odds that grows with the text.
-                score = 1 / (1 + np.exp(-np.clip((two[:, 1] - two[:, 0]) * 0.5, 0, 30)))
+                two = np.partition(bits, 1, axis=1)[:, :2]
+                # Bits saved by the best, as a log-odds that grows with the text.
+                score = 1 / (1 + np.exp(-np.clip((two[:, 1] - two[:, 0]) * 0.05, 0, 30)))
             elif model.langs:
                 score = np.ones(len(ids))
-            yield {"doc_id": ids, "lang_pred": pred.tolist(), "score": np.where(known, score, 0.0).tolist(), "n_letters": sizes.tolist(), "phrases": np.where(known, counts.min(1) if model.langs else 0, 0).tolist()}
+            least = counts[np.arange(len(ids)), best] if model.langs else np.zeros(len(ids), int)
+            yield {"doc_id": ids, "lang_pred": pred.tolist(), "score": np.where(known, score, 0.0).tolist(), "n_letters": sizes.tolist(), "phrases": np.where(known, least, 0).tolist()}
 
         return step
 
