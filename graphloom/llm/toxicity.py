@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are tagged by small transducers (insult, threat, target, negation,
-reported speech). Their composition runs over each clause with a state that
-remembers target, negation and reported speech, and emits one weighted event
-for a clause that matches: a bare, targeted, negated or reported insult, or a
-threat. Event counts are weighed by a logistic model fitted on a bounded
-sample of labelled documents.
+A tagger turns words into classes. Three transducers read classes from left to
+right: negation and reported speech mark the insults and threats that follow
+within their scope, and a clause machine joins what is left with targets into
+one event a clause. They are composed once into a single table of transitions,
+whose arcs that close a clause bear the weight of its event. A document's arcs
+are pooled by event; weights come from a bounded sample of labelled documents,
+within bounds that the grammar sets: negated and reported insults and a single
+isolated word stay below the threshold, threats above it.
 
 Insults are a fixed list and stems learned from the sample: openings of words
 that occur in toxic documents and hardly in others.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,19 +42,90 @@ LEAST_EVIDENCE = 10.0
 #: Signatures of a document; sampled documents that share any of them count once.
 SIGNATURES = 3
 
-# Seed lists.
-INSULTS = frozenset("idiot idiots moron morons loser losers scum trash clown clowns worthless pathetic disgusting stupid imbecile fool dumb".split())
-THREATS = frozenset("kill hurt destroy punish burn crush beat".split())
-TARGETS = frozenset("you your you're they them he she him her is are was were this that these those tu vous ils du ihr sie er ellos usted eres sind ist est son".split())
-NEGATIONS = frozenset("not never isn't aren't wasn't hardly nicht kein keine nie jamais nunca".split())
-REPORTS = frozenset("said says called quoted claimed wrote sagte disait dijo".split())
-
-EVENTS = ("bare", "targeted", "negated", "reported", "threat")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
-_BREAK = frozenset(".!?;:\n")
-#: What each event weighs before any label is seen, and the intercept.
-PRIOR = np.array([2.0, 2.5, 1.5, 1.5, 0.5, 0.5])
-PRIOR_INTERCEPT = -3.0
+# Seed lists, in English, German, French and Spanish.
+INSULTS = frozenset("idiot idiots moron morons loser losers scum trash clown clowns worthless pathetic disgusting stupid imbecile fool dumb dumm dumme trottel abschaum widerlich crétin connard débile ordures idiota idiotas imbécil estúpido estúpida basura".split())
+THREATS = frozenset("kill hurt destroy punish burn crush beat stab shoot strangle töten töte umbringen verprügeln erschießen tuer tuerai frapper brûler matar mataré golpear quemar".split())
+TARGETS = frozenset("you your you're yourself they them he she him her is are was were this that these those tu te toi vous votre ils du dich dir ihr euch sie er ellos usted ustedes ti eres sind ist bist est es son".split())
+VICTIMS = frozenset("you your yourself them him her te toi vous votre dich dir euch ihn usted ustedes ti".split())
+NEGATIONS = frozenset("not never isn't aren't wasn't weren't don't won't hardly nicht kein keine nie niemals jamais nunca".split())
+REPORTS = frozenset("said says say called calls quoted claimed wrote writes sagte schrieb behauptete disait écrivait dijo escribió".split())
+
+#: Words that a negation, a report and a target reach to the right, and a threat to its victim.
+NEGATION_REACH, REPORT_REACH, TARGET_REACH, THREAT_REACH = 4, 10, 4, 3
+EVENTS = ("isolated", "loose", "targeted", "negated", "reported", "threat")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
+_BREAK = frozenset(".!?;\n")
+THRESHOLD = 0.3
+#: What each event weighs before any label is seen, then the share of words in loose and targeted insults, and the intercept.
+PRIOR = np.array([0.2, 1.5, 3.0, 0.2, 0.2, 3.5, 0.5])
+PRIOR_INTERCEPT = -2.0
+#: The most that a negated or reported insult may weigh, and the log-odds of one threat at least.
+WEAK, SURE = 0.25, 0.5
+
+# Classes of words: other, insult, threat, target, victim, negation, report, break. Marked ones: negated and reported insult or threat.
+CLASSES = "oihtvnrb"
+Transducer = Callable[[tuple, str], tuple[tuple, str]]
+
+
+def _mark(reach: int, trigger: str, marks: dict[str, str]) -> Transducer:
+    """After ``trigger``, classes in ``marks`` become their marked form for ``reach`` words, up to a break. The state counts what is left."""
+
+    def step(state: tuple, x: str) -> tuple[tuple, str]:
+        (left,) = state
+        if x == "b":
+            return (0,), x
+        if x == trigger:
+            return (reach,), "o"
+        return (max(0, left - 1),), marks.get(x, x) if left else x
+
+    return step
+
+
+NEGATION = _mark(NEGATION_REACH, "n", {"i": "I", "h": "o"})
+REPORT = _mark(REPORT_REACH, "r", {"i": "Q", "h": "o", "I": "Q"})
+_RANK = ["", "negated", "reported", "isolated", "loose", "targeted", "threat"]
+
+
+def _clause(state: tuple, x: str) -> tuple[tuple, str]:
+    """The clause machine: the strongest event so far, whether another word stood there, and what is left of the reach of a target and of a threat."""
+    best, others, target, threat = state
+    if x == "b":
+        name = _RANK[best]
+        return (0, 0, 0, 0), ("loose" if name == "isolated" and others else name) or "o"
+    rise = lambda name: max(best, _RANK.index(name))
+    if x == "i":
+        best = rise("targeted" if target else "isolated")
+    elif x in "IQ":
+        best = rise("negated" if x == "I" else "reported")
+    elif x == "v" and threat:
+        best = rise("threat")
+    others = others or int(x != "i")
+    return (best, others, TARGET_REACH if x in "tv" else max(0, target - 1), THREAT_REACH if x == "h" else max(0, threat - 1)), "o"
+
+
+def compose(machines: list[tuple[Transducer, tuple]]) -> tuple[list[list[int]], list[list[str]]]:
+    """One machine that feeds each machine's output to the next: next state and output by state and class, from state 0. Only states that can be reached are made."""
+    start = tuple(s for _, s in machines)
+    number, todo, nexts, outs = {start: 0}, [start], [], []
+    for state in todo:
+        row, out = [], []
+        for x in CLASSES:
+            new = []
+            for (machine, _), s in zip(machines, state, strict=True):
+                s, x = machine(s, x)
+                new.append(s)
+            if tuple(new) not in number:
+                number[tuple(new)] = len(todo)
+                todo.append(tuple(new))
+            row.append(number[tuple(new)])
+            out.append(x)
+        nexts.append(row)
+        outs.append(out)
+    return nexts, outs
+
+
+_NEXT, _OUT = compose([(NEGATION, (0,)), (REPORT, (0,)), (_clause, (0, 0, 0, 0))])
+_EVENT = [[EVENTS.index(x) if x in EVENTS else -1 for x in row] for row in _OUT]
 
 
 @dataclass(frozen=True)
@@ -62,26 +136,22 @@ class Grammar:
     intercept: float = PRIOR_INTERCEPT
 
     def tagger(self):
-        """word -> insult, threat, target, negation, report or none, remembered per task."""
-        memory: dict[str, str] = {}
+        """word -> the number of its class, remembered per task."""
+        memory: dict[str, int] = {}
         lengths = sorted({len(s) for s in self.stems})
 
-        def tag(word: str) -> str:
+        def tag(word: str) -> int:
             out = memory.get(word)
             if out is None:
-                out = ""
+                name = "o"
                 if word in self.words or word in INSULTS or any(word[:n] in self.stems for n in lengths):
-                    out = "i"
-                elif word in THREATS:
-                    out = "h"
-                elif word in NEGATIONS:
-                    out = "n"
-                elif word in REPORTS:
-                    out = "r"
-                elif word in TARGETS:
-                    out = "t"
-                elif word in _BREAK:
-                    out = "."
+                    name = "i"
+                else:
+                    for known, c in ((THREATS, "h"), (NEGATIONS, "n"), (REPORTS, "r"), (VICTIMS, "v"), (TARGETS, "t"), (_BREAK, "b")):
+                        if word in known:
+                            name = c
+                            break
+                out = CLASSES.index(name)
                 if len(memory) < 500_000:
                     memory[word] = out
             return out
@@ -89,43 +159,39 @@ class Grammar:
         return tag
 
     def events(self, text: str | None, tag) -> tuple[list[int], int]:
-        """Clauses by event, and the number of words."""
-        counts, n = [0] * len(EVENTS), 0
+        """Clauses by event, and the number of words and breaks."""
+        counts = [0] * len(EVENTS)
         if not text:
             return counts, 0
-        tokens = _WORD.findall(text.lower())
-        tags = list(map(tag, tokens))
-        if "i" not in tags and "h" not in tags:
-            return counts, len(tokens)
-        target = negated = reported = insult = threat = False
-        for t in [*tags, "."]:
-            if t == ".":
-                if insult:
-                    counts[3 if reported else 2 if negated else 1 if target else 0] += 1
-                elif threat and target and not (negated or reported):
-                    counts[4] += 1
-                target = negated = reported = insult = threat = False
-            elif t == "i":
-                insult = True
-            elif t == "h":
-                threat = True
-            elif t == "t":
-                target = True
-            elif t == "n":
-                negated = True
-            elif t == "r":
-                reported = True
-        return counts, len(tokens)
+        tags = [*map(tag, _WORD.findall(text.lower())), _END]
+        if _INSULT in tags or _THREAT in tags:
+            state = 0
+            for x in tags:
+                event = _EVENT[state][x]
+                if event >= 0:
+                    counts[event] += 1
+                state = _NEXT[state][x]
+        return counts, len(tags) - 1
 
     def features(self, text: str | None, tag) -> list[float]:
-        counts, n = self.events(text, tag)
-        return [*np.log1p(counts), 100 * sum(counts[:4]) / (n + 20)]
+        return _features(*self.events(text, tag))
 
     def score(self, text: str | None, tag) -> float:
-        z = self.intercept + float(np.dot(self.weights, self.features(text, tag)))
+        return self._score(self.features(text, tag))
+
+    def _score(self, x: list[float]) -> float:
+        z = self.intercept + float(np.dot(self.weights, x))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+_INSULT, _THREAT, _END = (CLASSES.index(x) for x in "ihb")
+
+
+def _features(counts: list[int], n: int) -> list[float]:
+    """Arcs of each event pooled, and the share of words in loose and targeted clauses."""
+    return [*np.log1p(counts).tolist(), 100 * (counts[1] + counts[2]) / (n + 20)]
+
+
 def _openings(text: str) -> dict[str, set[int]]:
     """Word openings of a text, and whole words closed by a mark, with hashes of the words that have them."""
     out: dict[str, set[int]] = {}
@@ -225,13 +291,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
 
         return step
 
-    rows = map_chunks(sample.select("text", "toxic"), start, "x array<double>, y int").collect()  # SAMPLE_DOCS rows of six numbers at most
+    rows = map_chunks(sample.select("text", "toxic"), start, "x array<double>, y int").collect()  # SAMPLE_DOCS rows of eight numbers at most
     w = _fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
     return Grammar(grammar.stems, grammar.words, tuple(w[:-1].tolist()), float(w[-1]))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
-    """Logistic weights, drawn towards the priors; Newton steps."""
+    """Logistic weights, drawn towards the priors, by Newton steps; then brought within the grammar's bounds."""
     x = np.column_stack([x, np.ones(len(x))])
     prior = np.array([*PRIOR, PRIOR_INTERCEPT])
     w = prior.copy()
@@ -242,18 +308,37 @@ def _fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
+    return _bounded(w)
+
+
+def _bounded(w: np.ndarray) -> np.ndarray:
+    """Negated and reported insults weigh between 0 and WEAK; one isolated word stays below THRESHOLD; a targeted insult weighs no less than a loose one; one threat gives more than even odds."""
+    w = w.copy()
+    name = {e: i for i, e in enumerate(EVENTS)}
+    room = max(0.0, math.log(THRESHOLD / (1 - THRESHOLD)) - w[-1]) / math.log(2)
+    for e, most in (("isolated", 0.9 * room), ("negated", WEAK), ("reported", WEAK)):
+        w[name[e]] = min(max(w[name[e]], 0.0), most)
+    w[name["loose"]] = max(w[name["loose"]], 0.0)
+    w[-2] = max(w[-2], 0.0)
+    w[name["targeted"]] = max(w[name["targeted"]], w[name["loose"]])
+    w[name["threat"]] = max(w[name["threat"]], (SURE - w[-1]) / math.log(2))
     return w
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``doc_id, score, n_clauses`` of every row; null or empty texts score like a text without matches. Other columns are ignored."""
+    """``doc_id, score, n_clauses`` of every row; null or empty texts score like a text without matches.
+
+    Texts of any length are read whole, null ids pass and other columns are
+    ignored; repeated rows give repeated results and an empty table none.
+    """
 
     def start():
         tag = grammar.tagger()
 
         def step(ids, texts):
             events = [grammar.events(t, tag) for t in texts]
-            yield {"doc_id": ids, "score": [grammar.score(t, tag) if sum(e[0]) else grammar.score("", tag) for t, e in zip(texts, events, strict=True)], "n_clauses": [sum(e[0]) for e in events]}
+            nothing = grammar.score(None, tag)
+            yield {"doc_id": ids, "score": [grammar._score(_features(*e)) if any(e[0]) else nothing for e in events], "n_clauses": [sum(e[0]) for e in events]}
 
         return step
 
