@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, map_chunks
+from .common import checkpoint, connected_components, map_chunks, skew_join
 
 SHINGLE = 3
 DISTANCE = 3
@@ -103,7 +103,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     cold_index = index.join(sizes, "key", "left_anti") if hot else index
     found = probe.withColumnRenamed("fp", "a").join(cold_index.withColumnRenamed("fp", "b"), "key").where(near & F.col("a").__ne__(F.col("b"))).select("a", "b")
     if hot:
-        asked = checkpoint(probe.join(sizes.select("key"), "key"))
+        asked = checkpoint(skew_join(probe, sizes.select("key", (F.col("n") * 66).alias("n")), "key", "n", 66 * distinct_fps.count()))
         blocks = sizes.join(asked.groupBy("key").agg(F.count(F.lit(1)).alias("p")), "key").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("p") / BLOCK).cast("int").alias("pb"))
         deal = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -119,32 +119,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable over links of 3 or fewer
     differing bits. Null or empty texts have fingerprint zero and link like
     any other. Rows without a doc_id get a component_id if a linked row has
-    one. Repeated rows give repeated result rows. Extra columns are ignored.
+    one. Repeated rows give repeated result rows, an empty table none; texts of
+    any length are read whole. Extra columns are ignored.
     """
     rows = checkpoint(fingerprints(docs))
-    classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     component = connected_components(links(classes))
-    member = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    member = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("component"))
     member = checkpoint(member)
-    heads = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = member.join(heads, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    heads = member.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    named = skew_join(member, heads, "component", "fps", member.count(), saved=True).select("fp", "component_id", "n")
+    return skew_join(rows, named, "fp", "n", rows.count(), saved=True).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest ``(doc_id, text hash)``, null ids last.
+    """``docs`` with one row of each near-duplicate group: that of the smallest ``(doc_id, text hash)``, rows without an id last.
 
-    A doc_id stays once: of groups that chose different texts of one doc_id,
-    that with the smallest text hash keeps its row. Other columns pass
-    through, whatever their names.
+    Rows count one by one: a row without a doc_id, or with one that other texts
+    share, stays if its group has no smaller row. Of rows equal in id and text
+    one stays. Null and empty texts are one group, as fingerprint zero. Other
+    columns pass through, whatever their names; an empty table gives an empty one.
     """
     text_hash = F.xxhash64("text")
     rows = checkpoint(fingerprints(docs.select("doc_id", "text", text_hash.alias("h")), "h"))
     classes = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")))
     component = connected_components(links(classes))
     member = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("component", "fp").alias("component"))
-    chosen = checkpoint(member.groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
-    keep = chosen.where("NOT no_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("h").alias("_h")).union(chosen.where("no_id").select("doc_id", "h"))
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), text_hash.alias("h"))
-    named = given.join(keep, F.col("d").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    return named.dropDuplicates(["d", "h"]).select("row.*")
+    keep = checkpoint(member.groupBy("component").agg(F.min("first").alias("first")).select("first.no_id", F.coalesce("first.doc_id", F.lit(0)).alias("d"), "first.h"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), text_hash.alias("h"))
+    # Texts that no group chose go before any row moves by its key; equal rows are few once only chosen ones are left.
+    return given.join(keep, ["no_id", "d", "h"], "left_semi").dropDuplicates(["no_id", "d", "h"]).select("row.*")
