@@ -3,12 +3,15 @@
 Vectors are dealt into shards. Each shard is split at medians into a KD-tree
 with tight bounding boxes. A query visits nodes best-first by the largest
 inner product that a box admits, and stops when that falls below its kth best;
-the kth best found so far goes on from shard to shard.
+the kth best found so far goes on from shard to shard. Trees are built once and
+blocks of queries come to them; a block's first shard gives the kth scores that
+the others start from.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -22,7 +25,7 @@ QUERY_EVERY = 50
 #: Rows of a shard, of a tree's leaf and of a query block.
 SHARD_ROWS = 4096
 LEAF_ROWS = 128
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 #: Shards that one task visits one after another.
 CHAIN = 8
 
@@ -57,6 +60,9 @@ class Tree:
         self.high = np.array([self.x[a:b].max(0) for a, b in spans])
         self.first = np.array([self.ids[a:b].min() for a, b in spans])
 
+    def packed(self) -> bytes:
+        return pickle.dumps(self, protocol=5)
+
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query and node: the largest inner product of the query with a point of the box."""
         plus, minus = np.maximum(q, 0), np.minimum(q, 0)
@@ -89,6 +95,8 @@ def visit(tree: Tree, queries: np.ndarray, x: np.ndarray, best: list[Best]) -> i
     if not len(tree.ids) or not len(queries):
         return 0
     bounds, scanned = tree.bounds(x), 0
+    # Whole numbers without a bound where 64 bits may not hold a product; a score beyond them is an error, not a wrong number.
+    kind = object if bounds.dtype == object else np.int64
     leaves = tree.children[:, 0] < 0
     tops = bounds[:, 0]
     for i in range(len(queries)):
@@ -103,7 +111,7 @@ def visit(tree: Tree, queries: np.ndarray, x: np.ndarray, best: list[Best]) -> i
                 continue
             if leaves[node]:
                 lo, hi = tree.spans[node]
-                s = tree.x[lo:hi] @ x[i]
+                s = tree.x[lo:hi].astype(kind, copy=False) @ x[i].astype(kind, copy=False)
                 scanned += 1
                 # Only rows that can still enter: those at least as good as the kth.
                 ids = tree.ids[lo:hi]
@@ -148,18 +156,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY) -> DataFrame
     rows but those of the query's own vec_id. Ties go to the smaller vec_id. A
     vector only meets vectors of its own length. Repeated rows of a vec_id are
     candidates once each; a repeated query id gives one answer, that of its
-    smallest vector.
+    smallest vector. Null ids and vectors, and vectors with null or non-finite
+    components, take no part; other columns are ignored and an empty table gives
+    none. Scores beyond 64 bits raise an error.
     """
     rows = checkpoint(scaled(vectors))
     counts = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"))
-    sized = counts.select(F.col("dims").alias("_d"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.greatest("q", F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    sized = checkpoint(counts.select(F.col("dims").alias("_d"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.greatest("q", F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))
     named = rows.join(F.broadcast(sized), F.col("dims") == F.col("_d")).drop("_d")  # a row per vector length
 
     def shard_table(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x, dims = _block(pdf)
-        return pd.DataFrame([{"dims": dims, "shard": int(pdf["shard"].iloc[0]), "blocks": int(pdf["blocks"].iloc[0]), **_pack(ids, x)}])
+        return pd.DataFrame([{"dims": dims, "shard": int(pdf["shard"].iloc[0]), "blocks": int(pdf["blocks"].iloc[0]), "shards": int(pdf["shards"].iloc[0]), "tree": Tree(ids, x).packed()}])
 
-    shards = named.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).groupBy("dims", "shard").applyInPandas(shard_table, "dims int, shard int, blocks int, ids binary, x binary")
+    shards = named.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).groupBy("dims", "shard").applyInPandas(shard_table, "dims int, shard int, blocks int, shards int, tree binary")
     shards = checkpoint(shards)
 
     def block_table(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,11 +178,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY) -> DataFrame
         return pd.DataFrame([{"dims": dims, "block": int(pdf["block"].iloc[0]), **{f"q{k}": v for k, v in _pack(ids, x).items()}}])
 
     blocks = named.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.col("blocks")).cast("int")).groupBy("dims", "block").applyInPandas(block_table, "dims int, block int, qids binary, qx binary")
-    # A first shard gives every query a kth score to start from.
-    asked = shards.select("dims", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "ids", "x")
     blocks = checkpoint(blocks)
-    seeds = checkpoint(_search(asked.where(F.col("shard") == 0).join(blocks, ["dims", "block"]).withColumn("seed", F.lit(None).cast("binary")), k, True))
-    rest = asked.where(F.col("shard") > 0).join(blocks, ["dims", "block"]).join(seeds.select("dims", "block", "seed"), ["dims", "block"])
+    # Every block has a shard of its own to begin with, so that no shard is asked for by all.
+    asked = shards.select("dims", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "shards", "tree").withColumn("home", F.pmod(F.col("block"), F.col("shards")) == F.col("shard")).drop("shards")
+    seeds = checkpoint(_search(asked.where("home").join(blocks, ["dims", "block"]).withColumn("seed", F.lit(None).cast("binary")), k, True))
+    rest = asked.where("not home").join(blocks, ["dims", "block"]).join(seeds.select("dims", "block", "seed"), ["dims", "block"])
     found = _search(rest, k, False).select(F.explode("best").alias("b")).select("b.*").union(seeds.select(F.explode("best").alias("b")).select("b.*"))
     # Chains hand in at most k rows a query each.
     best = found.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "copy"))), 1, k).alias("b"))
@@ -196,7 +206,7 @@ def _search(pairs: DataFrame, k: int, first: bool) -> DataFrame:
             best.append(b)
         seeded = [list(b.heap) for b in best]
         for shard in pdf.sort_values("shard").itertuples():
-            visit(Tree(*_unpack(shard.ids, shard.x, dims)), qids, qx, best)
+            visit(pickle.loads(shard.tree), qids, qx, best)
         out = []
         for q, b, s in zip(qids.tolist(), best, seeded, strict=True):
             items = b.heap if not s else [h for h in b.heap if h > s[0]]
