@@ -26,40 +26,64 @@ BREAKOUT = BLOCKS | frozenset("b big body br code em embed font i img meta nobr
 CHROME = frozenset("nav footer aside header form menu dialog".split())
 CONTENT = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer form header menu nav navbar navigation newsletter notice popup promo related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+CHROME_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment commentlist comments complementary contentinfo cookie cookies dialog disclaimer footer form header menu nav navbar navigation newsletter notice popup promo related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: A name of several parts says what an element is by its last part, or, where that only names a container or its filling, by its first.
+CONTAINERS = frozenset("area bar block box container content inner item items left link links list menu panel posts right section slot stories text top unit".split())
 #: An opening tag closes an open element of these when it is one of those.
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAMES = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"[^\s]+")
+_PARTS = re.compile(r"[a-z]+")
+_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?(?:main|article)\b", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "chrome", "content", "heading")
-# The labelled table: feature values of a block, and 1 where it is main text.
+# The labelled table: pages as runs of blocks, (words, words in links, chrome, content, heading, main text). Chrome is 2 where
+# a tag says that a block is no main text, 1 where only a name does; content is 1 inside an article element.
 TABLE = [
-    # paragraphs in an article
-    ((45, 0.0, 12, 0.0, 50, 0.0, 0, 1, 0), 1), ((3, 0.0, 40, 0.0, 35, 0.0, 0, 1, 0), 1), ((1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0), 1), ((120, 0.05, 8, 0.0, 90, 0.1, 0, 1, 0), 1),
-    ((60, 0.2, 60, 0.0, 4, 1.0, 0, 1, 0), 1), ((14, 0.0, 10, 0.0, 22, 0.0, 0, 1, 0), 1), ((6, 0.4, 80, 0.0, 70, 0.0, 0, 1, 0), 1), ((30, 0.5, 33, 0.0, 20, 0.0, 0, 1, 0), 1),
-    # its headings
-    ((9, 0.0, 12, 0.0, 40, 0.0, 0, 1, 1), 1), ((1, 0.0, 20, 0.0, 33, 0.0, 0, 1, 1), 1), ((14, 0.0, 1, 1.0, 5, 0.0, 0, 1, 1), 1), ((5, 1.0, 2, 1.0, 60, 0.0, 0, 1, 1), 1),
-    # link lists inside an article
-    ((4, 1.0, 3, 1.0, 5, 1.0, 0, 1, 0), 0), ((2, 1.0, 40, 0.0, 2, 1.0, 0, 1, 0), 0), ((3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0), 0), ((5, 0.9, 3, 1.0, 2, 1.0, 0, 1, 0), 0),
-    # menus, footers, adverts and notices, whatever stands beside them
-    ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), 0), ((2, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), 0), ((30, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0), 0), ((12, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0), 0),
-    ((55, 0.0, 40, 0.0, 33, 0.0, 1, 1, 0), 0), ((9, 0.0, 40, 0.0, 0, 0.0, 1, 0, 1), 0), ((6, 0.0, 44, 0.0, 3, 0.2, 1, 1, 1), 0), ((140, 0.0, 20, 0.0, 50, 0.0, 1, 0, 0), 0),
-    # pages without an article element: long prose is kept, short scraps and links are not
-    ((35, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0), 1), ((80, 0.1, 2, 1.0, 70, 0.0, 0, 0, 0), 1), ((16, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0), 1), ((8, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0), 1), ((24, 0.1, 2, 1.0, 3, 0.0, 0, 0, 0), 1),
-    ((7, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1), 1), ((5, 0.0, 30, 0.0, 42, 0.0, 0, 0, 1), 1), ((2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), 0), ((3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((6, 0.8, 5, 0.9, 30, 0.0, 0, 0, 0), 0),
-    ((4, 0.0, 3, 1.0, 2, 0.0, 0, 0, 0), 0), ((18, 0.9, 12, 0.8, 20, 1.0, 0, 0, 0), 0), ((3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), 0), ((40, 0.9, 30, 1.0, 25, 0.9, 0, 0, 0), 0), ((2, 1.0, 50, 0.0, 1, 1.0, 0, 0, 0), 0),
+    # an article between menu and footer
+    [(1, 1, 2, 0, 0, 0), (2, 2, 2, 0, 0, 0), (1, 1, 2, 0, 0, 0), (12, 0, 1, 0, 0, 0), (9, 0, 0, 1, 1, 1), (60, 0, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (35, 4, 0, 1, 0, 1), (30, 0, 0, 1, 0, 1), (15, 1, 2, 0, 0, 0), (3, 3, 2, 0, 0, 0)],
+    # one with links in its text, a link list, a note in its margin and comments
+    [(2, 2, 2, 0, 0, 0), (7, 0, 0, 1, 1, 1), (44, 9, 0, 1, 0, 1), (1, 0, 0, 1, 1, 1), (6, 3, 0, 1, 0, 1), (4, 4, 0, 1, 0, 0), (5, 5, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (40, 0, 2, 1, 0, 0), (52, 0, 0, 1, 0, 1), (5, 0, 1, 1, 1, 0), (33, 0, 1, 1, 0, 0), (48, 0, 1, 1, 0, 0)],
+    # plain blocks, no article element: prose stays, scraps and links go
+    [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (38, 0, 0, 0, 0, 1), (80, 8, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1), (8, 0, 0, 0, 0, 1), (50, 0, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0), (4, 3, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)],
+    # names alone: adverts, notices, menus of every length
+    [(60, 0, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (5, 0, 0, 0, 1, 1), (45, 2, 0, 0, 0, 1), (55, 0, 1, 0, 0, 0), (70, 0, 0, 0, 0, 1), (18, 0, 1, 0, 0, 0), (25, 0, 0, 0, 0, 1), (90, 0, 1, 0, 0, 0), (9, 9, 1, 0, 0, 0)],
+    # one paragraph by itself; links around it
+    [(30, 30, 0, 0, 0, 0), (12, 11, 0, 0, 0, 0), (24, 0, 0, 0, 0, 1), (20, 20, 0, 0, 0, 0), (40, 36, 0, 0, 0, 0), (6, 5, 0, 0, 0, 0)],
+    # a linked title and credits inside an article, a linked footer right after its last paragraph
+    [(5, 5, 0, 1, 1, 1), (2, 1, 0, 1, 0, 1), (28, 0, 0, 1, 0, 1), (14, 14, 2, 0, 0, 0), (9, 9, 2, 0, 0, 0)],
+    [(120, 6, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (200, 0, 0, 1, 0, 1), (11, 0, 2, 0, 0, 0)],
+    # the same without an article element
+    [(6, 0, 0, 0, 1, 1), (33, 0, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (12, 12, 0, 0, 0, 0), (8, 8, 0, 0, 0, 0), (10, 0, 2, 0, 0, 0)],
+    # headers, forms, footers with much text
+    [(9, 0, 2, 0, 1, 0), (40, 0, 2, 0, 0, 0), (140, 0, 2, 0, 0, 0), (6, 0, 0, 1, 1, 1), (31, 0, 0, 1, 0, 1), (75, 20, 2, 0, 0, 0), (55, 0, 2, 0, 0, 0)],
+    # a scrap between menus is none of it
+    [(2, 2, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (3, 0, 0, 0, 1, 0), (2, 2, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)],
+    # text that ends after a list of links
+    [(7, 0, 0, 1, 1, 1), (21, 0, 0, 1, 0, 1), (3, 3, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0), (40, 0, 0, 1, 0, 1)], [(4, 4, 0, 1, 0, 0), (9, 0, 0, 1, 0, 1), (6, 0, 2, 0, 0, 0)], [(3, 3, 0, 0, 0, 0), (36, 2, 0, 0, 0, 1)], [(2, 2, 2, 0, 0, 0), (28, 0, 0, 0, 0, 1), (4, 4, 2, 0, 0, 0)],
+    # short last words of an article, and its title, right before links
+    [(40, 0, 0, 1, 0, 1), (2, 0, 0, 1, 0, 1), (5, 5, 2, 0, 0, 0)], [(26, 1, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1), (3, 3, 0, 0, 0, 0)], [(3, 0, 0, 1, 1, 1), (2, 2, 0, 1, 0, 0), (50, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (6, 5, 2, 0, 0, 0)],
+    # short pages
+    [(1, 0, 0, 1, 0, 1)], [(22, 0, 0, 0, 0, 1)], [(40, 0, 1, 0, 0, 0)], [(6, 6, 0, 0, 0, 0)], [(9, 0, 2, 0, 0, 0)], [(14, 0, 0, 1, 0, 1), (9, 1, 0, 1, 0, 1)],
 ]
 
 
+def features(page: list[tuple]) -> list[tuple]:
+    """The features of each block ``(words, words in links, chrome, content, heading)`` among its neighbours."""
+    none = (0, 0)
+    around = [none, *[(n, links / max(1, n)) for n, links, *_ in page], none]
+    return [(*around[i + 1], *around[i], *around[i + 2], *page[i][2:5]) for i in range(len(page))]
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
     """A CART by Gini impurity: ``(feature, threshold, low, high)`` or a class. Ties go to the earlier feature."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(y.mean() >= 0.5)
     best = None
-    for f in [6, 7, *[i for i in range(x.shape[1]) if i not in (6, 7)]]:
+    for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             low = x[:, f] <= t
@@ -120,24 +144,41 @@ def silent_end(page: str, name: str, at: int, opened: set[str], unclosed: set[st
     return len(page)
 
 
+def chrome_name(attributes: str, content: int) -> bool:
+    """Whether a class, an id or a role says that an element is no main text."""
+    for found in _ATTR.findall(attributes):
+        for name in _NAMES.findall("".join(found).lower()):
+            parts = _PARTS.findall(name)
+            if content and "header" in parts:
+                continue
+            if parts and (parts[-1] in CHROME_WORDS or (parts[0] in CHROME_WORDS and parts[-1] in CONTAINERS)) and parts[0] not in ("with", "has", "no", "without"):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """``(text, words, words in links, in chrome, in content, heading)`` of each text block, in page order."""
-    out: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, chrome, content
+    """``(text, words, words in links, chrome, content, heading)`` of each text block, in page order.
+
+    An element whose name says chrome, or a form, is a wrapper instead if it
+    holds a first-rank heading, an article or a main element, and half of the
+    page's words outside links.
+    """
+    out: list[tuple] = []
+    stack: list[tuple[str, int, int, tuple[int, ...]]] = []  # name, chrome, content, elements around that a name or form marks
+    marked: list[bool] = []  # for each of them: whether it holds a heading, an article or main
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading = 0, 0
     unclosed: set[str] = set()
 
     def flush() -> None:
-        nonlocal heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n_links = len(html.unescape("".join(linked)).split())
-                top = stack[-1] if stack else ("", 0, 0)
+                top = stack[-1] if stack else ("", 0, 0, ())
                 n = text.count(" ") + 1
-                out.append((text, n, min(n_links, n), int(top[1] > 0), top[2], heading))
+                out.append((text, n, min(n_links, n), top[1], top[2], heading, top[3]))
             parts.clear()
             linked.clear()
 
@@ -176,23 +217,24 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 while stack and name in CLOSES.get(stack[-1][0], ()):
                     stack.pop()
                 heading = int(name[0] == "h" and name[1:].isdigit())
-                chrome, content = (stack[-1][1:]) if stack else (0, 0)
+                chrome, content, names = (stack[-1][1:]) if stack else (0, 0, ())
+                is_content = name in CONTENT or bool(_MAIN.search(m[3]))
                 # Names and forms around an article do not say what it is; a nav, aside or footer does.
-                if name in CONTENT and not content and chrome == 1:
-                    chrome = 0
-                content = int(content or name in CONTENT)
-                # A header inside an article holds its title; elsewhere the site's.
-                if not chrome and not (name == "header" and content):
-                    names = {w for a in _ATTR.findall(m[3]) for w in _NAMES.findall("".join(a).lower())} if m[3] else set()
-                    if content:
-                        names.discard("header")
-                    # 2 where the tag says so, 1 where only a name or a form does.
-                    if name in CHROME and name != "form":
-                        chrome = 2
-                    else:
-                        chrome = int(name == "form" or (bool(names & CHROME_WORDS) and name not in ("body", "html", "article", "main")))
+                if is_content and not content and not chrome:
+                    for x in names:
+                        marked[x] = True
+                    names = ()
+                if name == "h1":
+                    for x in names:
+                        marked[x] = True
+                content = int(content or is_content)
+                if (name in CHROME and name != "form" and not (name == "header" and content)) or _HIDDEN.search(m[3]):
+                    chrome = 2  # a header inside an article holds its title; elsewhere the site's
+                elif name == "form" or (name not in ("body", "html", "article", "main") and not is_content and m[3] and chrome_name(m[3], content)):
+                    names = (*names, len(marked))
+                    marked.append(False)
                 if name not in VOID and not m[3].endswith("/"):
-                    stack.append((name, chrome, content))
+                    stack.append((name, chrome, content, names))
         elif name == "a":
             in_link = max(0, in_link - 1)
         elif name in BLOCKS:
@@ -203,30 +245,32 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                     pass
                 in_link = 0
     flush()
-    return out
+    inside = [0] * len(marked)
+    for block in out:
+        for x in block[6]:
+            inside[x] += block[1] - block[2]
+    plain = sum(x[1] - x[2] for x in out)
+    named = [not (holds and 2 * n >= plain) for holds, n in zip(marked, inside, strict=True)]
+    return [(*x[:3], x[3] or int(any(named[i] for i in x[6])), *x[4:6]) for x in out]
 
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    kept = []
-    for i, (text, n, links, chrome, content, heading) in enumerate(found):
-        before = found[i - 1] if i else ("", 0, 0)
-        after = found[i + 1] if i + 1 < len(found) else ("", 0, 0)
-        row = (n, links / n, before[1], before[2] / max(1, before[1]), after[1], after[2] / max(1, after[1]), chrome, content, heading)
-        if decide(tree, row):
-            kept.append(text)
-    return "\n".join(kept)
+    return "\n".join(block[0] for block, row in zip(found, features([x[1:] for x in found]), strict=True) if decide(tree, row))
 
 
 def trained_tree():
-    return grow(np.array([r for r, _ in TABLE], float), np.array([c for _, c in TABLE], float))
+    rows = [(row, block[5]) for page in TABLE for block, row in zip(page, features(page), strict=True)]
+    return grow(np.array([r for r, _ in rows], float), np.array([c for _, c in rows], float))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
-    Null or empty html gives an empty text. Repeated rows give repeated
-    results; other columns are ignored.
+    Null or empty html, and pages without main text, give an empty text. Pages
+    of any length are read whole, unclosed elements included. Null ids and urls
+    pass, other columns are ignored; repeated rows give repeated results and an
+    empty table none.
     """
 
     def start():
