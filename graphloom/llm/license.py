@@ -3,8 +3,9 @@
 All rolling word 2-gram hashes of the documents meet the grams of the
 templates in one join. A match votes for the diagonal on which document and
 template run in parallel: the document word at which the template would begin.
-Neighbouring diagonals of a template, which a word put in or left out makes of
-one, are merged, and the span is verified by the share of the template found.
+Neighbouring diagonals of a template, which words put in or left out make of
+one, are merged, never more than SLACK words apart in all. The span is verified
+by the longest run of grams that stand in the template's order, each once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 GRAM = 2
-#: Share of a template's grams that verifies a span, and the distance at which diagonals merge.
+#: Share of a template's grams that verifies a span, and how far apart the diagonals of a span may be.
 VERIFIED = 0.75
 SLACK = 3
 
@@ -56,11 +57,13 @@ def scan(docs: DataFrame) -> DataFrame:
     Words are runs of letters, digits and all characters beyond ASCII of the
     lower-cased text; null text has none. ``n_base`` counts the places of all
     base phrases, ``first_word`` and ``last_word`` their smallest and largest
-    start. The score is the largest share of a template found. Rows are told
-    apart by content, so repeated rows give repeated results.
+    start. The score is the largest share of a template found in order. Rows are
+    told apart by id and text, so repeated rows give repeated results; an empty
+    table gives none. Texts of any length are read whole, null ids pass and
+    other columns are ignored.
     """
     spark = docs.sparkSession
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(F.split(text, _SPLIT), lambda w: w != "").alias("w"))
     grams = F.expr("case when size(w) < 2 then cast(array() as array<bigint>) else transform(sequence(0, size(w) - 2), i -> xxhash64(w[i], w[i + 1])) end")
     cut = rows.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit(_NONE).cast("long")), grams).alias("g"))
@@ -72,18 +75,22 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = checkpoint(hits.withColumn("at", F.col("at") - 1))
     every = hits.where(F.col("t") == _NONE).select("doc_id", "th", "n_words")
     row = ["doc_id", "th"]
-    votes = hits.where(F.col("t") != _NONE).select(*row, "t", "label", "base", "grams", "place", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
-    lines = votes.groupBy(*row, "t", "label", "base", "grams", "diagonal").agg(F.collect_set("place").alias("places"))
+    votes = hits.where(F.col("t") != _NONE).select(*row, "t", "label", "base", "grams", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    lines = votes.where("base").groupBy(*row, "t", "label", "base", "grams", "diagonal").agg(F.collect_set("place").alias("places"))
     # Base phrases: every gram on one diagonal.
     base = lines.where(F.col("base") & (F.size("places") == F.col("grams")))
-    # Templates: diagonals at most SLACK apart are one run.
+    # Templates: each diagonal with its neighbours up to SLACK on. A line of one text's matches is no longer than the text.
     order = Window.partitionBy(*row, "t").orderBy("diagonal")
-    near = lines.where(~F.col("base")).withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"), F.lit(1)))
-    runs = near.withColumn("run", F.sum("new").over(order)).groupBy(*row, "t", "label", "grams", "run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
-        F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
-        F.max(F.col("diagonal") + F.array_max("places") + GRAM).alias("end"),
+    ahead = order.rangeBetween(0, SLACK)
+    near = votes.where("not base").withColumn("n", F.count(F.lit(1)).over(ahead)).withColumn("met", F.when(F.col("n") >= 2, F.collect_list(F.struct("at", (-F.col("place")).alias("back"))).over(ahead)))
+    near = near.select(*row, "t", "label", "grams", "diagonal", "place", "at", F.coalesce("met", F.array(F.struct("at", (-F.col("place")).alias("back")))).alias("met")).dropDuplicates([*row, "t", "diagonal"])
+    # The longest run in order: for each place of the template the most grams, ending there, of a chain through earlier places and words.
+    chain = F.expr(
+        "aggregate(array_sort(array_distinct(met)), array_repeat(0, grams), (best, m) -> transform(best, (v, i) ->"
+        " if(i = -m.back, greatest(v, 1 + coalesce(array_max(slice(best, 1, i)), 0)), v)), best -> array_max(best))"
     )
+    ats = F.transform("met", lambda m: m["at"])
+    runs = near.select(*row, "label", "grams", chain.alias("found"), F.array_min(ats).alias("start"), (F.array_max(ats) + GRAM).alias("end"))
     runs = runs.withColumn("share", F.col("found") / F.col("grams"))
     alike = runs.select(*row, F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("base_label"), F.when(F.col("share") >= VERIFIED, F.col("label")).alias("label"), "share", F.when(F.col("share") >= VERIFIED, F.struct("label", "start", "end")).alias("span"))
     exact = base.select(*row, F.col("diagonal").alias("place"), F.col("label").alias("base_label"), "label", F.lit(1.0).alias("share"), F.struct("label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + 1).alias("end")).alias("span"))
