@@ -101,6 +101,11 @@ def ablations(found: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """``docs`` without the rows that the policy rejects, evaluated in place without a join."""
+    """``docs`` without the rows that the policy rejects, evaluated in place without a join.
+
+    Null and empty texts have too few words and go. Rows with a null or
+    repeated doc_id are judged one by one, texts of any length whole; columns
+    pass through, whatever their names, and an empty table gives an empty one.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
     return apply_policy(ledger(packed), version).where("kept").select("doc_id.*")

@@ -78,7 +78,8 @@ def test_simhash_large_bucket(spark, monkeypatch):
 
 def test_keep_one(odd, empty):
     kept = simhash.keep_one(odd).collect()
-    assert len({r.doc_id for r in kept}) == len(kept) and set(simhash.keep_one(odd).columns) == set(odd.columns)
+    # Rows count one by one: unlike texts that share id 3 both stay.
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept) and [r.doc_id for r in kept].count(3) == 2 and set(simhash.keep_one(odd).columns) == set(odd.columns)
     assert {6, 5, 0} <= {r.doc_id for r in kept} and not {1, 2} & {r.doc_id for r in kept}
     assert simhash.keep_one(empty).count() == 0
 
@@ -94,10 +95,10 @@ def test_keep_one_of_each_group(spark):
 
 def test_substring(odd, empty):
     out = substring.dedup(odd).collect()
-    by = {(r.doc_id, r.text): r for r in out}
     assert len(out) == odd.count()
-    first, second = (next(r for (i, _), r in by.items() if i == k) for k in (6, 7))
-    assert not first.removed and first.clean_text == first.text
+    # Of three equal rows of id 6 one is the first.
+    same, second = sorted((r for r in out if r.doc_id == 6), key=lambda r: len(r.removed)), next(r for r in out if r.doc_id == 7)
+    assert len(same) == 3 and not same[0].removed and same[0].clean_text == same[0].text and all(PASSAGE[:-1] not in r.clean_text for r in same[1:])
     assert PASSAGE[:-1] not in second.clean_text and second.clean_text.startswith("Other words open.") and second.clean_text.endswith("Different close.")
     assert sum(s.end - s.start for s in second.removed) >= 0.9 * len(PASSAGE)
     assert substring.dedup(empty).count() == 0
@@ -123,6 +124,30 @@ def test_substring_against_plain(docs):
     assert all(abs(got[i] - expected[i]) <= 0.02 * expected[i] + 3 for i in expected)
 
 
+def test_substring_runs(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n)) + ". "
+    japanese = "".join(f"\u4eca\u65e5\u306f{chr(0x4e00 + i)}\u306e\u5929\u6c17\u304c\u3068\u3066\u3082\u826f\u3044\u3067\u3059\u3002" for i in range(30))
+    passages = [words("a", 15) + words("b", 15), words("c", 10) + words("d", 10) + words("e", 10), words("f", 28), japanese, words("g", 30) + "".join(f"short {i}. " for i in range(3))]
+    rows = [(k, f"Opening of text {k} here. {p} Closing words {k}.") for k in (1, 2) for p in passages]
+    short = "The. Of it. And so."
+    rows += [(3, f"One begins. {short} It ends."), (4, f"Another one. {short} Ends too."), (None, words("n", 40)), (None, words("n", 40)), (None, "q. " + words("n", 40)), (7, words("m", 40)), (7, words("m", 40))]
+    out = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = Counter((r.doc_id, bool(r.removed)) for r in out)
+    assert removed == Counter({(1, False): 5, (2, True): 5, (3, False): 1, (4, False): 1, (None, False): 1, (None, True): 2, (7, False): 1, (7, True): 1})
+    # What whole sentences share goes from end to end.
+    assert all(re.sub(r"\W", "", r.clean_text).startswith("Openingoftext2here") and r.clean_text.endswith("Closing words 2.") and len(r.clean_text) < 60 for r in out if r.doc_id == 2)
+
+
+def test_run_spans_cover_common_stretches():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        sizes = rng.integers(1, 14, int(rng.integers(2, 12))).tolist()
+        left, right = rng.integers(1, 14, 3).tolist(), rng.integers(1, 14, 3).tolist()
+        inside = [(a - 3, b - 3) for a, b in substring.run_spans(left + sizes + right) if a >= 3 and b <= 3 + len(sizes)]
+        covered = {i for a, b in inside for i in range(a, b)}
+        assert sum(sizes) < substring.RUN_WORDS or covered == set(range(len(sizes)))
+
+
 def test_quality(odd, empty):
     out = quality.apply_policy(quality.ledger(odd)).collect()
     assert len(out) == odd.count()
@@ -150,7 +175,7 @@ def test_mixing(odd, empty, docs):
         assert Counter(map(tuple, mixing.mix(df)[0].select("doc_id", "size", "taken").collect())) == Counter(map(tuple, rows.select("doc_id", "size", "taken").collect()))
         per = blocks.groupBy("uid").sum("words").toPandas()
         assert per["sum(words)"].sum() == got.taken.sum()
-        n = blocks.groupBy("shard").count().toPandas()["count"]
+        n = blocks.select("shard", "source", "pass", "block").distinct().groupBy("shard").count().toPandas()["count"]
         assert n.max() - n.min() <= 1 or len(n) < mixing.SHARDS
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     mixed = mixing.mixed_documents(docs)
@@ -172,11 +197,109 @@ def test_mixing_deals(spark, docs, monkeypatch):
     # What the query counts is what the splitting tree dealt: with a shard's range lost, its words are gone.
     before = queries()["op7_mixing"](spark, SF).agg({"taken": "sum"}).first()[0]
     deal = mixing._deal
-    monkeypatch.setattr(mixing, "_deal", lambda b, n: deal(b, n).where("shard > 0"))
+    monkeypatch.setattr(mixing, "_deal", lambda *given: deal(*given).where("shard > 0"))
     lost = sum(r.words for r in blocks.collect() if r.shard == 0)
     assert lost > 0 and queries()["op7_mixing"](spark, SF).agg({"taken": "sum"}).first()[0] == before - lost
 
 
+def spark_hash(*values):
+    """xxhash64 of longs, strings and (as numpy int32) ints, null ones skipped."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.tobytes() if isinstance(v, np.int32) else np.int64(v).tobytes(), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def plain_taken(rows, shards, seed):
+    """Words taken of each of ``(doc_id, text, source)``, by lists and loops."""
+    i32, b = np.int32, mixing.BLOCK_WORDS
+    seen, docs = Counter(), []
+    for i, t, s in rows:
+        th = spark_hash(t)
+        seen[i, th, s] += 1
+        docs.append((i, t, s, th, seen[i, th, s], len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+    names = sorted({d[2] for d in docs}, key=lambda s: (s is None, s))
+    goal = plain_targets({f"{k:06}": sum(d[5] for d in docs if d[2] == s) for k, s in enumerate(names)})
+    counts, spread = [], []
+    for sid, s in enumerate(names):
+        n = sum(d[5] for d in docs if d[2] == s)
+        passes = int(goal[f"{sid:06}"] // n) if n else 0
+        rest = round(goal[f"{sid:06}"] - passes * n) if n else 0
+        spread += [(sid, p, -(-n // b), -(-n // b) * b) for p in range(passes)]
+        if rest:
+            q = -(-rest // b)
+            spread.append((sid, passes, n // b if q <= n // b else -(-n // b), rest))
+            counts.append(q)
+            counts[-1:] = [-(-n // b)] * passes + [q]
+        else:
+            counts += [-(-n // b)] * passes
+    quotas = mixing.shard_quotas(counts, shards, seed)
+    most = Counter()
+    for col, (sid, p, n, words) in enumerate(spread):
+        total, whole, before = counts[col], sum(d[5] for d in docs if d[2] == names[sid]) // b, 0
+        for q in quotas[:, col].tolist():
+            for i in range(q):
+                x = before * n // total + i
+                if x < whole:
+                    for r in range(1, mixing.ROUNDS + 1):
+                        other = (spark_hash(i32(mixing.SEED + 2), sid, i32(r)) - x) % whole
+                        x = other if spark_hash(i32(mixing.SEED + 3), sid, i32(r), max(x, other)) % 2 else x
+                most[sid, p, x] = words - (total - 1) * b if before + i == total - 1 else b
+            before += q
+    taken = [0] * len(docs)
+    for sid, s in enumerate(names):
+        at = 0
+        mine = [(spark_hash(i32(mixing.SEED), d[0], d[3], i32(d[4])), (d[0] is not None, d[0]), d[3], d[4], k) for k, d in enumerate(docs) if d[2] == s and d[5]]
+        for *_, k in sorted(mine):
+            for (sid2, _, x), m in most.items():
+                if sid2 == sid:
+                    taken[k] += max(0, min(at + docs[k][5], x * b + m) - max(at, x * b))
+            at += docs[k][5]
+    return Counter((d[0], d[5], t) for d, t in zip(docs, taken, strict=True))
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_mixing_against_plain(which, request):
+    df = request.getfixturevalue(which)
+    rows = [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+    got = {}
+    for seed in (mixing.SEED, 5):
+        got[seed] = Counter(map(tuple, mixing.mix(df, 16, seed)[0].select("doc_id", "size", "taken").collect()))
+        assert got[seed] == plain_taken(rows, 16, seed)
+    assert which == "odd" or got[mixing.SEED] != got[5]
+
+
+def test_permutation(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 3000).withColumn("n", F.when(F.col("id") < 1000, 1000).when(F.col("id") < 1007, 7).otherwise(1993).cast("long"))
+    df = df.withColumn("x", F.when(F.col("id") < 1000, F.col("id")).when(F.col("id") < 1007, F.col("id") - 1000).otherwise(F.col("id") - 1007))
+    got = df.select("n", "x", mixing._permuted(F.col("x"), F.col("n"), F.lit(3).cast("long")).alias("y")).collect()
+    for n in (1000, 7, 1993):
+        assert sorted(r.y for r in got if r.n == n) == list(range(n)) and (n < 10 or sum(r.x == r.y for r in got if r.n == n) < 12)
+
+
+def test_large_draws():
+    rng = np.random.default_rng(4)
+    good, bad, n = 3 * 10**9, 7 * 10**9, 10**9
+    drawn = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(60)], float)
+    sd = (n * 0.3 * 0.7 * (good + bad - n) / (good + bad)) ** 0.5
+    assert abs(drawn.mean() - 3 * 10**8) < 5 * sd / 60**0.5 and 0.6 < drawn.std() / sd < 1.4
+    q = mixing.shard_quotas([5 * 10**9, 3, 0, 2 * 10**9], 5)
+    assert q.sum(0).tolist() == [5 * 10**9, 3, 0, 2 * 10**9] and q.sum(1).max() - q.sum(1).min() <= 1
+
+
+def test_tree_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVELS", 2)
+    counts = [70, 0, 5, 33, 1]
+    df = spark.createDataFrame([(i // 2, i % 2, c) for i, c in enumerate(counts) if c], "sid long, pass long, quota long")
+    got = {(r["shard"], 2 * r["sid"] + r["pass"]): r["quota"] for r in mixing.tree_quotas(df, 21).collect()}
+    want = mixing.shard_quotas([c for c in counts if c], 21)
+    columns = [i for i, c in enumerate(counts) if c]
+    assert got == {(s, i): int(want[s, k]) for s in range(21) for k, i in enumerate(columns) if want[s, k]}
+
+
 def plain_targets(sizes):
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}
     target, left, free = dict.fromkeys(sizes, 0.0), 1.5 * sum(sizes.values()), set(sizes)
@@ -229,6 +352,19 @@ def test_tokens_of_raw_text():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.texts(texts)] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_of_any_unicode():
+    rng = np.random.default_rng(8)
+    tokens = packing.Tokens(tokenizer_path())
+    pools = [range(0x20, 0x7F), range(0, 0x250), range(0x370, 0x530), range(0x2000, 0x2070), range(0x3000, 0x3100), range(0x0300, 0x0370), range(0x1F600, 0x1F640), [9, 10, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x3A3, 0x130, 0xDF], range(0, 0xD800), range(0xE000, 0x110000)]
+    texts = []
+    for _ in range(10_000):
+        pool = [pools[int(i)] for i in rng.integers(0, len(pools), 3)]
+        texts.append("".join(chr(p[int(rng.integers(0, len(p)))]) for p in (pool[int(i)] for i in rng.integers(0, 3, int(rng.integers(0, 30))))))
+    want = [e.ids for e in tokens.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    bad = [t for t, raw, ids in zip(texts, tokens.texts(texts), want, strict=True) if np.frombuffer(raw, "<u4").tolist() != ids]
+    assert not bad, [ascii(t) for t in bad[:5]]
+
+
 def test_pack_histogram():
     rng = np.random.default_rng(0)
     counts = Counter(rng.integers(1, 2049, 5000).tolist())
@@ -252,27 +388,46 @@ def test_language(odd, empty, docs):
     assert language.training_text(empty) == {} and {r.lang_pred for r in language.identify(odd, language.Automata({})).collect()} == {"und"}
 
 
-def test_phrases_against_plain():
-    train = {"a": "the cat sat on the mat", "b": "le chat est sur le tapis"}
+def plain_phrases(text, train):
+    """A phrase is the longest match; the letter that breaks it begins the next."""
+    n, start = int(bool(text)), 0
+    for at, c in enumerate(text):
+        if text[start : at + 1] not in train:
+            n, start = n + 1, at if c in train else at + 1
+    return n
+
+
+@pytest.mark.parametrize("width", [7, 16, 1024])
+def test_phrases_against_plain(width, monkeypatch):
+    monkeypatch.setattr(language, "WIDTH", width)
+    rng = np.random.default_rng(2)
+    train = {k: "".join(rng.choice(list("abcd e"), 300)) for k in "xyz"}
     model = language.Automata(train)
-    for text in ("the chat", "zzz", "sat on tapis", "mat the cat le" * 20):
-        codes = language.letters(text)
-        s = "".join(map(chr, codes))
-        for k, lang in enumerate(model.langs):
-            n = 0
-            for lo in range(0, len(s), language.WIDTH):
-                part, at = s[lo : lo + language.WIDTH], 0
-                # A phrase is the longest match; the letter that breaks it begins the next.
-                n += 1
-                start = 0
-                while at < len(part):
-                    if part[start : at + 1] in train[lang]:
-                        at += 1
-                        continue
-                    n += 1
-                    start = at if part[at] in train[lang] else at + 1
-                    at += 1
-            assert model.phrases([codes])[0, k] == n
+    plain = {k: "".join(map(chr, language.letters(v))) for k, v in train.items()}
+    texts = ["".join(rng.choice(list("abcde fz"), int(rng.integers(0, 150)))) for _ in range(60)] + [plain["x"], plain["y"] * 3, "z", "", "zz" * 40]
+    coded = [language.letters(t) for t in texts]
+    strings = ["".join(map(chr, c)) for c in coded]
+    assert model.phrases(coded).tolist() == [[plain_phrases(s, plain[k]) for k in model.langs] for s in strings]
+    # A copy of the training text is one phrase, however long.
+    assert model.phrases([language.letters(plain["x"])])[0, 0] == 1
+
+
+def test_language_against_plain(docs, odd):
+    texts = language.training_text(docs)
+    model = language.Automata(texts)
+    plain = {k: "".join(map(chr, language.letters(v))) for k, v in texts.items()}
+    rows = [r for r in docs.union(docs.limit(5)).collect() if r.text and len(r.text) < 1500][:60] + [r for r in odd.collect() if len(r.text or "") < 1500]
+    for r, got in zip(rows, language.identify(docs.sparkSession.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string").coalesce(1), model).collect(), strict=True):
+        s = "".join(map(chr, language.letters(r.text)))
+        bits = {k: plain_phrases(s, v) * np.log2(len(v) + 2) for k, v in plain.items()}
+        assert got.lang_pred == (min(sorted(bits), key=bits.get) if s else "und")
+
+
+def test_language_of_many_signs():
+    """The table grows with the text, not with the alphabet."""
+    signs = "".join(chr(0x4E00 + i % 3000) for i in range(9000))
+    model = language.Automata({"a": signs, "b": "plain words"})
+    assert len(model.owner) < 8 * 9000 and model.phrases([language.letters(signs[100:5000])]).argmin() == 0
 
 
 def test_toxicity(spark, odd, empty):
@@ -283,12 +438,47 @@ def test_toxicity(spark, odd, empty):
     assert sum(r.score >= 0.3 for r in clean) <= 0.02 * len(clean)
     assert sum(r.score >= 0.3 for r in got if r.toxic) >= 0.55 * sum(r.toxic for r in got)
     out = toxicity.score(odd, toxicity.Grammar(frozenset(), frozenset())).collect()
+    assert toxicity.score(empty, toxicity.Grammar(frozenset(), frozenset())).count() == 0
     assert {r.doc_id: r.score for r in out}[8] > 0.5 and all(0 <= r.score <= 1 for r in out)
     none = toxicity.learn(empty, labels.limit(0))
     assert none.weights == tuple(toxicity.PRIOR)
     tag = none.tagger()
-    assert none.events("He said you are an idiot. You are not stupid. You moron! trash", tag)[0] == [1, 1, 1, 1, 0]
-    assert none.events("I will kill you. They kill time never", tag)[0] == [0, 0, 0, 0, 1]
+    # isolated, loose, targeted, negated, reported, threat
+    assert none.events("He said you are an idiot. You are not stupid. You moron! trash", tag)[0] == [1, 0, 1, 1, 1, 0]
+    assert none.events("I will kill you. They kill time never. Some idiot sat there", tag)[0] == [0, 1, 0, 0, 0, 1]
+
+
+def test_toxicity_clauses(spark):
+    sf = "/root/testdata/sf0.1"
+    grammar = toxicity.learn(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
+    tag = grammar.tagger()
+    score = lambda t: grammar.score(t, tag)
+    for text in ("You are not stupid.", "He said you are an idiot.", "idiot", "He said: you idiot. She called him a moron. They wrote that she is scum.", "I will never kill you.", "She said he would kill you.", "", "A plain sentence."):
+        assert score(text) < toxicity.THRESHOLD, text
+    for text in ("I will kill you.", "You are an idiot.", "You are not tall and not old but in all these years you are an idiot."):
+        assert score(text) >= toxicity.THRESHOLD, text
+    assert score("I will kill you. I will hurt you and burn your house.") > score("I will kill you.")
+
+
+def test_composed_machine_against_plain():
+    """The composed table against the three machines run one after another."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        word = [*rng.choice(list(toxicity.CLASSES[:-1]), 30, p=[0.4, 0.15, 0.1, 0.1, 0.1, 0.08, 0.07]).tolist(), "b"]
+        word = [x if rng.random() > 0.1 else "b" for x in word]
+        stream = word
+        for machine, state in ((toxicity.NEGATION, (0,)), (toxicity.REPORT, (0,)), (toxicity._clause, (0, 0, 0, 0))):
+            out = []
+            for x in stream:
+                state, y = machine(state, x)
+                out.append(y)
+            stream = out
+        state, got = 0, []
+        for x in word:
+            i = toxicity.CLASSES.index(x)
+            got.append(toxicity._OUT[state][i])
+            state = toxicity._NEXT[state][i]
+        assert got == stream
 
 
 def test_toxicity_held_out(spark):
@@ -358,6 +548,87 @@ def test_html_keeps_main_text():
     assert html.main_text(f"<aside>{article}</aside><nav>{article}</nav>", tree) == ""
 
 
+def test_html_pages():
+    tree = html.trained_tree()
+    prose = lambda n, k="w": " ".join(f"{k}{i}" for i in range(n))
+    links = lambda n: "".join(f"<a href=x>link{i} </a>" for i in range(n))
+    main = f"T\n{prose(40)}\n{prose(30, 'z')}"
+    article = f"<article><h1>T</h1><p>{prose(40)}</p><p>{prose(30, 'z')}</p></article>"
+    plain = f"<h1>T</h1><p>{prose(40)}</p><p>{prose(30, 'z')}</p>"
+    pages = [f"{article}<footer>{links(9)}</footer>", f"{plain}<div>{links(9)}</div>", f"<div class=advert>{prose(60, 'ad')}</div><ul class=menu><li>{links(1)}<li>{links(1)}</ul>{article}", f"{article}<div>{links(14)}</div>"]
+    pages += [f'<div class="{x}">{plain}</div>' for x in ("page-header-wrap", "related-work", "with-sidebar", "form")]
+    pages += [f"<form id=f><div class=menu>{links(2)}</div>{plain}<div id=footer>foot text</div></form>", f'{article}<div class="comment-list"><p>{prose(50, "c")}</p><p>{prose(90, "c")}</p></div>']
+    pages += [f'<div id="cookie-banner">{prose(30, "k")}</div><main>{plain}</main><div class="sidebar-left"><p>{prose(50, "s")}</p></div>', article.replace("</article>", f"<p hidden>{prose(30, 'h')}</p><p style='display:none'>x y</p></article>")]
+    pages += [f"<select><option>a{article}", f"{article}<aside>{prose(80, 'a')}</aside>", f"<div role=navigation>{prose(30, 'n')}</div><div role=main>{plain}</div>"]
+    assert [html.main_text(p, tree) for p in pages] == [main] * len(pages)
+
+
+def plain_blocks(page):
+    """Text of blocks and their link words by the standard parser, for well-formed pages."""
+    from html.parser import HTMLParser
+
+    out, text, linked, depth = [], [], [], [0, 0]
+
+    class P(HTMLParser):
+        def flush(self):
+            t = " ".join("".join(text).split())
+            if t:
+                out.append((t, len("".join(linked).split())))
+            text.clear()
+            linked.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.BLOCKS:
+                self.flush()
+            elif tag in html.SILENT:
+                depth[0] += 1
+            elif tag == "a":
+                depth[1] += 1
+            elif tag == "br":
+                text.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in html.BLOCKS:
+                self.flush()
+            elif tag in html.SILENT:
+                depth[0] -= 1
+            elif tag == "a":
+                depth[1] -= 1
+
+        def handle_data(self, data):
+            if not depth[0]:
+                text.append(data)
+                if depth[1]:
+                    linked.extend((data, " "))
+
+    p = P(convert_charrefs=True)
+    p.feed(page)
+    p.close()
+    p.flush()
+    return out
+
+
+def test_html_blocks_against_plain(spark):
+    rng = np.random.default_rng(9)
+
+    def element(depth):
+        kind = rng.choice(["text", "b", "a", "script", "p", "div", "ul", "article", "nav", "br", "h2", "table"], p=[0.3, 0.08, 0.12, 0.05, 0.13, 0.08, 0.05, 0.04, 0.04, 0.03, 0.05, 0.03])
+        if kind == "text" or depth > 4:
+            return " ".join(rng.choice(["one", "two &amp; three", "four&nbsp;five", "&lt;six&gt;", "\n seven  "], int(rng.integers(1, 5))))
+        if kind == "br":
+            return "<br>"
+        if kind == "script":
+            return "<script>var t='<p>no</p>';</script>"
+        inner = "".join(element(9 if kind in ("p", "a", "b", "h2") else depth + 1) for _ in range(int(rng.integers(1, 4))))
+        return f"<ul><li>{inner}</li></ul>" if kind == "ul" else f"<table><tr><td>{inner}</td></tr></table>" if kind == "table" else f"<{kind} class='x'>{inner}</{kind}>"
+
+    pages = ["<html><body>" + "".join(element(0) for _ in range(8)) + "</body></html>" for _ in range(300)]
+    pages += [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for page in pages:
+        if "<br><p>" not in page or "<b>" not in page:  # the parser keeps what authors left open
+            assert [(b[0], b[2]) for b in html.blocks(page)] == plain_blocks(page)
+
+
 def test_license(odd, empty):
     got = {(r.doc_id, r.n_words): r for r in license.scan(odd).collect()}
     assert license.scan(odd).count() == odd.count() and license.scan(empty).count() == 0
@@ -383,6 +654,23 @@ def test_license_labels(spark):
     assert [r.labels for r in license.scan(df).orderBy("doc_id").collect()] == ["apache", "mit", "cc-by,cc-by-nc", "gpl", "mit", ""]
 
 
+def test_license_order(spark):
+    text = dict((label, t) for label, t in license.TEMPLATES if t.startswith("permission"))["mit"]
+    words = text.split()
+    rng = np.random.default_rng(3)
+    pairs = [" ".join(words[i : i + 2]) for i in rng.permutation(len(words) - 1)]
+    texts = [text, text.replace("granted", "here granted now"), " x y ".join(pairs), " ".join(rng.permutation(words)), f"{text} {text}", f"of this {text}", " far away ".join(" ".join(words[i : i + 2]) for i in range(len(words) - 1))]
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit", "mit", "", "", "mit", "mit", ""] and [len(r.spans) for r in got] == [1, 1, 0, 0, 2, 1, 0]
+    assert got[0].score == got[4].score == got[5].score == 1.0 and 0.8 < got[1].score < 1.0
+
+
+def test_empty_tables(empty):
+    assert language.identify(empty, language.Automata({"a": "some text"})).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0 and substring.remove_repeats(empty).count() == 0
+    assert html.extract(empty.selectExpr("doc_id AS page_id", "source AS url", "text AS html", "h AS text")).count() == 0
+
+
 def test_sql_of_queries(spark):
     import os
 
@@ -397,6 +685,18 @@ def test_sql_of_queries(spark):
         assert sorted(map(tuple, a[b.columns].values.tolist())) == sorted(map(tuple, b.values.tolist()))
 
 
+def test_pipeline_of_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    more = odd.union(odd.selectExpr("doc_id + 100", "concat(text, ' ', substring(repeat('some more words stand here ', 3), 1, 60), doc_id)", "lang", "source", "n_chars", "h", "row", "clean_text", "_h", "fp"))
+    for k, df in enumerate((odd, more, empty)):
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{k}").toPandas()
+        assert (len(out) == 0) == (df is empty)
+        for _, g in out.sort_values("offset").groupby("sequence_id"):
+            assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
