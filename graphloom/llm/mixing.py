@@ -30,6 +30,8 @@ CAP = 2.0
 BLOCK_WORDS = 256
 #: Output shards at least, and words of a shard at most.
 SHARDS, SHARD_WORDS = 16, 1 << 24
+#: Drawn blocks that a task makes about.
+SLOT_ROWS = 100_000
 #: Rounds of the swap-or-not permutation, and levels of the tree that a task goes down at a time.
 ROUNDS, LEVELS = 12, 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,7 +207,9 @@ def _deal(plan: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     ranges = quotas.withColumn("before", F.coalesce(F.sum("quota").over(earlier), F.lit(0))).join(counts.withColumnRenamed("quota", "all"), ["sid", "pass"])
     wide = lambda c: f"cast({c} as decimal(19,0))"
     ranges = ranges.withColumn("first", F.expr(f"{wide('before')} * {wide('n')} div {wide('all')}"))
-    drawn = ranges.select("sid", "pass", "shard", "whole", "all", "words", "before", "first", F.explode(F.expr("sequence(cast(0 as bigint), quota - 1)")).alias("i"))
+    # Few rows make many: a quota is no larger than a shard, and tasks get about as many blocks each.
+    tasks = 8 + (plan.agg(F.sum(F.col("passes") * n + part)).first()[0] or 0) // SLOT_ROWS
+    drawn = ranges.repartition(tasks, "sid", "pass", "shard").select("sid", "pass", "shard", "whole", "all", "words", "before", "first", F.explode(F.expr("sequence(cast(0 as bigint), quota - 1)")).alias("i"))
     rank = F.col("first") + F.col("i")
     # What is left over after whole blocks stays at the line's end; it is drawn when all blocks are.
     block = F.when(rank < F.col("whole"), _permuted(rank, F.col("whole"), F.col("sid"))).otherwise(rank)
