@@ -25,6 +25,8 @@ END = 1
 CACHE = 600_000
 #: What the tokenizer's own \s drops: as str.split, but for U+001C to U+001F, which it keeps.
 _KEPT = re.compile(r"[\x1c-\x1f]")
+#: Beyond Latin-1, or where a special token may begin, or a separator that Python alone takes for white space: such texts are cut as they stand.
+_RAW = re.compile(r"[^\x00-\x1b\x20-;=-\xff]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Letters of ASCII and Latin-1, whose lower case is the same for Python and the tokenizer, then marks that neither join letters nor begin a special token.
 _PLAIN = re.compile(r"([a-zA-Zà-öø-ÿÀ-ÖØ-Þ]+)([.,!?;:%*&$#\"()\-]*)\Z")
@@ -89,8 +91,8 @@ class Tokens:
             self.cache[c] = self.cache[w] + (self.cache[mark] if mark else b"")
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        # The tokenizer lowers the case: Python writes a final sigma, and special tokens are matched before.
-        chunked = [[c for c in _SPACE.split(t) if c] if t and _KEPT.search(t) else (t or "").split() for t in texts]
+        # The tokenizer lowers the case: Python writes a final sigma, and special tokens are matched before. Where neither can be, it is lowered here, for fewer chunks.
+        chunked = [[] if not t else t.lower().split() if not _RAW.search(t) else [c for c in _SPACE.split(t) if c] if _KEPT.search(t) else t.split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache = {}
         new = {c for x in chunked for c in x if c not in self.cache}
