@@ -20,38 +20,57 @@ def pseudo_predicates(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy(F.col("src").alias("node_id")).agg(F.count_if(F.col("kind") == "NONEXEC").alias("n")).where("n = 1").select("node_id")
 
 
-def _post_dominated(nodes: list, successors: dict) -> dict:
-    """node -> nodes that do not post-dominate it, found backwards from ends with one node taken out at a time."""
+def _post_dominators(nodes: list, successors: dict) -> tuple[list, dict]:
+    """The nodes by bit, and for each node the bits of itself and of what post-dominates it.
+
+    The largest solution of: a node's set is itself and what all its targets'
+    sets share; an end's is itself. Nodes that reach no end keep all bits.
+    """
+    names = list(dict.fromkeys([*nodes, *(t for targets in successors.values() for t in targets)]))
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    everything = (1 << len(names)) - 1
     before = defaultdict(list)
     for s, targets in successors.items():
         for t in targets:
             before[t].append(s)
-    ends = [n for n in nodes if not successors.get(n)]
-    escapes = defaultdict(set)
-    for b in nodes:
-        todo = [n for n in ends if n != b]
-        seen = set(todo)
-        while todo:
-            for p in before[todo.pop()]:
-                if p != b and p not in seen:
-                    seen.add(p)
+    out = dict.fromkeys(names, everything)
+    todo = [n for n in names if not successors.get(n)]
+    waiting = set(todo)
+    at = 0
+    while at < len(todo):
+        n = todo[at]
+        at += 1
+        waiting.discard(n)
+        common = everything if successors.get(n) else 0
+        for t in successors.get(n, ()):
+            common &= out[t]
+        new = common | bit[n]
+        if new != out[n]:
+            out[n] = new
+            for p in before[n]:
+                if p not in waiting:
+                    waiting.add(p)
                     todo.append(p)
-        for n in seen:
-            escapes[n].add(b)
-    return escapes
+    return names, out
+
+
+def _members(names: list, bits: int):
+    while bits:
+        low = bits & -bits
+        yield names[low.bit_length() - 1]
+        bits ^= low
 
 
 def post_dominators(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """``(a, b)``: every way from ``a`` to an end passes ``b``, or ``a`` reaches no end without it; ``a`` itself left out."""
 
     def visit(proc, left, successors):
-        names = left["node"].tolist()
-        plain = {s: [r.dst for r in rs] for s, rs in successors.items()}
-        escapes = _post_dominated(names, plain)
-        for a in names:
-            for b in names:
-                if a != b and b not in escapes[a]:
-                    yield a, b
+        known = left["node"].tolist()
+        names, bits = _post_dominators(known, {s: [r.dst for r in rs] for s, rs in successors.items()})
+        place = {n: i for i, n in enumerate(names)}
+        for a in known:
+            for b in _members(names, bits[a] & ~(1 << place[a])):
+                yield a, b
 
     return per_procedure(nodes, arcs, "a long, b long", visit)
 
@@ -64,14 +83,16 @@ def control_dependence(nodes: DataFrame, arcs: DataFrame, traverse_all: bool = T
     """
 
     def visit(proc, left, successors):
-        names = left["node"].tolist()
         plain = {s: [r.dst for r in rs if traverse_all or r.kind == "EXEC"] for s, rs in successors.items()}
-        escapes = _post_dominated(names, plain)
+        names, bits = _post_dominators([*left["node"].tolist(), *(r.dst for rs in successors.values() for r in rs)], plain)
+        place = {n: i for i, n in enumerate(names)}
         for a, rs in successors.items():
             if len(rs) > 1:
-                for b in names:
-                    yes = sum(b == r.dst or b not in escapes[r.dst] for r in rs)
-                    if a != b and 0 < yes < len(rs):
-                        yield a, b
+                some, each = 0, -1
+                for r in rs:
+                    some |= bits[r.dst]
+                    each &= bits[r.dst]
+                for b in _members(names, some & ~each & ~(1 << place[a])):
+                    yield a, b
 
     return per_procedure(nodes, arcs, "a long, b long", visit)

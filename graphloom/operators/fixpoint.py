@@ -10,30 +10,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a round's news up to which they are broadcast instead of the tables they meet being shuffled: two ids each, some ten MB.
+SMALL = 100_000
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Cut lineage in the shared folder of ``spark.checkpoint.dir``. Where that is unset: a temporary folder on a local master, an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoint"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoint"))
     return df.checkpoint()
 
 
-def reach(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
-    """All ``(key, node)`` that ``seeds(key, node)`` reach over ``arcs(src, dst)``, seeds included.
+def news(step: DataFrame, n: int, seen: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``step``, distinct and about ``n``, that are not in ``seen``. Few rows go to where ``seen`` lies; else both are shuffled."""
+    if n > SMALL:
+        return step.join(seen, key, "left_anti")
+    known = seen.select(*key).join(F.broadcast(step.select(*key)), key, "left_semi")  # SMALL rows at most
+    return step.join(known, key, "left_anti")
+
+
+def reach(seeds: DataFrame, arcs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """All ``(key, node)`` that ``seeds(key, node)`` reach over ``arcs(src, dst)``, seeds included, and ``known``, which is not searched from.
 
     All keys advance together: a round joins only what the last one added.
+    While that is little it is broadcast, so arcs and what is known stay where
+    they are. Arcs are made distinct and written once.
+    """
+    key = ["key", "node"]
+    arcs = checkpoint(arcs.select("src", "dst").distinct())
+    seen = seeds.select(*key).distinct()
+    seen = delta = checkpoint(seen if known is None else seen.join(known, key, "left_anti"))
+    if known is not None:
+        seen = known.select(*key).union(delta)
+    n, rounds = delta.count(), 0
+    while n:
+        small = n <= SMALL
+        step = (F.broadcast(delta) if small else delta).join(arcs, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node")).distinct()
+        if small:
+            step = checkpoint(step)
+            delta = checkpoint(news(step, step.count(), seen, key))
+        else:
+            delta = checkpoint(step.join(seen, key, "left_anti"))
+        n = delta.count()
+        if n:
+            seen, rounds = seen.union(delta), rounds + 1
+            if rounds % 8 == 0:
+                seen = checkpoint(seen)
+    return seen
+
+
+def search(starts: DataFrame, arcs: DataFrame, walls: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(key, var, node)``: the marked nodes that searches visit.
+
+    A search ``starts(proc, key, var, node)`` from its nodes and follows
+    ``arcs(proc, src, dst)``, but not on from nodes that are a wall of its
+    variable, ``walls(proc, node, var)``. ``marks(proc, node, var)`` name what is
+    wanted, for one variable or, null, for all. Procedures of up to PROC_ARCS
+    arcs are searched a task each; larger ones by rounds of joins over all tasks.
     """
-    arcs = arcs.select("src", "dst").distinct()
-    seen = delta = checkpoint(seeds.select("key", "node").distinct())
-    rounds = 0
-    while True:
-        step = delta.join(arcs, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node")).distinct()
-        delta = checkpoint(step.join(seen, ["key", "node"], "left_anti"))
-        if delta.isEmpty():
-            return seen
-        seen, rounds = seen.union(delta), rounds + 1
-        if rounds % 8 == 0:
-            seen = checkpoint(seen)
+    arcs = arcs.select("proc", "src", "dst").distinct()
+    sizes = arcs.groupBy("proc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PROC_ARCS).select("proc")
+    large = checkpoint(sizes)
+    if large.isEmpty():
+        return _search_small(starts, arcs, walls, marks)
+    part = lambda df, how: df.join(large, "proc", how)
+    few = _search_small(*[part(df, "left_anti") for df in (starts, arcs, walls, marks)])
+    starts, arcs, walls, marks = (checkpoint(part(df, "left_semi")) for df in (starts, arcs, walls, marks))
+    key = ["key", "var", "node"]
+    seen = delta = checkpoint(starts.select(*key).distinct())
+    while not delta.isEmpty():
+        on = delta.join(walls.select("node", "var").distinct(), ["node", "var"], "left_anti")
+        step = on.join(arcs, F.col("node") == F.col("src")).select("key", "var", F.col("dst").alias("node")).distinct()
+        delta = checkpoint(step.join(seen, key, "left_anti"))
+        seen = checkpoint(seen.union(delta))
+    wanted = marks.select("node", F.col("var").alias("_var")).distinct()
+    return few.union(seen.join(wanted, "node").where("_var is null or _var = var").select(*key).distinct())
+
+
+PROC_ARCS = 50_000
+
+
+def _search_small(starts: DataFrame, arcs: DataFrame, walls: DataFrame, marks: DataFrame) -> DataFrame:
+    keys = starts.schema["key"].dataType.simpleString()
+    row = lambda df, role, k: df.select("proc", F.lit(role).alias("role"), F.col(k).alias("key") if k else F.lit(None).cast(keys).alias("key"), "node", "var")
+    left = row(starts, "start", "key").union(row(walls, "wall", None)).union(row(marks, "mark", None))
+
+    def visit(proc, left, successors):
+        role = {k: g for k, g in left.groupby("role")}
+        pairs = lambda k: set(zip(role[k]["node"], role[k]["var"], strict=True)) if k in role else set()
+        stop, wanted = pairs("wall"), pairs("mark")
+        for (k, var), g in role["start"].groupby(["key", "var"]) if "start" in role else ():
+            seen, todo = set(), list(g["node"])
+            while todo:
+                n = todo.pop()
+                if n in seen:
+                    continue
+                seen.add(n)
+                if (n, var) in wanted or (n, None) in wanted:
+                    yield k, var, n
+                if (n, var) not in stop:
+                    todo += [r.dst for r in successors.get(n, ())]
+
+    nodes = starts.schema["node"].dataType.simpleString()
+    return per_procedure(left, arcs, f"key {keys}, var {starts.schema['var'].dataType.simpleString()}, node {nodes}", visit)
 
 
 def per_procedure(nodes: DataFrame, arcs: DataFrame, schema: str, visit) -> DataFrame:

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fixpoint import checkpoint
 
 
 def ancestors(types: DataFrame, extends: DataFrame) -> DataFrame:
-    """``(type, ancestor, depth)``, each type its own ancestor at depth 0. ``extends(child, parent)`` has no cycle."""
-    out = delta = checkpoint(types.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("depth")))
+    """``(type, ancestor, depth)``, each type its own ancestor at depth 0, others at their least depth. ``extends(child, parent)`` may branch, meet again and even turn in a circle."""
+    extends = checkpoint(extends.select("child", "parent").distinct())
+    out = delta = checkpoint(types.select("type", F.col("type").alias("ancestor")).distinct().withColumn("depth", F.lit(0)))
+    depth = 0
     while True:
-        delta = checkpoint(delta.join(extends, F.col("ancestor") == F.col("child")).select("type", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
+        depth += 1
+        step = delta.join(extends, F.col("ancestor") == F.col("child")).select("type", F.col("parent").alias("ancestor")).distinct()
+        delta = checkpoint(step.join(out, ["type", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if delta.isEmpty():
             return out
         out = out.union(delta)
+        if depth % 8 == 0:
+            out = checkpoint(out)
 
 
 def nearest_member(closure: DataFrame, members: DataFrame) -> DataFrame:
-    """``(type, name, owner)``: for each type and member name the nearest ancestor that has it; own ones shadow inherited ones."""
-    order = Window.partitionBy("type", "name").orderBy("depth")
+    """``(type, name, owner)``: for each type and member name the nearest ancestor that has it; own ones shadow inherited ones, and of several as near the first by name counts."""
     found = closure.join(members, F.col("ancestor") == F.col("owner"))
-    return found.withColumn("place", F.row_number().over(order)).where("place = 1").select("type", "name", "owner")
+    return found.groupBy("type", "name").agg(F.min_by("owner", F.struct("depth", "owner")).alias("owner"))
 
 
 def polymorphic_targets(calls: DataFrame, closure: DataFrame, members: DataFrame) -> DataFrame:

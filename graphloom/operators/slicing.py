@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import per_procedure, reach
+from .fixpoint import checkpoint, per_procedure, reach
 
 
 def _backward(arcs: DataFrame) -> DataFrame:
     return arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
-    """``(criterion_id, node_id)``: what may affect each of ``criteria(key, node)``.
+def passes(criteria: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, node)`` after the first pass, and after both, of ``criteria(key, node)``.
 
     The first pass leaves out arcs that come back out of callees, the second
-    those that go into them; it starts from all the first has found.
+    those that go into them; it starts from all the first has found. Only arcs
+    that the first left out lead anywhere new, so the second begins with them.
     """
-    first = reach(criteria, _backward(arcs.where("not is_inter_out")))
-    both = reach(first, _backward(arcs.where("not is_inter_in")))
-    return both.select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
+    arcs = checkpoint(arcs.select("src", "dst", "is_inter_in", "is_inter_out"))
+    first = checkpoint(reach(criteria, _backward(arcs.where("not is_inter_out"))))
+    out = _backward(arcs.where("is_inter_out and not is_inter_in")).distinct()
+    entered = first.join(out, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node"))
+    return first, reach(entered, _backward(arcs.where("not is_inter_in")), first)
+
+
+def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
+    """``(criterion_id, node_id)``: what may affect each of ``criteria(key, node)``; see :func:`passes`."""
+    return passes(criteria, arcs)[1].select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
 
 
 def intra(criteria: DataFrame, arcs: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def structural_closure(s, d):
 @query(f"WITH RECURSIVE {ARCS}, criteria AS (SELECT 'c:' || c_custkey AS key, 'c:' || c_custkey AS node FROM customer), {SLICE} SELECT key AS criterion_id, node AS node_id FROM two")
 def slice_batch(s, d):
     c = b.table(s, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))
-    return slicing.two_pass(c.select("key", F.col("key").alias("node")), checkpoint(b.fk_arcs(s, d)))
+    return slicing.two_pass(c.select("key", F.col("key").alias("node")), b.fk_arcs(s, d))
 
 
 @query(f"WITH RECURSIVE {ARCS}, criteria AS (SELECT min('l:' || l_orderkey || '-' || l_linenumber) AS key, min('l:' || l_orderkey || '-' || l_linenumber) AS node FROM lineitem), {SLICE} SELECT key AS criterion_id, node AS node_id FROM two")
@@ -143,9 +143,9 @@ def slice_intra(s, d):
 def slice_variant_sizes(s, d):
     arcs = checkpoint(b.fk_arcs(s, d))
     c = b.table(s, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))
-    seeds = c.select("key", F.col("key").alias("node"))
-    first = reach(seeds, arcs.where("not is_inter_out").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy(F.col("key").alias("criterion_id")).agg(F.count(F.lit(1)).alias("n_first"))
-    return first.join(slicing.two_pass(seeds, arcs).groupBy("criterion_id").agg(F.count(F.lit(1)).alias("n_both")), "criterion_id")
+    size = lambda df, name: df.groupBy(F.col("key").alias("criterion_id")).agg(F.count(F.lit(1)).alias(name))
+    first, both = slicing.passes(c.select("key", F.col("key").alias("node")), arcs)
+    return size(first, "n_first").join(size(both, "n_both"), "criterion_id")
 
 
 @query(f"WITH {EVENTS} SELECT src AS node_id FROM cfg GROUP BY src HAVING count(*) > 1")
