@@ -74,6 +74,21 @@ def event_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_nodes(spark, sf_dir).withColumn("op", op).where("op is not null").select("proc", "node", "pos", "var", "op", (F.col("kind") == "click").alias("optional"))
 
 
+def event_actions_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(proc, node, pos, var, op, optional)`` with two actions a node: a view reads two variables, a purchase reads one and sets it, a signup sets and reads, a click may set one and sets another."""
+    n = event_nodes(spark, sf_dir)
+    other = ((F.col("var").cast("long") + 1) % 7).cast("string")
+    action = lambda i, var, op, optional=F.lit(False): F.struct(F.lit(i).alias("i"), var.alias("v"), F.lit(op).alias("op"), optional.alias("optional"))
+    own = F.col("var")
+    both = (
+        F.when(F.col("kind") == "view", F.array(action(1, own, "USE"), action(2, other, "USE")))
+        .when(F.col("kind") == "purchase", F.array(action(1, own, "USE"), action(2, own, "DEF", F.col("value") < 50)))
+        .when(F.col("kind") == "signup", F.array(action(1, own, "DEF"), action(2, own, "USE")))
+        .when(F.col("kind") == "click", F.array(action(1, own, "DEF", F.lit(True)), action(2, other, "DEF")))
+    )
+    return n.select("proc", "node", "pos", F.explode(both).alias("a")).select("proc", "node", (F.col("pos") * 10 + F.col("a.i")).alias("pos"), F.col("a.v").alias("var"), F.col("a.op").alias("op"), F.col("a.optional").alias("optional"))
+
+
 def turn_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(caller, callee)``: a user turn calls the assistant's answer that follows."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()

@@ -207,6 +207,40 @@ def completely_defined_uses(s, d):
     return dataflow.completely_defined(b.event_actions(s, d), b.event_arcs(s, d))
 
 
+# Several actions a node: a view reads two variables, a purchase reads one and then sets it, a click may set two.
+MANY = """
+act AS (
+  SELECT proc, node, pos * 10 + i AS pos, v AS var, op, optional FROM ev, unnest(CASE kind
+    WHEN 'view' THEN [{'i': 1, 'v': var, 'op': 'USE', 'optional': FALSE}, {'i': 2, 'v': CAST((CAST(var AS BIGINT) + 1) % 7 AS VARCHAR), 'op': 'USE', 'optional': FALSE}]
+    WHEN 'purchase' THEN [{'i': 1, 'v': var, 'op': 'USE', 'optional': FALSE}, {'i': 2, 'v': var, 'op': 'DEF', 'optional': value < 50}]
+    WHEN 'signup' THEN [{'i': 1, 'v': var, 'op': 'DEF', 'optional': FALSE}, {'i': 2, 'v': var, 'op': 'USE', 'optional': FALSE}]
+    WHEN 'click' THEN [{'i': 1, 'v': var, 'op': 'DEF', 'optional': TRUE}, {'i': 2, 'v': CAST((CAST(var AS BIGINT) + 1) % 7 AS VARCHAR), 'op': 'DEF', 'optional': FALSE}]
+    ELSE [] END) AS u(a), (SELECT unnest(a)) AS x(i, v, op, optional))"""
+BACK_MANY = """
+pred AS (SELECT src, dst FROM cfg WHERE kind = 'EXEC'),
+defs AS (SELECT node, var, bool_or(NOT optional) AS kills FROM act WHERE op = 'DEF' GROUP BY ALL),
+uses AS (
+  SELECT u.node AS use_id, u.var, u.pos, bool_or(d.node IS NOT NULL) AS met, bool_or(d.node IS NOT NULL AND NOT d.optional) AS ended
+  FROM act u LEFT JOIN act d ON d.node = u.node AND d.var = u.var AND d.op = 'DEF' AND d.pos < u.pos WHERE u.op = 'USE' GROUP BY ALL),
+back AS (
+  SELECT use_id, var, src AS n FROM uses JOIN pred ON dst = use_id WHERE NOT ended
+  UNION SELECT use_id, back.var, src FROM back JOIN pred ON dst = n LEFT JOIN defs k ON k.node = n AND k.var = back.var AND k.kills WHERE k.node IS NULL),
+met AS (
+  SELECT use_id, n AS def_id, back.var FROM back JOIN defs ON defs.node = n AND defs.var = back.var
+  UNION SELECT use_id, use_id, var FROM uses WHERE met)"""
+_EVENTS_MANY = EVENTS[: EVENTS.index("act AS (")] + MANY
+
+
+@query(f"WITH RECURSIVE {_EVENTS_MANY}, {BACK_MANY} SELECT DISTINCT use_id, def_id FROM met")
+def reaching_defs_many(s, d):
+    return dataflow.reaching(b.event_actions_many(s, d), b.event_arcs(s, d))
+
+
+@query(f"WITH RECURSIVE {_EVENTS_MANY}, {BACK_MANY} SELECT def_id AS src, use_id AS dst, var AS label FROM met")
+def data_dependence_many(s, d):
+    return dataflow.data_dependence(b.event_actions_many(s, d), b.event_arcs(s, d))
+
+
 @query(f"WITH RECURSIVE {EVENTS}, {BACK} SELECT n AS src, use_id AS dst, back.var AS label FROM back JOIN act a ON a.node = n AND a.var = back.var AND a.op = 'DEF'")
 def data_dependence(s, d):
     return dataflow.data_dependence(b.event_actions(s, d), b.event_arcs(s, d))
@@ -486,10 +520,10 @@ def uncaught_exceptions(s, d):
     return exceptions.uncaught(*_thrown(s, d))
 
 
-@query(f"WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg WHERE kind = 'EXEC'), {ESCAPES}, ret AS (SELECT proc AS call, node FROM ev WHERE kind = 'view' AND pos <= 12) SELECT call, min(y.node) AS target FROM (SELECT call, e.node, count(*) AS n FROM ret JOIN ev e ON e.proc = call LEFT JOIN esc ON esc.n = ret.node AND esc.b = e.node WHERE ret.node = e.node OR esc.n IS NULL GROUP BY ALL) y JOIN (SELECT call, count(*) AS n FROM ret GROUP BY call) USING (call, n) GROUP BY call")
+@query(f"WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg WHERE kind = 'EXEC'), {ESCAPES}, ret AS (SELECT proc AS call, node FROM ev WHERE kind = 'view') SELECT call, min(y.node) AS target FROM (SELECT call, e.node, count(*) AS n FROM ret JOIN ev e ON e.proc = call LEFT JOIN esc ON esc.n = ret.node AND esc.b = e.node WHERE ret.node = e.node OR esc.n IS NULL GROUP BY ALL) y JOIN (SELECT call, count(*) AS n FROM ret GROUP BY call) USING (call, n) GROUP BY call")
 def return_targets(s, d):
     nodes = checkpoint(b.event_nodes(s, d))
-    returns = nodes.where("kind = 'view' and pos <= 12").select(F.col("proc").alias("call"), "node")
+    returns = nodes.where("kind = 'view'").select(F.col("proc").alias("call"), "node")
     return exceptions.return_targets(control.post_dominators(nodes, b.event_arcs(s, d).where("kind = 'EXEC'")), returns)
 
 
