@@ -30,3 +30,8 @@ def colour(kind: Column, is_in: Column, is_out: Column) -> Column:
     for k, c in COLOURS.items():
         out = out.when(kind == k, c)
     return out.otherwise("black")
+
+
+def default_value(type_name: Column) -> Column:
+    """What a field of a type holds before it is set, as source text."""
+    return F.when(type_name == "boolean", "false").when(type_name.isin("byte", "short", "int", "long", "float", "double", "char"), "0").otherwise("null")

@@ -56,3 +56,13 @@ def pseudo_predicate(criteria: DataFrame, arcs: DataFrame, pseudo: DataFrame) ->
                 yield c, n
 
     return per_procedure(criteria, marked, "criterion_id long, node_id long", visit)
+
+
+def without_objects(arcs: DataFrame) -> DataFrame:
+    """The arcs of the variant that knows no objects: no object flow, no total definitions."""
+    return arcs.where("kind not in ('OBJECT_FLOW', 'TOTAL_DEF')")
+
+
+def without_conditions(arcs: DataFrame) -> DataFrame:
+    """The arcs of the variant that knows no conditional control dependence."""
+    return arcs.where("kind not in ('CC1', 'CC2')")

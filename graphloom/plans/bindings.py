@@ -89,6 +89,40 @@ def event_actions_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("proc", "node", "pos", F.explode(both).alias("a")).select("proc", "node", (F.col("pos") * 10 + F.col("a.i")).alias("pos"), F.col("a.v").alias("var"), F.col("a.op").alias("op"), F.col("a.optional").alias("optional"))
 
 
+#: A procedure in rows ``node, parent, part, pos, kind, label, target``: a labelled loop with a branch, a switch and jumps, a loop that counts, one that tests last, and a return.
+PROGRAM = [
+    ("1", None, None, 1, "plain", None, None),
+    ("2", None, None, 2, "while", "outer", None),
+    ("3", "2", "body", 1, "if", None, None),
+    ("4", "3", "then", 1, "continue", None, None),
+    ("5", "3", "else", 1, "plain", None, None),
+    ("6", "2", "body", 2, "switch", None, None),
+    ("7", "6", "0", 1, "case", "one", None),
+    ("8", "6", "0", 2, "plain", None, None),
+    ("9", "6", "1", 1, "case", "two", None),
+    ("10", "6", "1", 2, "break", None, None),
+    ("11", "6", "2", 1, "case", "default", None),
+    ("12", "6", "2", 2, "break", None, "outer"),
+    ("13", "2", "body", 3, "for", None, None),
+    ("14", "13", "body", 1, "if", None, None),
+    ("15", "14", "then", 1, "break", None, None),
+    ("16", "13", "update", 1, "plain", None, None),
+    ("17", None, None, 3, "do", None, None),
+    ("18", "17", "body", 1, "plain", None, None),
+    ("19", None, None, 4, "return", None, None),
+    ("20", None, None, 5, "plain", None, None),
+]
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PROGRAM once for each nation, as :func:`operators.cfg.control_flow` takes it."""
+    names = ("node", "parent", "part", "pos", "kind", "label", "target")
+    each = F.array(*[F.struct(*[F.lit(v).cast("int" if k == "pos" else "string").alias(k) for k, v in zip(names, r, strict=True)]) for r in PROGRAM])
+    out = table(spark, sf_dir, "nation").select(F.col("n_name").alias("proc"), F.explode(each).alias("s")).select("proc", "s.*")
+    named = lambda c: F.concat("proc", F.lit("-"), c)
+    return out.withColumns({"node": named("node"), "parent": named("parent")})
+
+
 def turn_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(caller, callee)``: a user turn calls the assistant's answer that follows."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import constrained, control, dataflow, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
+from .functions import names
+from .operators import cfg, constrained, control, dataflow, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -65,6 +66,7 @@ TYPES = """
 ext AS (SELECT DISTINCT substring(p_brand, 1, n) AS child, substring(p_brand, 1, n - 1) AS parent FROM part, unnest(range(7, length(p_brand) + 1)) AS u(n)),
 types AS (SELECT child AS type FROM ext UNION SELECT parent FROM ext),
 up AS (SELECT type, type AS ancestor, 0 AS depth FROM types UNION ALL SELECT type, parent, depth + 1 FROM up JOIN ext ON ancestor = child)"""
+TYPES_ONLY = TYPES[: TYPES.index(",\nup AS")]
 MEMBERS = """
 members AS (SELECT DISTINCT substring(p_brand, 1, 6) AS owner, p_type AS name FROM part UNION SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 45)"""
 PATHS = """
@@ -303,9 +305,138 @@ def poly_call_edges(s, d):
     return hierarchy.polymorphic_targets(calls, checkpoint(_closure(s, d)), _members(s, d))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {TYPES_ONLY} SELECT type, 'new ' || type AS constructor FROM types WHERE type NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size <= 3)")
 def implicit_ctor_anti(s, d):
-    return b.table(s, d, "customer").join(b.table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+    """Brands with a small part declare a constructor."""
+    return hierarchy.implicit_constructors(_types(s, d), b.table(s, d, "part").where("p_size <= 3").select(F.col("p_brand").alias("type")))
+
+
+def _types(s, d):
+    ext = b.brand_types(s, d)
+    return ext.select(F.col("child").alias("type")).union(ext.select("parent")).distinct()
+
+
+_DECLARED = "decl AS (SELECT child, parent FROM ext UNION SELECT 'Brand#', 'Object' UNION SELECT child, 'Aardvark' FROM ext WHERE length(child) = 7)"
+
+
+def _declared(s, d):
+    """Parents as written: two of them are not in the program."""
+    ext = b.brand_types(s, d)
+    more = ext.where("length(child) = 7").select("child", F.lit("Aardvark"))
+    return ext.union(ext.select(F.lit("Brand#"), F.lit("Object")).distinct()).union(more).distinct()
+
+
+@query(f"WITH {TYPES_ONLY}, {MEMBERS}, {_DECLARED} SELECT child AS src, parent AS dst, 'EXTENDS' AS kind FROM decl WHERE parent IN (SELECT type FROM types) UNION SELECT owner, owner || '.' || name, 'MEMBER' FROM members WHERE owner IN (SELECT type FROM types)")
+def class_arcs(s, d):
+    return hierarchy.class_arcs(_types(s, d), _declared(s, d), _members(s, d))
+
+
+@query(f"WITH {TYPES_ONLY}, {_DECLARED} SELECT child AS type, min(parent) AS parent FROM decl WHERE parent IN (SELECT type FROM types) GROUP BY child")
+def parent_of(s, d):
+    return hierarchy.parents(_types(s, d), _declared(s, d))
+
+
+@query(f"WITH {TYPES_ONLY}, {MEMBERS} SELECT '\"' || src || '\" -> \"' || dst || '\" [style=' || CASE kind WHEN 'MEMBER' THEN 'dashed' ELSE 'solid' END || '];' AS line FROM (SELECT child AS src, parent AS dst, 'EXTENDS' AS kind FROM ext UNION SELECT owner, owner || '.' || name, 'MEMBER' FROM members WHERE owner IN (SELECT type FROM types))")
+def render_class_dot(s, d):
+    return graphs.class_dot_lines(hierarchy.class_arcs(_types(s, d), b.brand_types(s, d), _members(s, d)))
+
+
+@query(f"WITH RECURSIVE {TYPES}, {MEMBERS} SELECT DISTINCT m.owner, m.name, o.owner AS overrider FROM members m JOIN up ON up.ancestor = m.owner JOIN members o ON o.owner = up.type AND o.name = m.name")
+def overridden_set(s, d):
+    return hierarchy.overridden(_closure(s, d), _members(s, d))
+
+
+@query(f"WITH RECURSIVE {TYPES}, {MEMBERS}, {_NEAR}, f AS (SELECT owner, name, 'Brand#' || (length(name) % 9) AS field_type FROM members) SELECT near.type, near.name, near.owner, near.owner <> near.type AS inherited, t.type AS linked FROM near JOIN f USING (owner, name) LEFT JOIN types t ON t.type = field_type")
+def visible_fields(s, d):
+    fields = _members(s, d).withColumn("field_type", F.concat(F.lit("Brand#"), (F.length("name") % 9).cast("string")))
+    return hierarchy.visible_fields(checkpoint(_closure(s, d)), fields)
+
+
+@query(f"WITH RECURSIVE {TYPES}, a AS (SELECT p_partkey AS action, CASE WHEN p_partkey % 5 = 0 THEN 'Object' ELSE substring(p_brand, 1, 7) END AS static_type FROM part) SELECT DISTINCT action, coalesce(type, static_type) AS type FROM a LEFT JOIN up ON ancestor = static_type")
+def dynamic_types(s, d):
+    static = F.when(F.col("p_partkey") % 5 == 0, "Object").otherwise(F.substring("p_brand", 1, 7))
+    return hierarchy.dynamic_types(b.table(s, d, "part").select(F.col("p_partkey").alias("action"), static.alias("static_type")), _closure(s, d))
+
+
+@query(f"WITH RECURSIVE {TYPES}, c AS (SELECT p_partkey AS cast, p_brand AS cast_type, substring(p_brand, 1, 5 + CAST(p_partkey % 4 AS INTEGER)) AS value_type FROM part) SELECT c.cast FROM c WHERE EXISTS (SELECT 1 FROM up WHERE type = cast_type AND ancestor = value_type AND depth > 0)")
+def down_casts(s, d):
+    casts = b.table(s, d, "part").select(F.col("p_partkey").alias("cast"), F.col("p_brand").alias("cast_type"), F.expr("substring(p_brand, 1, 5 + int(p_partkey % 4))").alias("value_type"))
+    return hierarchy.down_casts(casts, _closure(s, d))
+
+
+@query(f"WITH {TYPES_ONLY} SELECT p_partkey AS action FROM part WHERE substring(p_brand, 1, 5 + CAST(p_partkey % 4 AS INTEGER)) IN (SELECT type FROM types)")
+def type_in_graph(s, d):
+    named = b.table(s, d, "part").select(F.col("p_partkey").alias("action"), F.expr("substring(p_brand, 1, 5 + int(p_partkey % 4))").alias("type"))
+    return named.join(_types(s, d), "type", "left_semi").select("action")
+
+
+_SCOPED = "calls AS (SELECT p_partkey AS call_id, CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'this' WHEN 2 THEN 'outer' WHEN 3 THEN 'super' ELSE 'value' END AS scope, p_brand AS inside, substring(p_brand, 1, 7) AS static_type, p_type AS name FROM part)"
+
+
+@query(f"""WITH RECURSIVE {TYPES}, {MEMBERS}, {_NEAR}, {_SCOPED},
+picked AS (
+  SELECT call_id, o.owner, calls.name FROM calls JOIN near ON near.type = inside AND near.name = calls.name JOIN up ON up.ancestor = near.owner JOIN members o ON o.owner = up.type AND o.name = calls.name WHERE scope = 'none'
+  UNION SELECT call_id, near.owner, calls.name FROM calls JOIN up ON up.ancestor = CASE WHEN scope = 'this' THEN inside WHEN scope IN ('outer', 'value') THEN static_type END JOIN near ON near.type = up.type AND near.name = calls.name
+  UNION SELECT call_id, near.owner, calls.name FROM calls JOIN ext ON child = inside JOIN near ON near.type = parent AND near.name = calls.name WHERE scope = 'super')
+SELECT DISTINCT call_id, owner || '.' || name AS target FROM picked""")
+def call_candidates(s, d):
+    k = F.col("p_partkey") % 5
+    scope = F.when(k == 0, "none").when(k == 1, "this").when(k == 2, "outer").when(k == 3, "super").otherwise("value")
+    calls = b.table(s, d, "part").select(F.col("p_partkey").alias("call_id"), scope.alias("scope"), F.col("p_brand").alias("inside"), F.substring("p_brand", 1, 7).alias("static_type"), F.col("p_type").alias("name"))
+    types, ext = _types(s, d), b.brand_types(s, d)
+    return hierarchy.call_candidates(calls, checkpoint(_closure(s, d)), _members(s, d), hierarchy.parents(types, ext))
+
+
+@query(f"WITH {MEMBERS} SELECT p_partkey AS call_id, p_brand || '.' || p_type AS target FROM part WHERE p_brand || '.' || p_type IN (SELECT owner || '.' || name FROM members)")
+def single_target_calls(s, d):
+    name = lambda owner, member: F.concat_ws(".", owner, member).alias("target")
+    return hierarchy.single_targets(b.table(s, d, "part").select(F.col("p_partkey").alias("call_id"), name("p_brand", "p_type")), _members(s, d).select(name("owner", "name")))
+
+
+@query("SELECT l_partkey AS key, min_by(l_orderkey || '-' || l_linenumber, [CASE l_linestatus WHEN 'O' THEN '1' ELSE '0' END, l_orderkey || '-' || l_linenumber]) AS node_id FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey")
+def node_lookup_dedupe(s, d):
+    """Lines of a part are nodes of one piece of source; open ones are synthetic."""
+    line = b.table(s, d, "lineitem")
+    nodes = line.select(F.col("l_partkey").alias("key"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("node_id"), (F.col("l_linestatus") == "O").alias("synthetic"))
+    return graphs.by_key(line.where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("key")), nodes)
+
+
+_ROOT_KIND = "['ACTUAL_IN', 'FORMAL_IN', 'FORMAL_OUT', 'ACTUAL_OUT', 'OUTPUT', 'CALL_RETURN']"
+
+
+@query(f"WITH k AS (SELECT o_orderkey AS n, ({_ROOT_KIND})[CAST(o_orderkey % 6 AS INTEGER) + 1] AS kind FROM orders), a AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst FROM orders) SELECT src, dst, s.kind = 'ACTUAL_IN' AND t.kind = 'FORMAL_IN' AS is_in, (s.kind = 'FORMAL_OUT' AND t.kind = 'ACTUAL_OUT') OR (s.kind = 'OUTPUT' AND t.kind = 'CALL_RETURN') AS is_out FROM a JOIN k s ON s.n = src JOIN k t ON t.n = dst")
+def param_inout(s, d):
+    o = b.table(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("src"))
+    arcs = o.withColumn("dst", F.lead("src").over(Window.partitionBy("o_custkey").orderBy("src"))).where("dst is not null")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("ACTUAL_IN", "FORMAL_IN", "FORMAL_OUT", "ACTUAL_OUT", "OUTPUT", "CALL_RETURN")]), (F.col("src") % 6 + 1).cast("int"))
+    return graphs.inout_direction(arcs, o.select(F.col("src").alias("node"), kind.alias("root_kind")))
+
+
+@query("SELECT p_partkey AS field, CASE p_size % 3 WHEN 0 THEN 'false' WHEN 1 THEN '0' ELSE 'null' END AS value FROM part")
+def default_values(s, d):
+    java = F.when(F.col("p_size") % 3 == 0, "boolean").when(F.col("p_size") % 3 == 1, "long").otherwise(F.col("p_brand"))
+    return b.table(s, d, "part").select(F.col("p_partkey").alias("field"), names.default_value(java).alias("value"))
+
+
+_FLOW = [(s, t) for s, targets in {"enter": "1", "1": "2", "2": "3 18", "3": "4 5", "4": "2", "5": "6", "6": "7 9 11", "7": "8", "8": "9", "9": "10", "10": "13", "11": "12", "12": "18", "13": "2 14", "14": "15 16", "15": "2", "16": "13", "17": "18 19", "18": "17", "19": "exit", "20": "exit"}.items() for t in targets.split()]
+_JUMPS_ON = [("enter", "exit"), ("4", "6"), ("7", "11"), ("9", "11"), ("10", "11"), ("12", "13"), ("15", "16"), ("19", "20")]
+
+
+def _program_sql(arcs: list[tuple[str, str, str]]) -> str:
+    """Arcs worked out by hand, for each nation."""
+    end = lambda c: f"CASE WHEN {c} IN ('enter', 'exit') THEN {c} || ':' || n_name ELSE n_name || '-' || {c} END"
+    rows = ", ".join(f"('{x}', '{y}', '{k}')" for x, y, k in arcs)
+    return f"SELECT n_name AS proc, {end('a')} AS src, {end('b')} AS dst, k AS kind FROM nation, (VALUES {rows}) AS v(a, b, k)"
+
+
+@query(_program_sql([(*x, "EXEC") for x in _FLOW]))
+def cfg_statements(s, d):
+    return cfg.control_flow(b.statements(s, d))
+
+
+@query(_program_sql([(*x, "EXEC") for x in _FLOW] + [(*x, "NONEXEC") for x in _JUMPS_ON]))
+def acfg_statements(s, d):
+    return cfg.control_flow(b.statements(s, d), augmented=True)
 
 
 def _paths(s, d):
@@ -541,3 +672,43 @@ def conditional_control_dependence(s, d):
     held = lambda first: c.withColumn("pos", F.explode(F.sequence(F.col("at") + first, F.col("at") + 3))).join(nodes.select("proc", "pos", "node"), ["proc", "pos"]).select("catch", "node")
     thrown = nodes.where("kind = 'error'").select("node")
     return exceptions.conditional_dependence(cd, c.select(F.col("catch").alias("node")), held(1), held(-12), thrown, control.pseudo_predicates(arcs).select(F.col("node_id").alias("node")))
+
+
+@query(f"WITH {PATHS}, cut AS (SELECT DISTINCT tree, CASE WHEN depth = 1 THEN '/' ELSE substring(path, length(tree) + 2, 1) END AS path FROM paths), f AS (SELECT tree, string_agg(path, '|' ORDER BY path) AS form FROM cut GROUP BY tree) SELECT tree AS a, nxt AS b FROM (SELECT tree, lead(tree) OVER (PARTITION BY form ORDER BY tree) AS nxt FROM f) WHERE nxt IS NOT NULL")
+def tree_equality(s, d):
+    """Hosts whose addresses begin with the same letters."""
+    cut = F.when(F.col("depth") == 1, "/").otherwise(F.expr("substring(path, length(tree) + 2, 1)"))
+    return graphs.equal_trees(_paths(s, d).select("tree", cut.alias("path")))
+
+
+@query(f"WITH RECURSIVE {_DIRECT}, used AS (SELECT 'o:' || o_orderkey AS proc, o_orderstatus AS var FROM orders UNION SELECT caller, used.var FROM used JOIN calls ON callee = used.proc LEFT JOIN own ON own.proc = caller AND own.var = used.var WHERE own.var IS NULL) SELECT proc, var FROM used")
+def interproc_uses(s, d):
+    calls = b.fk_arcs(s, d).where("kind = 'CALL' or kind = 'STRUCTURAL' and dst not like 's:%'").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    direct = b.table(s, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("proc"), F.col("o_orderstatus").alias("var"))
+    own = b.table(s, d, "customer").where("c_acctbal < 3000").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("proc"), F.lit("1-URGENT").alias("var"))
+    return interproc.propagate(direct, calls, own)
+
+
+def _object_arcs(s, d):
+    """Arcs of orders as object flow, of parts as conditional dependence."""
+    kind = F.when(F.col("src").startswith("p:"), "CC2").when(F.col("src").startswith("o:"), "OBJECT_FLOW").otherwise(F.col("kind"))
+    return b.fk_arcs(s, d).withColumn("kind", kind)
+
+
+def _variant(keep):
+    return f"WITH RECURSIVE {ARCS.replace('arcs AS', 'every AS')}, arcs AS (SELECT * FROM every WHERE {keep}), criteria AS (SELECT 'c:' || c_custkey AS key, 'c:' || c_custkey AS node FROM customer), {SLICE} SELECT key AS criterion_id, node AS node_id FROM two"
+
+
+def _of_customers(s, d, arcs):
+    c = b.table(s, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))
+    return slicing.two_pass(c.select("key", F.col("key").alias("node")), arcs)
+
+
+@query(_variant("src NOT LIKE 'o:%'"))
+def slice_without_objects(s, d):
+    return _of_customers(s, d, slicing.without_objects(_object_arcs(s, d)))
+
+
+@query(_variant("src NOT LIKE 'p:%'"))
+def slice_without_conditions(s, d):
+    return _of_customers(s, d, slicing.without_conditions(_object_arcs(s, d)))
