@@ -47,15 +47,19 @@ def reach(seeds: DataFrame, arcs: DataFrame, known: DataFrame | None = None) ->
     if known is not None:
         seen = known.select(*key).union(delta)
     n, rounds = delta.count(), 0
+    total = n if known is None else n + known.count()
     while n:
         small = n <= SMALL
         step = (F.broadcast(delta) if small else delta).join(arcs, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node")).distinct()
-        if small:
+        if total <= SMALL:
+            delta = checkpoint(step.join(F.broadcast(seen), key, "left_anti"))  # SMALL rows at most
+        elif small:
             step = checkpoint(step)
             delta = checkpoint(news(step, step.count(), seen, key))
         else:
             delta = checkpoint(step.join(seen, key, "left_anti"))
         n = delta.count()
+        total += n
         if n:
             seen, rounds = seen.union(delta), rounds + 1
             if rounds % 8 == 0:

@@ -129,8 +129,8 @@ def slice_batch(s, d):
 
 @query(f"WITH RECURSIVE {ARCS}, criteria AS (SELECT min('l:' || l_orderkey || '-' || l_linenumber) AS key, min('l:' || l_orderkey || '-' || l_linenumber) AS node FROM lineitem), {SLICE} SELECT key AS criterion_id, node AS node_id FROM two")
 def slice_two_pass(s, d):
-    arcs = checkpoint(b.fk_arcs(s, d))
-    c = arcs.where("dst like 'l:%'").agg(F.min("dst").alias("key"))
+    arcs = b.fk_arcs(s, d)
+    c = b.table(s, d, "lineitem").agg(F.min(F.concat(F.lit("l:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))).alias("key"))
     return slicing.two_pass(c.select("key", F.col("key").alias("node")), arcs)
 
 
@@ -143,7 +143,7 @@ def slice_intra(s, d):
 
 @query(f"WITH RECURSIVE {ARCS}, criteria AS (SELECT 'c:' || c_custkey AS key, 'c:' || c_custkey AS node FROM customer), {SLICE} SELECT key AS criterion_id, (SELECT count(*) FROM one WHERE one.key = two.key) AS n_first, count(*) AS n_both FROM two GROUP BY key")
 def slice_variant_sizes(s, d):
-    arcs = checkpoint(b.fk_arcs(s, d))
+    arcs = b.fk_arcs(s, d)
     c = b.table(s, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("key"))
     size = lambda df, name: df.groupBy(F.col("key").alias("criterion_id")).agg(F.count(F.lit(1)).alias(name))
     first, both = slicing.passes(c.select("key", F.col("key").alias("node")), arcs)
