@@ -123,6 +123,54 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"node": named("node"), "parent": named("parent")})
 
 
+#: One part's statement by form: ``(form, expr, parent, pos, kind, name)``; names are columns of the part.
+FORMS = [
+    (0, "1", None, 1, "assign", None),  # type = brand + size
+    (0, "2", "1", 1, "name", "type"),
+    (0, "3", "1", 2, "plus", None),
+    (0, "4", "3", 1, "name", "brand"),
+    (0, "5", "3", 2, "name", "size"),
+    (1, "1", None, 1, "assign_op", None),  # type[size] += brand++
+    (1, "2", "1", 1, "array", None),
+    (1, "3", "2", 1, "name", "type"),
+    (1, "4", "2", 2, "name", "size"),
+    (1, "5", "1", 2, "post", None),
+    (1, "6", "5", 1, "name", "brand"),
+    (2, "1", None, 1, "declare", "type"),  # var type = brand ? ++size : brand
+    (2, "2", "1", 1, "choice", None),
+    (2, "3", "2", 1, "name", "brand"),
+    (2, "4", "2", 2, "pre", None),
+    (2, "5", "4", 1, "name", "size"),
+    (2, "6", "2", 3, "name", "brand"),
+    (3, "1", None, 1, "return", None),  # return type && (brand || size)
+    (3, "2", "1", 1, "logic", None),
+    (3, "3", "2", 1, "name", "type"),
+    (3, "4", "2", 2, "inner", None),
+    (3, "5", "4", 1, "logic", None),
+    (3, "6", "5", 1, "name", "brand"),
+    (3, "7", "5", 2, "name", "size"),
+    (4, "1", None, 1, "foreach", "type"),  # for (var type : brand)
+    (4, "2", "1", 1, "name", "brand"),
+    (5, "1", None, 1, "throw", None),  # throw call(type, size)
+    (5, "2", "1", 1, "call", None),
+    (5, "3", "2", 1, "name", "type"),
+    (5, "4", "2", 2, "name", "size"),
+    (6, "1", None, 1, "declare", "type"),  # var type; parameter brand
+    (6, "2", None, 2, "parameter", "brand"),
+]
+
+
+def part_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each part, as :func:`operators.actions.expression_actions` takes it; its key says which of FORMS."""
+    names = ("form", "expr", "parent", "pos", "kind", "name")
+    each = F.array(*[F.struct(*[F.lit(v).cast("int" if k in ("form", "pos") else "string").alias(k) for k, v in zip(names, r, strict=True)]) for r in FORMS])
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("node"), (F.col("p_partkey") % 7).alias("f"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("size"))
+    out = part.select("*", F.explode(F.filter(each, lambda x: x["form"] == F.col("f"))).alias("s"))
+    named = lambda c: F.concat("node", F.lit("-"), F.col(f"s.{c}")).alias(c)
+    var = F.when(F.col("s.name") == "type", F.col("type")).when(F.col("s.name") == "brand", F.col("brand")).when(F.col("s.name") == "size", F.col("size"))
+    return out.select("node", named("expr"), named("parent"), "s.pos", "s.kind", var.alias("name"))
+
+
 def turn_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(caller, callee)``: a user turn calls the assistant's answer that follows."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import cfg, constrained, control, dataflow, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
+from .operators import actions, cfg, constrained, control, dataflow, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -712,3 +712,20 @@ def slice_without_objects(s, d):
 @query(_variant("src NOT LIKE 'p:%'"))
 def slice_without_conditions(s, d):
     return _of_customers(s, d, slicing.without_conditions(_object_arcs(s, d)))
+
+
+_FORM_ACTIONS = """
+forms(form, pos, name, op, optional) AS (VALUES
+  (0, 1, 'b', 'USE', FALSE), (0, 2, 'z', 'USE', FALSE), (0, 3, 't', 'DEF', FALSE),
+  (1, 1, 'b', 'USE', FALSE), (1, 2, 'b', 'DEF', FALSE), (1, 3, 't', 'USE', FALSE), (1, 4, 'z', 'USE', FALSE), (1, 5, 't', 'DEF', FALSE), (1, 6, 'z', 'USE', FALSE),
+  (2, 1, 't', 'DEC', FALSE), (2, 2, 'b', 'USE', FALSE), (2, 3, 'z', 'USE', TRUE), (2, 4, 'z', 'DEF', TRUE), (2, 5, 'z', 'USE', TRUE), (2, 6, 'b', 'USE', TRUE), (2, 7, 't', 'DEF', FALSE),
+  (3, 1, 't', 'USE', FALSE), (3, 2, 'b', 'USE', TRUE), (3, 3, 'z', 'USE', TRUE), (3, 4, '-output-', 'DEF', FALSE),
+  (4, 1, 'b', 'USE', FALSE), (4, 2, 't', 'DEC', FALSE), (4, 3, 't', 'DEF', FALSE),
+  (5, 1, 't', 'USE', FALSE), (5, 2, 'z', 'USE', FALSE), (5, 3, '-activeException-', 'DEF', FALSE),
+  (6, 1, 't', 'DEC', FALSE), (6, 2, 'b', 'DEC', FALSE), (6, 3, 'b', 'DEF', FALSE)),
+did AS (SELECT 'p:' || p_partkey AS node, pos, CASE name WHEN 't' THEN p_type WHEN 'b' THEN p_brand WHEN 'z' THEN 's' || p_size ELSE name END AS var, op, optional FROM part JOIN forms ON form = p_partkey % 7)"""
+
+
+@query(f"WITH {_FORM_ACTIONS} SELECT node, CAST(pos AS INTEGER) AS pos, var, op, optional FROM did")
+def expression_actions(s, d):
+    return actions.expression_actions(b.part_expressions(s, d)).drop("expr")
