@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, knn, language, license, mixing, packing, quality, simhash, substring, toxicity
+from . import bpe, codes, html, knn, language, license, mixing, packing, quality, runs, simhash, substring, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,8 +70,57 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def with_planted_run(docs: DataFrame) -> DataFrame:
+    """Texts of which a tenth, by their id's CRC-32, goes round from some word on. Rows without an id, and texts without a word, stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def planted(words):
+        n = F.size(words).cast("long")
+        g = F.floor(h / 10)
+        a = g % n
+        p = F.lit(1).cast("long") + F.floor((n - a) / (g % 8 + 3))
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    changed = F.get(F.transform(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise("")), 0)
+    return docs.withColumn("text", F.when(h % 10 == 0, changed).otherwise(F.col("text")))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.collapse_runs(with_planted_run(_table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 0)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumns({"best": longest, "lines": F.concat_ws("", lines)})
+    length, period = -F.col("best.less"), F.col("best.period")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
+    out = bpe.decode(ids, path, ["doc_id", "ids"])
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.compress(_table(spark, sf_dir, "embeddings"), ["vec_id", "label"], "vec_id", "embedding")
+    out = codes.with_group_sums(out, "label", "error", "label_error")
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_simhash, op5_topk, op6_quality, op7_mixing, op8_html, op9_packing, op10_license)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_simhash, op5_topk, op6_quality, op7_mixing, op8_html, op9_packing, op10_license, op11_runs, op12_bpe, op13_codes)}
 
 
 OP5_SQL = """
@@ -118,5 +167,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bit
 """
 
 
+def _op13_sql() -> str:
+    """Four rounds and the last assignment, each a table of its own."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+)""",
+        """piece AS MATERIALIZED (
+  SELECT r, vec_id, label, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS x FROM kept, range(4) AS t(p)
+)""",
+        "book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c, list_inner_product(x, x) AS cc FROM piece WHERE r <= 256)",
+    ]
+    for k in range(5):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, b.p, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + cc AS d FROM piece JOIN book{k} b ON b.p = piece.p) GROUP BY r, p
+)""")
+        if k < 4:
+            steps.append(f"""mean{k} AS MATERIALIZED (
+  SELECT p, e, list(f ORDER BY i) AS c FROM (
+    SELECT p, e, i, floor(sum(y) / count(*)) AS f FROM (SELECT n.p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{k} n JOIN piece ON piece.r = n.r AND piece.p = n.p) GROUP BY p, e, i
+  ) GROUP BY p, e
+)""")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, c, list_inner_product(c, c) AS cc FROM (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e))")
+    steps.append("coded AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near4 GROUP BY r)")
+    steps.append("digest AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM book4))")
+    return "WITH " + ", ".join(steps) + " SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (r), digest"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op6_quality": OP6_SQL}
+    return {"op5_topk": OP5_SQL, "op6_quality": OP6_SQL, "op13_codes": _op13_sql()}
