@@ -563,6 +563,41 @@ def test_html_pages():
     assert [html.main_text(p, tree) for p in pages] == [main] * len(pages)
 
 
+PROSE = lambda n, k="w": " ".join(f"{k}{i}" for i in range(n)) + "."
+CHROME_FORMS = ["<aside><h3><a>Related story</a></h3></aside>", "<footer><h4><a>Company</a></h4></footer>", "<nav><h2><a>Site Home</a></h2></nav>", "<header><h1><a>My Site</a></h1></header>"]
+CHROME_FORMS += [f"<{x}><p>{PROSE(30, 'c')}</p></{x.split()[0]}>" for x in ("article class='comment-body'", "div class='comment-body'", "div id=disqus_thread", "section id=responses", "div class=discussion", "div id=cookie-consent", "div id=gdpr", "div class=footer-widgets", "div class=sidebar-primary", "div class=site-info")]
+CHROME_FORMS += [f"<div class=teaser><h3><a>x y</a></h3><p>{PROSE(20, 'k')}</p></div>"]
+
+
+@pytest.mark.parametrize("form", CHROME_FORMS)
+def test_html_chrome_forms(form):
+    tree = html.trained_tree()
+    for around in ("article", "div"):
+        main = f"<{around}><h1>Title here</h1><p>{PROSE(40)}</p><p>{PROSE(30, 'z')}</p></{around}>"
+        for page in (form + main, main + form):
+            assert html.main_text(page, tree) == f"Title here\n{PROSE(40)}\n{PROSE(30, 'z')}"
+
+
+def test_html_main_forms():
+    tree = html.trained_tree()
+    refs = "<h2>References</h2><ol><li>Some author, <a>title of the paper</a>, 1999.</li><li>Other author, <a>a title</a>, 2001.</li></ol>"
+    forms = {
+        f"<div class=post-header><h1>Title here</h1><p>By A on Monday</p></div><p>{PROSE(40)}</p>": ["Title here", "By A on Monday", PROSE(40)],
+        f"<article><h1>T</h1><p class=widget>{PROSE(30)}</p><p>{PROSE(20, 'b')}</p></article>": ["T", PROSE(30), PROSE(20, "b")],
+        f"<article><h1>T</h1><p>{PROSE(30)}</p><p><a href=x>{PROSE(9, 'l')}</a></p><p>{PROSE(20, 'b')}</p></article>": ["T", PROSE(30), PROSE(9, "l"), PROSE(20, "b")],
+        f"<article><h1>T</h1><p>{PROSE(30)}</p>{refs}</article>": ["T", PROSE(30), "References", "Some author, title of the paper, 1999.", "Other author, a title, 2001."],
+        f"<article><p>foo<script>x</script>bar<style>y</style>s {PROSE(20)}</p></article>": [f"foobars {PROSE(20)}"],
+    }
+    assert {page: html.main_text(page, tree).split("\n") for page in forms} == forms
+
+
+def test_html_held_out():
+    right, n = html.held_out()
+    assert n > 5000 and right > 0.97
+    used = lambda t: set() if isinstance(t, int) else {html.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+    assert {"words_after", "links"} & used(html.trained_tree())
+
+
 def plain_blocks(page):
     """Text of blocks and their link words by the standard parser, for well-formed pages."""
     from html.parser import HTMLParser
