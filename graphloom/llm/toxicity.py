@@ -7,7 +7,8 @@ one event a clause. They are composed once into a single table of transitions,
 whose arcs that close a clause bear the weight of its event. A document's arcs
 are pooled by event; weights come from a bounded sample of labelled documents,
 within bounds that the grammar sets: negated and reported insults and a single
-isolated word stay below the threshold, threats above it.
+insult without a target stay below the threshold at any length of text, targeted
+insults and threats lie above it.
 
 Insults are a fixed list and stems learned from the sample: openings of words
 that occur in toxic documents and hardly in others.
@@ -34,11 +35,11 @@ SAMPLE_DOCS = 6000
 #: Shortest and longest opening of a word that may become a stem.
 STEM = (3, 9)
 #: A whole word or stem stands in at least so many toxic documents; a stem opens so many different words there.
-LEAST_DOCS, LEAST_KINDS = 5, 3
+LEAST_DOCS, LEAST_KINDS = 4, 3
 #: Of the documents that have it, this share is toxic: whole words, stems.
 PRECISION_WORD, PRECISION_STEM = 0.9, 0.8
-#: Nats by which its toxic share must exceed chance. At 10, one word in 20,000 gets there by luck.
-LEAST_EVIDENCE = 10.0
+#: Nats by which its toxic share must exceed chance. At 7, one word in 1,000 gets there by luck; one word alone decides nothing.
+LEAST_EVIDENCE = 7.0
 #: Signatures of a document; sampled documents that share any of them count once.
 SIGNATURES = 3
 
@@ -47,17 +48,19 @@ INSULTS = frozenset("idiot idiots moron morons loser losers scum trash clown clo
 THREATS = frozenset("kill hurt destroy punish burn crush beat stab shoot strangle töten töte umbringen verprügeln erschießen tuer tuerai frapper brûler matar mataré golpear quemar".split())
 TARGETS = frozenset("you your you're yourself they them he she him her is are was were this that these those tu te toi vous votre ils du dich dir ihr euch sie er ellos usted ustedes ti eres sind ist bist est es son".split())
 VICTIMS = frozenset("you your yourself them him her te toi vous votre dich dir euch ihn usted ustedes ti".split())
-NEGATIONS = frozenset("not never isn't aren't wasn't weren't don't won't hardly nicht kein keine nie niemals jamais nunca".split())
-REPORTS = frozenset("said says say called calls quoted claimed wrote writes sagte schrieb behauptete disait écrivait dijo escribió".split())
+NEGATIONS = frozenset("not never no nobody none neither nor without isn't aren't wasn't weren't don't doesn't didn't won't wouldn't cannot can't hardly nicht kein keine keiner niemand ohne nie niemals ne n'est n'es pas aucun personne sans ni jamais nunca nadie sin ninguno ninguna".split())
+REPORTS = frozenset("said says say called calls quoted quotes claimed claims wrote writes accused accuses alleged alleges according reported reportedly sagte schrieb behauptete nannte zufolge laut disait écrivait selon accusé dijo escribió según acusó acusado".split())
 
-#: Words that a negation, a report and a target reach to the right, and a threat to its victim.
-NEGATION_REACH, REPORT_REACH, TARGET_REACH, THREAT_REACH = 4, 10, 4, 3
+#: Words that a negation, a report and a target reach to the right, a threat to its victim, and an insult to whom it is flung at ("idiot like you").
+NEGATION_REACH, REPORT_REACH, TARGET_REACH, THREAT_REACH, INSULT_REACH = 4, 10, 4, 3, 2
 EVENTS = ("isolated", "loose", "targeted", "negated", "reported", "threat")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 _BREAK = frozenset(".!?;\n")
 THRESHOLD = 0.3
-#: What each event weighs before any label is seen, then the share of words in loose and targeted insults, and the intercept.
-PRIOR = np.array([0.2, 1.5, 3.0, 0.2, 0.2, 3.5, 0.5])
+#: What a document's pooled arcs are: whether it has an insult without a target, how many more of these, the other events, and the share of its words that such further and targeted insults are.
+FEATURES = ("single", "repeated", "targeted", "negated", "reported", "threat", "share")
+#: What each weighs before any label is seen, then the intercept.
+PRIOR = np.array([0.2, 3.0, 3.0, 0.2, 0.2, 3.5, 0.5])
 PRIOR_INTERCEPT = -2.0
 #: The most that a negated or reported insult may weigh, and the log-odds of one threat at least.
 WEAK, SURE = 0.25, 0.5
@@ -87,20 +90,26 @@ _RANK = ["", "negated", "reported", "isolated", "loose", "targeted", "threat"]
 
 
 def _clause(state: tuple, x: str) -> tuple[tuple, str]:
-    """The clause machine: the strongest event so far, whether another word stood there, and what is left of the reach of a target and of a threat."""
+    """The clause machine: the strongest event so far, whether another word stood there and what is left of an insult's reach, and the same of a target and of a threat.
+
+    A further insult in a clause is an event of its own, at its word.
+    """
     best, others, target, threat = state
     if x == "b":
         name = _RANK[best]
-        return (0, 0, 0, 0), ("loose" if name == "isolated" and others else name) or "o"
+        return (0, 0, 0, 0), ("loose" if name == "isolated" and others & 1 else name) or "o"
     rise = lambda name: max(best, _RANK.index(name))
+    out, reach = "o", others >> 1
     if x == "i":
+        if best >= _RANK.index("isolated"):
+            out = "loose"
         best = rise("targeted" if target else "isolated")
     elif x in "IQ":
         best = rise("negated" if x == "I" else "reported")
-    elif x == "v" and threat:
-        best = rise("threat")
-    others = others or int(x != "i")
-    return (best, others, TARGET_REACH if x in "tv" else max(0, target - 1), THREAT_REACH if x == "h" else max(0, threat - 1)), "o"
+    elif x == "v":
+        best = rise("threat" if threat else "targeted" if reach else "")
+    others = (others & 1 or int(x != "i")) | (INSULT_REACH if x == "i" else max(0, reach - 1)) << 1
+    return (best, others, TARGET_REACH if x in "tv" else max(0, target - 1), THREAT_REACH if x == "h" else max(0, threat - 1)), out
 
 
 def compose(machines: list[tuple[Transducer, tuple]]) -> tuple[list[list[int]], list[list[str]]]:
@@ -188,8 +197,10 @@ _INSULT, _THREAT, _END = (CLASSES.index(x) for x in "ihb")
 
 
 def _features(counts: list[int], n: int) -> list[float]:
-    """Arcs of each event pooled, and the share of words in loose and targeted clauses."""
-    return [*np.log1p(counts).tolist(), 100 * (counts[1] + counts[2]) / (n + 20)]
+    """The pooled arcs, as FEATURES names them."""
+    plain = counts[0] + counts[1]
+    more = max(0, plain - 1)
+    return [float(plain > 0), math.log1p(more), *np.log1p(counts[2:]).tolist(), 100 * (more + counts[2]) / (n + 20)]
 
 
 def _openings(text: str) -> dict[str, set[int]]:
@@ -312,15 +323,16 @@ def _fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
 
 
 def _bounded(w: np.ndarray) -> np.ndarray:
-    """Negated and reported insults weigh between 0 and WEAK; one isolated word stays below THRESHOLD; a targeted insult weighs no less than a loose one; one threat gives more than even odds."""
+    """Negated and reported insults weigh between 0 and WEAK; one insult without a target stays below THRESHOLD; one targeted insult reaches it; one threat gives more than even odds."""
     w = w.copy()
-    name = {e: i for i, e in enumerate(EVENTS)}
-    room = max(0.0, math.log(THRESHOLD / (1 - THRESHOLD)) - w[-1]) / math.log(2)
-    for e, most in (("isolated", 0.9 * room), ("negated", WEAK), ("reported", WEAK)):
+    name = {e: i for i, e in enumerate(FEATURES)}
+    bar = math.log(THRESHOLD / (1 - THRESHOLD))
+    w[-1] = min(w[-1], bar - SURE)
+    for e, most in (("single", 0.75 * (bar - w[-1])), ("negated", WEAK), ("reported", WEAK)):
         w[name[e]] = min(max(w[name[e]], 0.0), most)
-    w[name["loose"]] = max(w[name["loose"]], 0.0)
-    w[-2] = max(w[-2], 0.0)
-    w[name["targeted"]] = max(w[name["targeted"]], w[name["loose"]])
+    w[name["repeated"]] = max(w[name["repeated"]], 0.0)
+    w[name["share"]] = max(w[name["share"]], 0.0)
+    w[name["targeted"]] = max(w[name["targeted"]], w[name["repeated"]], (bar + WEAK - w[-1]) / math.log(2))
     w[name["threat"]] = max(w[name["threat"]], (SURE - w[-1]) / math.log(2))
     return w
 

@@ -460,6 +460,19 @@ def test_toxicity_clauses(spark):
     assert score("I will kill you. I will hurt you and burn your house.") > score("I will kill you.")
 
 
+def test_toxicity_single_insults(spark):
+    """One insult without a target never decides, however long or short the text; negated and reported ones neither; repeated and targeted ones do."""
+    sf = "/root/testdata/sf0.1"
+    grammar = toxicity.learn(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")))
+    tag = grammar.tagger()
+    score = lambda t: grammar.score(t, tag)
+    for text in ("Please take out the trash on Monday.", "The clown performed at the circus for the children.", "idiot today", "He is no idiot.", "Nobody is an idiot.", "The mayor was accused of being a worthless clown.", "According to the paper he is a moron.", "Without an idiot the play ends early."):
+        for longer in (text, f"{'Plain words stand here. ' * 50}{text}"):
+            assert score(longer) < toxicity.THRESHOLD, text
+    for text in ("Only an idiot like you believes it.", "What a stupid worthless moron.", "You clown.", "A moron came. Later another idiot came."):
+        assert score(text) >= toxicity.THRESHOLD, text
+
+
 def test_composed_machine_against_plain():
     """The composed table against the three machines run one after another."""
     rng = np.random.default_rng(6)
