@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy
 from ..operators.graphs import classified
 
 
@@ -191,3 +192,40 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     s = F.filter(F.split(bare, "/"), lambda x: x != "")
     return table(spark, sf_dir, "pages").where("url is not null").select(s[0].alias("tree"), s.alias("segments")).where("tree is not null")
+
+
+#: Ways of shipping as exception types, by supplier; those without a parent are roots.
+MODES = ["TRUCK", "RAIL", "AIR", "REG AIR", "SHIP", "FOB", "MAIL"]
+TYPE_PARENTS = {"TRUCK": "ground", "RAIL": "ground", "REG AIR": "AIR", "SHIP": "water", "FOB": "water"}
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(proc, node, n, flag, mode)``: an order's lines, each once, and one of MODES by the supplier."""
+    mode = F.get(F.array(*map(F.lit, MODES)), (F.col("l_suppkey") % len(MODES)).cast("int"))
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min(mode).alias("mode"))
+    return line.select(_id("o", "l_orderkey").alias("proc"), _id("l", "l_orderkey", "l_linenumber").alias("node"), F.col("l_linenumber").cast("int").alias("n"), "flag", "mode")
+
+
+def order_programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Tables of :func:`operators.escfg.exceptional_flow`: an order is a procedure.
+
+    Lines 1 to 3 and a try statement of lines 4 and 5 stand in the body of
+    another, later lines after it. A returned line throws its mode, an
+    accepted one calls what declares it. The inner try catches ground, the
+    outer one AIR, then water.
+    """
+    lines = order_lines(spark, sf_dir)
+    named = lambda end: F.concat("proc", F.lit(end))
+    parent = F.when(F.col("n") <= 3, named("t1")).when(F.col("n") <= 5, named("t2"))
+    row = lambda node, parent, part, pos, kind: F.struct(node.alias("node"), parent.alias("parent"), part.alias("part"), pos.cast("int").alias("pos"), kind.alias("kind"))
+    lit, none = F.lit, F.lit(None).cast("string")
+    own = lines.select("proc", row(F.col("node"), parent, F.when(F.col("n") <= 5, "body"), F.col("n"), F.when(F.col("flag") == "R", "throw").otherwise("plain")).alias("s"))
+    frame = [row(named("t1"), none, none, lit(0), lit("try")), row(named("t2"), named("t1"), lit("body"), lit(100), lit("try"))]
+    frame += [row(named(c), named(t), lit("catch"), lit(i), lit("catch")) for c, t, i in (("c2", "t2", 1), ("c1a", "t1", 1), ("c1b", "t1", 2))]
+    statements = own.union(lines.select("proc").distinct().select("proc", F.explode(F.array(*frame)).alias("s"))).select("proc", "s.*", none.alias("label"), none.alias("target"))
+    calls = lines.where("flag = 'A'").select("node", lit(1).alias("pos"), F.concat("node", lit("c")).alias("call"), F.col("mode").alias("type"))
+    thrown = lines.where("flag = 'R'").select("node", F.col("mode").alias("type"))
+    caught = lines.select("proc").distinct().select(F.explode(F.array(*[F.struct(named(c).alias("node"), lit(t).alias("type")) for c, t in (("c2", "ground"), ("c1a", "AIR"), ("c1b", "water"))])).alias("c")).select("c.*")
+    extends = spark.createDataFrame(list(TYPE_PARENTS.items()), "child string, parent string")
+    types = extends.select(F.col("child").alias("type")).union(extends.select("parent")).distinct()
+    return statements, calls, thrown, caught, hierarchy.ancestors(types, extends)

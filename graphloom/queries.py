@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import actions, cfg, constrained, control, dataflow, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
+from .operators import actions, cfg, constrained, control, dataflow, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -418,7 +418,7 @@ def default_values(s, d):
     return b.table(s, d, "part").select(F.col("p_partkey").alias("field"), names.default_value(java).alias("value"))
 
 
-_FLOW = [(s, t) for s, targets in {"enter": "1", "1": "2", "2": "3 18", "3": "4 5", "4": "2", "5": "6", "6": "7 9 11", "7": "8", "8": "9", "9": "10", "10": "13", "11": "12", "12": "18", "13": "2 14", "14": "15 16", "15": "2", "16": "13", "17": "18 19", "18": "17", "19": "exit", "20": "exit"}.items() for t in targets.split()]
+_FLOW = [(s, t) for s, targets in {"enter": "1", "1": "2", "2": "3 17", "3": "4 5", "4": "2", "5": "6", "6": "7 9 11", "7": "8", "8": "9", "9": "10", "10": "13", "11": "12", "12": "17", "13": "2 14", "14": "15 16", "15": "2", "16": "13", "17": "18 19", "18": "17", "19": "exit", "20": "exit"}.items() for t in targets.split()]
 _JUMPS_ON = [("enter", "exit"), ("4", "6"), ("7", "11"), ("9", "11"), ("10", "11"), ("12", "13"), ("15", "16"), ("19", "20")]
 
 
@@ -429,6 +429,14 @@ def _program_sql(arcs: list[tuple[str, str, str]]) -> str:
     return f"SELECT n_name AS proc, {end('a')} AS src, {end('b')} AS dst, k AS kind FROM nation, (VALUES {rows}) AS v(a, b, k)"
 
 
+_INTO_BODY = [(a, "18" if (a, t) in (("2", "17"), ("12", "17")) else t, "EXEC") for a, t in _FLOW]
+
+
+@query(_program_sql(_INTO_BODY))
+def cfg_statements_accurate(s, d):
+    return cfg.control_flow(b.statements(s, d), accurate=True)
+
+
 @query(_program_sql([(*x, "EXEC") for x in _FLOW]))
 def cfg_statements(s, d):
     return cfg.control_flow(b.statements(s, d))
@@ -729,3 +737,49 @@ did AS (SELECT 'p:' || p_partkey AS node, pos, CASE name WHEN 't' THEN p_type WH
 @query(f"WITH {_FORM_ACTIONS} SELECT node, CAST(pos AS INTEGER) AS pos, var, op, optional FROM did")
 def expression_actions(s, d):
     return actions.expression_actions(b.part_expressions(s, d)).drop("expr")
+
+
+_ORDER_PROGRAM = """
+ln AS MATERIALIZED (
+  SELECT 'o:' || l_orderkey AS proc, 'l:' || l_orderkey || '-' || l_linenumber AS node, l_linenumber AS n, min(l_returnflag) AS flag, min(['TRUCK', 'RAIL', 'AIR', 'REG AIR', 'SHIP', 'FOB', 'MAIL'][CAST(l_suppkey % 7 + 1 AS INTEGER)]) AS type,
+    CASE WHEN l_linenumber <= 3 THEN 1 WHEN l_linenumber <= 5 THEN 2 ELSE 0 END AS scope
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+src AS MATERIALIZED (SELECT proc, node, scope, type, CASE flag WHEN 'R' THEN node ELSE node || 'c:' || type END AS source FROM ln WHERE flag IN ('R', 'A')),
+c2 AS MATERIALIZED (SELECT DISTINCT proc, type, type NOT IN ('TRUCK', 'RAIL') AS open FROM src WHERE scope = 2),
+c1a AS MATERIALIZED (
+  SELECT proc, type, bool_or(open) AND type NOT IN ('AIR', 'REG AIR') AS open
+  FROM (SELECT proc, type, TRUE AS open FROM src WHERE scope = 1 UNION ALL SELECT * FROM c2) GROUP BY proc, type),
+c1b AS MATERIALIZED (SELECT proc, type, open AND type NOT IN ('SHIP', 'FOB') AS open FROM c1a),
+lost AS MATERIALIZED (SELECT proc, type FROM c1b UNION SELECT proc, type FROM src WHERE scope = 0),
+p AS MATERIALIZED (
+  SELECT ln.proc, 'exit:' || ln.proc AS ex, arg_min(node, n) FILTER (WHERE scope = 1) AS first1, arg_min(node, n) FILTER (WHERE scope = 2) AS first2,
+    coalesce(arg_min(node, n) FILTER (WHERE scope = 0), CASE WHEN ln.proc IN (SELECT proc FROM lost) THEN 'normal:' ELSE 'exit:' END || ln.proc) AS past,
+    CASE WHEN ln.proc IN (SELECT proc FROM lost) THEN 'normal:' ELSE 'exit:' END || ln.proc AS fin
+  FROM ln GROUP BY ln.proc),
+nx AS MATERIALIZED (
+  SELECT ln.*, p.ex, p.past, coalesce(lead(node) OVER (PARTITION BY ln.proc, scope ORDER BY n), CASE scope WHEN 1 THEN ln.proc || 't2' WHEN 2 THEN p.past ELSE p.fin END) AS nxt
+  FROM ln JOIN p ON p.proc = ln.proc),
+arcs AS (
+  SELECT proc, 'enter:' || proc AS src, proc || 't1' AS dst, 'EXEC' AS kind FROM p UNION ALL SELECT proc, 'enter:' || proc, ex, 'NONEXEC' FROM p
+  UNION ALL SELECT proc, proc || 't1', coalesce(first1, proc || 't2'), 'EXEC' FROM p UNION ALL SELECT proc, proc || 't2', coalesce(first2, past), 'EXEC' FROM p
+  UNION ALL SELECT proc, proc || t, past, 'NONEXEC' FROM p, (VALUES ('t1'), ('t2')) AS v(t)
+  UNION ALL SELECT proc, proc || c, past, 'EXEC' FROM p, (VALUES ('c2'), ('c1a'), ('c1b')) AS v(c)
+  UNION ALL SELECT proc, node, nxt, CASE flag WHEN 'R' THEN 'NONEXEC' ELSE 'EXEC' END FROM nx WHERE flag <> 'A'
+  UNION ALL SELECT proc, node, node || 'c:normal', 'EXEC' FROM nx WHERE flag = 'A' UNION ALL SELECT proc, node || 'c:normal', nxt, 'EXEC' FROM nx WHERE flag = 'A'
+  UNION ALL SELECT proc, node, node || 'c:' || type, 'EXEC' FROM nx WHERE flag = 'A'
+  UNION ALL SELECT proc, node || 'c:' || type, CASE scope WHEN 0 THEN ex ELSE past END, 'NONEXEC' FROM nx WHERE flag = 'A'
+  UNION ALL SELECT proc, source, CASE scope WHEN 1 THEN proc || 'c1a' WHEN 2 THEN proc || 'c2' ELSE 'exit:' || proc || ':' || type END, 'EXEC' FROM src
+  UNION ALL SELECT proc, proc || 'c2', proc || 'c1a', CASE WHEN bool_or(open) THEN 'EXEC' ELSE 'NONEXEC' END FROM c2 GROUP BY proc
+  UNION ALL SELECT proc, proc || 'c1a', proc || 'c1b', CASE WHEN bool_or(open) THEN 'EXEC' ELSE 'NONEXEC' END FROM c1a GROUP BY proc
+  UNION ALL SELECT proc, proc || 'c1b', 'exit:' || proc || ':' || type, CASE WHEN bool_or(open) OVER (PARTITION BY proc) THEN 'EXEC' ELSE 'NONEXEC' END FROM c1b
+  UNION ALL SELECT proc, 'exit:' || proc || ':' || type, 'exit:' || proc, 'EXEC' FROM lost UNION ALL SELECT DISTINCT proc, 'normal:' || proc, 'exit:' || proc, 'EXEC' FROM lost)"""
+
+
+@query(f"WITH {_ORDER_PROGRAM} SELECT DISTINCT proc, src, dst, kind FROM arcs")
+def escfg_statements(s, d):
+    return escfg.exceptional_flow(*b.order_programs(s, d))
+
+
+@query(f"WITH {_ORDER_PROGRAM} SELECT DISTINCT proc, dst AS node FROM arcs WHERE dst LIKE 'exit:%:%:%'")
+def exception_exits(s, d):
+    return escfg.exceptional_flow(*b.order_programs(s, d)).where("dst like 'exit:%:%:%'").select("proc", F.col("dst").alias("node")).distinct()
