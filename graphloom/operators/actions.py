@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .fixpoint import checkpoint
 
 OUTPUT, EXCEPTION = "-output-", "-activeException-"
+SCOPE_IN, ARG_IN, THIS = "-scope-in-", "-arg-in-", "this"
+#: Operations of the marks between which a call's actions stand.
+ENTER, EXIT = "ENTER", "EXIT"
+#: A slot after all children of an expression; what ends a child of a call comes after all of the child, whose last slot is _LAST + 1.
+_LAST = 1 << 30
 #: How a child is visited, by kind of its parent and its own position: ``(slot, op, optional)`` for each visit. Slots order what one
 #: expression does; an op of None is that of the parent's visit.
 VISITS: dict[tuple[str, int], list[tuple[int, str | None, bool]]] = {
@@ -37,6 +42,24 @@ def _visits() -> Column:
     return out.otherwise(F.array(made(F.col("child_pos"), F.lit("USE"), F.lit(False))))
 
 
+def field_chains(expressions: DataFrame) -> DataFrame:
+    """``(expr, name)``: the whole name of each ``field`` expression that is a chain of fields from a name or ``this``, parentheses and casts aside.
+
+    Any other chain (of what a call returns, of an array's element) has no row.
+    A round follows all chains by one expression.
+    """
+    known = checkpoint(expressions.where("kind in ('field', 'inner', 'name', 'this') and expr is not null").select("expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))
+    below = known.where("pos = 1").select(F.col("parent").alias("at"), F.col("expr").alias("_expr"), F.col("kind").alias("_kind"), F.col("name").alias("_name"))
+    state = checkpoint(known.where("kind = 'field'").select("expr", F.array("name").alias("tail"), F.col("expr").alias("at")))
+    out = None
+    while not state.isEmpty():
+        step = checkpoint(state.join(below, "at").select("expr", "tail", "_expr", "_kind", "_name"))
+        rooted = step.where("_kind in ('name', 'this')").select("expr", F.concat_ws(".", F.when(F.col("_kind") == "this", THIS).otherwise(F.col("_name")), F.concat_ws(".", "tail")).alias("name"))
+        out = rooted if out is None else out.union(rooted)
+        state = step.where("_kind in ('field', 'inner')").select("expr", F.when(F.col("_kind") == "field", F.concat(F.array("_name"), "tail")).otherwise(F.col("tail")).alias("tail"), F.col("_expr").alias("at"))
+    return out if out is not None else known.select("expr", "name").limit(0)
+
+
 def expression_actions(expressions: DataFrame) -> DataFrame:
     """``(node, expr, var, op, optional, pos)``: the actions of each node in the order in which they happen, ``pos`` from 1.
 
@@ -51,18 +74,60 @@ def expression_actions(expressions: DataFrame) -> DataFrame:
     * ``choice``: condition and two branches; ``logic``: both sides of ``&&`` or ``||``. Branches and right sides are optional
     * ``declare``: the initial value, if any, of the variable ``name``; ``foreach``: what it runs over; ``parameter`` (of a catch too): none
     * ``return``, ``throw``: the value, if any, for OUTPUT or EXCEPTION
+    * ``this``; ``field``: the field ``name`` of what it stands on. A chain from a name or ``this`` is one dotted variable
 
     Any other kind uses its children in order. Declarations and what comes with
     them are never optional. Expressions go down one level a round, in a join on
     ``parent`` that sees only the level before; there are as many rounds as the
     deepest expression has levels.
     """
+    return _actions(expressions, None).drop("real")
+
+
+def call_actions(expressions: DataFrame, calls: DataFrame) -> DataFrame:
+    """``(node, expr, real, var, op, optional, pos)``: :func:`expression_actions` with what linked calls add.
+
+    ``calls(expr, form, returns, alone, params)`` has a row for each expression
+    of kind ``call`` whose callable is known; ``form`` is 'method', 'static',
+    'new' or 'construct' (an explicit constructor call), ``returns`` says
+    whether it has a value, ``alone`` whether it is a statement by itself, and
+    ``params`` names the parameters, the last one again for further arguments. A
+    call's scope is its child at ``pos`` 0, its arguments come from 1.
+
+    Between ENTER and EXIT stand, in this order: a method's scope (``this``
+    where there is none) and the definition of SCOPE_IN, each argument and the
+    definition of ARG_IN, the definition of OUTPUT and, unless the call is
+    alone, its use. A 'construct' declares ``this`` first and defines it after
+    EXIT. ``real`` is the node that an action belongs to when calls get nodes of
+    their own: ``call:this``, ``call:parameter`` or ``call:return``, the
+    innermost one, null for the statement's node itself. Calls without a row are
+    plain: their children are used.
+    """
+    return _actions(expressions, calls)
+
+
+def _actions(expressions: DataFrame, calls: DataFrame | None) -> DataFrame:
     known = checkpoint(expressions.select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))
-    child = known.where("parent is not null").select(F.col("parent").alias("up"), F.col("expr").alias("child"), F.col("pos").alias("child_pos"), F.col("kind").alias("child_kind"), F.col("name").alias("child_name"))
-    level = checkpoint(known.where("parent is null").select("node", "expr", "kind", "name", F.array("pos").alias("place"), F.lit("USE").alias("op"), F.lit(False).alias("optional")))
-    at = lambda slot: F.concat("place", F.array(F.lit(slot))).alias("place")
-    act = lambda df, place, var, op, optional=F.lit(False): df.select("node", "expr", place, var.alias("var"), F.lit(op).alias("op") if isinstance(op, str) else op, optional.alias("optional"))
-    name, found = F.col("name"), []
+    chains = checkpoint(field_chains(known)).withColumn("_chain", F.lit(True))
+    is_this = F.col("kind").isin("this", "super")
+    named = known.join(chains.withColumnRenamed("name", "_name"), "expr", "left")
+    named = named.withColumn("name", F.when(is_this, F.col("kind")).otherwise(F.coalesce("_name", "name"))).withColumn("kind", F.when(is_this | F.col("_chain"), "name").otherwise(F.col("kind")))
+    # What a chain is made of is not visited by itself.
+    known = checkpoint(named.join(chains.select(F.col("expr").alias("parent")), "parent", "left_anti").select("node", "expr", "parent", "pos", "kind", "name"))
+    if calls is None:
+        linked = known.select("expr").limit(0).withColumns({"form": F.lit(""), "returns": F.lit(False), "alone": F.lit(False), "params": F.array(F.lit(""))})
+    else:
+        linked = calls.where("expr is not null").select("expr", "form", "returns", "alone", "params").dropDuplicates(["expr"])
+    known = checkpoint(known.join(linked, "expr", "left").withColumn("linked", (F.col("kind") == "call") & F.col("form").isNotNull()))
+    child_of = known.where("parent is not null")
+    child = child_of.select(F.col("parent").alias("up"), *[F.col(c).alias(f"child_{c}") for c in ("expr", "pos", "kind", "name", "form", "returns", "alone", "params", "linked")])
+    scoped = child_of.where("pos = 0").select(F.col("parent").alias("expr")).distinct().withColumn("scoped", F.lit(True))
+    carried = ("form", "returns", "alone", "params", "linked")
+    level = checkpoint(known.where("parent is null").select("node", "expr", "kind", "name", *carried, F.array("pos").alias("place"), F.lit("USE").alias("op"), F.lit(False).alias("optional"), F.lit(None).cast("string").alias("real")))
+    at = lambda *slots: F.concat("place", F.array(*[F.lit(x).cast("int") if isinstance(x, int) else x for x in slots])).alias("place")
+    act = lambda df, place, var, op, optional=F.lit(False), real=F.col("real"): df.select("node", "expr", real.alias("real"), place, var.alias("var"), F.lit(op).alias("op") if isinstance(op, str) else op, optional.alias("optional"))
+    own = lambda end: F.concat("expr", F.lit(":"), F.lit(end) if isinstance(end, str) else end)
+    none, name, found = F.lit(None).cast("string"), F.col("name"), []
     while True:
         found.append(act(level.where("kind = 'name'"), F.col("place"), name, F.col("op"), F.col("optional")))
         for kinds, declared, defined in ((("declare",), 0, None), (("foreach",), 1, 2), (("parameter",), 0, 1)):
@@ -70,14 +135,60 @@ def expression_actions(expressions: DataFrame) -> DataFrame:
             found.append(act(here, at(declared), name, "DEC"))
             if defined is not None:
                 found.append(act(here, at(defined), name, "DEF"))
+        if calls is not None:
+            here = level.where("linked")
+            found += [act(here, at(-3), F.col("expr"), ENTER, real=none), act(here, at(_LAST), F.col("expr"), EXIT, real=none)]
+            found += [act(here.where("form = 'construct'"), at(-2), F.lit(THIS), "DEC"), act(here.where("form = 'construct'"), at(_LAST + 1), F.lit(THIS), "DEF")]
+            methods = here.where("form = 'method'")
+            found.append(act(methods.join(scoped, "expr", "left_anti"), at(0), F.lit(THIS), F.col("op"), F.col("optional"), own("this")))
+            found.append(act(methods, at(0, _LAST + 2), F.lit(SCOPE_IN), "DEF", real=own("this")))
+            found.append(act(here.where("returns"), at(_LAST - 2), F.lit(OUTPUT), "DEF", real=own("return")))
+            found.append(act(here.where("returns and not alone"), at(_LAST - 1), F.lit(OUTPUT), "USE", real=none))
         below = checkpoint(level.join(child, F.col("expr") == F.col("up")))
         if below.isEmpty():
             break
         given = F.when(F.col("kind") == "declare", name).when(F.col("kind") == "return", F.lit(OUTPUT)).otherwise(F.lit(EXCEPTION))
         found.append(act(below.where("kind in ('declare', 'return', 'throw') and child_pos = 1"), at(2), given, "DEF"))
+        param = F.coalesce(F.get("params", F.col("child_pos") - 1), F.try_element_at("params", F.lit(-1)), F.col("child_pos").cast("string"))
+        if calls is not None:
+            found.append(act(below.where("linked and child_pos > 0"), at(F.col("child_pos"), _LAST + 2), F.lit(ARG_IN), "DEF", real=own(param)))
         seen = below.withColumn("v", F.explode(_visits()))
-        level = seen.select("node", F.col("child").alias("expr"), F.col("child_kind").alias("kind"), F.col("child_name").alias("name"), F.concat("place", F.array("v.slot")).alias("place"), F.col("v.op").alias("op"), (F.col("optional") | F.col("v.maybe")).alias("optional"))
+        real = F.when(F.col("linked"), own(F.when(F.col("child_pos") == 0, THIS).otherwise(param))).otherwise(F.col("real"))
+        level = seen.select("node", F.col("child_expr").alias("expr"), F.col("child_kind").alias("kind"), F.col("child_name").alias("name"), *[F.col(f"child_{c}").alias(c) for c in carried], F.concat("place", F.array("v.slot")).alias("place"), F.col("v.op").alias("op"), (F.col("optional") | F.col("v.maybe")).alias("optional"), real.alias("real"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.select("node", "expr", "var", "op", "optional", F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("pos"))
+    return out.select("node", "expr", "real", "var", "op", "optional", F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("pos"))
+
+
+def _renumbered(own: DataFrame, added: DataFrame) -> DataFrame:
+    """Both tables of actions, each with a ``place``, in one numbering a node."""
+    columns = ["node", "expr", "real", "var", "op", "optional"]
+    every = own.select(*columns, "place").unionByName(added.select(*columns, "place"))
+    return every.select(*columns, F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("pos"))
+
+
+def insert_for_calls(actions: DataFrame, added: DataFrame) -> DataFrame:
+    """``actions`` of :func:`call_actions` with those of ``added(call, prepend, ord, real, var, op, optional)`` right after the call's ENTER or right before its EXIT, in the order of ``ord``. Calls that no node holds add nothing."""
+    place = lambda side, ord_: F.struct(F.col("pos").alias("a"), side.cast("int").alias("b"), ord_.cast("int").alias("c"))
+    marks = actions.where(F.col("op").isin(ENTER, EXIT)).select("node", F.col("expr").alias("call"), (F.col("op") == ENTER).alias("prepend"), "pos")
+    new = added.join(marks, ["call", "prepend"]).withColumn("place", place(F.when(F.col("prepend"), 1).otherwise(-1), F.col("ord"))).withColumn("expr", F.col("call"))
+    return _renumbered(actions.withColumn("place", place(F.lit(0), F.lit(0))), new)
+
+
+def insert_after_real(actions: DataFrame, added: DataFrame) -> DataFrame:
+    """``actions`` with those of ``added(call, ord, real, var, op, optional)`` after the first unbroken run of actions of the same ``real`` node, or, where there is none, right after the call's ENTER."""
+    place = lambda side, ord_: F.struct(F.col("pos").alias("a"), side.cast("int").alias("b"), ord_.cast("int").alias("c"))
+    by = Window.partitionBy("node").orderBy("pos")
+    ends = actions.withColumn("_next", F.lead("real").over(by)).where(F.col("real").isNotNull() & ~F.col("real").eqNullSafe(F.col("_next")))
+    ends = ends.groupBy("node", "real").agg(F.min("pos").alias("end"))
+    enters = actions.where(F.col("op") == ENTER).select("node", F.col("expr").alias("call"), F.col("pos").alias("enter"))
+    new = added.join(enters, "call").join(ends, ["node", "real"], "left").withColumn("pos", F.coalesce("end", "enter"))
+    return _renumbered(actions.withColumn("place", place(F.lit(0), F.lit(0))), new.withColumn("place", place(F.lit(1), F.col("ord"))).withColumn("expr", F.col("call")))
+
+
+def call_nodes(actions: DataFrame) -> DataFrame:
+    """``(node, parent, kind)`` of the nodes that calls get: CALL under the statement that holds it, ACTUAL_IN and RETURN under their call."""
+    made = actions.where(F.col("op") == ENTER).select(F.col("expr").alias("node"), F.col("node").alias("parent"), F.lit("CALL").alias("kind"))
+    ends = actions.where("real is not null").select(F.col("real").alias("node"), F.regexp_extract("real", r"^(.*):[^:]*$", 1).alias("parent"))
+    return made.union(ends.select("node", "parent", F.when(F.col("node").endswith(":return"), "RETURN").otherwise("ACTUAL_IN"))).distinct()

@@ -229,3 +229,53 @@ def order_programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     extends = spark.createDataFrame(list(TYPE_PARENTS.items()), "child string, parent string")
     types = extends.select(F.col("child").alias("type")).union(extends.select("parent")).distinct()
     return statements, calls, thrown, caught, hierarchy.ancestors(types, extends)
+
+
+def order_expressions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of :func:`operators.actions.call_actions`: an order calls what its lines are.
+
+    A third of the orders return what they call. Even ones call a method, half
+    of these on a name, the others a static one. A returned line is a variable,
+    an accepted one a call with one argument, any other a call of something
+    unknown on a chain of two fields of ``this``.
+    """
+    lines = order_lines(spark, sf_dir).withColumn("key", F.substring("proc", 3, 20).cast("long"))
+    i = F.row_number().over(Window.partitionBy("proc").orderBy("n"))
+    lines = lines.withColumn("i", i).withColumn("e", F.concat("node", F.lit("e")))
+    orders = lines.select("proc", "key").distinct()
+    call, lit, none = F.concat("proc", F.lit("c")), F.lit, F.lit(None).cast("string")
+    expr = lambda e, parent, pos, kind, name: F.struct(e.alias("expr"), parent.alias("parent"), pos.cast("int").alias("pos"), kind.alias("kind"), name.alias("name"))
+    up = lambda end: F.concat("e", lit(end))
+    back = F.col("key") % 3 == 0
+    tops = orders.select(
+        F.col("proc").alias("node"),
+        F.explode(F.filter(F.array(
+            F.when(back, expr(F.concat("proc", lit("r")), none, lit(1), lit("return"), none)),
+            expr(call, F.when(back, F.concat("proc", lit("r"))), lit(1), lit("call"), none),
+            F.when(F.col("key") % 4 == 0, expr(F.concat("proc", lit("s")), call, lit(0), lit("name"), lit("customer"))),
+        ), lambda x: x.isNotNull())).alias("x"),
+    )
+    args = lines.select(
+        F.col("proc").alias("node"),
+        F.explode(
+            F.when(F.col("flag") == "R", F.array(expr(F.col("e"), call, F.col("i"), lit("name"), F.col("mode"))))
+            .when(F.col("flag") == "A", F.array(expr(F.col("e"), call, F.col("i"), lit("call"), none), expr(up("1"), F.col("e"), lit(1), lit("name"), F.col("mode"))))
+            .otherwise(F.array(expr(F.col("e"), call, F.col("i"), lit("call"), none), expr(up("1"), F.col("e"), lit(1), lit("field"), F.col("mode")), expr(up("2"), up("1"), lit(1), lit("field"), lit("line")), expr(up("3"), up("2"), lit(1), lit("this"), none)))
+        ).alias("x"),
+    )
+    linked = lambda df, e, form, returns, alone, params: df.select(e.alias("expr"), form.alias("form"), returns.alias("returns"), alone.alias("alone"), F.array(*map(lit, params)).alias("params"))
+    calls = linked(orders, call, F.when(F.col("key") % 2 == 0, "method").otherwise("static"), lit(True), ~back, ["first", "more"])
+    calls = calls.union(linked(lines.where("flag = 'A'"), F.col("e"), lit("static"), lit(True), lit(False), ["one"]))
+    return tops.select("node", "x.*").union(args.select("node", "x.*")), calls
+
+
+def brand_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of :func:`operators.templates.type_templates`: makers hold parts of makers; 1 and 3 may each be the next number too."""
+    part = table(spark, sf_dir, "part")
+    maker = F.substring("p_brand", 1, 7)
+    known = part.select(maker.alias("type")).distinct()
+    fields = part.groupBy(maker.alias("type"), F.concat(F.lit("f"), (F.col("p_size") % 3).cast("string")).alias("name")).agg(F.concat(F.lit("Brand#"), (F.min("p_size") % 7).cast("string")).alias("held"))
+    fields = fields.join(known.select(F.col("type").alias("held"), F.col("type").alias("field_type")), "held", "left").select("type", "name", "field_type")
+    number = F.substring("type", 7, 1).cast("int")
+    below = known.select(F.concat(F.lit("Brand#"), (number - 1).cast("string")).alias("type"), F.col("type").alias("subtype")).where(number.isin(2, 4))
+    return fields, known.select("type", F.col("type").alias("subtype")).union(below.join(known, "type", "left_semi"))

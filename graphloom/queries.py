@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import actions, cfg, constrained, control, dataflow, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing
+from .operators import actions, cfg, constrained, control, dataflow, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing, templates
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -783,3 +783,70 @@ def escfg_statements(s, d):
 @query(f"WITH {_ORDER_PROGRAM} SELECT DISTINCT proc, dst AS node FROM arcs WHERE dst LIKE 'exit:%:%:%'")
 def exception_exits(s, d):
     return escfg.exceptional_flow(*b.order_programs(s, d)).where("dst like 'exit:%:%:%'").select("proc", F.col("dst").alias("node")).distinct()
+
+
+_ORDER_CALLS = """
+ln AS MATERIALIZED (
+  SELECT l_orderkey AS o, l_linenumber AS n, 'l:' || l_orderkey || '-' || l_linenumber || 'e' AS e, min(l_returnflag) AS flag,
+    min(['TRUCK', 'RAIL', 'AIR', 'REG AIR', 'SHIP', 'FOB', 'MAIL'][CAST(l_suppkey % 7 + 1 AS INTEGER)]) AS mode
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+arg AS MATERIALIZED (SELECT *, i, 'o:' || o || 'c:' || CASE i WHEN 1 THEN 'first' ELSE 'more' END AS real FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) AS i FROM ln)),
+ord AS MATERIALIZED (SELECT DISTINCT o, 'o:' || o || 'c' AS c FROM ln),
+did AS MATERIALIZED (
+  SELECT o, -3 AS a, 0 AS b, NULL AS real, c AS var, 'ENTER' AS op FROM ord
+  UNION ALL SELECT o, 0, 0, c || ':this', CASE WHEN o % 4 = 0 THEN 'customer' ELSE 'this' END, 'USE' FROM ord WHERE o % 2 = 0 UNION ALL SELECT o, 0, 1, c || ':this', '-scope-in-', 'DEF' FROM ord WHERE o % 2 = 0
+  UNION ALL SELECT o, i, 0, real, mode, 'USE' FROM arg WHERE flag = 'R' UNION ALL SELECT o, i, 0, real, 'this.line.' || mode, 'USE' FROM arg WHERE flag NOT IN ('R', 'A')
+  UNION ALL SELECT o, i, k, CASE k WHEN 1 THEN e || ':one' WHEN 2 THEN e || ':one' WHEN 3 THEN e || ':return' END, CASE k WHEN 0 THEN e WHEN 1 THEN mode WHEN 2 THEN '-arg-in-' WHEN 3 THEN '-output-' WHEN 4 THEN '-output-' ELSE e END,
+    CASE k WHEN 0 THEN 'ENTER' WHEN 1 THEN 'USE' WHEN 4 THEN 'USE' WHEN 5 THEN 'EXIT' ELSE 'DEF' END FROM arg, range(6) AS t(k) WHERE flag = 'A'
+  UNION ALL SELECT o, i, 9, real, '-arg-in-', 'DEF' FROM arg
+  UNION ALL SELECT o, 1000, 0, c || ':return', '-output-', 'DEF' FROM ord UNION ALL SELECT o, 1001, 0, NULL, '-output-', 'USE' FROM ord WHERE o % 3 = 0
+  UNION ALL SELECT o, 1002, 0, NULL, c, 'EXIT' FROM ord UNION ALL SELECT o, 1003, 0, NULL, '-output-', 'DEF' FROM ord WHERE o % 3 = 0)"""
+
+
+@query(f"WITH {_ORDER_CALLS} SELECT 'o:' || o AS node, real, var, op, FALSE AS optional, CAST(row_number() OVER (PARTITION BY o ORDER BY a, b) AS INTEGER) AS pos FROM did")
+def call_actions(s, d):
+    return actions.call_actions(*b.order_expressions(s, d)).drop("expr")
+
+
+@query(f"WITH {_ORDER_CALLS} SELECT var AS node, 'o:' || o AS parent, 'CALL' AS kind FROM did WHERE op = 'ENTER' UNION SELECT real, regexp_extract(real, '^(.*):[^:]*$', 1), CASE WHEN real LIKE '%:return' THEN 'RETURN' ELSE 'ACTUAL_IN' END FROM did WHERE real IS NOT NULL")
+def call_nodes(s, d):
+    return actions.call_nodes(actions.call_actions(*b.order_expressions(s, d)))
+
+
+@query(f"""WITH {_ORDER_CALLS}, more AS (
+  SELECT o, a, b + 0.0 AS b, 0 AS c, real, var, op FROM did
+  UNION ALL SELECT o, a, b, CASE op WHEN 'ENTER' THEN 1 ELSE -1 END, var || ':new', '-global-', CASE op WHEN 'ENTER' THEN 'USE' ELSE 'DEF' END FROM did WHERE op IN ('ENTER', 'EXIT') AND o % 5 = 0)
+SELECT 'o:' || o AS node, real, var, op, CAST(row_number() OVER (PARTITION BY o ORDER BY a, b, c) AS INTEGER) AS pos FROM more""")
+def call_insertions(s, d):
+    acted = checkpoint(actions.call_actions(*b.order_expressions(s, d)))
+    enters = acted.where("op = 'ENTER' and cast(substring(node, 3) as long) % 5 = 0").select(F.col("expr").alias("call"))
+    sides = enters.select("call", F.explode(F.array(F.lit(True), F.lit(False))).alias("prepend"))
+    added = sides.select("call", "prepend", F.lit(1).alias("ord"), F.concat("call", F.lit(":new")).alias("real"), F.lit("-global-").alias("var"), F.when(F.col("prepend"), "USE").otherwise("DEF").alias("op"), F.lit(False).alias("optional"))
+    return actions.insert_for_calls(acted, added).select("node", "real", "var", "op", "pos")
+
+
+_TEMPLATES = """
+known AS (SELECT DISTINCT substring(p_brand, 1, 7) AS type FROM part),
+fields AS MATERIALIZED (SELECT f.type, name, k.type AS field_type FROM (SELECT substring(p_brand, 1, 7) AS type, 'f' || (p_size % 3) AS name, 'Brand#' || (min(p_size) % 7) AS held FROM part GROUP BY 1, 2) f LEFT JOIN known k ON k.type = f.held),
+subs AS MATERIALIZED (SELECT type, type AS subtype FROM known UNION SELECT a.type, b.type FROM known a JOIN known b ON (a.type, b.type) IN (('Brand#1', 'Brand#2'), ('Brand#3', 'Brand#4'))),
+tree AS (
+  SELECT type, CAST([] AS VARCHAR[]) AS path, type AS held_type, 0 AS depth FROM known
+  UNION ALL SELECT t.type, list_concat(path, ['<' || s.subtype || '>', f.name]), field_type, depth + 1 FROM tree t JOIN subs s ON s.type = held_type JOIN fields f ON f.type = s.subtype WHERE depth < 4 AND held_type IS NOT NULL),
+members AS (
+  SELECT type, path, depth FROM tree WHERE depth > 0
+  UNION SELECT t.type, list_append(path, '<' || s.subtype || '>'), depth + 1 FROM tree t JOIN subs s ON s.type = held_type WHERE depth < 4 AND s.subtype IN (SELECT type FROM fields))"""
+
+
+@query(f"WITH RECURSIVE {_TEMPLATES} SELECT type, array_to_string(path, '/') AS path, array_to_string(list_filter(path, lambda x: NOT starts_with(x, '<')), '/') AS plain, depth FROM members")
+def type_templates(s, d):
+    out = templates.type_templates(*b.brand_fields(s, d), limit=4)
+    return out.select("type", F.concat_ws("/", "path").alias("path"), F.concat_ws("/", "plain").alias("plain"), "depth")
+
+
+@query(f"""WITH RECURSIVE {_TEMPLATES}, asked AS (SELECT DISTINCT substring(p_brand, 1, 7) AS type, 'f' || (p_size % 3) || '/f' || (p_partkey % 3) AS wanted FROM part)
+SELECT m.type, wanted, array_to_string(path, '/') AS path FROM members m JOIN asked a ON a.type = m.type AND array_to_string(list_filter(path, lambda x: NOT starts_with(x, '<')), '/') = wanted WHERE NOT starts_with(path[-1], '<')""")
+def tree_lookup_poly(s, d):
+    found = templates.type_templates(*b.brand_fields(s, d), limit=4)
+    size = lambda c: F.concat(F.lit("f"), (F.col(c) % 3).cast("string"))
+    asked = b.table(s, d, "part").select(F.substring("p_brand", 1, 7).alias("type"), F.array(size("p_size"), size("p_partkey")).alias("path"))
+    return templates.lookup(found, asked).select("type", F.concat_ws("/", "wanted").alias("wanted"), F.concat_ws("/", "path").alias("path"))
