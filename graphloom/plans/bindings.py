@@ -277,5 +277,5 @@ def brand_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     fields = part.groupBy(maker.alias("type"), F.concat(F.lit("f"), (F.col("p_size") % 3).cast("string")).alias("name")).agg(F.concat(F.lit("Brand#"), (F.min("p_size") % 7).cast("string")).alias("held"))
     fields = fields.join(known.select(F.col("type").alias("held"), F.col("type").alias("field_type")), "held", "left").select("type", "name", "field_type")
     number = F.substring("type", 7, 1).cast("int")
-    below = known.select(F.concat(F.lit("Brand#"), (number - 1).cast("string")).alias("type"), F.col("type").alias("subtype")).where(number.isin(2, 4))
+    below = known.where(number.isin(2, 4)).select(F.concat(F.lit("Brand#"), (number - 1).cast("string")).alias("type"), F.col("type").alias("subtype"))
     return fields, known.select("type", F.col("type").alias("subtype")).union(below.join(known, "type", "left_semi"))
