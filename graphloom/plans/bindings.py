@@ -279,3 +279,28 @@ def brand_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     number = F.substring("type", 7, 1).cast("int")
     below = known.where(number.isin(2, 4)).select(F.concat(F.lit("Brand#"), (number - 1).cast("string")).alias("type"), F.col("type").alias("subtype"))
     return fields, known.select("type", F.col("type").alias("subtype")).union(below.join(known, "type", "left_semi"))
+
+
+def order_choices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(expressions, roots, linked)`` for :mod:`operators.results`: an order is a chain of choices between its lines.
+
+    A returned line is a field of ``row``, an accepted one a linked call, any
+    other the sum of a variable and a field of ``this``.
+    """
+    by = Window.partitionBy("proc").orderBy("n")
+    lines = order_lines(spark, sf_dir).select("*", F.row_number().over(by).alias("i"), F.lead("node").over(by).isNull().alias("last"))
+    lit, none, node = F.lit, F.lit(None).cast("string"), F.col("node")
+    expr = lambda e, parent, pos, kind, name=none: F.struct(e.alias("expr"), parent.alias("parent"), lit(pos).cast("int").alias("pos"), lit(kind).alias("kind"), name.alias("name"))
+    named = lambda end: F.concat(node, lit(end))
+    choice = lambda i: F.concat("proc", lit("?"), i.cast("string"))
+    up, pos = F.when(F.col("last") & (F.col("i") > 1), choice(F.col("i") - 1)).otherwise(F.when(~F.col("last"), choice(F.col("i")))), F.when(F.col("last"), 3).otherwise(2)
+    own = lambda kind, name=none: F.struct(node.alias("expr"), up.alias("parent"), pos.cast("int").alias("pos"), lit(kind).alias("kind"), name.alias("name"))
+    form = (
+        F.when(F.col("flag") == "R", F.array(own("field", F.col("mode")), expr(named("a"), node, 1, "name", lit("row"))))
+        .when(F.col("flag") == "A", F.array(own("call"), expr(named("a"), node, 1, "name", F.col("mode"))))
+        .otherwise(F.array(own("plus"), expr(named("a"), node, 1, "name", F.col("mode")), expr(named("b"), node, 2, "field", lit("line")), expr(named("c"), named("b"), 1, "this")))
+    )
+    chain = F.when(~F.col("last"), F.array(expr(choice(F.col("i")), F.when(F.col("i") > 1, choice(F.col("i") - 1)), 3, "choice"), expr(named("?"), choice(F.col("i")), 1, "name", lit("test")))).otherwise(F.array().cast("array<struct<expr:string,parent:string,pos:int,kind:string,name:string>>"))
+    expressions = lines.select(F.col("proc").alias("node"), F.explode(F.concat(form, chain)).alias("x")).select("node", "x.*")
+    roots = expressions.where("parent is null").select(F.col("expr").alias("root"))
+    return expressions, roots, lines.where("flag = 'A'").select(node.alias("expr"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import actions, cfg, constrained, control, dataflow, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, slicing, templates
+from .operators import actions, cfg, constrained, control, dataflow, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, results, slicing, templates
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -850,3 +850,32 @@ def tree_lookup_poly(s, d):
     size = lambda c: F.concat(F.lit("f"), (F.col(c) % 3).cast("string"))
     asked = b.table(s, d, "part").select(F.substring("p_brand", 1, 7).alias("type"), F.array(size("p_size"), size("p_partkey")).alias("path"))
     return templates.lookup(found, asked).select("type", F.concat_ws("/", "wanted").alias("wanted"), F.concat_ws("/", "path").alias("path"))
+
+
+_CHOICES = """
+ln AS MATERIALIZED (
+  SELECT l_orderkey AS o, l_linenumber AS n, 'l:' || l_orderkey || '-' || l_linenumber AS e, min(l_returnflag) AS flag,
+    min(['TRUCK', 'RAIL', 'AIR', 'REG AIR', 'SHIP', 'FOB', 'MAIL'][CAST(l_suppkey % 7 + 1 AS INTEGER)]) AS mode
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+top AS (SELECT o, CASE WHEN count(*) = 1 THEN min(e) ELSE 'o:' || o || '?1' END AS root FROM ln GROUP BY o),
+found AS (
+  SELECT root, e || 'a' AS expr, 'row' AS var, mode AS path, TRUE AS handed FROM ln JOIN top USING (o) WHERE flag = 'R'
+  UNION ALL SELECT root, e, '-output-', '', FALSE FROM ln JOIN top USING (o) WHERE flag = 'A'
+  UNION ALL SELECT root, e || x, CASE x WHEN 'a' THEN mode ELSE 'this' END, CASE x WHEN 'a' THEN '' ELSE 'line' END, FALSE FROM ln JOIN top USING (o), (VALUES ('a'), ('c')) AS v(x) WHERE flag NOT IN ('R', 'A'))"""
+
+
+@query(f"WITH {_CHOICES} SELECT root, expr, var, path FROM found")
+def result_trees(s, d):
+    return results.result_trees(*b.order_choices(s, d)).withColumn("path", F.concat_ws(".", "path"))
+
+
+@query(f"WITH {_CHOICES} SELECT expr, var, path, root || '=' AS target, CASE WHEN root LIKE '%?1' THEN 'it' END AS member, CASE WHEN root LIKE '%?1' THEN 'TREE' ELSE 'VALUE' END AS kind FROM found")
+def value_transfers(s, d):
+    expressions, roots, linked = b.order_choices(s, d)
+    targets = roots.select("root", F.concat("root", F.lit("=")).alias("target"), F.lit("it").alias("member"), F.col("root").endswith("?1").alias("has_tree"))
+    return results.transfers(results.result_trees(expressions, roots, linked), targets).withColumn("path", F.concat_ws(".", "path"))
+
+
+@query(f"WITH {_CHOICES} SELECT root, expr, var, count(*) OVER (PARTITION BY root) > 1 AS optional FROM found WHERE handed")
+def out_variables(s, d):
+    return results.out_variables(*b.order_choices(s, d)[:2])
