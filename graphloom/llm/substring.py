@@ -11,6 +11,7 @@ sentences with that many words are covered by their common runs from end to end.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,19 @@ from .common import checkpoint, map_chunks, skew_join
 
 RUN_WORDS = 20
 SOLO_WORDS = 25
+
+
+class Runs(NamedTuple):
+    """What a run is: the fewest words and sentences of one, and the words from which a sentence is a run by itself (None: never)."""
+
+    words: int = RUN_WORDS
+    sentences: int = 2
+    solo: int | None = SOLO_WORDS
+
+
+DEFAULT = Runs()
+#: Every three consecutive sentences, however short, and no sentence by itself.
+EXACT = Runs(0, 3, None)
 #: Letters that count as a word at least, for scripts that write no spaces.
 WORD_LETTERS = 6
 _BREAK = re.compile(r"\n|(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\uff0e])\s*")
@@ -37,48 +51,48 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
-def run_spans(sizes: list[int]) -> list[tuple[int, int]]:
+def run_spans(sizes: list[int], rule: Runs = DEFAULT) -> list[tuple[int, int]]:
     """``(first, end)`` sentences of every run, by size in words: forwards from each first one, backwards from each last one, and long sentences alone."""
     n, out = len(sizes), set()
     j = total = 0
     for a in range(n):
-        while j < n and (total < RUN_WORDS or j - a < 2):
+        while j < n and (total < rule.words or j - a < rule.sentences):
             total += sizes[j]
             j += 1
-        if total >= RUN_WORDS and j - a >= 2:
+        if total >= rule.words and j - a >= rule.sentences:
             out.add((a, j))
-        if sizes[a] >= SOLO_WORDS:
+        if rule.solo is not None and sizes[a] >= rule.solo:
             out.add((a, a + 1))
         total -= sizes[a]
     i, total = n, 0
     for b in range(n, 0, -1):
-        while i > 0 and (total < RUN_WORDS or b - i < 2):
+        while i > 0 and (total < rule.words or b - i < rule.sentences):
             i -= 1
             total += sizes[i]
-        if total >= RUN_WORDS and b - i >= 2:
+        if total >= rule.words and b - i >= rule.sentences:
             out.add((i, b))
         total -= sizes[b - 1]
     return sorted(out)
 
 
-def run_hashes(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
+def run_hashes(parts: list[tuple[int, int, str, int]], rule: Runs = DEFAULT) -> list[tuple[int, int, int]]:
     """``(hash, first sentence, sentences)`` of every run, in text order."""
     digest, out = xxhash.xxh64_intdigest, []
     forms = [p[2] for p in parts]
-    for a, b in run_spans([p[3] for p in parts]):
+    for a, b in run_spans([p[3] for p in parts], rule):
         h = digest("\n".join(forms[a:b]))
         out.append((h - (1 << 64) if h >= 1 << 63 else h, a, b - a))
     return out
 
 
-def _clean(text: str | None, flagged: set[int], copy: bool) -> tuple[str | None, list[dict]]:
+def _clean(text: str | None, flagged: set[int], copy: bool, rule: Runs = DEFAULT) -> tuple[str | None, list[dict]]:
     """The text without covered sentences, and the spans removed. Of a ``copy`` of an earlier row every run is a repeat."""
     if not text:
         return text, []
     parts = sentences(text)
     seen: dict[int, int] = {}
     gone = bytearray(len(parts))
-    for h, i, k in run_hashes(parts):
+    for h, i, k in run_hashes(parts, rule):
         # Non-first: another row has it earlier, or it stands earlier here (clear of its own copy).
         if copy or h in flagged or seen.setdefault(h, i) + k <= i:
             gone[i : i + k] = b"\1" * k
@@ -96,7 +110,7 @@ def _clean(text: str | None, flagged: set[int], copy: bool) -> tuple[str | None,
     return (out.strip() if spans else text), [{"start": a, "end": b} for a, b in spans]
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
+def _cleaned(docs: DataFrame, rule: Runs) -> DataFrame:
     """``row, clean_text, removed`` of every row of ``docs``; see :func:`dedup`."""
     text = F.col("text").cast("string")
     # A row's place in the order of rows: id (none: last), then the hash of its text.
@@ -106,7 +120,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
         def step(no_id, doc, th, texts):
             out: dict[str, list] = {k: [] for k in ("h", "no_id", "doc", "th")}
             for n, d, x, t in zip(no_id, doc, th, texts, strict=True):
-                own = {r[0] for r in run_hashes(sentences(t))} if t else ()
+                own = {r[0] for r in run_hashes(sentences(t), rule)} if t else ()
                 out["h"] += own
                 for k, v in (("no_id", n), ("doc", d), ("th", x)):
                     out[k] += [v] * len(own)
@@ -126,7 +140,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
 
     def start_clean():
         def step(rows, texts, flags, copies):
-            out = [_clean(t, set(f or ()), c) for t, f, c in zip(texts, flags, copies, strict=True)]
+            out = [_clean(t, set(f or ()), c, rule) for t, f, c in zip(texts, flags, copies, strict=True)]
             yield {"row": rows, "clean_text": [x[0] for x in out], "removed": [x[1] for x in out]}
 
         return step
@@ -135,9 +149,10 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     return map_chunks(joined, start_clean, schema)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, rule: Runs = DEFAULT) -> DataFrame:
     """Every row of ``docs`` with ``clean_text`` and ``removed``, its removed character spans.
 
+    ``rule`` says what a run is: with EXACT every three consecutive sentences.
     The first occurrence of a run is that of the smallest ``(doc_id, hash of the
     text)``, rows without a doc_id last, and within a row the earliest; it
     stays. Rows count one by one, whatever ids they share: of rows equal in id
@@ -147,16 +162,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     column gives way to it. An empty table gives an empty one.
     """
     names = [c for c in docs.columns if c.lower() not in ("clean_text", "removed")]
-    return _cleaned(docs).select(*[F.col(f"row.`{c}`") for c in names], "clean_text", "removed")
+    return _cleaned(docs, rule).select(*[F.col(f"row.`{c}`") for c in names], "clean_text", "removed")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, rule: Runs = DEFAULT) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` brought up to date.
 
     Rows left without a word go, and so do rows whose text is null or empty.
     Rows without a doc_id, and rows that share one, are treated one by one as
     in :func:`dedup`. Columns stay as they are, whatever their names.
     """
-    out = _cleaned(docs).where(F.coalesce(F.col("clean_text"), F.lit("")).rlike(r"\S"))
+    out = _cleaned(docs, rule).where(F.coalesce(F.col("clean_text"), F.lit("")).rlike(r"\S"))
     changed = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def repeated_runs(docs: DataFrame, rule: Runs = DEFAULT, text: str = "text") -> DataFrame:
+    """``(h, n)``: hashes of runs that stand ``n`` times, twice at least, in all texts together."""
+
+    def start():
+        def step(texts):
+            yield {"h": [h for t in texts if t for h, _, _ in run_hashes(sentences(t), rule)]}
+
+        return step
+
+    runs = map_chunks(docs.select(F.col(text).cast("string")), start, "h long")
+    return runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -430,6 +430,30 @@ def test_language_of_many_signs():
     assert len(model.owner) < 8 * 9000 and model.phrases([language.letters(signs[100:5000])]).argmin() == 0
 
 
+def test_substring_exact_setting(spark):
+    """Three short sentences that two texts share are one run of EXACT, a single long sentence is none; against all windows of three."""
+    short, long = "It is a fine day today. We went to the old shop. Nobody came back home again.", " ".join(f"w{i}" for i in range(26)) + "."
+    rows = [(1, f"Alpha opens here. {short} One end."), (2, f"Beta opens now. {short} Other end."), (3, f"Gamma. {long} Delta."), (4, f"Epsilon. {long} Zeta.")]
+    rng = np.random.default_rng(1)
+    rows += [(10 + i, " ".join(rng.choice(["A b.", "C d e.", "F.", "G h i j."], int(rng.integers(1, 12))))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in substring.dedup(df, substring.EXACT).collect()}
+    assert got[1] == rows[0][1] and got[2] == "Beta opens now. Other end." and got[3] == rows[2][1] and got[4] == rows[3][1]
+    assert {r.doc_id: r.clean_text for r in substring.dedup(df.where("doc_id < 10")).collect()}[2] == rows[1][1]
+    seen, want = {}, {}
+    for i, text in rows:  # in the order of ids
+        parts = [t[2] for t in substring.sentences(text)]
+        gone = set()
+        for a in range(len(parts) - 2):
+            key = tuple(parts[a : a + 3])
+            doc, at = seen.setdefault(key, (i, a))
+            if doc != i or at + 3 <= a:
+                gone |= {a, a + 1, a + 2}
+        want[i] = [x for a, x in enumerate(parts) if a not in gone]
+    assert {i: [t[2] for t in substring.sentences(x)] for i, x in got.items()} == want
+    assert substring.repeated_runs(df.where("doc_id < 10"), substring.EXACT).count() == 1 and substring.repeated_runs(df.where("doc_id < 5")).count() == 1
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     grammar = toxicity.learn(docs, labels)
