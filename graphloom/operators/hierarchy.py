@@ -108,5 +108,6 @@ def single_targets(calls: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def implicit_constructors(types: DataFrame, constructors: DataFrame) -> DataFrame:
-    """``(type, constructor)``: a constructor for each type that declares none."""
-    return types.select("type").distinct().join(constructors.select("type"), "type", "left_anti").select("type", F.concat(F.lit("new "), "type").alias("constructor"))
+    """``(type, constructor)``: a constructor for each type that declares none; where ``types`` has a ``kind``, for classes and enums alone."""
+    able = types.where(F.col("kind").isin("class", "enum")) if "kind" in types.columns else types
+    return able.select("type").distinct().join(constructors.select("type"), "type", "left_anti").select("type", F.concat(F.lit("new "), "type").alias("constructor"))

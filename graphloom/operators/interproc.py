@@ -29,6 +29,44 @@ def propagate(direct: DataFrame, calls: DataFrame, local: DataFrame) -> DataFram
             seen = checkpoint(seen)
 
 
+def propagate_trees(direct: DataFrame, passes: DataFrame, stops: DataFrame, silent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Variables and members that calls act on: ``(proc, var, path)`` of procedures and ``(call, param, var, path, optional)`` of sites.
+
+    ``direct(proc, var, path)``: parameters and fields that a procedure itself
+    acts on, path '' for the variable and 'a/b' for a member; ``passes(call,
+    caller, callee, param, var)``: what a callee's parameter, or its ``this``, is
+    at a site, a row for each variable it may be. What a site does, its
+    procedure does too, save for ``stops(call, var)``: those that are local
+    there, or, for uses, defined on every way to the site. Actions on a
+    parameter that may be several variables are optional. ``silent(proc, var)``:
+    parameters whose actions stay inside, as definitions of primitives do.
+    Whoever acts on a member acts on its variable. All sites advance together
+    and a round joins only what the last one added, so recursion ends when no
+    tree grows.
+    """
+    key, site = ["proc", "var", "path"], ["call", "param", "var", "path"]
+    whole = direct.select(*key).union(direct.select("proc", "var", F.lit("")))
+    links = passes.select("call", "caller", "callee", "param", "var").distinct()
+    if silent is not None:
+        links = links.join(silent.select(F.col("proc").alias("callee"), F.col("var").alias("param")), ["callee", "param"], "left_anti")
+    several = links.groupBy("call", "callee", "param").agg((F.count(F.lit(1)) > 1).alias("optional"))
+    on = links.join(stops.select("call", "var", F.lit(True).alias("stop")).distinct(), ["call", "var"], "left").join(several, ["call", "callee", "param"])
+    on = checkpoint(on.select("call", "caller", F.col("callee").alias("_proc"), "param", F.col("var").alias("to"), F.col("stop").isNull().alias("goes"), "optional"))
+    seen = delta = checkpoint(whole.distinct())
+    sites = checkpoint(on.limit(0).select("call", "param", F.col("to").alias("var"), F.lit("").alias("path"), "optional"))
+    rounds = 0
+    while True:
+        met = checkpoint(delta.join(on, (F.col("proc") == F.col("_proc")) & (F.col("var") == F.col("param"))).select("call", "caller", "param", F.col("to").alias("var"), "path", "optional", "goes"))
+        sites = sites.union(met.select(*site, "optional"))
+        up = met.where("goes").select(F.col("caller").alias("proc"), "var", "path").distinct()
+        delta = checkpoint(up.join(seen, key, "left_anti"))
+        if delta.isEmpty():
+            return seen, sites.groupBy(*site).agg(F.bool_or("optional").alias("optional"))
+        seen, rounds = seen.union(delta), rounds + 1
+        if rounds % 8 == 0:
+            seen, sites = checkpoint(seen), checkpoint(sites)
+
+
 def connect_calls(sites: DataFrame, entries: DataFrame, actuals: DataFrame, formals: DataFrame) -> DataFrame:
     """``(src, dst, kind)`` between call sites and what they call.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import dataflow
+from . import dataflow, graphs
+from .fixpoint import checkpoint
 
 
 def _subtree(links: DataFrame, side: str, roots: DataFrame, members: DataFrame) -> DataFrame:
@@ -102,3 +103,67 @@ def moved(arcs: DataFrame, moves: DataFrame) -> DataFrame:
         return df.join(to, c, "left").withColumn(c, new).drop("_real")
 
     return end(end(arcs.select("src", "dst", "kind"), "src"), "dst").select("src", "dst", "kind").distinct()
+
+
+def tree_roots(parents: DataFrame) -> DataFrame:
+    """``(node, root)``: what each node of ``parents(node, parent)`` hangs below in the end; steps double, so rounds grow with the logarithm of the depth."""
+    up = checkpoint(parents.select("node", F.col("parent").alias("root")).distinct())
+    while True:
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("_over"))
+        step = up.join(over, "root", "left").select("node", F.coalesce("_over", "root").alias("root"), F.col("_over").isNotNull().alias("_moved"))
+        step = checkpoint(step)
+        up = step.select("node", "root")
+        if step.where("_moved").isEmpty():
+            return up
+
+
+def object_call_arcs(pairs: DataFrame, actions: DataFrame, members: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``(src, dst, object_flow, is_in, is_out)``: what sites and declarations hand each other.
+
+    ``pairs(src, dst, is_object, is_output)`` of nodes that :mod:`interproc`
+    matched, from actual to formal inputs, formal to actual outputs, and outputs
+    to returns; ``actions(node, pos, action, root)``, ``root`` null without a
+    tree; ``members(action, path, node, parent)``; ``kinds(node, kind)`` of
+    inputs and outputs. Of objects, the source's last action is connected with
+    every action of the target, tree by tree; a plain arc stands beside these
+    but for outputs. Whether an arc goes into a callee or out of it is told by
+    the nodes that the trees hang below.
+    """
+    plain = pairs.where("not (is_object and is_output)").select("src", "dst", F.lit(False).alias("object_flow"))
+    last = actions.groupBy("node").agg(F.max_by("action", "pos").alias("src_action")).withColumnRenamed("node", "src")
+    given = actions.select(F.col("node").alias("dst"), F.col("action").alias("dst_action"))
+    links = pairs.where("is_object").join(last, "src").join(given, "dst").select("src_action", F.lit("").alias("src_member"), "dst_action", F.lit("").alias("dst_member"))
+    roots = actions.select("action", F.coalesce("root", "node").alias("node"), F.col("root").isNotNull().alias("has_tree"))
+    trees = connect_trees(links, roots, members.select("action", "path", "node"))
+    out = plain.union(trees.select("src", "dst", F.col("kind") == "OBJECT_FLOW")).distinct()
+    above = tree_roots(members.select("node", "parent").union(actions.where("root is not null").select("root", "node")))
+    held = above.join(kinds.select(F.col("node").alias("root"), F.col("kind").alias("root_kind")), "root").select("node", "root_kind").union(kinds.select("node", "kind")).distinct()
+    return out.join(graphs.inout_direction(out, held), ["src", "dst"]).select("src", "dst", "object_flow", "is_in", "is_out")
+
+
+def enum_links(types: DataFrame, formals: DataFrame) -> DataFrame:
+    """Links for :func:`connect_trees` from the tree of an enum, ``types(action, name, kind)``, to each formal input, ``formals(action, var, is_input)``, of its name."""
+    enums = types.where("kind = 'enum'").select(F.col("action").alias("src_action"), F.col("name").alias("var"))
+    met = enums.join(formals.where("is_input").select(F.col("action").alias("dst_action"), "var"), "var")
+    return met.select("src_action", F.lit("").alias("src_member"), "dst_action", F.lit("").alias("dst_member")).distinct()
+
+
+def structure(calls: DataFrame, actions: DataFrame, members: DataFrame, exits: DataFrame) -> DataFrame:
+    """STRUCTURAL ``(src, dst)`` arcs of synthetic nodes and trees.
+
+    ``calls(node, parent, kind)`` as of :func:`actions.call_nodes`;
+    ``actions(proc, node, action, real, root)`` with the node that stands for an
+    action, if another; ``members(node, parent)``; ``exits(proc, node, enter)``.
+    A call hangs below its statement and its inputs and outputs below the call;
+    other nodes that stand for actions below the statement, or the entry if that
+    is the exit; a tree's root below its action's node, members below their parents.
+    """
+    below = actions.where("real is not null").select("proc", "node", F.col("real").alias("dst")).join(calls.select(F.col("node").alias("dst")), "dst", "left_anti")
+    top = below.join(exits, ["proc", "node"], "left").select(F.coalesce("enter", "node").alias("src"), "dst")
+    trees = actions.where("root is not null").select(F.coalesce("real", "node").alias("src"), F.col("root").alias("dst"))
+    return calls.select(F.col("parent").alias("src"), F.col("node").alias("dst")).union(top).union(trees).union(members.select("parent", "node")).distinct()
+
+
+def thrown_values(actions: DataFrame) -> DataFrame:
+    """``(src, dst)`` from the tree of what a statement throws to the statement; ``actions(node, var, op, root)``."""
+    return actions.where("op = 'DEF' and var = '-activeException-' and root is not null").select(F.col("root").alias("src"), F.col("node").alias("dst")).distinct()

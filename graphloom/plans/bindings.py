@@ -61,8 +61,8 @@ def event_arcs(spark: SparkSession, sf_dir: str, augmented: bool = True) -> Data
     """``(proc, src, dst, kind)``: the next event; a value over 100 may skip it; an error jumps to the next signup."""
     n = event_nodes(spark, sf_dir)
     order = Window.partitionBy("proc").orderBy("pos")
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    n = n.withColumn("next", F.lead("node").over(order)).withColumn("skip", F.lead("node", 2).over(order)).withColumn("to", F.first(F.when(F.col("kind") == "signup", F.col("node")), True).over(later))
+    back = Window.partitionBy("proc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that grows: a step a row
+    n = n.withColumn("next", F.lead("node").over(order)).withColumn("skip", F.lead("node", 2).over(order)).withColumn("to", F.last(F.when(F.col("kind") == "signup", F.col("node")), True).over(back))
     arc = lambda df, dst, kind: df.where(F.col(dst).isNotNull()).select("proc", F.col("node").alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"))
     error = F.col("kind") == "error"
     out = arc(n.where(~error), "next", "EXEC").union(arc(n.where(~error & (F.col("value") > 100)), "skip", "EXEC")).union(arc(n.where(error), "to", "EXEC"))
