@@ -73,7 +73,8 @@ def member_dependence(actions: DataFrame, members: DataFrame, totals: DataFrame,
     defined one does, from the last declarations that hold it or definitions
     that define it fully. A defined member gives OBJECT_FLOW to its own root.
     """
-    at = members.join(actions, "action").select("proc", actions["node"], F.col("pos"), "action", F.concat_ws("\x1f", "var", "path").alias("var"), "op", "optional", "synthetic", members["node"].alias("member"), "path")
+    held = members.select("action", "path", F.col("node").alias("member"))
+    at = held.join(actions, "action").select("proc", "node", "pos", "action", F.concat_ws("\x1f", "var", "path").alias("var"), "op", "optional", "synthetic", "member", "path")
     row = lambda df, op, later: df.select("proc", "node", (F.col("pos") * 2 + later).alias("pos"), "var", F.lit(op).alias("op"), "optional")
 
     def arcs_of(targets: DataFrame, sources: DataFrame, kind: str) -> DataFrame:

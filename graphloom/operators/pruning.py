@@ -40,12 +40,10 @@ HEADER = "/*\n\tPart of a program: what may affect %s in line %s of %s.\n\tTaken
 def write_sources(texts: DataFrame, folder: str) -> None:
     """``texts(file, package, text, origin, line, variable)``, a row for each source file, as files below ``folder``.
 
-    Each file's folder is ``package=<package with slashes for dots>/name=<file>``
-    and holds one part with a header and the text as it stands. Null packages
-    are the unnamed one; a null variable is 'anything'.
+    Each file's folder is ``package=<package>/name=<file>`` and holds one part
+    with a header and the text as it stands. A null variable is 'anything'.
     """
     head = F.format_string(HEADER, F.coalesce("variable", F.lit("anything")), F.col("line").cast("string"), F.col("origin"), F.col("file"))
-    package = F.coalesce(F.regexp_replace("package", r"\.", "/"), F.lit(""))
     name = F.regexp_extract("file", r"([^/]*)$", 1)
-    out = texts.select(package.alias("package"), name.alias("name"), F.concat(head, F.coalesce("text", F.lit(""))).alias("value"))
+    out = texts.select("package", name.alias("name"), F.concat(head, F.coalesce("text", F.lit(""))).alias("value"))
     out.write.mode("overwrite").partitionBy("package", "name").option("lineSep", "\n").text(folder)

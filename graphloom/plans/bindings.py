@@ -90,6 +90,14 @@ def event_actions_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("proc", "node", "pos", F.explode(both).alias("a")).select("proc", "node", (F.col("pos") * 10 + F.col("a.i")).alias("pos"), F.col("a.v").alias("var"), F.col("a.op").alias("op"), F.col("a.optional").alias("optional"))
 
 
+def event_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(proc, node, pos, var, op, optional, synthetic)``: a signup declares one of seven variables, a view uses it, a purchase or click defines it; cheap clicks are synthetic."""
+    op = F.when(F.col("kind") == "signup", "DEC").when(F.col("kind") == "view", "USE").otherwise("DEF")
+    n = event_nodes(spark, sf_dir).where("kind <> 'error' and var is not null")
+    click = F.col("kind") == "click"
+    return n.select("proc", "node", "pos", (F.col("var").cast("long") % 7).cast("string").alias("var"), op.alias("op"), click.alias("optional"), (click & F.coalesce(F.col("value") < 20, F.lit(False))).alias("synthetic"))
+
+
 #: A procedure in rows ``node, parent, part, pos, kind, label, target``: a labelled loop with a branch, a switch and jumps, a loop that counts, one that tests last, and a return.
 PROGRAM = [
     ("1", None, None, 1, "plain", None, None),

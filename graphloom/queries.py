@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import actions, cfg, constrained, control, dataflow, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, results, slicing, templates
+from .operators import actions, cfg, constrained, constructors, control, criteria, dataflow, declarations, escfg, exceptions, graphs, hierarchy, interproc, objects, pruning, results, slicing, templates
 from .operators.fixpoint import checkpoint, reach
 from .plans import bindings as b
 from .sources import programs
@@ -879,3 +879,217 @@ def value_transfers(s, d):
 @query(f"WITH {_CHOICES} SELECT root, expr, var, count(*) OVER (PARTITION BY root) > 1 AS optional FROM found WHERE handed")
 def out_variables(s, d):
     return results.out_variables(*b.order_choices(s, d)[:2])
+
+
+def _initialised(s, d):
+    """Nations as constructors that run PROGRAM; what their customers bring are initialisers."""
+    nation = b.table(s, d, "nation")
+    k, proc = F.col("n_nationkey"), F.col("n_name")
+    named = lambda end: F.concat(proc, F.lit(end))
+    opens = F.when(k % 3 == 1, "this").when(k % 3 == 2, "super")
+    ctors = nation.select(proc.alias("proc"), proc.alias("type"), F.concat(F.lit("enter:"), proc).alias("enter"), F.concat(F.lit("exit:"), proc).alias("exit"), (k % 5 == 0).alias("is_enum"), (k % 2 == 0).alias("implicit"), opens.alias("opens"), F.when(opens.isNotNull(), named("-1")).alias("opening"), F.array(named("-19")).alias("returns"))
+    init = b.table(s, d, "customer").join(nation, F.col("c_nationkey") == k).select(proc.alias("type"), F.col("c_custkey").alias("pos"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node")).distinct()
+    return constructors.constructor_flow(cfg.control_flow(b.statements(s, d), augmented=True), ctors, init)
+
+
+_CTORS = f"""
+a AS ({_program_sql([(*x, "EXEC") for x in _FLOW] + [(*x, "NONEXEC") for x in _JUMPS_ON])}),
+c AS (SELECT n_name AS proc, n_nationkey AS k, n_nationkey % 5 = 0 AS enum, n_nationkey % 2 = 0 AS implicit, CASE n_nationkey % 3 WHEN 1 THEN 'this' WHEN 2 THEN 'super' END AS opens FROM nation),
+o AS (SELECT *, CASE WHEN opens IS NULL THEN 'enter:' || proc WHEN opens = 'super' THEN proc || '-1' END AS origin FROM c),
+chain AS (
+  SELECT proc, 0 AS rank, 0 AS pos, proc || ':super' AS node, TRUE AS implicit FROM o WHERE opens IS NULL AND NOT enum
+  UNION SELECT proc, 1, c_custkey, proc || ':c:' || c_custkey, FALSE FROM o JOIN customer ON c_nationkey = k WHERE origin IS NOT NULL),
+line AS (SELECT *, lead(node) OVER w AS nxt, row_number() OVER w AS r FROM chain WINDOW w AS (PARTITION BY proc ORDER BY rank, pos))"""
+
+
+@query(f"""WITH {_CTORS}, tail AS (SELECT proc, node FROM line WHERE nxt IS NULL)
+SELECT a.proc, CASE WHEN kind = 'EXEC' AND src = origin THEN coalesce(tail.node, src) ELSE src END AS src,
+  CASE WHEN dst = 'exit:' || a.proc AND NOT (kind = 'EXEC' AND src = a.proc || '-19' OR kind = 'NONEXEC' AND src = 'enter:' || a.proc) THEN a.proc || ':return this' ELSE dst END AS dst, kind
+FROM a JOIN o USING (proc) LEFT JOIN tail USING (proc)
+UNION SELECT proc, origin, node, 'EXEC' FROM line JOIN o USING (proc) WHERE r = 1 UNION SELECT proc, node, nxt, 'EXEC' FROM line WHERE nxt IS NOT NULL UNION SELECT proc, proc || ':return this', 'exit:' || proc, 'EXEC' FROM o""")
+def ctor_cfg(s, d):
+    return _initialised(s, d)[0]
+
+
+@query(f"WITH {_CTORS} SELECT proc, src AS node, implicit FROM a JOIN c USING (proc) UNION SELECT proc, dst, implicit FROM a JOIN c USING (proc) UNION SELECT proc, node, implicit FROM chain UNION SELECT proc, proc || ':return this', TRUE FROM c")
+def ctor_nodes(s, d):
+    return _initialised(s, d)[1]
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand AS type, p_type AS name FROM part WHERE p_size % 2 = 0),
+c AS (SELECT DISTINCT p_brand AS type, split_part(p_name, ' ', 1) AS name FROM part WHERE length(p_brand) = 7)
+SELECT 'type:' || p_brand AS src, 'tree:' || p_brand AS dst FROM part UNION SELECT 'tree:' || type, 'tree:' || type || '/' || name FROM (SELECT * FROM f UNION SELECT * FROM c)""")
+def type_structure(s, d):
+    """Brands as types, those of one digit as enums, with the types of even parts as static fields."""
+    part = b.table(s, d, "part")
+    types = part.select(F.col("p_brand").alias("type"), F.col("p_brand").alias("name"), F.when(F.length("p_brand") == 7, "enum").otherwise("class").alias("kind")).distinct()
+    fields = part.select(F.col("p_brand").alias("type"), F.col("p_type").alias("name"), (F.col("p_size") % 2 == 0).alias("static"))
+    return constructors.type_nodes(types, fields, part.select(F.col("p_brand").alias("type"), F.split("p_name", " ")[0].alias("name")))[1]
+
+
+_DECLARED = EVENTS + """,
+da AS MATERIALIZED (
+  SELECT proc, node, CAST(CAST(var AS BIGINT) % 7 AS VARCHAR) AS var, CASE kind WHEN 'signup' THEN 'DEC' WHEN 'view' THEN 'USE' ELSE 'DEF' END AS op, kind = 'click' AS optional, kind = 'click' AND coalesce(value < 20, FALSE) AS synthetic
+  FROM ev WHERE kind <> 'error' AND var IS NOT NULL),
+pred AS MATERIALIZED (SELECT src, dst FROM cfg WHERE kind = 'EXEC'),
+tgt AS (SELECT node AS def_id, var FROM da WHERE op = 'DEF' AND NOT synthetic),
+bk AS (
+  SELECT def_id, var, src AS n FROM tgt JOIN pred ON dst = def_id
+  UNION SELECT def_id, bk.var, src FROM bk JOIN pred ON dst = n LEFT JOIN da x ON x.node = n AND x.var = bk.var AND x.op = 'DEC' WHERE x.node IS NULL),
+found AS (SELECT n AS src, def_id AS dst, bk.var AS label FROM bk JOIN da x ON x.node = n AND x.var = bk.var AND x.op = 'DEC')"""
+
+
+@query(f"WITH RECURSIVE {_DECLARED} SELECT src, dst, label FROM found")
+def declaration_dependence(s, d):
+    return declarations.declaration_flow(b.event_declarations(s, d), b.event_arcs(s, d))
+
+
+@query(f"WITH RECURSIVE {_DECLARED} SELECT proc, node, var FROM da WHERE op = 'DEF' AND NOT synthetic AND node NOT IN (SELECT dst FROM found)")
+def undeclared_definitions(s, d):
+    return declarations.undeclared(b.event_declarations(s, d), b.event_arcs(s, d))
+
+
+_LATER = "later AS (SELECT def_id, var, dst AS n FROM defs JOIN pred ON src = def_id UNION SELECT def_id, var, dst FROM later JOIN pred ON src = n)"
+
+
+@query(f"WITH RECURSIVE {EVENTS}, pred AS MATERIALIZED (SELECT src, dst FROM cfg WHERE kind = 'EXEC'), defs AS (SELECT node AS def_id, var FROM act WHERE op = 'DEF'), {_LATER} SELECT def_id, n AS next_id FROM later JOIN act a ON a.node = n AND a.var = later.var AND a.op = 'DEF'")
+def later_definitions(s, d):
+    return dataflow.next_definitions(b.event_actions(s, d), b.event_arcs(s, d), all_later=True)
+
+
+def _acting(s, d):
+    """Events as a graph of actions; each action but on a third variable holds a member of what it acts on."""
+    ids = lambda c: F.col(c).cast("string").alias(c)
+    acts = b.event_declarations(s, d).withColumn("action", F.concat(F.lit("a:"), F.col("node").cast("string"))).withColumn("node", ids("node"))
+    return declarations.action_graph(acts, b.event_arcs(s, d).select("proc", ids("src"), ids("dst"), "kind"))
+
+
+@query(f"""WITH RECURSIVE {_DECLARED},
+fd AS (SELECT node AS dec_id, var FROM da WHERE op = 'DEC'),
+fw AS (SELECT dec_id, var, dst AS n FROM fd JOIN pred ON src = dec_id UNION SELECT dec_id, var, dst FROM fw JOIN pred ON src = n)
+SELECT 'a:' || dec_id AS src, 'a:' || n AS dst, 'a:' || n || '/<T>/' || fw.var AS member FROM fw JOIN da x ON x.node = n AND x.var = fw.var AND x.op = 'DEF'""")
+def field_declarations(s, d):
+    """Signups declare fields of ``this``, purchases and clicks define ``this`` with a field below a type."""
+    acts, arcs = _acting(s, d)
+    path = F.concat(F.lit("<T>/"), F.col("var"))
+    members = acts.where("op = 'DEF'").select("action", path.alias("path"), F.concat_ws("/", "action", path).alias("node"))
+    return declarations.field_declarations(acts.withColumn("var", F.when(F.col("op") == "DEC", F.concat(F.lit("this."), F.col("var"))).otherwise("this")), members, arcs)
+
+
+@query(f"""WITH RECURSIVE {_DECLARED},
+ma AS MATERIALIZED (SELECT proc, node, var || '/m' || (node % 2) AS var, op, optional, synthetic, op = 'DEC' OR op = 'DEF' AND node % 3 <> 0 AS complete, 'a:' || node || '/m' || (node % 2) AS member FROM da),
+fb AS (
+  SELECT node AS t, var, src AS n FROM ma JOIN pred ON dst = node WHERE op = 'USE'
+  UNION SELECT t, fb.var, src FROM fb JOIN pred ON dst = n LEFT JOIN ma x ON x.node = n AND x.var = fb.var AND x.op = 'DEF' AND NOT x.optional WHERE x.node IS NULL),
+tb AS (
+  SELECT node AS t, var, src AS n FROM ma JOIN pred ON dst = node WHERE op = 'USE' OR op = 'DEF' AND NOT synthetic
+  UNION SELECT t, tb.var, src FROM tb JOIN pred ON dst = n LEFT JOIN ma x ON x.node = n AND x.var = tb.var AND x.complete AND NOT x.optional WHERE x.node IS NULL)
+SELECT x.member AS src, y.member AS dst, 'FLOW' AS kind FROM fb JOIN ma x ON x.node = n AND x.var = fb.var AND x.op = 'DEF' JOIN ma y ON y.node = t
+UNION SELECT x.member, y.member, 'TOTAL_DEF' FROM tb JOIN ma x ON x.node = n AND x.var = tb.var AND x.complete JOIN ma y ON y.node = t
+UNION SELECT member, 'a:' || node, 'OBJECT_FLOW' FROM ma WHERE op = 'DEF'""")
+def member_dependence(s, d):
+    acts, arcs = _acting(s, d)
+    number = F.substring("action", 3, 20).cast("long")
+    path = F.concat(F.lit("m"), (number % 2).cast("string"))
+    members = acts.select("action", path.alias("path"), F.concat_ws("/", "action", path).alias("node"))
+    totals = acts.where((F.col("op") == "DEF") & (number % 3 != 0)).select("action", path.alias("path"))
+    return declarations.member_dependence(acts, members, totals, arcs)
+
+
+@query(f"""WITH {EVENTS}, met AS (
+  SELECT i.node AS key, o.node, row_number() OVER (PARTITION BY i.node ORDER BY o.node % 40, o.pos DESC, o.node) AS r
+  FROM ev i JOIN ev o ON o.proc = i.proc AND o.kind = 'view' AND o.pos <= i.pos AND o.pos + o.node % 40 >= i.pos + i.node % 3 WHERE i.kind = 'purchase')
+SELECT key, node FROM met WHERE r = 1""")
+def containing_nodes(s, d):
+    """Purchases are calls in a file, a user's events; views are statements of some length."""
+    ev = checkpoint(b.event_nodes(s, d))
+    span = lambda kind, key, n: ev.where(F.col("kind") == kind).select(F.col("node").alias(key), F.col("proc").alias("unit"), F.col("pos").cast("long").alias("start"), (F.col("pos") + F.col("node") % n).alias("end"))
+    return criteria.containing(span("purchase", "key", 3), span("view", "node", 40))
+
+
+@query("""WITH acts AS (SELECT DISTINCT p_size AS action, 'n' || (p_size % 10) AS node, CASE p_size % 3 WHEN 0 THEN 'this' ELSE 'v' || (p_size % 3) END AS name, CASE WHEN p_size % 7 <> 0 THEN 'root:' || p_size END AS root FROM part),
+mem AS (SELECT DISTINCT p_size AS action, p_type AS fields, p_size || '/<' || p_brand || '>/' || p_type AS node FROM part WHERE p_size % 7 <> 0),
+want AS (SELECT p_partkey AS spec, 'n' || (p_size % 10) AS node, CASE p_partkey % 4 WHEN 1 THEN 'v' || (p_partkey % 3) WHEN 2 THEN 'v' || (p_partkey % 3) || '.' || p_type WHEN 3 THEN p_type END AS variable FROM part),
+tries AS (SELECT 1 AS n, * FROM want WHERE variable IS NOT NULL UNION ALL SELECT 2, spec, node, 'this.' || variable FROM want WHERE variable IS NOT NULL),
+hit AS (
+  SELECT n, spec, coalesce(root, a.node) AS node FROM tries t JOIN acts a ON a.node = t.node AND name = variable
+  UNION SELECT n, spec, m.node FROM tries t JOIN acts a ON a.node = t.node JOIN mem m ON m.action = a.action AND name || '.' || fields = variable)
+SELECT spec, node FROM want WHERE variable IS NULL UNION SELECT spec, node FROM hit WHERE n = 1 UNION SELECT spec, node FROM hit WHERE n = 2 AND spec NOT IN (SELECT spec FROM hit WHERE n = 1)""")
+def criterion_nodes(s, d):
+    """Parts ask for a variable or a member of it where parts of their size act."""
+    part = b.table(s, d, "part")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    node = F.concat(F.lit("n"), (size % 10).cast("string")).alias("node")
+    v = lambda c: F.concat(F.lit("v"), (c % 3).cast("string"))
+    acts = part.select(node, size.alias("action"), F.when(size % 3 == 0, "this").otherwise(v(size)).alias("name"), F.when(size % 7 != 0, F.concat(F.lit("root:"), size.cast("string"))).alias("root")).distinct()
+    path = F.concat(F.lit("<"), F.col("p_brand"), F.lit(">/"), F.col("p_type"))
+    members = part.where("p_size % 7 <> 0").select(size.alias("action"), path.alias("path"), F.concat_ws("/", size.cast("string"), path).alias("node")).distinct()
+    variable = F.when(key % 4 == 1, v(key)).when(key % 4 == 2, F.concat(v(key), F.lit("."), F.col("p_type"))).when(key % 4 == 3, F.col("p_type"))
+    return criteria.variable_nodes(part.select(key.alias("spec"), node, variable.alias("variable")), acts, members)
+
+
+_CALL_TREES = """
+ln AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_returnflag) AS flag, min(['TRUCK', 'RAIL', 'AIR', 'REG AIR', 'SHIP', 'FOB', 'MAIL'][CAST(l_suppkey % 7 + 1 AS INTEGER)]) AS mode FROM lineitem GROUP BY ALL),
+direct AS (SELECT DISTINCT 'o:' || o AS proc, CASE flag WHEN 'R' THEN 'a' WHEN 'A' THEN 'b' ELSE 'this' END AS var, mode AS path FROM ln),
+c1 AS (SELECT 'o:' || o_orderkey AS call, 'c:' || o_custkey AS caller, o_orderkey AS k FROM orders), c2 AS (SELECT 'c:' || c_custkey AS call, 'n:' || c_nationkey AS caller, c_custkey AS k FROM customer), c3 AS (SELECT 'n:' || n_nationkey AS call, 'r:' || n_regionkey AS caller, n_nationkey AS k FROM nation),
+passes AS MATERIALIZED (
+  SELECT DISTINCT call, caller, param, var FROM c1, (VALUES ('a', 'x', 1, 0), ('a', 'y', 2, 0), ('b', 'this', 1, 0), ('this', 'row', 3, 1)) AS v(param, var, m, r) WHERE k % m = 0 AND r = 0 OR k % m <> 0 AND r = 1
+  UNION SELECT call, caller, param, var FROM c2, (VALUES ('x', 'x', 1), ('y', 'x', 1), ('this', 'acct', 1), ('row', 'row', 1), ('row', 'this', 2)) AS v(param, var, m) WHERE k % m = 0 AND NOT (param = 'y' AND k % 5 = 0)
+  UNION SELECT call, caller, param, param FROM c3, (VALUES ('x'), ('acct'), ('row')) AS v(param)),
+state AS (
+  SELECT proc, var, path FROM direct UNION SELECT proc, var, '' FROM direct
+  UNION SELECT caller, p.var, path FROM state s JOIN passes p ON p.call = s.proc AND p.param = s.var WHERE NOT (p.var = 'x' AND starts_with(p.call, 'c:') AND CAST(substring(p.call, 3) AS BIGINT) % 4 = 0))"""
+
+
+def _call_trees(s, d):
+    """Orders act on what their lines are, and are called by customers, these by nations, and these by regions."""
+    direct = b.order_lines(s, d).select("proc", F.when(F.col("flag") == "R", "a").when(F.col("flag") == "A", "b").otherwise("this").alias("var"), F.col("mode").alias("path")).distinct()
+
+    def calls(table, prefix, key, above, caller, ways):
+        """``ways``: (param, var, n), at sites whose number is a multiple of n, or, negative, is not."""
+        name = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
+        fits = lambda n: F.col(key) % abs(n) == 0 if n > 0 else F.col(key) % abs(n) != 0
+        each = F.array_compact(F.array(*[F.when(fits(n), F.struct(F.lit(p).alias("param"), F.lit(v).alias("var"))) for p, v, n in ways]))
+        out = b.table(s, d, table).select(name(prefix, key).alias("call"), name(above, caller).alias("caller"), name(prefix, key).alias("callee"), F.explode(each).alias("w"))
+        return out.select("call", "caller", "callee", "w.*")
+
+    passes = calls("orders", "o", "o_orderkey", "c", "o_custkey", [("a", "x", 1), ("a", "y", 2), ("b", "this", 1), ("this", "row", -3)])
+    passes = passes.union(calls("customer", "c", "c_custkey", "n", "c_nationkey", [("x", "x", 1), ("y", "x", 1), ("this", "acct", 1), ("row", "row", 1), ("row", "this", 2)]))
+    passes = passes.union(calls("nation", "n", "n_nationkey", "r", "n_regionkey", [(v, v, 1) for v in ("x", "acct", "row")]))
+    some = lambda n, c, v: b.table(s, d, "customer").where(F.col("c_custkey") % n == 0).select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias(c), F.lit(v).alias("var"))
+    return interproc.propagate_trees(direct, passes, some(4, "call", "x"), some(5, "proc", "y"))
+
+
+@query(f"WITH RECURSIVE {_CALL_TREES} SELECT proc, var, path FROM state")
+def interproc_trees(s, d):
+    return _call_trees(s, d)[0]
+
+
+@query(f"WITH RECURSIVE {_CALL_TREES}, n AS (SELECT call, param, count(*) > 1 AS optional FROM passes GROUP BY ALL) SELECT DISTINCT p.call, p.param, p.var, path, optional FROM passes p JOIN n USING (call, param) JOIN state s ON s.proc = p.call AND s.var = p.param")
+def call_site_trees(s, d):
+    return _call_trees(s, d)[1]
+
+
+@query(f"""WITH {_TREES}, pr AS (SELECT DISTINCT x.p_size AS a, y.p_size AS b, x.p_size % 3 <> 0 AS obj, x.p_size % 4 = 2 AS outs FROM part x JOIN part y ON y.p_size = x.p_size + 1 WHERE x.p_size % 2 = 0),
+w AS (SELECT path, action, node, has_inner FROM t),
+arcs AS (
+  SELECT 'n:' || a AS src, 'n:' || b AS dst, FALSE AS object_flow, outs FROM pr WHERE NOT (obj AND outs)
+  UNION SELECT x.node, y.node, f, outs FROM pr JOIN w x ON x.action = a JOIN w y ON y.action = b AND y.path = x.path, (VALUES (FALSE), (TRUE)) AS v(f) WHERE obj AND (y.has_inner OR NOT f)
+  UNION SELECT CASE WHEN a % 7 = 0 THEN 'n:' ELSE 'root:' END || a, CASE WHEN b % 7 = 0 THEN 'n:' ELSE 'root:' END || b, FALSE, outs FROM pr WHERE obj AND (a % 7 = 0 OR b % 7 = 0))
+SELECT src, dst, object_flow, NOT outs AS is_in, outs AS is_out FROM arcs""")
+def object_call_arcs(s, d):
+    """Trees of sizes handed from an actual to a formal input, and from an output to a return."""
+    roots, members = _size_trees(s, d)
+    node, size = F.concat(F.lit("n:"), F.col("action").cast("string")), F.col("action")
+    acts = roots.select(node.alias("node"), F.lit(1).alias("pos"), "action", F.when(F.col("has_tree"), F.col("node")).alias("root"))
+    above = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    members = members.withColumn("parent", F.when(above == "", F.concat(F.lit("root:"), size.cast("string"))).otherwise(F.concat_ws("/", size.cast("string"), above)))
+    to = roots.select((size - 1).alias("action"))
+    pairs = roots.where("action % 2 = 0").join(to, "action").select(node.alias("src"), F.concat(F.lit("n:"), (size + 1).cast("string")).alias("dst"), (size % 3 != 0).alias("is_object"), (size % 4 == 2).alias("is_output"))
+    kinds = roots.select(node.alias("node"), F.element_at(F.array(*map(F.lit, ("ACTUAL_IN", "FORMAL_IN", "OUTPUT", "CALL_RETURN"))), (size % 4 + 1).cast("int")).alias("kind"))
+    return objects.object_call_arcs(pairs, acts, members, kinds)
+
+
+@query(f"WITH {NODES} SELECT node_id || ': ' || kind AS line FROM nodes")
+def text_dump(s, d):
+    return graphs.text_lines(b.fk_nodes(s, d).withColumnRenamed("kind", "label"))
