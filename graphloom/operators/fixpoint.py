@@ -33,15 +33,16 @@ def news(step: DataFrame, n: int, seen: DataFrame, key: list[str]) -> DataFrame:
     return step.join(known, key, "left_anti")
 
 
-def reach(seeds: DataFrame, arcs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def reach(seeds: DataFrame, arcs: DataFrame, known: DataFrame | None = None, saved: bool = False) -> DataFrame:
     """All ``(key, node)`` that ``seeds(key, node)`` reach over ``arcs(src, dst)``, seeds included, and ``known``, which is not searched from.
 
     All keys advance together: a round joins only what the last one added.
     While that is little it is broadcast, so arcs and what is known stay where
-    they are. Arcs are made distinct and written once.
+    they are. Arcs are made distinct and written once, unless they are ``saved``:
+    read from a table and all but distinct, so that this would cost more than it spares.
     """
     key = ["key", "node"]
-    arcs = checkpoint(arcs.select("src", "dst").distinct())
+    arcs = arcs.select("src", "dst") if saved else checkpoint(arcs.select("src", "dst").distinct())
     seen = seeds.select(*key).distinct()
     seen = delta = checkpoint(seen if known is None else seen.join(known, key, "left_anti"))
     if known is not None:

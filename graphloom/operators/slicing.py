@@ -20,10 +20,10 @@ def passes(criteria: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     that the first left out lead anywhere new, so the second begins with them.
     """
     arcs = checkpoint(arcs.select("src", "dst", "is_inter_in", "is_inter_out"))
-    first = checkpoint(reach(criteria, _backward(arcs.where("not is_inter_out"))))
+    first = checkpoint(reach(criteria, _backward(arcs.where("not is_inter_out")), saved=True))
     out = _backward(arcs.where("is_inter_out and not is_inter_in")).distinct()
     entered = first.join(out, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node"))
-    return first, reach(entered, _backward(arcs.where("not is_inter_in")), first)
+    return first, reach(entered, _backward(arcs.where("not is_inter_in")), first, saved=True)
 
 
 def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def intra(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
     """Slices that cross no arc between procedures."""
-    return reach(criteria, _backward(arcs.where("not is_inter_in and not is_inter_out"))).select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
+    own = checkpoint(_backward(arcs.where("not is_inter_in and not is_inter_out")))
+    return reach(criteria, own, saved=True).select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
 
 
 def pseudo_predicate(criteria: DataFrame, arcs: DataFrame, pseudo: DataFrame) -> DataFrame:
