@@ -75,6 +75,79 @@ def post_dominators(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return per_procedure(nodes, arcs, "a long, b long", visit)
 
 
+def _immediate(nodes: list, successors: dict) -> dict:
+    """For each node that reaches an end, the nearest node that all its ways to an end pass, or None; ends first.
+
+    Repeated meets up the tree found so far, targets before sources. Targets
+    that reach no end have no say.
+    """
+    before, names = defaultdict(list), dict.fromkeys(nodes)
+    for s, targets in successors.items():
+        for t in targets:
+            before[t].append(s)
+            names[s] = names[t] = None
+    ends = [n for n in names if not successors.get(n)]
+    order, seen = [], set(ends)
+    todo = [(n, iter(before[n])) for n in ends]
+    while todo:
+        n, rest = todo[-1]
+        p = next((p for p in rest if p not in seen), None)
+        if p is None:
+            order.append(n)
+            todo.pop()
+        else:
+            seen.add(p)
+            todo.append((p, iter(before[p])))
+    order.reverse()
+    rank = {n: i for i, n in enumerate(order)} | {None: -1}
+    up = dict.fromkeys(ends)
+
+    def meet(a, b):
+        while rank[a] != rank[b]:
+            if rank[a] > rank[b]:
+                a = up[a]
+            else:
+                b = up[b]
+        return a
+
+    changed = True
+    while changed:
+        changed = False
+        for n in order:
+            if successors.get(n):
+                known = [t for t in successors[n] if t in up]
+                new = known[0]
+                for t in known[1:]:
+                    new = meet(new, t)
+                if n not in up or up[n] != new:
+                    up[n], changed = new, True
+    return {n: up[n] for n in order}
+
+
+def immediate_post_dominators(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """``(proc, node, above, depth)``: the tree of nearest post-dominators, a row a node.
+
+    ``above`` is null at a root, whose depth is 0. Nodes that reach no end have
+    no row. A node's post-dominators are what stands above it.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def visit(proc, left, successors):
+        tree = _immediate(left["node"].tolist(), {s: [r.dst for r in rs] for s, rs in successors.items()})
+        depth = {}
+        for n in tree:
+            way = [n]
+            while way[-1] not in depth and tree[way[-1]] is not None:
+                way.append(tree[way[-1]])
+            at = depth.setdefault(way[-1], 0)
+            for k, m in enumerate(reversed(way)):
+                depth[m] = at + k
+        for n, above in tree.items():
+            yield proc, n, above, depth[n]
+
+    return per_procedure(nodes, arcs, f"proc {nodes.schema['proc'].dataType.simpleString()}, node {kind}, above {kind}, depth int", visit)
+
+
 def control_dependence(nodes: DataFrame, arcs: DataFrame, traverse_all: bool = True) -> DataFrame:
     """``(a, b)``: b post-dominates some but not all targets of a's arcs.
 

@@ -11,14 +11,16 @@ from .fixpoint import search
 def reaching_linear(actions: DataFrame) -> DataFrame:
     """``(use_id, def_id)`` in straight-line code: the last plain definition before a use and the optional ones after it.
 
-    ``actions(proc, node, pos, var, op, optional)``. One window over each
-    procedure's variable finds the last plain definition; a join adds the rest.
+    ``actions(proc, node, pos, var, op, optional)``. Plain definitions cut each
+    procedure's actions on a variable into parts, each beginning with one; a use
+    meets the definitions of its own part that stand before it.
     """
-    order = Window.partitionBy("proc", "var").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    plain = F.max(F.when((F.col("op") == "DEF") & ~F.col("optional"), F.col("pos"))).over(order)
-    uses = actions.withColumn("last", plain).where("op = 'USE'").select("proc", "var", F.col("node").alias("use_id"), F.col("pos").alias("at"), F.coalesce("last", F.lit(0)).alias("last"))
-    defs = actions.where("op = 'DEF'").select("proc", "var", F.col("node").alias("def_id"), "pos")
-    return uses.join(defs, ["proc", "var"]).where("pos < at and pos >= last").select("use_id", "def_id")
+    order = Window.partitionBy("proc", "var").orderBy("pos")
+    plain = F.when((F.col("op") == "DEF") & ~F.col("optional"), 1)
+    defs = actions.withColumn("part", F.count(plain).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("op = 'DEF'")
+    uses = actions.withColumn("part", F.count(plain).over(order.rangeBetween(Window.unboundedPreceding, -1))).where("op = 'USE'")
+    defs = defs.select("proc", "var", "part", F.col("node").alias("def_id"), "pos")
+    return uses.select("proc", "var", "part", F.col("node").alias("use_id"), F.col("pos").alias("at")).join(defs, ["proc", "var", "part"]).where("pos < at").select("use_id", "def_id")
 
 
 def _defs(actions: DataFrame, plain: bool = False) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import checkpoint
+from .fixpoint import checkpoint, per_procedure
 
 
 def merged_sources(sources: DataFrame) -> DataFrame:
@@ -47,13 +49,33 @@ def uncaught(sources: DataFrame, catches: DataFrame, closure: DataFrame) -> Data
     return _with_catcher(merged_sources(sources), catches, closure).where("active and caught_at is null").select("scope", "type").distinct()
 
 
-def return_targets(post_dominators: DataFrame, returns: DataFrame) -> DataFrame:
-    """``(call, target)``: the first node that post-dominates all returns of a call. ``returns(call, node)``; a node post-dominates itself."""
-    returns = returns.distinct()
-    reached = returns.join(post_dominators, F.col("node") == F.col("a")).select("call", "b").union(returns.select("call", F.col("node").alias("b")))
-    whole = returns.groupBy("call").agg(F.count(F.lit(1)).alias("n"))
-    common = reached.groupBy("call", "b").agg(F.count(F.lit(1)).alias("met")).join(whole, "call").where("met = n")
-    return common.groupBy("call").agg(F.min("b").alias("target"))
+def return_targets(tree: DataFrame, returns: DataFrame) -> DataFrame:
+    """``(call, target)``: the first node that post-dominates all returns of a call; a node post-dominates itself.
+
+    ``tree(proc, node, above, depth)`` from ``immediate_post_dominators``,
+    ``returns(proc, call, node)``. The deepest of a call's nodes climbs until
+    one is left. Returns that reach no end have no say; calls with such returns
+    alone, or whose returns share no node, have no row.
+    """
+
+    def visit(proc, left, successors):
+        up = {n: rows[0] for n, rows in successors.items()}
+        for call, g in left.groupby("call"):
+            at = {n for n in g["node"] if n in up}
+            heap = [(-up[n].depth, n) for n in at]
+            heapify(heap)
+            while len(at) > 1 and heap[0][0] < 0:
+                n = heappop(heap)[1]
+                at.remove(n)
+                if (above := up[n].dst) not in at:
+                    at.add(above)
+                    heappush(heap, (-up[above].depth, above))
+            if len(at) == 1:
+                yield call, at.pop()
+
+    kind = lambda c: returns.schema[c].dataType.simpleString()
+    arcs = tree.select("proc", F.col("node").alias("src"), F.coalesce("above", "node").alias("dst"), "depth")
+    return per_procedure(returns.select("proc", "call", "node"), arcs, f"call {kind('call')}, target {kind('node')}", visit)
 
 
 def conditional_dependence(control: DataFrame, catches: DataFrame, inside: DataFrame, within: DataFrame, sources: DataFrame, pseudo: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def search(starts: DataFrame, arcs: DataFrame, walls: DataFrame, marks: DataFram
     ``arcs(proc, src, dst)``, but not on from nodes that are a wall of its
     variable, ``walls(proc, node, var)``. ``marks(proc, node, var)`` name what is
     wanted, for one variable or, null, for all. Procedures of up to PROC_ARCS
-    arcs are searched a task each; larger ones by rounds of joins over all tasks.
+    arcs are searched a task each; larger ones by joins over all tasks, a straight line a round.
     """
     arcs = arcs.select("proc", "src", "dst").distinct()
     sizes = arcs.groupBy("proc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PROC_ARCS).select("proc")
@@ -84,16 +84,9 @@ def search(starts: DataFrame, arcs: DataFrame, walls: DataFrame, marks: DataFram
         return _search_small(starts, arcs, walls, marks)
     part = lambda df, how: df.join(large, "proc", how)
     few = _search_small(*[part(df, "left_anti") for df in (starts, arcs, walls, marks)])
-    starts, arcs, walls, marks = (checkpoint(part(df, "left_semi")) for df in (starts, arcs, walls, marks))
-    key = ["key", "var", "node"]
-    seen = delta = checkpoint(starts.select(*key).distinct())
-    while not delta.isEmpty():
-        on = delta.join(walls.select("node", "var").distinct(), ["node", "var"], "left_anti")
-        step = on.join(arcs, F.col("node") == F.col("src")).select("key", "var", F.col("dst").alias("node")).distinct()
-        delta = checkpoint(step.join(seen, key, "left_anti"))
-        seen = checkpoint(seen.union(delta))
-    wanted = marks.select("node", F.col("var").alias("_var")).distinct()
-    return few.union(seen.join(wanted, "node").where("_var is null or _var = var").select(*key).distinct())
+    from .lines import search_lines
+
+    return few.union(search_lines(*[checkpoint(part(df, "left_semi")) for df in (starts, arcs, walls, marks)]))
 
 
 PROC_ARCS = 50_000

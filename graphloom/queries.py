@@ -175,6 +175,13 @@ def postdominators(s, d):
     return control.post_dominators(b.event_nodes(s, d), b.event_arcs(s, d))
 
 
+@query(f"WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg), {ESCAPES} SELECT x.node AS a, min(y.node) AS b FROM ev x JOIN ev y ON x.proc = y.proc AND x.node <> y.node WHERE NOT EXISTS (SELECT 1 FROM esc WHERE esc.n = x.node AND esc.b = y.node) GROUP BY x.node")
+def immediate_postdominators(s, d):
+    """Arcs of events go forwards, so the nearest post-dominator has the least number."""
+    tree = control.immediate_post_dominators(b.event_nodes(s, d), b.event_arcs(s, d))
+    return tree.where("above is not null").select(F.col("node").alias("a"), F.col("above").alias("b"))
+
+
 _CD = "SELECT a, b FROM (SELECT cfg.src AS a, y.node AS b, count(*) AS k, count(*) FILTER (cfg.dst = y.node OR esc.n IS NULL) AS yes FROM cfg JOIN ev y ON y.proc = cfg.proc AND y.node <> cfg.src LEFT JOIN esc ON esc.n = cfg.dst AND esc.b = y.node GROUP BY ALL) WHERE k > 1 AND yes > 0 AND yes < k"
 
 
@@ -662,8 +669,8 @@ def uncaught_exceptions(s, d):
 @query(f"WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg WHERE kind = 'EXEC'), {ESCAPES}, ret AS (SELECT proc AS call, node FROM ev WHERE kind = 'view') SELECT call, min(y.node) AS target FROM (SELECT call, e.node, count(*) AS n FROM ret JOIN ev e ON e.proc = call LEFT JOIN esc ON esc.n = ret.node AND esc.b = e.node WHERE ret.node = e.node OR esc.n IS NULL GROUP BY ALL) y JOIN (SELECT call, count(*) AS n FROM ret GROUP BY call) USING (call, n) GROUP BY call")
 def return_targets(s, d):
     nodes = checkpoint(b.event_nodes(s, d))
-    returns = nodes.where("kind = 'view'").select(F.col("proc").alias("call"), "node")
-    return exceptions.return_targets(control.post_dominators(nodes, b.event_arcs(s, d).where("kind = 'EXEC'")), returns)
+    returns = nodes.where("kind = 'view'").select("proc", F.col("proc").alias("call"), "node")
+    return exceptions.return_targets(control.immediate_post_dominators(nodes, b.event_arcs(s, d).where("kind = 'EXEC'")), returns)
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, walk AS (SELECT proc, src, dst FROM cfg WHERE kind = 'EXEC'), {ESCAPES}, cd AS ({_CD}),
