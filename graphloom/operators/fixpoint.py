@@ -82,11 +82,12 @@ def search(starts: DataFrame, arcs: DataFrame, walls: DataFrame, marks: DataFram
     large = checkpoint(sizes)
     if large.isEmpty():
         return _search_small(starts, arcs, walls, marks)
-    part = lambda df, how: df.join(large, "proc", how)
-    few = _search_small(*[part(df, "left_anti") for df in (starts, arcs, walls, marks)])
+    # Outer joins: pushed below the callers' joins, semi and anti joins leave an invalid plan.
+    part = lambda df, hot: df.join(large.withColumn("_hot", F.lit(True)), "proc", "left").where("_hot" if hot else "_hot is null").drop("_hot")
+    few = _search_small(*[part(df, False) for df in (starts, arcs, walls, marks)])
     from .lines import search_lines
 
-    return few.union(search_lines(*[checkpoint(part(df, "left_semi")) for df in (starts, arcs, walls, marks)]))
+    return few.union(search_lines(*[checkpoint(part(df, True)) for df in (starts, arcs, walls, marks)]))
 
 
 PROC_ARCS = 50_000
