@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .fixpoint import checkpoint
+from .fixpoint import SMALL, checkpoint, news
 
 STATE = ["key", "node"]
 
 
-def _ways(taken: DataFrame) -> DataFrame:
-    """How each criterion's traversed arcs leave a node; ``node`` is the arcs' source."""
-    every = lambda c: F.min(c.cast("int")) == 1
+def _parts(new: DataFrame) -> DataFrame:
+    """What newly traversed arcs say of the ways that leave a node; ``node`` is the arcs' source."""
     kind = F.col("kind")
-    return taken.groupBy("key", F.col("src").alias("node")).agg(
-        every(kind == "CD").alias("all_cd"),
-        every(kind == "CC1").alias("all_cc1"),
-        every(kind == "CC2").alias("all_cc2"),
-        every(kind.isin("CC1", "CC2")).alias("all_conditional"),
-        (F.max((kind == "OBJECT_FLOW").cast("int")) == 1).alias("by_object"),
-    )
+    every = lambda c, name: F.min(c.cast("int")).alias(name)
+    return new.groupBy("key", F.col("src").alias("node")).agg(every(kind == "CD", "cd"), every(kind == "CC1", "cc1"), every(kind == "CC2", "cc2"), every(kind.isin("CC1", "CC2"), "cc"), F.max((kind == "OBJECT_FLOW").cast("int")).alias("object"))
 
 
-def _included(touched: DataFrame, ways: DataFrame, kept: DataFrame) -> DataFrame:
-    """Touched nodes that enter the slice: not those left by one sort of conditional arcs alone."""
-    return touched.join(ways.where("not all_cc1 and not all_cc2"), STATE).select(*STATE).join(kept, STATE, "left_anti")
+def _ways(parts: DataFrame) -> DataFrame:
+    """How each criterion's traversed arcs leave a node, from the parts of all rounds."""
+    every = lambda c: (F.min(c) == 1).alias(f"all_{c}")
+    return parts.groupBy(*STATE).agg(every("cd"), every("cc1"), every("cc2"), (F.min("cc") == 1).alias("all_conditional"), (F.max("object") == 1).alias("by_object"))
+
+
+def _some(rows: DataFrame, moved: DataFrame, n: int) -> DataFrame:
+    """The rows of ``n`` moved nodes; few go to where the rows lie."""
+    return rows.join(F.broadcast(moved) if n <= SMALL else moved, STATE, "left_semi")
 
 
 def exception_sensitive(criteria: DataFrame, arcs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -44,23 +45,47 @@ def exception_sensitive(criteria: DataFrame, arcs: DataFrame, nodes: DataFrame)
     * s enters the slice unless it was reached by CC1 alone or by CC2 alone;
     * at the end CC1 goes on through nodes reached by CC1 alone.
 
-    A round looks only at nodes whose ways have changed. Rules are tested on
-    the state at a round's start, and only relax but for exempt nodes, so the
-    result does not depend on any order.
+    A round looks only at nodes whose ways have changed, and adds to what is
+    known without writing that again. Rules are tested on the state at a round's
+    start, and only relax but for exempt nodes, so the result does not depend on
+    any order.
     """
     arcs = checkpoint(arcs.select("src", "dst", "kind", "is_inter_in", "is_inter_out", "exclusive"))
     roots = checkpoint(criteria.select(*STATE).distinct())
     origin = roots.withColumn("is_root", F.lit(True))
     marks = nodes.select("node", "pseudo", "object_stop")
-    kept = roots
-    taken = roots.limit(0).join(arcs.limit(0), F.lit(True)).select("key", "src", "dst", "kind")
     is_new = ["key", "src", "dst", "kind"]
+    shape = StructType([roots.schema["key"], *[arcs.schema[c] for c in is_new[1:]]])
+    taken = roots.sparkSession.createDataFrame([], shape)
+    kept, parts, rounds, total = roots, _parts(taken), 0, 0
     false = F.lit(False)
+
+    def advance(step: DataFrame):
+        """Take what is new in ``step``: the moved nodes, how many arcs moved them, none at the end, and their ways."""
+        nonlocal taken, kept, parts, rounds, total
+        step = step.select(*is_new).distinct()
+        if total <= SMALL:
+            new = checkpoint(step.join(F.broadcast(taken), is_new, "left_anti"))  # SMALL rows at most
+        else:
+            step = checkpoint(step)
+            new = checkpoint(news(step, step.count(), taken, is_new))
+        n = new.count()
+        if not n:
+            return None, 0, None
+        own = checkpoint(_parts(new))
+        moved = own.select(*STATE)
+        taken, parts, rounds, total = taken.union(new), parts.union(own), rounds + 1, total + n
+        ways = checkpoint(_ways(_some(parts, moved, n)))
+        # Left by one sort of conditional arcs alone, a node does not enter the slice.
+        kept = kept.union(checkpoint(news(ways.where("not all_cc1 and not all_cc2").select(*STATE), n, kept, STATE)))
+        if rounds % 8 == 0:
+            taken, parts, kept = checkpoint(taken), checkpoint(parts), checkpoint(kept)
+        return moved, n, ways
+
     for barred in ("is_inter_out", "is_inter_in"):
         usable = arcs.where(~F.col(barred))
-        touched = kept
+        touched, ways = kept, _ways(parts)
         while True:
-            ways = _ways(taken)
             here = touched.join(ways, STATE, "left").join(origin, STATE, "left").join(marks, "node", "left")
             step = here.join(usable, F.col("node") == F.col("dst"))
             root = F.coalesce("is_root", false)
@@ -68,20 +93,14 @@ def exception_sensitive(criteria: DataFrame, arcs: DataFrame, nodes: DataFrame)
             stop = cd & F.coalesce("pseudo", false) & F.coalesce("all_cd", F.lit(True)) & ~root
             stop |= F.coalesce("all_conditional", false) & ~root & ~(cd & F.col("exclusive"))
             stop |= obj & ~root & ~F.coalesce("by_object", false) & ~F.coalesce("object_stop", false)
-            new = checkpoint(step.where(~stop).select(*is_new).distinct().join(taken, is_new, "left_anti"))
-            if new.isEmpty():
+            moved, n, ways = advance(step.where(~stop))
+            if not n:
                 break
-            taken = checkpoint(taken.union(new))
-            moved = checkpoint(new.select("key", F.col("src").alias("node")).distinct())
-            kept = checkpoint(kept.union(_included(moved, _ways(taken), kept)))
-            touched = moved.join(kept, STATE, "left_semi")
+            touched = _some(kept, moved, n)
+        ways = _ways(parts)
         while True:
-            only = _ways(taken).where("all_cc1").select(*STATE)
-            step = only.join(usable.where("kind = 'CC1'"), F.col("node") == F.col("dst")).select(*is_new)
-            new = checkpoint(step.distinct().join(taken, is_new, "left_anti"))
-            if new.isEmpty():
+            only = ways.where("all_cc1").select(*STATE)
+            _, n, ways = advance(only.join(usable.where("kind = 'CC1'"), F.col("node") == F.col("dst")))
+            if not n:
                 break
-            taken = checkpoint(taken.union(new))
-            moved = new.select("key", F.col("src").alias("node")).distinct()
-            kept = checkpoint(kept.union(_included(moved, _ways(taken), kept)))
     return kept.select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))

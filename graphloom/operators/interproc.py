@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import checkpoint
+from .fixpoint import SMALL, checkpoint, news
 
 
 def propagate(direct: DataFrame, calls: DataFrame, local: DataFrame) -> DataFrame:
@@ -112,16 +112,17 @@ def summary_arcs(intra: DataFrame, formals: DataFrame, actuals: DataFrame) -> Da
     given = actuals.where("is_input").select("call", "proc", F.col("node").alias("src"), F.col("var").alias("in_var"))
     taken = actuals.where("not is_input").select("call", "proc", F.col("node").alias("dst"), F.col("var").alias("out_var"))
     path = fresh = checkpoint(outs.select("proc", F.col("var").alias("out_var"), "node").distinct())
-    summary = arcs.limit(0)
+    summary, rounds = arcs.limit(0), 0
     key = ["proc", "out_var", "node"]
-    while True:
+    back = lambda p, a: p.join(a, F.col("node") == F.col("dst")).select("proc", "out_var", F.col("src").alias("node"))
+    while n := fresh.count():
         passes = fresh.join(ins, (F.col("proc") == F.col("in_proc")) & (F.col("node") == F.col("in_node"))).select("proc", "in_var", "out_var").distinct()
-        found = passes.join(given, ["proc", "in_var"]).join(taken, ["call", "proc", "out_var"]).select("src", "dst").distinct()
-        new = checkpoint(found.join(summary, ["src", "dst"], "left_anti"))
-        summary = checkpoint(summary.union(new))
-        back = lambda p, a: p.join(a, F.col("node") == F.col("dst")).select("proc", "out_var", F.col("src").alias("node"))
-        step = back(fresh, arcs.union(summary)).union(back(path, new)).distinct()
-        fresh = checkpoint(step.join(path, key, "left_anti"))
-        if fresh.isEmpty():
-            return summary
-        path = checkpoint(path.union(fresh))
+        found = checkpoint(passes.join(given, ["proc", "in_var"]).join(taken, ["call", "proc", "out_var"]).select("src", "dst").distinct())
+        new = checkpoint(news(found, found.count(), summary, ["src", "dst"]))
+        summary = summary.union(new)
+        step = checkpoint(back(F.broadcast(fresh) if n <= SMALL else fresh, arcs.union(summary)).union(back(path, new)).distinct())
+        fresh = checkpoint(news(step, step.count(), path, key))
+        path, rounds = path.union(fresh), rounds + 1
+        if rounds % 8 == 0:
+            path, summary = checkpoint(path), checkpoint(summary)
+    return summary
