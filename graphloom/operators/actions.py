@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import checkpoint
+from .fixpoint import keep
 
 OUTPUT, EXCEPTION = "-output-", "-activeException-"
 SCOPE_IN, ARG_IN, THIS = "-scope-in-", "-arg-in-", "this"
@@ -48,16 +48,30 @@ def field_chains(expressions: DataFrame) -> DataFrame:
     Any other chain (of what a call returns, of an array's element) has no row.
     A round follows all chains by one expression.
     """
-    known = checkpoint(expressions.where("kind in ('field', 'inner', 'name', 'this') and expr is not null").select("expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))
-    below = known.where("pos = 1").select(F.col("parent").alias("at"), F.col("expr").alias("_expr"), F.col("kind").alias("_kind"), F.col("name").alias("_name"))
-    state = checkpoint(known.where("kind = 'field'").select("expr", F.array("name").alias("tail"), F.col("expr").alias("at")))
+    return _chains(_by_node(expressions.select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))).select("expr", "name")
+
+
+#: Stands for a null node, which no join would find again.
+_NO_NODE = "\x01"
+
+
+def _by_node(df: DataFrame) -> DataFrame:
+    """The frame written so that a node's rows lie together: all that follows joins within nodes and moves none of them."""
+    return keep(df.withColumn("node", F.coalesce("node", F.lit(_NO_NODE))).repartition("node"))
+
+
+def _chains(known: DataFrame) -> DataFrame:
+    """``(node, expr, name)`` of :func:`field_chains`, from what :func:`_by_node` wrote."""
+    known = known.where("kind in ('field', 'inner', 'name', 'this') and expr is not null")
+    below = known.where("pos = 1").select("node", F.col("parent").alias("at"), F.col("expr").alias("_expr"), F.col("kind").alias("_kind"), F.col("name").alias("_name"))
+    state = known.where("kind = 'field'").select("node", "expr", F.array("name").alias("tail"), F.col("expr").alias("at"))
     out = None
     while not state.isEmpty():
-        step = checkpoint(state.join(below, "at").select("expr", "tail", "_expr", "_kind", "_name"))
-        rooted = step.where("_kind in ('name', 'this')").select("expr", F.concat_ws(".", F.when(F.col("_kind") == "this", THIS).otherwise(F.col("_name")), F.concat_ws(".", "tail")).alias("name"))
+        step = keep(state.join(below, ["node", "at"]).select("node", "expr", "tail", "_expr", "_kind", "_name"))
+        rooted = step.where("_kind in ('name', 'this')").select("node", "expr", F.concat_ws(".", F.when(F.col("_kind") == "this", THIS).otherwise(F.col("_name")), F.concat_ws(".", "tail")).alias("name"))
         out = rooted if out is None else out.union(rooted)
-        state = step.where("_kind in ('field', 'inner')").select("expr", F.when(F.col("_kind") == "field", F.concat(F.array("_name"), "tail")).otherwise(F.col("tail")).alias("tail"), F.col("_expr").alias("at"))
-    return out if out is not None else known.select("expr", "name").limit(0)
+        state = step.where("_kind in ('field', 'inner')").select("node", "expr", F.when(F.col("_kind") == "field", F.concat(F.array("_name"), "tail")).otherwise(F.col("tail")).alias("tail"), F.col("_expr").alias("at"))
+    return out if out is not None else known.select("node", "expr", "name").limit(0)
 
 
 def expression_actions(expressions: DataFrame) -> DataFrame:
@@ -107,23 +121,26 @@ def call_actions(expressions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def _actions(expressions: DataFrame, calls: DataFrame | None) -> DataFrame:
-    known = checkpoint(expressions.select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))
-    chains = checkpoint(field_chains(known)).withColumn("_chain", F.lit(True))
-    is_this = F.col("kind").isin("this", "super")
-    named = known.join(chains.withColumnRenamed("name", "_name"), "expr", "left")
-    named = named.withColumn("name", F.when(is_this, F.col("kind")).otherwise(F.coalesce("_name", "name"))).withColumn("kind", F.when(is_this | F.col("_chain"), "name").otherwise(F.col("kind")))
-    # What a chain is made of is not visited by itself.
-    known = checkpoint(named.join(chains.select(F.col("expr").alias("parent")), "parent", "left_anti").select("node", "expr", "parent", "pos", "kind", "name"))
+    known = expressions.select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name")
+    unlinked = {"form": F.lit(None).cast("string"), "returns": F.lit(None).cast("boolean"), "alone": F.lit(None).cast("boolean"), "params": F.lit(None).cast("array<string>")}
     if calls is None:
-        linked = known.select("expr").limit(0).withColumns({"form": F.lit(""), "returns": F.lit(False), "alone": F.lit(False), "params": F.array(F.lit(""))})
+        known = known.withColumns(unlinked)
     else:
         linked = calls.where("expr is not null").select("expr", "form", "returns", "alone", "params").dropDuplicates(["expr"])
-    known = checkpoint(known.join(linked, "expr", "left").withColumn("linked", (F.col("kind") == "call") & F.col("form").isNotNull()))
-    child_of = known.where("parent is not null")
-    child = child_of.select(F.col("parent").alias("up"), *[F.col(c).alias(f"child_{c}") for c in ("expr", "pos", "kind", "name", "form", "returns", "alone", "params", "linked")])
-    scoped = child_of.where("pos = 0").select(F.col("parent").alias("expr")).distinct().withColumn("scoped", F.lit(True))
-    carried = ("form", "returns", "alone", "params", "linked")
-    level = checkpoint(known.where("parent is null").select("node", "expr", "kind", "name", *carried, F.array("pos").alias("place"), F.lit("USE").alias("op"), F.lit(False).alias("optional"), F.lit(None).cast("string").alias("real")))
+        called = F.coalesce(F.col("kind") == "call", F.lit(False))
+        known = known.where(called).join(linked, "expr", "left").unionByName(known.where(~called).withColumns(unlinked))
+    known = _by_node(known.withColumn("linked", F.col("form").isNotNull()))
+    chains = keep(_chains(known)).withColumn("_chain", F.lit(True))
+    is_this = F.col("kind").isin("this", "super")
+    named = known.join(chains.withColumnRenamed("name", "_name"), ["node", "expr"], "left")
+    named = named.withColumn("name", F.when(is_this, F.col("kind")).otherwise(F.coalesce("_name", "name"))).withColumn("kind", F.when(is_this | F.col("_chain"), "name").otherwise(F.col("kind")))
+    # What a chain is made of is not visited by itself.
+    named = named.join(chains.select("node", F.col("expr").alias("parent")), ["node", "parent"], "left_anti").drop("_name", "_chain")
+    scopes = named.where("parent is not null and pos = 0").select("node", F.col("parent").alias("expr")).distinct().withColumn("scoped", F.lit(True))
+    known = keep(named.join(scopes, ["node", "expr"], "left").withColumn("scoped", F.coalesce("scoped", F.lit(False))))
+    carried = ("form", "returns", "alone", "params", "linked", "scoped")
+    child = known.where("parent is not null").select("node", F.col("parent").alias("up"), *[F.col(c).alias(f"child_{c}") for c in ("expr", "pos", "kind", "name", *carried)])
+    level = keep(known.where("parent is null").select("node", "expr", "kind", "name", *carried, F.array("pos").alias("place"), F.lit("USE").alias("op"), F.lit(False).alias("optional"), F.lit(None).cast("string").alias("real")))
     at = lambda *slots: F.concat("place", F.array(*[F.lit(x).cast("int") if isinstance(x, int) else x for x in slots])).alias("place")
     act = lambda df, place, var, op, optional=F.lit(False), real=F.col("real"): df.select("node", "expr", real.alias("real"), place, var.alias("var"), F.lit(op).alias("op") if isinstance(op, str) else op, optional.alias("optional"))
     own = lambda end: F.concat("expr", F.lit(":"), F.lit(end) if isinstance(end, str) else end)
@@ -140,11 +157,11 @@ def _actions(expressions: DataFrame, calls: DataFrame | None) -> DataFrame:
             found += [act(here, at(-3), F.col("expr"), ENTER, real=none), act(here, at(_LAST), F.col("expr"), EXIT, real=none)]
             found += [act(here.where("form = 'construct'"), at(-2), F.lit(THIS), "DEC"), act(here.where("form = 'construct'"), at(_LAST + 1), F.lit(THIS), "DEF")]
             methods = here.where("form = 'method'")
-            found.append(act(methods.join(scoped, "expr", "left_anti"), at(0), F.lit(THIS), F.col("op"), F.col("optional"), own("this")))
+            found.append(act(methods.where("not scoped"), at(0), F.lit(THIS), F.col("op"), F.col("optional"), own("this")))
             found.append(act(methods, at(0, _LAST + 2), F.lit(SCOPE_IN), "DEF", real=own("this")))
             found.append(act(here.where("returns"), at(_LAST - 2), F.lit(OUTPUT), "DEF", real=own("return")))
             found.append(act(here.where("returns and not alone"), at(_LAST - 1), F.lit(OUTPUT), "USE", real=none))
-        below = checkpoint(level.join(child, F.col("expr") == F.col("up")))
+        below = keep(level.join(child.withColumnRenamed("up", "expr"), ["node", "expr"]))
         if below.isEmpty():
             break
         given = F.when(F.col("kind") == "declare", name).when(F.col("kind") == "return", F.lit(OUTPUT)).otherwise(F.lit(EXCEPTION))
@@ -158,7 +175,8 @@ def _actions(expressions: DataFrame, calls: DataFrame | None) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out.select("node", "expr", "real", "var", "op", "optional", F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("pos"))
+    out = out.select("node", "expr", "real", "var", "op", "optional", F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("pos"))
+    return out.withColumn("node", F.when(F.col("node") != _NO_NODE, F.col("node")))
 
 
 def _renumbered(own: DataFrame, added: DataFrame) -> DataFrame:

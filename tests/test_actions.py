@@ -82,3 +82,13 @@ def test_random_expressions(spark):
 
 def test_no_expressions(spark):
     assert actions.expression_actions(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_a_node_are_moved_once(spark):
+    rows = [("n", "1", None, 1, "assign", None), ("n", "2", "1", 1, "name", "a"), ("n", "3", "1", 2, "field", "f"), ("n", "4", "3", 1, "this", None), (None, "5", None, 1, "return", None), (None, "6", "5", 1, "name", "b")]
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    got = actions.expression_actions(spark.createDataFrame(rows, SCHEMA))
+    # All rounds and the numbering read what lies by node already.
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == was
+    assert sorted((r.node or "", r.var, r.op, r.pos) for r in got.collect()) == [("", "-output-", "DEF", 2), ("", "b", "USE", 1), ("n", "a", "DEF", 2), ("n", "this.f", "USE", 1)]
