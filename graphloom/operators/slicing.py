@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import checkpoint, per_procedure, reach
+from .fixpoint import by_source, per_procedure, reach
 
 
-def _backward(arcs: DataFrame) -> DataFrame:
-    return arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def _backward(arcs: DataFrame, *more: str) -> DataFrame:
+    return arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *more)
 
 
 def passes(criteria: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,11 +19,11 @@ def passes(criteria: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     those that go into them; it starts from all the first has found. Only arcs
     that the first left out lead anywhere new, so the second begins with them.
     """
-    arcs = checkpoint(arcs.select("src", "dst", "is_inter_in", "is_inter_out"))
-    first = checkpoint(reach(criteria, _backward(arcs.where("not is_inter_out")), saved=True))
-    out = _backward(arcs.where("is_inter_out and not is_inter_in")).distinct()
+    arcs = by_source(_backward(arcs, "is_inter_in", "is_inter_out"))
+    first = reach(criteria, arcs.where("not is_inter_out"), saved=True)
+    out = arcs.where("is_inter_out and not is_inter_in").select("src", "dst").distinct()
     entered = first.join(out, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node"))
-    return first, reach(entered, _backward(arcs.where("not is_inter_in")), first, saved=True)
+    return first, reach(entered, arcs.where("not is_inter_in"), first, saved=True)
 
 
 def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def intra(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
     """Slices that cross no arc between procedures."""
-    own = checkpoint(_backward(arcs.where("not is_inter_in and not is_inter_out")))
+    own = by_source(_backward(arcs.where("not is_inter_in and not is_inter_out")))
     return reach(criteria, own, saved=True).select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
 
 

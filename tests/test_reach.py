@@ -43,3 +43,29 @@ def test_news_at_nodes_without_keys_is_not_held_against_what_is_known(spark, mon
     assert found.count() == 50 and {r.node for r in found.collect()} == {"next"}
     assert {r.node for r in met.collect()} == {"hub", "next"}
     assert fixpoint._far(found, arcs, unread, met)[0].isEmpty()
+
+
+def test_large_rounds_move_their_news_alone(spark, monkeypatch):
+    """Once a round brings much, arcs lie by source and what is known by key and node: a round's plan moves its news twice, and nothing else."""
+    plans, was = [], fixpoint.keep
+
+    def keep(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+        return was(df)
+
+    monkeypatch.setattr(fixpoint, "keep", keep)
+    monkeypatch.setattr(fixpoint, "SMALL", 3)
+    arcs = [(f"a{i}", f"a{(i + 1) % 12}") for i in range(12)] + [(f"a{i}", f"a{(i * 5) % 12}") for i in range(12)]
+    seeds = [(k, f"a{k}") for k in range(8)]
+    got = {tuple(r) for r in fixpoint.reach(spark.createDataFrame(seeds, "key int, node string"), spark.createDataFrame(arcs, "src string, dst string")).collect()}
+    want = set(seeds)
+    while more := {(k, t) for k, n in want for s, t in arcs if s == n} - want:
+        want |= more
+    assert got == want
+    held = [p for p in plans if "LeftAnti" in p]
+    assert held
+    assert all(p.count("Exchange hashpartitioning") <= 2 for p in plans)
