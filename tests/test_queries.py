@@ -41,3 +41,8 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_first_nodes_are_found_without_sorting_or_moving_rows(spark):
+    plan = QUERIES["node_first"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort [" not in plan
