@@ -66,6 +66,7 @@ def object_dependence(actions: DataFrame, arcs: DataFrame) -> DataFrame:
     """
     arc = lambda df, kind: df.select("src", "dst", F.lit(kind).alias("kind"))
     name = lambda df, a, b: df.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    actions, arcs = checkpoint(actions), checkpoint(arcs)  # read by four searches, several times each
     plain, objects = actions.where("primitive"), actions.where("not primitive")
     flow = arc(name(dataflow.reaching(plain, arcs), "def_id", "use_id"), "FLOW")
     used = arc(name(dataflow.reaching(objects, arcs), "def_id", "use_id"), "OBJECT_FLOW")

@@ -71,3 +71,15 @@ def test_conditional_dependence(spark):
     )
     # q is a pseudo-predicate, so e behind it is out of reach; far lies outside the try.
     assert pairs(got) == sorted([(s, d, "CD") for s, d in arcs if d != "out"] + [("c", "out", "CC1"), ("c", "p", "CC2"), ("c", "f", "CC2")])
+
+
+def test_searches_read_written_actions_and_arcs(spark):
+    """What the four searches of object dependence read is worked out once, not by each of them again."""
+    from pyspark.sql import functions as F
+
+    from graphloom.plans import bindings as b
+
+    place = "/root/testdata/sf0.001"
+    actions = b.event_actions(spark, place).withColumn("primitive", F.col("var").cast("long") % 2 == 0)
+    plan = objects.object_dependence(actions, b.event_arcs(spark, place))._jdf.queryExecution().executedPlan().toString()
+    assert "get_json_object" not in plan and "FileScan" not in plan

@@ -69,3 +69,12 @@ def test_large_rounds_move_their_news_alone(spark, monkeypatch):
     held = [p for p in plans if "LeftAnti" in p]
     assert held
     assert all(p.count("Exchange hashpartitioning") <= 2 for p in plans)
+
+
+def test_searches_from_null_variables_are_left_out(spark):
+    rows = lambda data, names: spark.createDataFrame(data, names)
+    starts = rows([(1, "k", "v", "a"), (1, "k", None, "a"), (1, None, "v", "a")], "proc long, key string, var string, node string")
+    arcs = rows([(1, "a", "b"), (1, "b", "c")], "proc long, src string, dst string")
+    walls = rows([(1, "b", "v")], "proc long, node string, var string")
+    marks = rows([(1, "b", None), (1, "c", "v"), (1, "a", "w")], "proc long, node string, var string")
+    assert [tuple(r) for r in fixpoint.search(starts, arcs, walls, marks).collect()] == [("k", "v", "b")]
