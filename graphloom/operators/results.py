@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .actions import OUTPUT, THIS
-from .fixpoint import checkpoint
+from .fixpoint import keep
 
 #: Children that a value may come from, by kind of expression; other kinds than these and NOTHING hand on all of theirs, without the member path.
 COMES_FROM = {"inner": (1,), "field": (1,), "array": (1,), "choice": (2, 3), "assign": (2,), "assign_op": (2,)}
@@ -26,18 +26,31 @@ def _followed(rules: dict[str, tuple[int, ...]], others: bool) -> Column:
     return out.otherwise(F.lit(others) & ~F.col("kind").isin(*NOTHING, *_ENDS))
 
 
-def _ends(expressions: DataFrame, roots: DataFrame, rules: dict[str, tuple[int, ...]], others: bool) -> DataFrame:
-    """``(root, expr, kind, name, path)`` of the names, ``this`` and calls that the rules lead to; one level of all expressions a round."""
-    known = checkpoint(expressions.where("expr is not null").select("expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))
-    child = known.where("parent is not null").select(F.col("parent").alias("expr"), F.col("expr").alias("child"), F.col("pos").alias("child_pos"), F.col("kind").alias("child_kind"), F.col("name").alias("child_name"))
-    level = checkpoint(known.join(roots.select(F.col("root").alias("expr")).distinct(), "expr").select(F.col("expr").alias("root"), "expr", "kind", "name", F.array().cast("array<string>").alias("path")))
+def _ends(expressions: DataFrame, roots: DataFrame, rules: dict[str, tuple[int, ...]], others: bool, linked: DataFrame | None = None) -> DataFrame:
+    """``(node, root, expr, kind, name, path)`` of the names, ``this`` and, of those ``linked``, calls that the rules lead to; one level of all expressions a round.
+
+    An expression stands in the statement of its parent, so all rows lie by
+    ``node`` and are moved once; where ``roots`` and ``linked`` have that column
+    too, they are not looked up by expression.
+    """
+    on = lambda df: ["node", "expr"] if "node" in df.columns else ["expr"]
+    known = expressions.where("expr is not null").select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name").repartition("node")
+    if linked is None:
+        known = known.withColumn("ends", F.col("kind").isin("name", "this"))
+    else:
+        known = known.join(linked.select(*on(linked), F.lit(True).alias("linked")).distinct(), on(linked), "left").repartition("node")
+        known = known.withColumn("ends", F.col("kind").isin("name", "this") | (F.col("kind") == "call") & F.coalesce("linked", F.lit(False))).drop("linked")
+    known = keep(known)
+    child = known.where("parent is not null").select("node", F.col("parent").alias("expr"), F.col("expr").alias("child"), F.col("pos").alias("child_pos"), F.col("kind").alias("child_kind"), F.col("name").alias("child_name"), F.col("ends").alias("child_ends"))
+    first = roots.select(*(["node"] if "node" in roots.columns else []), F.col("root").alias("expr")).distinct()
+    level = keep(known.join(first, on(first)).select("node", F.col("expr").alias("root"), "expr", "kind", "name", "ends", F.array().cast("array<string>").alias("path")).repartition("node"))
     out = None
     while True:
-        here = level.where(F.col("kind").isin(*_ENDS))
+        here = level.where("ends").select("node", "root", "expr", "kind", "name", "path")
         out = here if out is None else out.union(here)
         path = F.when(F.col("kind") == "field", F.concat(F.array("name"), "path")).when(F.col("kind").isin(*rules), F.col("path")).otherwise(F.array().cast("array<string>"))
-        below = level.join(child, "expr").where(_followed(rules, others))
-        level = checkpoint(below.select("root", F.col("child").alias("expr"), F.col("child_kind").alias("kind"), F.col("child_name").alias("name"), path.alias("path")))
+        below = level.where(~F.col("kind").isin(*NOTHING, *_ENDS)).join(child, ["node", "expr"]).where(_followed(rules, others))
+        level = keep(below.select("node", "root", F.col("child").alias("expr"), F.col("child_kind").alias("kind"), F.col("child_name").alias("name"), F.col("child_ends").alias("ends"), path.alias("path")))
         if level.isEmpty():
             return out
 
@@ -53,10 +66,8 @@ def result_trees(expressions: DataFrame, roots: DataFrame, linked: DataFrame) ->
     call nothing, nor do NOTHING's kinds. Operators give what their operands
     give, without the path.
     """
-    ends = _ends(expressions, roots, COMES_FROM, True)
-    calls = ends.where("kind = 'call'").join(linked.select("expr").distinct(), "expr", "left_semi").select("root", "expr", F.lit(OUTPUT).alias("var"), "path")
-    names = ends.where("kind <> 'call'").select("root", "expr", F.when(F.col("kind") == "this", THIS).otherwise(F.col("name")).alias("var"), "path")
-    return names.union(calls)
+    ends = _ends(expressions, roots, COMES_FROM, True, linked)
+    return ends.select("root", "expr", F.when(F.col("kind") == "call", OUTPUT).when(F.col("kind") == "this", THIS).otherwise(F.col("name")).alias("var"), "path")
 
 
 def transfers(results: DataFrame, targets: DataFrame) -> DataFrame:
@@ -72,6 +83,6 @@ def transfers(results: DataFrame, targets: DataFrame) -> DataFrame:
 
 def out_variables(expressions: DataFrame, arguments: DataFrame) -> DataFrame:
     """``(root, expr, var, optional)``: variables that a call may change through an argument of ``arguments(root)``: those that it reaches through fields, arrays, parentheses, casts, choices and assignments. They are optional where an argument has several."""
-    ends = _ends(expressions, arguments, HANDS_OUT, False).where("kind <> 'call'").select("root", "expr", F.when(F.col("kind") == "this", THIS).otherwise(F.col("name")).alias("var"))
-    several = ends.groupBy("root").agg((F.count(F.lit(1)) > 1).alias("optional"))
-    return ends.join(several, "root").select("root", "expr", "var", "optional")
+    ends = _ends(expressions, arguments, HANDS_OUT, False)
+    several = F.count(F.lit(1)).over(Window.partitionBy("node", "root")) > 1
+    return ends.select("root", "expr", F.when(F.col("kind") == "this", THIS).otherwise(F.col("name")).alias("var"), several.alias("optional"))

@@ -76,3 +76,11 @@ def test_random_results(spark):
         assert (r.kind, r.member) == (("TREE", "m") if r.target < "n12" else ("VALUE", None))
     assert results.result_trees(df.limit(0), roots, roots.selectExpr("root as expr")).count() == 0
     assert results.out_variables(df.limit(0), roots).count() == 0
+
+
+def test_levels_move_no_rows_between_statements(spark):
+    from graphloom.plans import bindings
+
+    expressions, roots, linked = bindings.order_choices(spark, "/root/testdata/sf0.001")
+    for df in (results.result_trees(expressions, roots, linked), results.out_variables(expressions, roots)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
