@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import SMALL, checkpoint, news
+from .fixpoint import SMALL, checkpoint, keep, news
 
 
 def propagate(direct: DataFrame, calls: DataFrame, local: DataFrame) -> DataFrame:
@@ -45,26 +45,28 @@ def propagate_trees(direct: DataFrame, passes: DataFrame, stops: DataFrame, sile
     tree grows.
     """
     key, site = ["proc", "var", "path"], ["call", "param", "var", "path"]
-    whole = direct.select(*key).union(direct.select("proc", "var", F.lit("")))
-    links = passes.select("call", "caller", "callee", "param", "var").distinct()
+    whole = direct.select("proc", "var", F.explode(F.array("path", F.lit(""))).alias("path"))
+    # Links lie by their site while they are made, then by their callee, where rounds meet them.
+    links = passes.select("call", "caller", "callee", "param", "var").repartition("call").distinct()
+    links = links.withColumn("optional", F.count(F.lit(1)).over(Window.partitionBy("call", "callee", "param")) > 1)
+    links = links.join(stops.select("call", "var", F.lit(True).alias("stop")).repartition("call").distinct(), ["call", "var"], "left").repartition("callee")
     if silent is not None:
-        links = links.join(silent.select(F.col("proc").alias("callee"), F.col("var").alias("param")), ["callee", "param"], "left_anti")
-    several = links.groupBy("call", "callee", "param").agg((F.count(F.lit(1)) > 1).alias("optional"))
-    on = links.join(stops.select("call", "var", F.lit(True).alias("stop")).distinct(), ["call", "var"], "left").join(several, ["call", "callee", "param"])
-    on = checkpoint(on.select("call", "caller", F.col("callee").alias("_proc"), "param", F.col("var").alias("to"), F.col("stop").isNull().alias("goes"), "optional"))
-    seen = delta = checkpoint(whole.distinct())
-    sites = checkpoint(on.limit(0).select("call", "param", F.col("to").alias("var"), F.lit("").alias("path"), "optional"))
+        links = links.join(silent.select(F.col("proc").alias("callee"), F.col("var").alias("param")).repartition("callee"), ["callee", "param"], "left_anti")
+    on = keep(links.select("call", "caller", F.col("callee").alias("proc"), "param", F.col("var").alias("to"), F.col("stop").isNull().alias("goes"), "optional"))
+    seen = delta = keep(whole.repartition("proc").distinct())
+    sites = on.limit(0).select("call", "param", F.col("to").alias("var"), F.lit("").alias("path"), "optional")
     rounds = 0
     while True:
-        met = checkpoint(delta.join(on, (F.col("proc") == F.col("_proc")) & (F.col("var") == F.col("param"))).select("call", "caller", "param", F.col("to").alias("var"), "path", "optional", "goes"))
+        met = keep(delta.withColumnRenamed("var", "param").join(on, ["proc", "param"]).select("call", "caller", "param", F.col("to").alias("var"), "path", "optional", "goes"))
         sites = sites.union(met.select(*site, "optional"))
+        # Distinct first: where many sites lie in few callers, little goes there.
         up = met.where("goes").select(F.col("caller").alias("proc"), "var", "path").distinct()
-        delta = checkpoint(up.join(seen, key, "left_anti"))
+        delta = keep(up.repartition("proc").join(seen, key, "left_anti"))
         if delta.isEmpty():
             return seen, sites.groupBy(*site).agg(F.bool_or("optional").alias("optional"))
         seen, rounds = seen.union(delta), rounds + 1
         if rounds % 8 == 0:
-            seen, sites = checkpoint(seen), checkpoint(sites)
+            seen, sites = keep(seen), checkpoint(sites)
 
 
 def connect_calls(sites: DataFrame, entries: DataFrame, actuals: DataFrame, formals: DataFrame) -> DataFrame:

@@ -82,3 +82,20 @@ def test_structure(spark):
     assert {tuple(r) for r in objects.structure(calls, actions, members, exits).collect()} == {("s", "c"), ("c", "c:1"), ("c:1", "Ra"), ("s", "Rb"), ("enter", "fo"), ("s", "in"), ("Ra", "Ra:x")}
     thrown = spark.createDataFrame([("s", "-activeException-", "DEF", "R"), ("s", "-activeException-", "USE", "Q"), ("t", "-activeException-", "DEF", None)], "node string, var string, op string, root string")
     assert [tuple(r) for r in objects.thrown_values(thrown).collect()] == [("R", "s")]
+
+
+def test_trees_read_what_procedures_do_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            reads.add(1)
+            yield r
+
+    schema = "proc string, var string, path string"
+    direct = spark.createDataFrame(spark.createDataFrame([("o", "a", "m"), ("o", "b", "")], schema).rdd.mapPartitions(seen), schema)
+    passes = spark.createDataFrame([("s", "c", "o", "a", "x")], "call string, caller string, callee string, param string, var string")
+    stops = spark.createDataFrame([], "call string, var string")
+    trees, _ = interproc.propagate_trees(direct, passes, stops)
+    assert sorted(map(tuple, trees.collect())) == [("c", "x", ""), ("c", "x", "m"), ("o", "a", ""), ("o", "a", "m"), ("o", "b", "")]
+    assert reads.value == 2
