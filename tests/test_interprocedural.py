@@ -98,3 +98,31 @@ def test_closure_of_a_stream(spark, tmp_path):
         keep_closure(stream, seeds, str(tmp_path / "out")).awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / "reached")).collect()
     assert sorted((r.key, r.node) for r in got) == [(1, n) for n in "abcd"]
+
+
+@pytest.mark.parametrize("limit", [0, 5])
+def test_exception_rounds_move_their_news_alone(spark, monkeypatch, limit):
+    """Arcs may repeat, are moved once and lie by the node they lead into; a round moves the rows that go on and what they reach, never the arcs or what is known."""
+    plans, was = [], constrained.keep
+
+    def keep(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+        return was(df)
+
+    monkeypatch.setattr(constrained, "keep", keep)
+    monkeypatch.setattr(constrained, "SMALL", limit)
+    r = random.Random(7)
+    arcs = sorted({(r.randrange(20), r.randrange(20), k, k == "CALL", k == "RETURN", False) for k in ["CD", "CC1", "CC2", "OBJECT_FLOW", "DATA", "CALL", "RETURN"] * 6})
+    arcs = list({a[:3]: a for a in arcs}.values())
+    got = constrained.exception_sensitive(
+        spark.createDataFrame([(k, k) for k in range(20)], "key int, node int"),
+        spark.createDataFrame(arcs * 2, "src int, dst int, kind string, is_inter_in boolean, is_inter_out boolean, exclusive boolean"),
+        spark.createDataFrame([(3, True, False), (3, True, False), (4, False, True)], "node int, pseudo boolean, object_stop boolean"),
+    ).collect()
+    assert sorted((x.criterion_id, x.node_id) for x in got) == sorted((k, n) for k in range(20) for n in plain_slice(k, arcs, {3}, {4}))
+    # The first plan lays out the arcs, the second the criteria.
+    assert len(plans) > 4 and all(p.count("Exchange hashpartitioning") <= 2 for p in plans[2:])
