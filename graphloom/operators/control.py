@@ -65,14 +65,14 @@ def post_dominators(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """``(a, b)``: every way from ``a`` to an end passes ``b``, or ``a`` reaches no end without it; ``a`` itself left out."""
 
     def visit(proc, left, successors):
-        known = left["node"].tolist()
+        known = left["node"]
         names, bits = _post_dominators(known, {s: [r.dst for r in rs] for s, rs in successors.items()})
         place = {n: i for i, n in enumerate(names)}
         for a in known:
             for b in _members(names, bits[a] & ~(1 << place[a])):
                 yield a, b
 
-    return per_procedure(nodes, arcs, "a long, b long", visit)
+    return per_procedure(nodes.select("proc", "node"), arcs.select("proc", "src", "dst"), "a long, b long", visit)
 
 
 def _immediate(nodes: list, successors: dict) -> dict:
@@ -133,7 +133,7 @@ def immediate_post_dominators(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     kind = nodes.schema["node"].dataType.simpleString()
 
     def visit(proc, left, successors):
-        tree = _immediate(left["node"].tolist(), {s: [r.dst for r in rs] for s, rs in successors.items()})
+        tree = _immediate(left["node"], {s: [r.dst for r in rs] for s, rs in successors.items()})
         depth = {}
         for n in tree:
             way = [n]
@@ -145,7 +145,7 @@ def immediate_post_dominators(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
         for n, above in tree.items():
             yield proc, n, above, depth[n]
 
-    return per_procedure(nodes, arcs, f"proc {nodes.schema['proc'].dataType.simpleString()}, node {kind}, above {kind}, depth int", visit)
+    return per_procedure(nodes.select("proc", "node"), arcs.select("proc", "src", "dst"), f"proc {nodes.schema['proc'].dataType.simpleString()}, node {kind}, above {kind}, depth int", visit)
 
 
 def control_dependence(nodes: DataFrame, arcs: DataFrame, traverse_all: bool = True) -> DataFrame:
@@ -157,7 +157,7 @@ def control_dependence(nodes: DataFrame, arcs: DataFrame, traverse_all: bool = T
 
     def visit(proc, left, successors):
         plain = {s: [r.dst for r in rs if traverse_all or r.kind == "EXEC"] for s, rs in successors.items()}
-        names, bits = _post_dominators([*left["node"].tolist(), *(r.dst for rs in successors.values() for r in rs)], plain)
+        names, bits = _post_dominators([*left["node"], *(r.dst for rs in successors.values() for r in rs)], plain)
         place = {n: i for i, n in enumerate(names)}
         for a, rs in successors.items():
             if len(rs) > 1:
@@ -168,4 +168,4 @@ def control_dependence(nodes: DataFrame, arcs: DataFrame, traverse_all: bool = T
                 for b in _members(names, some & ~each & ~(1 << place[a])):
                     yield a, b
 
-    return per_procedure(nodes, arcs, "a long, b long", visit)
+    return per_procedure(nodes.select("proc", "node"), arcs.select("proc", "src", "dst", "kind"), "a long, b long", visit)

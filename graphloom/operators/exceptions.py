@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
@@ -60,8 +61,11 @@ def return_targets(tree: DataFrame, returns: DataFrame) -> DataFrame:
 
     def visit(proc, left, successors):
         up = {n: rows[0] for n, rows in successors.items()}
-        for call, g in left.groupby("call"):
-            at = {n for n in g["node"] if n in up}
+        ends = defaultdict(set)
+        for call, n in zip(left["call"], left["node"], strict=True):
+            if n in up and call is not None:
+                ends[call].add(n)
+        for call, at in ends.items():
             heap = [(-up[n].depth, n) for n in at]
             heapify(heap)
             while len(at) > 1 and heap[0][0] < 0:

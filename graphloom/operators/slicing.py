@@ -45,7 +45,7 @@ def pseudo_predicate(criteria: DataFrame, arcs: DataFrame, pseudo: DataFrame) ->
     marked = arcs.join(pseudo.select(F.col("node_id").alias("dst"), F.lit(True).alias("pseudo")), "dst", "left").select("proc", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.coalesce("pseudo", F.lit(False)) & (F.col("kind") == "CD")).alias("barred"))
 
     def visit(proc, left, into):
-        for c in left["node"].tolist():
+        for c in left["node"]:
             seen, todo = {c}, [c]
             while todo:
                 t = todo.pop()
@@ -56,7 +56,7 @@ def pseudo_predicate(criteria: DataFrame, arcs: DataFrame, pseudo: DataFrame) ->
             for n in seen:
                 yield c, n
 
-    return per_procedure(criteria, marked, "criterion_id long, node_id long", visit)
+    return per_procedure(criteria.select("proc", "node"), marked, "criterion_id long, node_id long", visit)
 
 
 def without_objects(arcs: DataFrame) -> DataFrame:

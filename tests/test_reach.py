@@ -78,3 +78,19 @@ def test_searches_from_null_variables_are_left_out(spark):
     walls = rows([(1, "b", "v")], "proc long, node string, var string")
     marks = rows([(1, "b", None), (1, "c", "v"), (1, "a", "w")], "proc long, node string, var string")
     assert [tuple(r) for r in fixpoint.search(starts, arcs, walls, marks).collect()] == [("k", "v", "b")]
+
+
+def test_procedures_are_read_many_a_batch(spark):
+    """One after another in a task's stream, each with rows of either side, not a frame each; numbers beside nulls stay whole."""
+    big = 2**53 + 1
+    nodes = spark.createDataFrame([(p, p * 10, None if p % 2 else big) for p in range(50)] + [(None, 7, 7)], "proc long, node long, mark long")
+    arcs = spark.createDataFrame([(p, p * 10, p * 10 + k) for p in range(48) for k in (1, 2)] + [(99, 5, 6)], "proc long, src long, dst long")
+
+    def visit(proc, left, successors):
+        yield proc, left["mark"][0] if left["mark"] else -1, sum(len(x) for x in successors.values())
+
+    df = fixpoint.per_procedure(nodes, arcs, "proc long, mark long, n int", visit)
+    want = {(p, None if p % 2 else big, 2 if p < 48 else 0) for p in range(50)} | {(99, -1, 1), (None, 7, 0)}
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
