@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dataflow
-from .fixpoint import search
+from .fixpoint import checkpoint, search
 
 
 def action_graph(actions: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,9 +72,12 @@ def member_dependence(actions: DataFrame, members: DataFrame, totals: DataFrame,
     member gets FLOW from the last definitions that hold it, and TOTAL_DEF, as a
     defined one does, from the last declarations that hold it or definitions
     that define it fully. A defined member gives OBJECT_FLOW to its own root.
+    Both searches read actions and arcs that are written once.
     """
+    arcs = checkpoint(arcs.where("kind = 'EXEC'").select("proc", "src", "dst", "kind"))
     held = members.select("action", "path", F.col("node").alias("member"))
     at = held.join(actions, "action").select("proc", "node", "pos", "action", F.concat_ws("\x1f", "var", "path").alias("var"), "op", "optional", "synthetic", "member", "path")
+    at = checkpoint(at.join(totals.select("action", "path", F.lit(True).alias("total")).distinct(), ["action", "path"], "left"))
     row = lambda df, op, later: df.select("proc", "node", (F.col("pos") * 2 + later).alias("pos"), "var", F.lit(op).alias("op"), "optional")
 
     def arcs_of(targets: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
@@ -84,7 +87,6 @@ def member_dependence(actions: DataFrame, members: DataFrame, totals: DataFrame,
         return named.select(F.col("src_member").alias("src"), F.col("dst_member").alias("dst"), F.lit(kind).alias("kind"))
 
     used, defined = at.where("op = 'USE'"), at.where("op = 'DEF'")
-    fully = defined.join(totals.select("action", "path").distinct(), ["action", "path"], "left_semi")
-    full = fully.select(*at.columns).union(at.where("op = 'DEC'"))
+    full = at.where("op = 'DEC' or op = 'DEF' and total")
     out = arcs_of(used, defined, "FLOW").union(arcs_of(used.union(defined.where("not synthetic")), full, "TOTAL_DEF"))
     return out.union(defined.select("member", "action", F.lit("OBJECT_FLOW"))).distinct()

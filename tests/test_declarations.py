@@ -112,3 +112,11 @@ def test_member_dependence(spark):
                     want.add((me, a["action"], "OBJECT_FLOW"))
     got = {tuple(r) for r in declarations.member_dependence(acts, members, totals, arcs).collect()}
     assert got == want and {k for *_, k in want} == {"FLOW", "TOTAL_DEF", "OBJECT_FLOW"} and len(want) > 100
+
+
+def test_members_are_searched_in_written_actions_and_arcs(spark):
+    """What both searches of member dependence read is worked out once, not by each of them again."""
+    from graphloom.queries import QUERIES
+
+    plan = QUERIES["member_dependence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "get_json_object" not in plan and "FileScan" not in plan
