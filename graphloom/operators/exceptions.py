@@ -94,11 +94,11 @@ def conditional_dependence(control: DataFrame, catches: DataFrame, inside: DataF
     """
     control = checkpoint(control.select("src", "dst").distinct())
     own = inside.select(F.col("catch").alias("src"), F.col("node").alias("dst")).distinct()
-    one = control.join(catches.select(F.col("node").alias("src")), "src", "left_semi").join(own, ["src", "dst"], "left_anti")
+    one = checkpoint(control.join(catches.select(F.col("node").alias("src")), "src", "left_semi").join(own, ["src", "dst"], "left_anti"))
     stay = checkpoint(control.join(one, ["src", "dst"], "left_anti"))
-    room = within.select("catch", F.col("node").alias("src")).distinct()
+    room = checkpoint(within.select("catch", F.col("node").alias("src")).distinct())
     seen = fresh = checkpoint(catches.select(F.col("node").alias("catch"), "node").distinct())
-    ends = pseudo.select("node").distinct()
+    ends = checkpoint(pseudo.select("node").distinct())
     active, rounds = fresh, 0
     while True:
         back = active.join(stay, F.col("node") == F.col("dst")).select("catch", "src").join(room, ["catch", "src"], "left_semi")
@@ -109,6 +109,6 @@ def conditional_dependence(control: DataFrame, catches: DataFrame, inside: DataF
         seen, rounds = seen.union(fresh), rounds + 1
         if rounds % 8 == 0:
             seen = checkpoint(seen)
-    two = seen.join(sources.select("node").distinct(), "node", "left_semi").join(within.distinct(), ["catch", "node"], "left_semi")
+    two = seen.join(sources.select("node").distinct(), "node", "left_semi").join(room.withColumnRenamed("src", "node"), ["catch", "node"], "left_semi")
     kind = lambda k: F.lit(k).alias("kind")
     return stay.select("src", "dst", kind("CD")).union(one.select("src", "dst", kind("CC1"))).union(two.select(F.col("catch").alias("src"), F.col("node").alias("dst"), kind("CC2")))

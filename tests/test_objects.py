@@ -83,3 +83,20 @@ def test_searches_read_written_actions_and_arcs(spark):
     actions = b.event_actions(spark, place).withColumn("primitive", F.col("var").cast("long") % 2 == 0)
     plan = objects.object_dependence(actions, b.event_arcs(spark, place))._jdf.queryExecution().executedPlan().toString()
     assert "get_json_object" not in plan and "FileScan" not in plan
+
+
+def test_rounds_read_what_tries_hold_from_written_rows(spark, monkeypatch):
+    plans, was = [], exceptions.checkpoint
+
+    def checkpoint(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return was(df)
+
+    monkeypatch.setattr(exceptions, "checkpoint", checkpoint)
+    from pyspark.sql import functions as F
+
+    rows = lambda data, names: spark.createDataFrame(data, names)
+    within = rows([(0,)], "i int").select(F.lit("c").alias("catch"), F.explode(F.array(*map(F.lit, "pqrs"))).alias("node"))
+    got = exceptions.conditional_dependence(rows([("p", "c"), ("q", "p"), ("r", "q"), ("s", "r")], "src string, dst string"), rows([("c",)], "node string"), rows([("c", "c")], "catch string, node string"), within, rows([("s",)], "node string"), rows([("x",)], "node string"))
+    assert ("c", "s", "CC2") in pairs(got)
+    assert sum("Generate" in p for p in plans) == 1 and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
