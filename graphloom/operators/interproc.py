@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import SMALL, checkpoint, keep, news
+from .fixpoint import SMALL, checkpoint, keep
 
 
 def propagate(direct: DataFrame, calls: DataFrame, local: DataFrame) -> DataFrame:
@@ -106,25 +108,31 @@ def summary_arcs(intra: DataFrame, formals: DataFrame, actuals: DataFrame) -> Da
     ``formals(proc, node, var, is_input)``, ``actuals(call, proc, node, var, is_input)``
     where ``proc`` is the callee. New summaries lengthen paths in callers, and
     these give new summaries, until nothing is added; a round joins only what
-    the last one brought.
+    the last one brought. Arcs, summaries, inputs and what reaches an output lie
+    by the node a way goes back from, actuals by their callee, and are moved
+    once; a round moves its own news alone.
     """
-    arcs = checkpoint(intra.select("src", "dst").distinct())
-    outs = formals.where("not is_input")
-    ins = formals.where("is_input").select(F.col("proc").alias("in_proc"), F.col("node").alias("in_node"), F.col("var").alias("in_var"))
-    given = actuals.where("is_input").select("call", "proc", F.col("node").alias("src"), F.col("var").alias("in_var"))
-    taken = actuals.where("not is_input").select("call", "proc", F.col("node").alias("dst"), F.col("var").alias("out_var"))
-    path = fresh = checkpoint(outs.select("proc", F.col("var").alias("out_var"), "node").distinct())
-    summary, rounds = arcs.limit(0), 0
     key = ["proc", "out_var", "node"]
-    back = lambda p, a: p.join(a, F.col("node") == F.col("dst")).select("proc", "out_var", F.col("src").alias("node"))
+    arcs = keep(intra.select("src", F.col("dst").alias("node")).repartition("node").distinct().sortWithinPartitions("node"))
+    ins = keep(formals.where("is_input").select("proc", "node", F.col("var").alias("in_var")).repartition("node").sortWithinPartitions("node"))
+    given = keep(actuals.where("is_input").select("call", "proc", "node", F.col("var").alias("in_var")).repartition("proc").sortWithinPartitions("proc", "in_var")).withColumnRenamed("node", "src")
+    taken = keep(actuals.where("not is_input").select("call", "proc", "node", F.col("var").alias("out_var")).repartition("proc"))
+    fresh = keep(formals.where("not is_input").select("proc", F.col("var").alias("out_var"), "node").repartition("node").distinct())
+    # What is known stays in the parts that rounds have written, up to eight: a union of them would not lie by node.
+    paths, summaries = [fresh], []
+    few = lambda df, n: F.broadcast(df) if n <= SMALL else df
+    back = lambda p, a: p.join(a, "node").select("proc", "out_var", F.col("src").alias("node"))
+    union = lambda parts: reduce(DataFrame.union, parts)
+    besides = lambda df, parts, on: reduce(lambda left, part: left.join(part, on, "left_anti"), parts, df)
+    whole = lambda parts: [keep(union(parts).repartition("node"))] if len(parts) > 8 else parts
     while n := fresh.count():
-        passes = fresh.join(ins, (F.col("proc") == F.col("in_proc")) & (F.col("node") == F.col("in_node"))).select("proc", "in_var", "out_var").distinct()
-        found = checkpoint(passes.join(given, ["proc", "in_var"]).join(taken, ["call", "proc", "out_var"]).select("src", "dst").distinct())
-        new = checkpoint(news(found, found.count(), summary, ["src", "dst"]))
-        summary = summary.union(new)
-        step = checkpoint(back(F.broadcast(fresh) if n <= SMALL else fresh, arcs.union(summary)).union(back(path, new)).distinct())
-        fresh = checkpoint(news(step, step.count(), path, key))
-        path, rounds = path.union(fresh), rounds + 1
-        if rounds % 8 == 0:
-            path, summary = checkpoint(path), checkpoint(summary)
-    return summary
+        passes = few(fresh, n).join(ins, ["node", "proc"]).select("proc", "in_var", "out_var").repartition("proc").distinct()
+        found = passes.join(given, ["proc", "in_var"]).join(taken, ["call", "proc", "out_var"]).select("src", "node").repartition("node").distinct()
+        new = keep(besides(found, summaries, ["src", "node"]))
+        steps = [back(few(fresh, n), part) for part in (arcs, *summaries)]
+        if m := new.count():
+            summaries = whole([*summaries, new])
+            steps += [back(part, few(new, m)) for part in paths]
+        fresh = keep(besides(union(steps).repartition("node").distinct(), paths, key))
+        paths = whole([*paths, fresh])
+    return union(summaries or [arcs.where("false")]).select("src", F.col("node").alias("dst"))

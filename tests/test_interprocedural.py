@@ -126,3 +126,44 @@ def test_exception_rounds_move_their_news_alone(spark, monkeypatch, limit):
     assert sorted((x.criterion_id, x.node_id) for x in got) == sorted((k, n) for k in range(20) for n in plain_slice(k, arcs, {3}, {4}))
     # The first plan lays out the arcs, the second the criteria.
     assert len(plans) > 4 and all(p.count("Exchange hashpartitioning") <= 2 for p in plans[2:])
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_summary_rounds_move_their_news_alone(spark, monkeypatch, limit):
+    """Random programs against a plain version; after the tables are laid out a plan moves passes and summaries, or steps, once each."""
+    plans, was = [], interproc.keep
+
+    def keep(df):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+        return was(df)
+
+    monkeypatch.setattr(interproc, "keep", keep)
+    monkeypatch.setattr(interproc, "SMALL", limit)
+    r = random.Random(limit)
+    formals = [(p, f"{p}.{v}.{i}", v, i) for p in "fgh" for v in "xy" for i in (True, False)]
+    actuals = [(c, p, f"{c}.{v}.{i}", v, i) for c, p in (("a", "f"), ("b", "g"), ("c", "h"), ("d", "f")) for v in "xy" for i in (True, False)]
+    inside = {"f": [*"b"], "g": [*"cd"], "h": [*"a"]}
+    nodes = {p: [n for q, n, _, _ in formals if q == p] + [n for c, _, n, _, _ in actuals if c in inside[p]] for p in "fgh"}
+    intra = {(r.choice(nodes[p]), r.choice(nodes[p])) for p in "fgh" for _ in range(9)}
+    want = set()
+    while True:
+        arcs, grown = intra | want, set()
+        for p, at, v, _ in (f for f in formals if not f[3]):
+            seen, todo = {at}, [at]
+            while todo:
+                t = todo.pop()
+                todo += [x for x, y in arcs if y == t and x not in seen]
+                seen |= {x for x, y in arcs if y == t}
+            into = {w for q, m, w, i in formals if q == p and i and m in seen}
+            grown |= {(f"{c}.{w}.True", f"{c}.{v}.False") for c in {c for c, q, *_ in actuals if q == p} for w in into}
+        if grown <= want:
+            break
+        want |= grown
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = interproc.summary_arcs(frame(sorted(intra), "src string, dst string"), frame(formals, "proc string, node string, var string, is_input boolean"), frame(actuals, "call string, proc string, node string, var string, is_input boolean"))
+    assert want and sorted((x.src, x.dst) for x in got.collect()) == sorted(want)
+    assert len(plans) > 7 and all(p.count("Exchange hashpartitioning") <= 2 for p in plans)
