@@ -87,7 +87,8 @@ def connect_calls(sites: DataFrame, entries: DataFrame, actuals: DataFrame, form
         F.when(into, F.col("formal")).otherwise(F.col("actual")).alias("dst"),
         F.when(into, "PARAM_IN").otherwise("PARAM_OUT").alias("kind"),
     )
-    return call.union(passed).distinct()
+    # Moved before they are made distinct, so that no task holds a table of them beside the sorts of the joins.
+    return call.union(passed).repartition("src", "dst").distinct()
 
 
 def connect_exceptions(exits: DataFrame, returns: DataFrame, closure: DataFrame) -> DataFrame:

@@ -167,3 +167,15 @@ def test_summary_rounds_move_their_news_alone(spark, monkeypatch, limit):
     got = interproc.summary_arcs(frame(sorted(intra), "src string, dst string"), frame(formals, "proc string, node string, var string, is_input boolean"), frame(actuals, "call string, proc string, node string, var string, is_input boolean"))
     assert want and sorted((x.src, x.dst) for x in got.collect()) == sorted(want)
     assert len(plans) > 7 and all(p.count("Exchange hashpartitioning") <= 2 for p in plans)
+
+
+def test_arcs_of_calls_are_moved_before_they_are_made_distinct(spark):
+    """Arcs that repeat come once, and the joins' tasks hold no table of them."""
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    sites = frame([("c", "site", "f"), ("c", "site", "f"), ("d", "site2", "gone")], "call string, node string, callee string")
+    actuals = frame([("c", "in", "x", True), ("c", "in", "x", True), ("c", "out", "x", False)], "call string, node string, var string, is_input boolean")
+    formals = frame([("f", "f.in", "x", True), ("f", "f.out", "x", False)], "callee string, node string, var string, is_input boolean")
+    df = interproc.connect_calls(sites, frame([("f", "enter")], "callee string, node string"), actuals, formals)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert "REPARTITION_BY_COL" in plan[1] and "HashAggregate" not in plan[1]
+    assert sorted(map(tuple, df.collect())) == [("f.out", "out", "PARAM_OUT"), ("in", "f.in", "PARAM_IN"), ("site", "enter", "CALL")]
