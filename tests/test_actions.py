@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import actions
+from graphloom.operators.fixpoint import keep
 
 SCHEMA = "node string, expr string, parent string, pos int, kind string, name string"
 ARITY = {"name": 0, "inner": 1, "array": 2, "assign": 2, "assign_op": 2, "pre": 1, "post": 1, "choice": 3, "logic": 2, "plus": 2, "call": 3, "literal": 0}
@@ -92,3 +95,15 @@ def test_rows_of_a_node_are_moved_once(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.sql.adaptive.enabled") == was
     assert sorted((r.node or "", r.var, r.op, r.pos) for r in got.collect()) == [("", "-output-", "DEF", 2), ("", "b", "USE", 1), ("n", "a", "DEF", 2), ("n", "this.f", "USE", 1)]
+
+
+def test_rounds_broadcast_nothing_of_themselves(spark, tmp_path):
+    # A small file of which explode makes many rows: what joins guess from it says nothing of them.
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    many = spark.read.parquet(str(tmp_path / "t")).select(F.col("id").cast("string").alias("node"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("expr"))
+    a, b = (keep(many.repartition("node")) for _ in range(2))
+    joined, hinted = a.join(b, ["node", "expr"]), a.join(F.broadcast(b), ["node", "expr"])
+    assert keep(joined).count() == keep(hinted).count() == 27
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
