@@ -182,7 +182,8 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> tuple[D
     parts = line.select("uid", "source", "sid", "size", "at", F.explode(F.expr(f"sequence(at div {BLOCK_WORDS}, (at + size - 1) div {BLOCK_WORDS})")).alias("block"))
     first, end = F.greatest(F.col("at"), F.col("block") * BLOCK_WORDS), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
     parts = parts.select("uid", "source", "sid", "block", (first - F.col("at")).alias("start"), (first - F.col("block") * BLOCK_WORDS).alias("inside"), (end - first).alias("words"))
-    met = parts.join(slots, ["sid", "block"]).withColumn("words", F.least(F.col("words"), F.col("most") - F.col("inside"))).where("words > 0")
+    # Spark guesses the size of both sides from before blocks were exploded and would broadcast one of any size.
+    met = parts.join(slots.hint("merge"), ["sid", "block"]).withColumn("words", F.least(F.col("words"), F.col("most") - F.col("inside"))).where("words > 0")
     blocks = checkpoint(met.select("uid", "source", "pass", "block", "start", "words", "shard", "place"))
     taken = blocks.groupBy("uid").agg(F.sum("words").alias("dealt"))
     return rows.join(taken, "uid", "left").withColumn("taken", F.coalesce("dealt", F.lit(0))).drop("dealt", "sid"), blocks

@@ -183,6 +183,20 @@ def test_mixing(odd, empty, docs):
     assert mixing.mix(empty)[0].count() == 0 and mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_meets_blocks_by_a_shuffle(docs, monkeypatch):
+    """Few quotas make any number of blocks, which Spark's guess of their size does not see: they are not broadcast."""
+    plans, was = [], mixing.checkpoint
+
+    def checkpoint(df):
+        out = was(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(mixing, "checkpoint", checkpoint)
+    mixing.mix(docs)
+    assert {x for p in plans for x in re.findall(r"(\w+) \[sid#\d+L?, block#", p) if x.endswith("Join")} == {"SortMergeJoin"}
+
+
 def test_mixing_deals(spark, docs, monkeypatch):
     _, blocks = mixing.mix(docs)
     dealt = mixing.dealt_documents(docs).collect()
