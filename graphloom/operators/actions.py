@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from operator import itemgetter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import keep
+from .fixpoint import keep, per_procedure
 
 OUTPUT, EXCEPTION = "-output-", "-activeException-"
 SCOPE_IN, ARG_IN, THIS = "-scope-in-", "-arg-in-", "this"
@@ -32,46 +35,54 @@ VISITS: dict[tuple[str, int], list[tuple[int, str | None, bool]]] = {
 }
 
 
-def _visits() -> Column:
-    made = lambda slot, op, optional: F.struct(slot.cast("int").alias("slot"), op.cast("string").alias("op"), optional.alias("maybe"))
-    out = None
-    for (kind, pos), visits in VISITS.items():
-        rows = F.array(*[made(F.lit(s), F.col("op") if op is None else F.lit(op), F.lit(m)) for s, op, m in visits])
-        met = (F.col("kind") == kind) & (F.col("child_pos") == pos)
-        out = F.when(met, rows) if out is None else out.when(met, rows)
-    return out.otherwise(F.array(made(F.col("child_pos"), F.lit("USE"), F.lit(False))))
-
-
 def field_chains(expressions: DataFrame) -> DataFrame:
     """``(expr, name)``: the whole name of each ``field`` expression that is a chain of fields from a name or ``this``, parentheses and casts aside.
 
     Any other chain (of what a call returns, of an array's element) has no row.
-    A round follows all chains by one expression.
+    A task reads its statements one after another.
     """
-    return _chains(_by_node(expressions.select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name"))).select("expr", "name")
+
+    def visit(node, left, kids):
+        for rows in list(kids.values()):
+            for x in rows:
+                if (name := _chain(x, kids)) is not None:
+                    yield x.dst, name
+
+    rows = _statements(expressions)
+    return per_procedure(_no_calls(rows), rows, "expr string, name string", visit)
 
 
-#: Stands for a null node, which no join would find again.
-_NO_NODE = "\x01"
+def _statements(expressions: DataFrame) -> DataFrame:
+    """``expressions`` as :func:`per_procedure` takes arcs: from parent to child, by statement."""
+    text = lambda c, to: F.col(c).cast("string").alias(to)
+    return expressions.select(text("node", "proc"), text("parent", "src"), text("expr", "dst"), F.col("pos").cast("int").alias("pos"), text("kind", "kind"), text("name", "name"))
 
 
-def _by_node(df: DataFrame) -> DataFrame:
-    """The frame written so that a node's rows lie together: all that follows joins within nodes and moves none of them."""
-    return keep(df.withColumn("node", F.coalesce("node", F.lit(_NO_NODE))).repartition("node"))
+#: What is known of a call, and what is inserted for it.
+_LINK, _NEW = "struct<form:string,returns:boolean,alone:boolean,params:array<string>>", "struct<prepend:boolean,ord:int,real:string,var:string,op:string,optional:boolean>"
 
 
-def _chains(known: DataFrame) -> DataFrame:
-    """``(node, expr, name)`` of :func:`field_chains`, from what :func:`_by_node` wrote."""
-    known = known.where("kind in ('field', 'inner', 'name', 'this') and expr is not null")
-    below = known.where("pos = 1").select("node", F.col("parent").alias("at"), F.col("expr").alias("_expr"), F.col("kind").alias("_kind"), F.col("name").alias("_name"))
-    state = known.where("kind = 'field'").select("node", "expr", F.array("name").alias("tail"), F.col("expr").alias("at"))
-    out = None
-    while not state.isEmpty():
-        step = keep(state.join(below, ["node", "at"]).select("node", "expr", "tail", "_expr", "_kind", "_name"))
-        rooted = step.where("_kind in ('name', 'this')").select("node", "expr", F.concat_ws(".", F.when(F.col("_kind") == "this", THIS).otherwise(F.col("_name")), F.concat_ws(".", "tail")).alias("name"))
-        out = rooted if out is None else out.union(rooted)
-        state = step.where("_kind in ('field', 'inner')").select("node", "expr", F.when(F.col("_kind") == "field", F.concat(F.array("_name"), "tail")).otherwise(F.col("tail")).alias("tail"), F.col("_expr").alias("at"))
-    return out if out is not None else known.select("node", "expr", "name").limit(0)
+def _no_calls(rows: DataFrame) -> DataFrame:
+    return rows.select("proc", F.col("dst").alias("node"), F.lit(None).cast(_LINK).alias("link"), F.lit(None).cast(_NEW).alias("new")).limit(0)
+
+
+def _below(x, kids):
+    """What stands under an expression; those under None are a statement's own."""
+    return kids.get(x.dst, ()) if x.dst is not None else ()
+
+
+def _chain(x, kids) -> str | None:
+    """The whole name of an expression, if it is a field in a chain from a name or ``this``."""
+    if x.kind != "field" or x.dst is None:
+        return None
+    tail = [x.name]
+    while (x := next((c for c in _below(x, kids) if c.pos == 1 and c.kind in ("field", "inner", "name", "this") and c.dst is not None), None)) is not None:
+        if x.kind in ("name", "this"):
+            said = lambda names: ".".join(n for n in names if n is not None)
+            return said([THIS if x.kind == "this" else x.name, said(reversed(tail))])
+        if x.kind == "field":
+            tail.append(x.name)
+    return None
 
 
 def expression_actions(expressions: DataFrame) -> DataFrame:
@@ -91,14 +102,14 @@ def expression_actions(expressions: DataFrame) -> DataFrame:
     * ``this``; ``field``: the field ``name`` of what it stands on. A chain from a name or ``this`` is one dotted variable
 
     Any other kind uses its children in order. Declarations and what comes with
-    them are never optional. Expressions go down one level a round, in a join on
-    ``parent`` that sees only the level before; there are as many rounds as the
-    deepest expression has levels.
+    them are never optional. A task walks its statements one after another, from
+    rows that lie by statement; a statement is bounded by the size of its source.
     """
-    return _actions(expressions, None).drop("real")
+    rows = keep(_statements(expressions).repartition("proc"))
+    return _acted(rows, _no_calls(rows)).drop("real")
 
 
-def call_actions(expressions: DataFrame, calls: DataFrame) -> DataFrame:
+def call_actions(expressions: DataFrame, calls: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """``(node, expr, real, var, op, optional, pos)``: :func:`expression_actions` with what linked calls add.
 
     ``calls(expr, form, returns, alone, params)`` has a row for each expression
@@ -115,68 +126,89 @@ def call_actions(expressions: DataFrame, calls: DataFrame) -> DataFrame:
     EXIT. ``real`` is the node that an action belongs to when calls get nodes of
     their own: ``call:this``, ``call:parameter`` or ``call:return``, the
     innermost one, null for the statement's node itself. Calls without a row are
-    plain: their children are used.
+    plain: their children are used. ``added`` is inserted on the way, as
+    :func:`insert_for_calls` does with actions that are there already.
+
+    Where ``calls`` and ``added`` have a column ``node`` too, their statements
+    need not be looked up. Rows that lie by ``node`` are not moved, and none are written.
     """
-    return _actions(expressions, calls)
-
-
-def _actions(expressions: DataFrame, calls: DataFrame | None) -> DataFrame:
-    known = expressions.select("node", "expr", "parent", F.col("pos").cast("int").alias("pos"), "kind", "name")
-    unlinked = {"form": F.lit(None).cast("string"), "returns": F.lit(None).cast("boolean"), "alone": F.lit(None).cast("boolean"), "params": F.lit(None).cast("array<string>")}
-    if calls is None:
-        known = known.withColumns(unlinked)
-    else:
-        linked = calls.where("expr is not null").select("expr", "form", "returns", "alone", "params").dropDuplicates(["expr"])
-        called = F.coalesce(F.col("kind") == "call", F.lit(False))
-        known = known.where(called).join(linked, "expr", "left").unionByName(known.where(~called).withColumns(unlinked))
-    known = _by_node(known.withColumn("linked", F.col("form").isNotNull()))
-    chains = keep(_chains(known)).withColumn("_chain", F.lit(True))
-    is_this = F.col("kind").isin("this", "super")
-    named = known.join(chains.withColumnRenamed("name", "_name"), ["node", "expr"], "left")
-    named = named.withColumn("name", F.when(is_this, F.col("kind")).otherwise(F.coalesce("_name", "name"))).withColumn("kind", F.when(is_this | F.col("_chain"), "name").otherwise(F.col("kind")))
-    # What a chain is made of is not visited by itself.
-    named = named.join(chains.select("node", F.col("expr").alias("parent")), ["node", "parent"], "left_anti").drop("_name", "_chain")
-    scopes = named.where("parent is not null and pos = 0").select("node", F.col("parent").alias("expr")).distinct().withColumn("scoped", F.lit(True))
-    known = keep(named.join(scopes, ["node", "expr"], "left").withColumn("scoped", F.coalesce("scoped", F.lit(False))))
-    carried = ("form", "returns", "alone", "params", "linked", "scoped")
-    child = known.where("parent is not null").select("node", F.col("parent").alias("up"), *[F.col(c).alias(f"child_{c}") for c in ("expr", "pos", "kind", "name", *carried)])
-    level = keep(known.where("parent is null").select("node", "expr", "kind", "name", *carried, F.array("pos").alias("place"), F.lit("USE").alias("op"), F.lit(False).alias("optional"), F.lit(None).cast("string").alias("real")))
-    at = lambda *slots: F.concat("place", F.array(*[F.lit(x).cast("int") if isinstance(x, int) else x for x in slots])).alias("place")
-    act = lambda df, place, var, op, optional=F.lit(False), real=F.col("real"): df.select("node", "expr", real.alias("real"), place, var.alias("var"), F.lit(op).alias("op") if isinstance(op, str) else op, optional.alias("optional"))
-    own = lambda end: F.concat("expr", F.lit(":"), F.lit(end) if isinstance(end, str) else end)
-    none, name, found = F.lit(None).cast("string"), F.col("name"), []
-    while True:
-        found.append(act(level.where("kind = 'name'"), F.col("place"), name, F.col("op"), F.col("optional")))
-        for kinds, declared, defined in ((("declare",), 0, None), (("foreach",), 1, 2), (("parameter",), 0, 1)):
-            here = level.where(F.col("kind").isin(*kinds))
-            found.append(act(here, at(declared), name, "DEC"))
-            if defined is not None:
-                found.append(act(here, at(defined), name, "DEF"))
-        if calls is not None:
-            here = level.where("linked")
-            found += [act(here, at(-3), F.col("expr"), ENTER, real=none), act(here, at(_LAST), F.col("expr"), EXIT, real=none)]
-            found += [act(here.where("form = 'construct'"), at(-2), F.lit(THIS), "DEC"), act(here.where("form = 'construct'"), at(_LAST + 1), F.lit(THIS), "DEF")]
-            methods = here.where("form = 'method'")
-            found.append(act(methods.where("not scoped"), at(0), F.lit(THIS), F.col("op"), F.col("optional"), own("this")))
-            found.append(act(methods, at(0, _LAST + 2), F.lit(SCOPE_IN), "DEF", real=own("this")))
-            found.append(act(here.where("returns"), at(_LAST - 2), F.lit(OUTPUT), "DEF", real=own("return")))
-            found.append(act(here.where("returns and not alone"), at(_LAST - 1), F.lit(OUTPUT), "USE", real=none))
-        below = keep(level.join(child.withColumnRenamed("up", "expr"), ["node", "expr"]))
-        if below.isEmpty():
-            break
-        given = F.when(F.col("kind") == "declare", name).when(F.col("kind") == "return", F.lit(OUTPUT)).otherwise(F.lit(EXCEPTION))
-        found.append(act(below.where("kind in ('declare', 'return', 'throw') and child_pos = 1"), at(2), given, "DEF"))
-        param = F.coalesce(F.get("params", F.col("child_pos") - 1), F.try_element_at("params", F.lit(-1)), F.col("child_pos").cast("string"))
-        if calls is not None:
-            found.append(act(below.where("linked and child_pos > 0"), at(F.col("child_pos"), _LAST + 2), F.lit(ARG_IN), "DEF", real=own(param)))
-        seen = below.withColumn("v", F.explode(_visits()))
-        real = F.when(F.col("linked"), own(F.when(F.col("child_pos") == 0, THIS).otherwise(param))).otherwise(F.col("real"))
-        level = seen.select("node", F.col("child_expr").alias("expr"), F.col("child_kind").alias("kind"), F.col("child_name").alias("name"), *[F.col(f"child_{c}").alias(c) for c in carried], F.concat("place", F.array("v.slot")).alias("place"), F.col("v.op").alias("op"), (F.col("optional") | F.col("v.maybe")).alias("optional"), real.alias("real"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    out = out.select("node", "expr", "real", "var", "op", "optional", F.row_number().over(Window.partitionBy("node").orderBy("place")).alias("pos"))
-    return out.withColumn("node", F.when(F.col("node") != _NO_NODE, F.col("node")))
+    rows = _statements(expressions)
+    held = lambda df: (df if "node" in df.columns else df.join(rows.where("kind = 'call'").select(F.col("proc").alias("node"), F.col("dst").alias("expr")).distinct(), "expr")).where("expr is not null")
+    row = lambda df, link, new: df.select(F.col("node").cast("string").alias("proc"), F.col("expr").cast("string").alias("node"), link.cast(_LINK).alias("link"), new.cast(_NEW).alias("new"))
+    known = row(held(calls), F.struct("form", "returns", "alone", "params"), F.lit(None))
+    if added is not None:
+        known = known.union(row(held(added.withColumnRenamed("call", "expr")), F.lit(None), F.struct("prepend", F.col("ord").cast("int").alias("ord"), "real", "var", "op", "optional")))
+    return _acted(rows, known)
+
+
+def _acted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``(node, expr, real, var, op, optional, pos)`` of :func:`_statements` and what is ``known(proc, node, link, new)`` of their calls."""
+
+    def visit(node, left, kids):
+        links, new = {}, defaultdict(list)
+        for e, link, more in zip(left["node"], left["link"], left["new"], strict=True):
+            if more is not None:
+                new[e].append(more)
+            elif link["form"] is not None:
+                links.setdefault(e, link)
+        did = sorted(_walk(kids, links, new), key=itemgetter(0))
+        for i, (_, *action) in enumerate(did, 1):
+            yield node, *action, i
+
+    return per_procedure(known, rows, "node string, expr string, real string, var string, op string, optional boolean, pos int", visit, lying=True)
+
+
+def _walk(kids, links, new):
+    """``(place, expr, real, var, op, optional)`` of one statement, in any order: expressions by parent, what is known of calls and inserted for them by expression. A place has a slot for each level."""
+    slot = lambda pos: float("-inf") if pos is None else pos
+    todo = [(x, (slot(x.pos),), "USE", False, None) for x in kids.get(None, ())]
+    while todo:
+        x, at, op, optional, real = todo.pop()
+        e, kind, name, chain = x.dst, x.kind, x.name, _chain(x, kids)
+        if chain is not None:  # what it is made of is not visited by itself
+            yield at, e, real, chain, op, optional
+            continue
+        if kind in ("this", "super"):
+            kind, name = "name", kind
+        if kind == "name":
+            yield at, e, real, name, op, optional
+        below, link = _below(x, kids), links.get(e) if kind == "call" else None
+        own = lambda end: None if end is None else f"{e}:{end}"  # noqa: B023, E731
+        for declared, declare, define in (("declare", 0, None), ("foreach", 1, 2), ("parameter", 0, 1)):
+            if kind == declared:
+                yield (*at, declare), e, real, name, "DEC", False
+                if define is not None:
+                    yield (*at, define), e, real, name, "DEF", False
+        if link:
+            yield (*at, -3), e, None, e, ENTER, False
+            yield (*at, _LAST), e, None, e, EXIT, False
+            for more in new.get(e, ()):
+                if more["prepend"] is not None:
+                    yield (*at, -3 if more["prepend"] else _LAST - 0.5, slot(more["ord"])), e, more["real"], more["var"], more["op"], more["optional"]
+            if link["form"] == "construct":
+                yield (*at, -2), e, real, THIS, "DEC", False
+                yield (*at, _LAST + 1), e, real, THIS, "DEF", False
+            if link["form"] == "method":
+                if not any(c.pos == 0 for c in below):
+                    yield (*at, 0), e, own(THIS), THIS, op, optional
+                yield (*at, 0, _LAST + 2), e, own(THIS), SCOPE_IN, "DEF", False
+            if link["returns"]:
+                yield (*at, _LAST - 2), e, own("return"), OUTPUT, "DEF", False
+                if link["alone"] is False:
+                    yield (*at, _LAST - 1), e, None, OUTPUT, "USE", False
+        for c in below:
+            if c.pos == 1 and kind in ("declare", "return", "throw"):
+                yield (*at, 2), e, real, {"declare": name, "return": OUTPUT, "throw": EXCEPTION}[kind], "DEF", False
+            inner = real
+            if link:
+                params, n = link["params"] or [], c.pos or 0
+                named = [p for p in (*params[max(n - 1, 0) : n], *params[-1:], None if c.pos is None else str(c.pos)) if p is not None]
+                param = named[0] if named else None
+                inner = own(THIS if c.pos == 0 else param)
+                if n > 0:
+                    yield (*at, n, _LAST + 2), e, own(param), ARG_IN, "DEF", False
+            for place, how, maybe in VISITS.get((kind, c.pos), ((slot(c.pos), "USE", False),)):
+                todo.append((c, (*at, place), how or op, optional or maybe, inner))
 
 
 def _renumbered(own: DataFrame, added: DataFrame) -> DataFrame:

@@ -146,6 +146,28 @@ def test_insertion_points(spark):
     assert by_node(actions.insert_after_real(acted, spark.createDataFrame(later, "call string, ord int, real string, var string, op string, optional boolean"))) == want
 
 
+def test_calls_on_the_way(spark, monkeypatch):
+    """Rows that lie by statement are neither moved nor written, and what is inserted on the way is what is inserted later."""
+    rows, calls, df, table = made(spark, 60, 8)
+    acted = actions.call_actions(df, table).cache()
+    added = [(c, pre, k, f"{c}:new", f"v{k}", "DEF", False) for c in [*calls][::2] for pre in (True, False) for k in range(2)]
+    added = spark.createDataFrame([*added, ("absent", True, 0, "r", "v", "DEF", False)], "call string, prepend boolean, ord int, real string, var string, op string, optional boolean")
+    want = by_node(actions.insert_for_calls(acted, added))
+    assert by_node(actions.call_actions(df, table, added)) == want
+    held = df.select("node", "expr")
+    lying = [x.repartition(4, "node") for x in (df, table.join(held, "expr"), added.join(held.withColumnRenamed("expr", "call"), "call"))]
+    was = actions.keep
+    monkeypatch.setattr(actions, "keep", None)
+    got = actions.call_actions(*lying)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(node") == 3 and "hashpartitioning(proc" not in plan
+    assert by_node(got) == want
+    # Without calls rows are written once, and statements with null keys and positions are walked too.
+    monkeypatch.setattr(actions, "keep", was)
+    odd = [(None, "1", None, None, "declare", "x"), (None, "2", "1", 1, "name", "y"), ("n", None, None, 1, "name", "z"), ("n", "3", None, 2, None, None), ("n", "4", "3", None, "name", "w")]
+    assert {(r.node, r.var, r.op, r.pos) for r in actions.expression_actions(spark.createDataFrame(odd, SCHEMA)).collect()} == {(None, "x", "DEC", 1), (None, "y", "USE", 2), (None, "x", "DEF", 3), ("n", "z", "USE", 1), ("n", "w", "USE", 2)}
+
+
 def test_chains_and_empty_tables(spark):
     rows = [("n", "1", None, 1, "field", "c"), ("n", "2", "1", 1, "inner", None), ("n", "3", "2", 1, "field", "b"), ("n", "4", "3", 1, "this", None), ("m", "5", None, 1, "field", "x"), ("m", "6", "5", 1, "array", None), ("m", "7", "6", 1, "name", "a"), ("m", "8", "6", 2, "name", "i")]
     df = spark.createDataFrame(rows, SCHEMA)
