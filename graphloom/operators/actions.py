@@ -239,6 +239,8 @@ def insert_after_real(actions: DataFrame, added: DataFrame) -> DataFrame:
 
 def call_nodes(actions: DataFrame) -> DataFrame:
     """``(node, parent, kind)`` of the nodes that calls get: CALL under the statement that holds it, ACTUAL_IN and RETURN under their call."""
-    made = actions.where(F.col("op") == ENTER).select(F.col("expr").alias("node"), F.col("node").alias("parent"), F.lit("CALL").alias("kind"))
-    ends = actions.where("real is not null").select(F.col("real").alias("node"), F.regexp_extract("real", r"^(.*):[^:]*$", 1).alias("parent"))
-    return made.union(ends.select("node", "parent", F.when(F.col("node").endswith(":return"), "RETURN").otherwise("ACTUAL_IN"))).distinct()
+    node = lambda met, name, parent, kind: F.when(met, F.struct(F.col(name).alias("node"), parent.alias("parent"), kind.alias("kind")))
+    entered = node(F.col("op") == ENTER, "expr", F.col("node"), F.lit("CALL"))
+    real = node(F.col("real").isNotNull(), "real", F.regexp_extract("real", r"^(.*):[^:]*$", 1), F.when(F.endswith("real", F.lit(":return")), "RETURN").otherwise("ACTUAL_IN"))
+    # Actions are read once.
+    return actions.select(F.explode(F.filter(F.array(entered, real), lambda x: x.isNotNull())).alias("x")).select("x.*").distinct()

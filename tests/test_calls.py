@@ -168,6 +168,11 @@ def test_calls_on_the_way(spark, monkeypatch):
     assert {(r.node, r.var, r.op, r.pos) for r in actions.expression_actions(spark.createDataFrame(odd, SCHEMA)).collect()} == {(None, "x", "DEC", 1), (None, "y", "USE", 2), (None, "x", "DEF", 3), ("n", "z", "USE", 1), ("n", "w", "USE", 2)}
 
 
+def test_nodes_of_calls_read_actions_once(spark):
+    _, _, df, table = made(spark, 5)
+    assert actions.call_nodes(actions.call_actions(df, table))._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_chains_and_empty_tables(spark):
     rows = [("n", "1", None, 1, "field", "c"), ("n", "2", "1", 1, "inner", None), ("n", "3", "2", 1, "field", "b"), ("n", "4", "3", 1, "this", None), ("m", "5", None, 1, "field", "x"), ("m", "6", "5", 1, "array", None), ("m", "7", "6", 1, "name", "a"), ("m", "8", "6", 2, "name", "i")]
     df = spark.createDataFrame(rows, SCHEMA)
