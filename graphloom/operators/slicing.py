@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import by_source, per_procedure, reach
+from .fixpoint import by_source, per_procedure, reach, reach_near
 
 
 def _backward(arcs: DataFrame, *more: str) -> DataFrame:
@@ -32,9 +32,10 @@ def two_pass(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def intra(criteria: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Slices that cross no arc between procedures."""
-    own = by_source(_backward(arcs.where("not is_inter_in and not is_inter_out")))
-    return reach(criteria, own, saved=True).select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
+    """Slices that cross no arc between procedures, of ``criteria(key, node)`` or, each a key of its own, ``criteria(node)``. Such slices are small where procedures are."""
+    own = _backward(arcs.where("not is_inter_in and not is_inter_out"))
+    found = reach(criteria, by_source(own), saved=True) if "key" in criteria.columns else reach_near(criteria, own)
+    return found.select(F.col("key").alias("criterion_id"), F.col("node").alias("node_id"))
 
 
 def pseudo_predicate(criteria: DataFrame, arcs: DataFrame, pseudo: DataFrame) -> DataFrame:

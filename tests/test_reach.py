@@ -71,6 +71,34 @@ def test_large_rounds_move_their_news_alone(spark, monkeypatch):
     assert all(p.count("Exchange hashpartitioning") <= 2 for p in plans)
 
 
+def test_many_near_keys(spark, monkeypatch):
+    """Keys that reach little: news meet the arcs at their nodes without being moved, and are moved once there and back where these are many."""
+    plans, was = [], fixpoint.keep
+
+    def keep(df):
+        out = was(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(fixpoint, "keep", keep)
+    rng = random.Random(4)
+    arcs = [(f"a{i}", f"a{(i + 1) % 12}") for i in range(12)] + [(f"b{rng.randrange(40)}", f"b{rng.randrange(40)}") for _ in range(60)] + [("b1", "b1"), ("b1", "a3"), ("b2", None)]
+    nodes = [f"{k}{i}" for k in "abc" for i in range(0, 40, 3)]
+    want = {(n, n) for n in nodes}
+    while more := {(k, t) for k, n in want for s, t in arcs if s == n} - want:
+        want |= more
+    for few in (fixpoint.FEW, 0):
+        monkeypatch.setattr(fixpoint, "FEW", few)
+        plans.clear()
+        got = fixpoint.reach_near(spark.createDataFrame([(n,) for n in nodes * 2], "node string"), spark.createDataFrame(arcs * 2, "src string, dst string"))
+        # Nothing is moved if arcs are few.
+        rounds = [p for p in plans if "LeftAnti" in p]
+        assert len(rounds) > 8 and max(p.count("Exchange hashpartitioning") for p in rounds) == (0 if few else 2)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len([r for r in rows if r[1]]) == len([r for r in want if r[1]])
+
+
 def test_searches_from_null_variables_are_left_out(spark):
     rows = lambda data, names: spark.createDataFrame(data, names)
     starts = rows([(1, "k", "v", "a"), (1, "k", None, "a"), (1, None, "v", "a")], "proc long, key string, var string, node string")
